@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import find_contamination
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -30,10 +31,14 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), words=4, seed=42, max_bits=4)
 
 
+def op9_benchmark_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_rate=0.2)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_token_counts, op6_simhash_golay, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_token_counts, op6_simhash_golay, op9_benchmark_cgk, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
