@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_contamination
+from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -18,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.crc32("text").alias("text_crc32"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return read_token_files(spark, manifest)
@@ -39,6 +46,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_token_counts, op6_simhash_golay, op9_benchmark_cgk, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op5_token_counts, op6_simhash_golay, op9_benchmark_cgk, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
