@@ -12,6 +12,7 @@ from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,6 +31,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest)
 
 
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(spark, docs, fit_toxicity(spark, docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -46,6 +52,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op5_token_counts, op6_simhash_golay, op9_benchmark_cgk, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op9_benchmark_cgk, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

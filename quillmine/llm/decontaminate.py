@@ -32,33 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import text_groups
+from .words import lowered, words_of, words_of_texts
+
 MIN_WORDS = 8
 #: Steps of a walk, sampled places of it, words between an item's windows.
 STEPS, SAMPLED, STRIDE = 14, 6, 4
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
-        _powers[name] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1 << 16), base, np.uint64))])
-    return _powers[name][:n]
-
-
-def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, end and 16-bit symbol of each word in lower-cased UTF-8 bytes."""
-    inside = _WORD_BYTE[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "up", len(raw)), out=total[1:])
-    h = (total[end] - total[start]) * _power(_INVERSE, "down", len(raw) + 1)[start]
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    return start, end, (h >> np.uint64(48)).astype(np.uint16)
 
 
 @dataclass(frozen=True)
@@ -139,10 +119,14 @@ class Block:
 _MAP_BITS = 22
 
 
+def _symbol(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.uint16)
+
+
 def _symbols(text: str) -> tuple[np.ndarray, list[bytes]]:
-    raw = text.lower().encode("utf-8", "surrogatepass")
-    start, end, symbols = words_of(np.frombuffer(raw, np.uint8))
-    return symbols, [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+    raw = lowered(text)
+    start, end, h = words_of(raw)
+    return _symbol(h), [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
 def _offsets(n: int) -> range:
@@ -195,12 +179,10 @@ def make_block(ids: list, texts: list, max_rate: float, target_recall: float) ->
 
 def search_group(block: Block, texts: list[str], max_rate: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edit distance, first word, words) of the best place of each item in each text."""
-    raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    raw = b"\n".join(raws)
-    start, end, symbols = words_of(np.frombuffer(raw, np.uint8))
-    if not len(symbols):
+    raw, start, end, h, limits = words_of_texts(texts)
+    if not len(h):
         return []
-    limits = np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raws)]))  # words of each text
+    symbols = _symbol(h)
     proposed = []
     for k in range(len(block.walks.places)):
         keys = block.walks.keys(symbols, k)
@@ -249,8 +231,6 @@ def find_contamination(
 ) -> DataFrame:
     """doc_id, item_id, edit_distance, first_word, n_words: each item found in a
     document at an edit distance, in words, of at most max_rate of the item's words."""
-    from .tokens import text_groups
-
     schema = "doc_id long, item_id long, edit_distance int, first_word long, n_words long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col))
