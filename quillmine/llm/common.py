@@ -8,8 +8,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_folder: dict[str, str] = {}
 
@@ -107,3 +109,22 @@ def component_labels(spark: SparkSession, edges: DataFrame, max_rounds: int = 60
         raise RuntimeError("components did not settle")
     labels = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+
+
+def appended(docs: DataFrame, inputs: list[Column], fields: list[tuple[str, str, pa.DataType]], fn) -> DataFrame:
+    """docs with new columns, made a batch at a time by fn(*input arrays), which
+    returns an array for each of fields (name, SQL type, Arrow type). The other
+    columns pass through as they are, whatever their names; nothing is shuffled."""
+    n, m = len(docs.columns), len(inputs)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *(x.alias(f"x{i}") for i, x in enumerate(inputs)))
+    names = [*(f"c{i}" for i in range(n)), *(f"y{i}" for i in range(len(fields)))]
+    schema = T.StructType([*rows.schema.fields[:n], *(T.StructField(f"y{i}", T._parse_datatype_string(kind)) for i, (_, kind, _) in enumerate(fields))])
+    kinds = [kind for _, _, kind in fields]
+
+    def run(batches):
+        for batch in batches:
+            made = fn(*(batch.column(n + i) for i in range(m)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(x, kind) for x, kind in zip(made, kinds))], names=names)
+
+    done = rows.mapInArrow(run, schema)
+    return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), *(F.col(f"y{i}").alias(name) for i, (name, _, _) in enumerate(fields)))

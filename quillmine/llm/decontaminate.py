@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import appended
 from .tokens import text_groups
 from .words import lowered, words_of, words_of_texts
 
@@ -157,13 +158,11 @@ def repetitions_for(symbols: list[np.ndarray], rate: float, target: float, sampl
     return max(3, math.ceil(math.log(1 - target) / math.log(chance)))
 
 
-def make_block(ids: list, texts: list, max_rate: float, target_recall: float) -> Block | None:
+def make_block(ids: list, texts: list, max_rate: float, target_recall: float) -> Block:
     rows = [(i, *_symbols(t or "")) for i, t in zip(ids, texts)]
     rows = [r for r in rows if len(r[1]) >= MIN_WORDS]
-    if not rows:
-        return None
     walks = Walks.make(repetitions_for([r[1] for r in rows], max_rate, target_recall))
-    keys, item, offset = [], [], []
+    keys, item, offset = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for n, (_, symbols, _) in enumerate(rows):
         at = list(_offsets(len(symbols)))
         for k in range(len(walks.places)):
@@ -233,15 +232,13 @@ def find_contamination(
     document at an edit distance, in words, of at most max_rate of the item's words."""
     schema = "doc_id long, item_id long, edit_distance int, first_word long, n_words long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col))
-    out, held = None, []
 
     def searched(block: Block) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)  # block_items items at most
 
         def search(batches):
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for a, b in text_groups(texts, 1_000_000):
                     found = search_group(shared.value, texts[a:b], max_rate)
                     if found:
@@ -257,15 +254,47 @@ def find_contamination(
 
         return rows.mapInArrow(search, schema)
 
-    def add(block: Block | None, out: DataFrame | None) -> DataFrame | None:
-        if block is None:
-            return out
-        return searched(block) if out is None else out.unionByName(searched(block))
+    out = None
+    for block in _blocks(benchmark, max_rate, target_recall, block_items, item_col, item_text_col):
+        out = searched(block) if out is None else out.unionByName(searched(block))
+    return spark.createDataFrame([], schema) if out is None else out
+
 
-    for row in items.toLocalIterator():
+def _blocks(benchmark: DataFrame, max_rate: float, target_recall: float, block_items: int, item_col: str, item_text_col: str):
+    held = []
+    for row in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)).toLocalIterator():
         held.append(row)
         if len(held) == block_items:
-            out, held = add(make_block([r[0] for r in held], [r[1] for r in held], max_rate, target_recall), out), []
-    if held:
-        out = add(make_block([r[0] for r in held], [r[1] for r in held], max_rate, target_recall), out)
-    return spark.createDataFrame([], schema) if out is None else out
+            yield make_block([r[0] for r in held], [r[1] for r in held], max_rate, target_recall)
+            held = []
+    yield make_block([r[0] for r in held], [r[1] for r in held], max_rate, target_recall)
+
+
+def without_contaminated(
+    spark: SparkSession,
+    docs: DataFrame,
+    benchmark: DataFrame,
+    max_rate: float = 0.2,
+    target_recall: float = 0.99,
+    block_items: int = 20_000,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """docs without those that hold an item."""
+
+    def clean(docs: DataFrame, block: Block) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)  # block_items items at most
+
+        def hit(texts):
+            texts = texts.to_pylist()
+            out = np.zeros(len(texts), dtype=bool)
+            for a, b in text_groups(texts, 1_000_000):
+                out[[a + f[0] for f in search_group(shared.value, texts[a:b], max_rate)]] = True
+            return [out]
+
+        return appended(docs, [F.col(text_col)], [("_leaks", "boolean", pa.bool_())], hit).where("not _leaks").drop("_leaks")
+
+    for block in _blocks(benchmark, max_rate, target_recall, block_items, item_col, item_text_col):
+        docs = clean(docs, block)
+    return docs

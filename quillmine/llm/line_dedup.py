@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import component_labels, dropped, written
+from .common import appended, component_labels, dropped, written
 from .tokens import text_groups
 
 EXACT_CHARS, NEAR_CHARS = 20, 40
@@ -338,38 +338,23 @@ def kept_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 2, id_col:
 def dedup_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text rid of repeated lines, and n_lines, n_removed."""
     kept = kept_lines(spark, docs, max_edits, id_col, text_col)
-    own = [c for c in docs.columns if c != text_col]
-    names = {c: f"c{i}" for i, c in enumerate(own)}
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(*(F.col(c).alias(names[c]) for c in own), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_dkey"), F.col(text_col).alias("_text"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    slim = docs.toDF(*names).withColumns({"_id": F.col(names[docs.columns.index(id_col)]).cast("long"), "_text": F.col(names[docs.columns.index(text_col)])})
+    slim = slim.withColumn("_dkey", F.xxhash64(F.coalesce("_text", F.lit(""))))
     same = F.col("s._id").eqNullSafe(F.col("k.doc_id")) & (F.col("s._dkey") == F.col("k.dkey"))
-    joined = slim.alias("s").join(kept.alias("k"), same, "left")
-    joined = joined.select("s.*", "k.kept")
-    fields = [f for f in docs.schema if f.name != text_col]
-    out_schema = ", ".join([*(f"{names[f.name]} {f.dataType.simpleString()}" for f in fields), "_text string", "n_lines long", "n_removed long"])
-    n = len(own)
+    joined = slim.alias("s").join(kept.alias("k"), same, "left").select(*(f"s.{n}" for n in names), "k.kept")
 
-    def rebuild(batches):
-        for batch in batches:
-            texts, kept = batch.column(n + 2).to_pylist(), batch.column(n + 3).to_pylist()
-            out, lines_of, removed_of = [], [], []
-            for text, keep in zip(texts, kept):
-                if text is None:
-                    out.append(None)
-                    lines_of.append(0)
-                    removed_of.append(0)
-                    continue
+    def rebuild(texts, kept):
+        out = [(None, 0, 0)] * len(texts)
+        for i, (text, keep) in enumerate(zip(texts.to_pylist(), kept.to_pylist())):
+            if text is not None:
                 keep = set(keep or ())
                 lines = text.split("\n")
-                left = [line for i, line in enumerate(lines) if i in keep or len(line.strip()) < EXACT_CHARS]
-                out.append("\n".join(left))
-                lines_of.append(len(lines))
-                removed_of.append(len(lines) - len(left))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(n)), pa.array(out, pa.string()), pa.array(lines_of, pa.int64()), pa.array(removed_of, pa.int64())],
-                names=[*(names[c] for c in own), "_text", "n_lines", "n_removed"],
-            )
-
-    done = joined.mapInArrow(rebuild, out_schema)
-    back = [F.col("_text").alias(text_col) if c == text_col else F.col(names[c]).alias(c) for c in docs.columns]
+                left = [line for k, line in enumerate(lines) if k in keep or len(line.strip()) < EXACT_CHARS]
+                out[i] = ("\n".join(left), len(lines), len(lines) - len(left))
+        return list(zip(*out)) or [[], [], []]
+
+    fields = [("_text", "string", pa.string()), ("n_lines", "long", pa.int64()), ("n_removed", "long", pa.int64())]
+    done = appended(joined, [F.col(names[docs.columns.index(text_col)]), F.col("kept")], fields, rebuild)
+    back = [F.col("_text" if c == text_col else n).alias(c) for n, c in zip(names, docs.columns)]
     return done.select(*back, "n_lines", "n_removed")

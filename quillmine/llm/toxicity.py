@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import appended
 from .tokens import text_groups
 from .words import words_of_texts
 
@@ -233,22 +234,22 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
+def with_scores(spark: SparkSession, docs: DataFrame, model: TextCnn, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with score, and threshold: that of the language."""
+    shared = spark.sparkContext.broadcast(model)  # of fixed size
+
+    def scored(texts, langs):
+        texts, cuts = texts.to_pylist(), shared.value.thresholds
+        score = np.concatenate([np.empty(0), *(shared.value.scores(texts[a:b]) for a, b in text_groups(texts, 500_000))])
+        return score, [cuts.get(str(x), cuts.get(None, 0.5)) for x in langs.to_pylist()]
+
+    return appended(docs, [F.col(text_col), F.col(lang_col).cast("string")], [("score", "double", pa.float64()), ("threshold", "double", pa.float64())], scored)
+
+
 def score_toxicity(spark: SparkSession, docs: DataFrame, model: TextCnn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3), threshold of the
     language, toxic (score >= threshold)."""
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
-
-    def scored(batches):
-        for batch in batches:
-            texts, langs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            score = np.concatenate([np.empty(0), *(shared.value.scores(texts[a:b]) for a, b in text_groups(texts, 500_000))])
-            cuts = shared.value.thresholds
-            cut = np.array([cuts.get(str(x), cuts.get(None, 0.5)) for x in langs], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.3).astype(np.int32)), pa.array(cut), pa.array(score >= cut)],
-                names=["doc_id", "held_out", "score", "predicted", "threshold", "toxic"],
-            )
-
-    held = F.coalesce(held_out(id_col), F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, threshold double, toxic boolean")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = with_scores(spark, rows, model)
+    held = F.coalesce(held_out("doc_id"), F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("toxic"))
