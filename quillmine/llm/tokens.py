@@ -21,7 +21,6 @@ import regex
 _ODD = re.compile("[^\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u203a\u20ac]")
 #: What needs the full splitting pattern; else words, full stops and commas.
 _MIXED = re.compile("[^a-z\xdf-\xf6\xf8-\u024f \n.,]|[.,]{2}")
-_MARK = "\x01"
 #: The family of settings for which the dictionary is exact.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
@@ -30,9 +29,9 @@ class TokenIds:
     """ids of whole texts as little-endian unsigned integers: 16 bits if the
     vocabulary allows it, else 32."""
 
-    def __init__(self, path: str, cache_entries: int = 200_000):
+    def __init__(self, path: str, cache_entries: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -47,23 +46,30 @@ class TokenIds:
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_piece = kinds == _NORMALIZERS and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
         self.specials = [x["content"] for x in spec.get("added_tokens", [])]
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.by_piece &= len(mark) == 1
-        self.split = regex.compile(split["pattern"]["Regex"]) if self.by_piece else None
-        self.mark = mark[0] if mark else -1
+        end = spec["model"].get("end_of_word_suffix") or ""
+        self.by_piece &= bool(end)
+        if self.by_piece:
+            self.split = regex.compile(split["pattern"]["Regex"])
+            # pre-tokens are normalised and apart already; each one's last id, and no other, ends a word
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        ends = (np.append(np.flatnonzero(ids == self.mark), len(ids)) * self.dtype.itemsize).tolist()
-        if len(ends) != len(pieces):
-            raise AssertionError("the mark was not kept apart")
-        raw, at = ids.tobytes(), 0
-        for piece, end in zip(pieces, ends):
-            self.young[piece] = raw[at:end]
-            at = end + self.dtype.itemsize
+        size = self.dtype.itemsize
+        for k in range(0, len(pieces), 256):
+            some = pieces[k : k + 256]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(ends) != len(some):
+                raise AssertionError("pre-tokens were not kept apart")
+            raw = ids.tobytes()
+            self.young.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
     def _pieces(self, text: str) -> list[str]:
         low = text.lower()
