@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
 from .decontaminate import find_contamination
 from .line_dedup import dedup_lines
@@ -21,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.crc32("text").alias("text_crc32"))
@@ -52,6 +57,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op9_benchmark_cgk, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op9_benchmark_cgk, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
