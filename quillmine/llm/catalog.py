@@ -14,6 +14,7 @@ from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .toxicity import fit_toxicity, score_toxicity
+from .wrapper import extract_pages
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,6 +50,10 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), words=4, seed=42, max_bits=4)
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op9_benchmark_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_rate=0.2)
 
@@ -57,6 +62,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op9_benchmark_cgk, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op7_wrapper_induction, op9_benchmark_cgk, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
