@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .decontaminate import find_contamination
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_duplicates
@@ -54,6 +55,10 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_rate=0.2)
 
@@ -62,6 +67,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op7_wrapper_induction, op9_benchmark_cgk, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_additive_quantisation, op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op7_wrapper_induction, op8_license_scan, op9_benchmark_cgk, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
