@@ -109,6 +109,7 @@ def modifiers(language: Column, name: Column) -> Column:
 def extract_symbols(files: DataFrame) -> DataFrame:
     """files(path, language, content) -> the symbols table, by one table function
     call per file, after the partition the file is in."""
+    files = files.select("path", "content", "language")
     found = files.lateralJoin(ExtractSymbols(F.col("content").outer(), F.col("language").outer()))
     path, tags = F.col("path"), F.when(F.array_contains(modifiers(F.col("language"), F.col("name")), "public"), F.array(F.lit("exported"))).otherwise(F.array().cast("array<string>"))
     return found.select(
@@ -120,6 +121,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 
 
 def syntax_errors(files: DataFrame) -> DataFrame:
+    files = files.select("path", "content", "language")
     found = files.lateralJoin(SyntaxErrors(F.col("content").outer(), F.col("language").outer()))
     return found.select("path", "line", "col", "message")
 

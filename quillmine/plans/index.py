@@ -13,6 +13,7 @@ import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import human_bytes, sha256_hex
 from ..operators.filters import index_file_filter
@@ -123,7 +124,10 @@ class IndexStore:
         if not v:
             return None
         places = json.loads(self._read_text(f"{self.folder}/current-{v}"))
-        return self.spark.read.parquet(f"{self.folder}/{places[name]}") if name in places else None
+        if name not in places:
+            return None
+        schema = T.StructType.fromJson(places[name]["schema"])
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{places[name]['path']}").select(schema.names)
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """Write new tables, carry the others over, and make that the version."""
@@ -131,11 +135,12 @@ class IndexStore:
         new = old + 1
         places = json.loads(self._read_text(f"{self.folder}/current-{old}")) if old else {}
         for name, df in tables.items():
-            places[name] = f"v{new}/{name}"
+            at = f"v{new}/{name}"
+            places[name] = {"path": at, "schema": json.loads(df.schema.json())}
             writer = df.write.mode("overwrite").option("compression", "zstd")
             if name == "symbols":
                 writer = writer.partitionBy("language")
-            writer.parquet(f"{self.folder}/{places[name]}")
+            writer.parquet(f"{self.folder}/{at}")
         self._write_text(f"{self.folder}/current-{new}", json.dumps(places))
         return new
 
@@ -145,7 +150,7 @@ class IndexStore:
         used, n = set(), 0
         for v in range(max(1, last - keep + 1), last + 1):
             if text := self._read_text(f"{self.folder}/current-{v}"):
-                used |= set(json.loads(text).values())
+                used |= {x["path"] for x in json.loads(text).values()}
         for v in range(1, last - keep + 1):
             self.fs.delete(self._path(f"{self.folder}/current-{v}"), False)
         for at in self.fs.globStatus(self._path(f"{self.folder}/v*/*")) or []:
