@@ -4,12 +4,13 @@ executors see, written intermediate tables, and connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +44,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillmine/{label}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     """df as a table in the shared folder: it is computed once, its lineage ends
-    there, and a lost executor costs no more than reading it again."""
+    there, and a lost executor costs no more than reading it again. slim: a few
+    numbers a row, so that an eighth of the usual files will do."""
     path = new_path(spark, label)
+    df = df.coalesce(max(8, shuffle_partitions(spark) // 8)) if slim else df
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmine_path = path
@@ -81,7 +84,7 @@ def component_labels(spark: SparkSession, edges: DataFrame, max_rounds: int = 60
     """
 
     def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
-        out = written(spark, df.where("a <> b").distinct(), "links")
+        out = written(spark, df.where("a <> b").distinct(), "links", slim=True)
         row = out.agg(
             F.count(F.lit(1)).alias("n"),
             F.bit_xor(F.xxhash64("a", "b")).alias("x"),
@@ -111,20 +114,46 @@ def component_labels(spark: SparkSession, edges: DataFrame, max_rounds: int = 60
     return labels.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
-def appended(docs: DataFrame, inputs: list[Column], fields: list[tuple[str, str, pa.DataType]], fn) -> DataFrame:
-    """docs with new columns, made a batch at a time by fn(*input arrays), which
-    returns an array for each of fields (name, SQL type, Arrow type). The other
-    columns pass through as they are, whatever their names; nothing is shuffled."""
-    n, m = len(docs.columns), len(inputs)
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *(x.alias(f"x{i}") for i, x in enumerate(inputs)))
-    names = [*(f"c{i}" for i in range(n)), *(f"y{i}" for i in range(len(fields)))]
-    schema = T.StructType([*rows.schema.fields[:n], *(T.StructField(f"y{i}", T._parse_datatype_string(kind)) for i, (_, kind, _) in enumerate(fields))])
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of so many rows at most: ten thousand,
+    Spark's default, can be some hundred megabytes of them at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
+def lean(fn):
+    """fn for mapInArrow, after which a worker gives memory back that it no longer
+    uses: workers live on, and what one stage held would add up with the next."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return run
+
+
+def appended(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str, pa.DataType]], fn) -> DataFrame:
+    """docs with new columns, made a batch at a time by fn(*arrays of the input
+    columns), which returns an array for each of fields (name, SQL type, Arrow
+    type). The other columns pass through as they are, whatever their names;
+    nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
+    n, at = len(docs.columns), [docs.columns.index(c) for c in inputs]
+    rows = docs.toDF(*(f"c{i}" for i in range(n)))
+    names = [*rows.columns, *(f"y{i}" for i in range(len(fields)))]
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"y{i}", T._parse_datatype_string(kind)) for i, (_, kind, _) in enumerate(fields))])
     kinds = [kind for _, _, kind in fields]
 
     def run(batches):
         for batch in batches:
-            made = fn(*(batch.column(n + i) for i in range(m)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(x, kind) for x, kind in zip(made, kinds))], names=names)
+            made = fn(*(batch.column(i) for i in at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, kind) for x, kind in zip(made, kinds))], names=names)
 
-    done = rows.mapInArrow(run, schema)
-    return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), *(F.col(f"y{i}").alias(name) for i, (name, _, _) in enumerate(fields)))
+    return rows.mapInArrow(lean(run), schema).toDF(*docs.columns, *(name for name, _, _ in fields))

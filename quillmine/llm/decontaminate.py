@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended
+from .common import appended, bounded_batches, lean
 from .tokens import text_groups
 from .words import lowered, words_of, words_of_texts
 
@@ -230,6 +230,7 @@ def find_contamination(
 ) -> DataFrame:
     """doc_id, item_id, edit_distance, first_word, n_words: each item found in a
     document at an edit distance, in words, of at most max_rate of the item's words."""
+    bounded_batches(spark)
     schema = "doc_id long, item_id long, edit_distance int, first_word long, n_words long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -252,7 +253,7 @@ def find_contamination(
                             }
                         )
 
-        return rows.mapInArrow(search, schema)
+        return rows.mapInArrow(lean(search), schema)
 
     out = None
     for block in _blocks(benchmark, max_rate, target_recall, block_items, item_col, item_text_col):
@@ -293,7 +294,7 @@ def without_contaminated(
                 out[[a + f[0] for f in search_group(shared.value, texts[a:b], max_rate)]] = True
             return [out]
 
-        return appended(docs, [F.col(text_col)], [("_leaks", "boolean", pa.bool_())], hit).where("not _leaks").drop("_leaks")
+        return appended(docs, [text_col], [("_leaks", "boolean", pa.bool_())], hit).where("not _leaks").drop("_leaks")
 
     for block in _blocks(benchmark, max_rate, target_recall, block_items, item_col, item_text_col):
         docs = clean(docs, block)

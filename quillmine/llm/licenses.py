@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import text_groups
 from .words import lowered, words_of, words_of_texts
 
@@ -194,5 +195,6 @@ def scan_licenses(
                         names=["doc_id", "license", "coverage", "first_word", "n_words", "first_byte", "n_bytes"],
                     )
 
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(scan, "doc_id long, license string, coverage double, first_word long, n_words long, first_byte long, n_bytes long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, component_labels, dropped, written
+from .common import appended, bounded_batches, component_labels, dropped, lean, written
 from .tokens import text_groups
 
 EXACT_CHARS, NEAR_CHARS = 20, 40
@@ -203,7 +203,7 @@ def _line_table(rows: DataFrame) -> DataFrame:
                         names=["doc_id", "dkey", "line_no", "h1", "h2"],
                     )
 
-    return rows.mapInArrow(cut, "doc_id long, dkey long, line_no long, h1 long, h2 long")
+    return rows.mapInArrow(lean(cut), "doc_id long, dkey long, line_no long, h1 long, h2 long")
 
 
 def _fresh_lines(batches, skip_seen: int = 100_000):
@@ -256,8 +256,8 @@ def _shared_keys(spark: SparkSession, rows: DataFrame, max_edits: int) -> DataFr
             yield _several(*held)
 
     text = rows.select("text")
-    dealt = text.mapInArrow(keyed, "key long, h1 long, stored boolean").repartition("key").sortWithinPartitions("key", "h1")
-    return written(spark, dealt.mapInArrow(shared, "key long, h1 long"), "line-keys")
+    dealt = text.mapInArrow(lean(keyed), "key long, h1 long, stored boolean").repartition("key").sortWithinPartitions("key", "h1")
+    return written(spark, dealt.mapInArrow(lean(shared), "key long, h1 long"), "line-keys")
 
 
 def _several(key: np.ndarray, h1: np.ndarray, stored: np.ndarray, all_of_it: bool = False) -> pa.RecordBatch:
@@ -285,7 +285,7 @@ def _texts(spark: SparkSession, rows: DataFrame, wanted: DataFrame) -> DataFrame
             if at:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([lines[i] for i in at], pa.string())], names=["h1", "text"])
 
-    return rows.select("text").mapInArrow(fetch, "h1 long, text string").groupBy("h1").agg(F.min("text").alias("text"))
+    return rows.select("text").mapInArrow(lean(fetch), "h1 long, text string").groupBy("h1").agg(F.min("text").alias("text"))
 
 
 def line_links(spark: SparkSession, rows: DataFrame, max_edits: int) -> DataFrame:
@@ -319,13 +319,14 @@ def line_links(spark: SparkSession, rows: DataFrame, max_edits: int) -> DataFram
         yield from done()
 
     dealt = dealt.select("key", "part", "h1", "side", "text").repartition("key", "part").sortWithinPartitions("key", "part", "h1")
-    out = written(spark, dealt.mapInArrow(compare, "a long, b long").distinct(), "line-links")
+    out = written(spark, dealt.mapInArrow(lean(compare), "a long, b long").distinct(), "line-links", slim=True)
     dropped(spark, shared)
     return out
 
 
 def kept_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, dkey, kept: the numbers of the lines that are the first of their class."""
+    bounded_batches(spark)
     rows = _rows(docs, id_col, text_col)
     labels = component_labels(spark, line_links(spark, rows, max_edits))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "dkey", "line_no")).alias("first")
@@ -355,6 +356,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 2, id_col
         return list(zip(*out)) or [[], [], []]
 
     fields = [("_text", "string", pa.string()), ("n_lines", "long", pa.int64()), ("n_removed", "long", pa.int64())]
-    done = appended(joined, [F.col(names[docs.columns.index(text_col)]), F.col("kept")], fields, rebuild)
+    done = appended(joined, [names[docs.columns.index(text_col)], "kept"], fields, rebuild)
     back = [F.col("_text" if c == text_col else n).alias(c) for n, c in zip(names, docs.columns)]
     return done.select(*back, "n_lines", "n_removed")

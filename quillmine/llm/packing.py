@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, written
+from .common import bounded_batches, dropped, lean, written
 from .tokens import text_groups, token_ids
 
 _PIECE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -57,8 +57,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
                         uid += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(cut), "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _histogram(df: DataFrame, col: str) -> dict[int, int]:
@@ -77,6 +78,11 @@ def best_fit(spark: SparkSession, pieces: DataFrame, capacity: int, salts: int =
     gaps = whole.select(F.col("uid").alias("bin"), (F.lit(capacity) - F.col("length")).cast("long").alias("gap")).where(F.col("gap") >= max(1, least))
     room = _histogram(gaps, "gap")
     old: list[DataFrame] = []
+
+    def files(rows: int) -> int:
+        """For so many slim rows; late rounds have few."""
+        return -(-rows // 200_000) or 1
+
     opened, round_no = 0, 0
     while left:
         round_no += 1
@@ -119,7 +125,7 @@ def best_fit(spark: SparkSession, pieces: DataFrame, capacity: int, salts: int =
             F.lag("kind").over(line).alias("prev_kind"), F.lag("who").over(line).alias("prev"), F.lag("slot").over(line).alias("prev_slot"),
             F.lead("kind").over(line).alias("next_kind"), F.lead("size").over(line).alias("next_size"),
         )
-        seen = written(spark, seen, "packing-round")
+        seen = written(spark, seen.coalesce(files(sum(left.values()) + sum(offered.values()))), "packing-round")
         hit = (F.col("kind") == 1) & (F.col("prev_kind") == 0)
         placed.append(
             seen.where(hit).select(F.col("who").alias("uid"), F.col("size").alias("length"), F.col("prev").alias("sequence_id"), F.lit(round_no).alias("round"), F.col("prev_slot").alias("slot"))
@@ -129,7 +135,7 @@ def best_fit(spark: SparkSession, pieces: DataFrame, capacity: int, salts: int =
         took = F.when(F.col("next_kind") == 1, F.col("next_size")).otherwise(0)
         gaps = seen.where("kind = 0").groupBy(F.col("who").alias("bin")).agg((F.max("gap") - F.sum(took)).alias("gap")).where(F.col("gap") >= max(1, min(left, default=1)))
         if left:
-            gaps = written(spark, gaps, "packing-gaps")
+            gaps = written(spark, gaps.coalesce(files(n_gaps)), "packing-gaps")
             old.append(gaps)
             room = _histogram(gaps, "gap")
     dropped(spark, *old)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import component_labels, dropped, written
+from .common import bounded_batches, component_labels, dropped, lean, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -65,7 +65,8 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
             fp = np.array([fingerprint(t, words, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(hashed), "doc_id long, fp long")
 
 
 def _remainders() -> np.ndarray:
@@ -160,7 +161,7 @@ def _keyed(nodes: DataFrame, keys_of) -> DataFrame:
                 row, key = keys_of(np.ascontiguousarray(fp[a : a + 2048]))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[a : a + 2048][row]), pa.array(c[a : a + 2048][row])], names=["key", "fp", "c"])
 
-    return nodes.select("fp", "c").mapInArrow(out, "key long, fp long, c long")
+    return nodes.select("fp", "c").mapInArrow(lean(out), "key long, fp long, c long")
 
 
 def link_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -168,20 +169,20 @@ def link_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4) -> D
     reached over fingerprints with max_bits or fewer differing bits."""
     if max_bits > 4:
         raise ValueError("three segments reach four bits")
-    nodes = written(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-nodes")
+    nodes = written(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-nodes", slim=True)
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("m")))
     stored = _keyed(nodes.withColumn("c", F.col("fp")), stored_keys)
     star = stored.select("fp", F.min("fp").over(Window.partitionBy("key")).alias("m"))
     star = component_labels(spark, star.where((F.col("fp") != F.col("m")) & (apart <= max_bits)).select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct())
     first = nodes.join(star.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "head", F.coalesce("component", "fp").alias("c"))
-    first = written(spark, first, "simhash-first")
+    first = written(spark, first, "simhash-first", slim=True)
     at = _keyed(first, stored_keys).select("key", F.col("fp").alias("m"), F.col("c").alias("d"))
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.m"))) <= max_bits
     found = _keyed(first, looked_up_keys).alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.d")) & near)
     rest = component_labels(spark, found.select(F.col("x.c").alias("a"), F.col("y.d").alias("b")).distinct())
     final = first.join(rest.withColumnRenamed("id", "c"), "c", "left").select("fp", "head", F.coalesce("component", "c").alias("c"))
     heads = final.groupBy("c").agg(F.min("head").alias("component_id"))
-    named = written(spark, final.join(heads, "c").select("fp", "component_id"), "simhash-final")
+    named = written(spark, final.join(heads, "c").select("fp", "component_id"), "simhash-final", slim=True)
     dropped(spark, first)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: The byte-level splitting pattern that the vocabulary was made with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The regex library also counts the separators U+001C to U+001F as white space.
@@ -125,5 +127,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

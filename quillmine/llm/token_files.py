@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions
+from .common import bounded_batches, lean, new_path, shuffle_partitions
 from .sharedfs import open_array, open_output
 from .tokens import text_groups, token_ids
 
@@ -60,6 +60,7 @@ def write_token_files(
     text_col: str = "text",
     shards: int | None = None,
 ) -> Manifest:
+    bounded_batches(spark)
     folder = folder or new_path(spark, "token-files")
     dtype = token_ids(tokenizer).dtype.str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -93,7 +94,7 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict({"uri": [uri], "first": [first], "n_docs": [n_docs], "n_tokens": [at]}, schema=_SHARD)
 
     dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
-    made = dealt.mapInArrow(write, "uri string, first long, n_docs long, n_tokens long").collect()  # a row per shard
+    made = dealt.mapInArrow(lean(write), "uri string, first long, n_docs long, n_tokens long").collect()  # a row per shard
     made.sort(key=lambda r: (r.first is not None, r.first or 0))
     out, tokens, seen = [], 0, 0
     for r in made:

@@ -118,7 +118,7 @@ def token_ids(path: str) -> TokenIds:
     return _loaded[path]
 
 
-def text_groups(texts: list[str | None], chars: int = 2_000_000):
+def text_groups(texts: list[str | None], chars: int = 1_000_000):
     """(start, end) of runs of texts of about so many characters."""
     start, held = 0, 0
     for i, text in enumerate(texts):

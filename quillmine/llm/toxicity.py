@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended
+from .common import appended, bounded_batches, lean
 from .tokens import text_groups
 from .words import words_of_texts
 
@@ -213,6 +213,7 @@ def train(docs: list[np.ndarray], labels: list[int], langs: list[str | None], ep
 
 def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> TextCnn:
     """A classifier from the labelled documents outside the held-out quarter."""
+    bounded_batches(spark)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # the documented bound
@@ -226,7 +227,7 @@ def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_ro
             raw = [h[a:b].tobytes() for a, b in zip(limits, limits[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(lang, pa.string()), pa.array(raw, pa.binary())], names=["doc_id", "y", "lang", "h"])
 
-    sample = rows.mapInArrow(hashed, "doc_id long, y int, lang string, h binary").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")]).slice(0, max_rows)
+    sample = rows.mapInArrow(lean(hashed), "doc_id long, y int, lang string, h binary").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")]).slice(0, max_rows)
     return train([np.frombuffer(x, np.uint64) for x in sample.column("h").to_pylist()], [1 if v else 0 for v in sample.column("y").to_pylist()], sample.column("lang").to_pylist())
 
 
@@ -243,7 +244,7 @@ def with_scores(spark: SparkSession, docs: DataFrame, model: TextCnn, text_col:
         score = np.concatenate([np.empty(0), *(shared.value.scores(texts[a:b]) for a, b in text_groups(texts, 500_000))])
         return score, [cuts.get(str(x), cuts.get(None, 0.5)) for x in langs.to_pylist()]
 
-    return appended(docs, [F.col(text_col), F.col(lang_col).cast("string")], [("score", "double", pa.float64()), ("threshold", "double", pa.float64())], scored)
+    return appended(docs, [text_col, lang_col], [("score", "double", pa.float64()), ("threshold", "double", pa.float64())], scored)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, model: TextCnn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
