@@ -38,7 +38,7 @@ from .words import lowered, words_of, words_of_texts
 
 MIN_WORDS = 8
 #: Steps of a walk, sampled places of it, words between an item's windows.
-STEPS, SAMPLED, STRIDE = 14, 6, 4
+STEPS, SAMPLED, STRIDE = 14, 6, 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
