@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import java_pattern, may_match_empty, required_literal
 from .filters import path_filters
-from .lines import before_after, explode_lines, first_per_file, spans, with_line_offset
+from .lines import before_after, explode_lines, first_per_file, first_span, spans, with_line_offset
 
 
 @dataclass(frozen=True)
@@ -138,12 +138,13 @@ def grep(files: DataFrame, o: GrepOptions) -> DataFrame:
     if o.invert:
         rows = lines.where(~hit).withColumns({"col_start": F.lit(1), "col_end": F.octet_length("line") + 1, "match": F.col("line")})
     else:
-        found = match_spans(F.col("line"), o)
         rows = lines.where(hit)
-        if o.one_per_line:
-            rows = rows.withColumn("m", F.element_at(found, 1))
+        if not o.one_per_line:
+            rows = rows.withColumn("m", F.explode(match_spans(F.col("line"), o)))
+        elif may_match_empty(o.pattern, o.literal):
+            rows = rows.withColumn("m", F.element_at(match_spans(F.col("line"), o), 1))
         else:
-            rows = rows.withColumn("m", F.explode(found))
+            rows = rows.withColumn("m", first_span(F.col("line"), o.java()))
         rows = rows.withColumns({"col_start": F.col("m.start") + 1, "col_end": F.col("m.end") + 1, "match": F.col("m.match")})
     if o.replacement is not None:
         new = F.regexp_replace(F.col("match") if o.only_matching else F.col("line"), o.java(), o.replacement)

@@ -36,15 +36,23 @@ def spans(text: Column, pattern: str) -> Column:
     match the empty text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<match:string,start:int,end:int>>")
 
-    def size(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0).cast("int"), lambda a, x: a + F.octet_length(x))
+    def step(done: Column, pair: Column) -> Column:
+        start = done["at"] + F.octet_length(pair["before"])
+        end = start + F.octet_length(pair["match"])
+        return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(pair["match"].alias("match"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    def one(m: Column, k: Column) -> Column:
-        start = size(between, k + 1) + size(found, k)
-        return F.struct(m.alias("match"), start.alias("start"), (start + F.octet_length(m)).alias("end"))
+    # the pairs are made once, and then walked over
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("match"), b.alias("before")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda done: done["out"])
 
-    return F.transform(found, one)
+
+def first_span(text: Column, pattern: str) -> Column:
+    """The first of spans(), without looking for more."""
+    start = F.octet_length(F.element_at(F.split(text, pattern, 2), 1))
+    match = F.regexp_extract(text, pattern, 0)
+    return F.struct(match.alias("match"), start.alias("start"), (start + F.octet_length(match)).alias("end"))
 
 
 def before_after(lines: DataFrame, before: int, after: int, key: str = "path") -> DataFrame:
