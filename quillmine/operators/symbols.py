@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -160,3 +160,16 @@ def scopes(symbols: DataFrame) -> DataFrame:
 
 def kind_alias(name: str) -> str:
     return KIND_ALIASES.get(name.lower(), name.lower())
+
+
+def language_features(spark: SparkSession) -> DataFrame:
+    """language, kind, by_line, by_span: what each language's symbols can be, by
+    line rules and by the table function."""
+    from ..functions.scanners import _RULES as spans
+
+    by_span = {lang: {k for k, *_ in rules} for lang, rules in spans.items()} | {"python": {"function", "class"}}
+    rows = []
+    for lang in sorted({*_RULES, *by_span}):
+        line = {k for k, _ in _RULES.get(lang, ())}
+        rows += [(lang, k, k in line, k in by_span.get(lang, set())) for k in sorted(line | by_span.get(lang, set()))]
+    return spark.createDataFrame(rows, "language string, kind string, by_line boolean, by_span boolean")

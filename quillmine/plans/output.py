@@ -122,6 +122,18 @@ def json_lines(matches: DataFrame) -> DataFrame:
     return matches.select("path", "line_no", "col_start", F.to_json(F.struct(*fields)).alias("value")).orderBy("path", "line_no", "col_start")
 
 
+def semantic_messages(matches: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Match messages with the symbol that begins at the match, where one does;
+    the field is left out where none does."""
+    known = symbols.select(
+        F.col("file_path").alias("path"), F.col("start_line").alias("line_no"), F.struct("name", "kind", "type", "signature", "scope", F.col("doc_string").alias("doc"), "modifiers").alias("semantic")
+    )
+    one = known.groupBy("path", "line_no").agg(F.min("semantic").alias("semantic"))
+    rows = matches.join(one, ["path", "line_no"], "left")
+    data = F.struct(_text(F.col("path")).alias("path"), _text(F.col("line")).alias("lines"), F.col("line_no").alias("line_number"), "col_start", "col_end", "semantic")
+    return rows.select("path", "line_no", "col_start", F.to_json(F.struct(F.lit("match").alias("type"), data.alias("data"))).alias("value")).orderBy("path", "line_no", "col_start")
+
+
 def json_lines_summary(matches: DataFrame) -> DataFrame:
     ext = F.regexp_extract("path", r"\.[^./]*\z", 0)
     by = matches.groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))

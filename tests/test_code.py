@@ -121,6 +121,20 @@ def test_hybrid(code):
     assert {r.origin for r in rows} == {"symbol", "text"} or len(rows) >= 1
 
 
+def test_semantic_messages_and_features(code, spark):
+    import json
+
+    from quillmine.operators.grep import GrepOptions, grep
+    from quillmine.operators.symbols import language_features
+    from quillmine.plans.output import semantic_messages
+
+    rows = [json.loads(r.value)["data"] for r in semantic_messages(grep(code.select("path", "content"), GrepOptions("Greet", one_per_line=True)), extract_symbols(code)).collect()]
+    assert [r.get("semantic", {}).get("kind") for r in rows if r["line_number"] == 5] == ["function"]
+    assert any("semantic" not in r for r in rows)
+    features = language_features(spark)
+    assert features.where("language = 'go' and by_line and by_span").count() == 7 and features.where("kind = 'enum'").count() >= 2
+
+
 def test_index_life(code, spark, tmp_path):
     files = code.select("path", F.col("content"), F.to_timestamp(F.lit("2024-01-01")).alias("mtime"))
     store = IndexStore(spark, f"file://{tmp_path}/ix")
