@@ -34,6 +34,15 @@ BITS, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
 PAD = 1 << BITS
 
 
+def codes(h: np.ndarray) -> np.ndarray:
+    """32 bits of each word's hash, from which both table rows come."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _rows(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (c >> np.uint32(32 - BITS)).astype(np.int32), (c & np.uint32((1 << BITS) - 1)).astype(np.int32)
+
+
 def _slots(h: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both table rows of each word, with padding after each text, and where each text starts."""
     n = len(limits) - 1
@@ -41,8 +50,7 @@ def _slots(h: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     at = np.arange(len(h)) + np.repeat(np.arange(n) * gap, np.diff(limits))
     one = np.full(len(h) + n * gap, PAD, dtype=np.int32)
     two = one.copy()
-    one[at] = (h >> np.uint64(64 - BITS)).astype(np.int32)
-    two[at] = (h & np.uint64((1 << BITS) - 1)).astype(np.int32)
+    one[at], two[at] = _rows(h)
     return one, two, limits[:-1] + np.arange(n) * gap
 
 
@@ -90,7 +98,7 @@ class TextCnn:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         *_, h, limits = words_of_texts(texts)
-        return _sigmoid(self.scale * self.logits(h, limits).astype(np.float64) + self.shift)
+        return _sigmoid(self.scale * self.logits(codes(h), limits).astype(np.float64) + self.shift)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -100,10 +108,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _log_odds(model: TextCnn, docs: list[np.ndarray], y: np.ndarray) -> None:
     """Begin dimension 0 with half of each row's log-odds, shrunken by its document count."""
     toxic = int(y.sum())
-    for table, at in zip(model.tables, (lambda h: h >> np.uint64(64 - BITS), lambda h: h & np.uint64((1 << BITS) - 1))):
+    for k, table in enumerate(model.tables):
         n = np.zeros((2, PAD))
-        for h, label in zip(docs, y):
-            n[label, np.unique(at(h)).astype(np.int64)] += 1
+        for c, label in zip(docs, y):
+            n[label, np.unique(_rows(c)[k])] += 1
         total = n.sum(axis=0)
         odds = np.log((n[1] + 1) / (toxic + 2)) - np.log((n[0] + 1) / (len(y) - toxic + 2))
         table[:PAD, 0] = 0.5 * odds * total / (total + 5)
@@ -156,11 +164,11 @@ def _step(model: TextCnn, h: np.ndarray, limits: np.ndarray, y: np.ndarray, stat
 def _batch(docs: list[np.ndarray], keep: float = 1.0, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
     if keep < 1:
         docs = [h[rng.random(len(h)) < keep] for h in docs]
-    return np.concatenate([np.empty(0, np.uint64), *docs]), np.cumsum([0, *map(len, docs)])
+    return np.concatenate([np.empty(0, np.uint32), *docs]), np.cumsum([0, *map(len, docs)])
 
 
-def train(docs: list[np.ndarray], labels: list[int], langs: list[str | None], epochs: int = 5, batch: int = 64, rate: float = 0.05, seed: int = 3) -> TextCnn:
-    """docs: the word hashes of each text."""
+def train(docs: list[np.ndarray], labels: list[int], langs: list[str | None], epochs: int = 10, batch: int = 64, rate: float = 0.05, seed: int = 3) -> TextCnn:
+    """docs: the words of each text, as codes()."""
     y = np.array(labels, dtype=np.int64)
     model = TextCnn.make(seed)
     if len(set(labels)) < 2:
@@ -211,7 +219,7 @@ def train(docs: list[np.ndarray], labels: list[int], langs: list[str | None], ep
     return model
 
 
-def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> TextCnn:
+def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> TextCnn:
     """A classifier from the labelled documents outside the held-out quarter."""
     bounded_batches(spark)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("y")).where("doc_id is not null and y is not null")
@@ -224,11 +232,12 @@ def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_ro
         for batch in batches:
             ids, y, lang, texts = (c.to_pylist() for c in batch.columns)
             *_, h, limits = words_of_texts(texts)
-            raw = [h[a:b].tobytes() for a, b in zip(limits, limits[1:])]
+            c = codes(h)
+            raw = [c[a:b].tobytes() for a, b in zip(limits, limits[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(lang, pa.string()), pa.array(raw, pa.binary())], names=["doc_id", "y", "lang", "h"])
 
     sample = rows.mapInArrow(lean(hashed), "doc_id long, y int, lang string, h binary").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")]).slice(0, max_rows)
-    return train([np.frombuffer(x, np.uint64) for x in sample.column("h").to_pylist()], [1 if v else 0 for v in sample.column("y").to_pylist()], sample.column("lang").to_pylist())
+    return train([np.frombuffer(x, np.uint32) for x in sample.column("h").to_pylist()], [1 if v else 0 for v in sample.column("y").to_pylist()], sample.column("lang").to_pylist())
 
 
 def held_out(id_col: str = "doc_id"):
