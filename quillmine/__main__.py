@@ -66,12 +66,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from .plans.index import IndexStore, status
     from .plans.output import render
     from .plans.search import find_calls, find_references, find_symbols, find_types
+    from .functions.shipping import ship
     from .sources.codetree import read_tree
 
     own = spark is None
     if own:
         spark = SparkSession.builder.master(f"local[{o.get('threads') or '*'}]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     try:
         tree = read_tree(spark, *o["paths"], hidden=bool(o.get("hidden")), respect_ignore=not o.get("no_ignore"), **({"max_depth": o["max_depth"]} if o.get("max_depth") is not None else {}))
         modes = ("symbols", "refs", "types_mode", "call_graph", "index_status", "index_clear", "rebuild_index")
