@@ -9,8 +9,13 @@ window, and an item has keys for windows that begin at several of its words. A
 common key proposes the item-sized window it implies, and the exact edit
 distance in words to the best-fitting part in and around it decides.
 
-The number of repetitions follows from the target recall: the chance that an
-item with edits at the limit shares no key is measured on the items themselves.
+The number of repetitions follows from the target recall, for each length of
+item: items with edits at the limit are put between other words, and repetitions
+are added until the target share of them meets one of its keys; all items have
+keys in as many as the most demanding length needs. Lengths that do
+not get there within ``MAX_REPETITIONS``
+are probed exhaustively instead: cut into one segment more than edits are
+allowed, at least one segment is unharmed, so looking all segments up misses none.
 
 Items are taken in blocks of bounded size, and only those reach the executors;
 documents are never shuffled.
@@ -24,8 +29,8 @@ each; an empty benchmark gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,10 @@ from .common import appended, bounded_batches, lean
 from .tokens import text_groups
 from .words import lowered, words_of, words_of_texts
 
+#: Words that a walk needs; shorter items take no part.
 MIN_WORDS = 8
+#: Walks a document is given at least and at most, and trials a length of item.
+MIN_REPETITIONS, MAX_REPETITIONS, TRIALS = 3, 4, 400
 #: Steps of a walk, sampled places of it, words between an item's windows.
 STEPS, SAMPLED, STRIDE = 14, 6, 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -108,6 +116,8 @@ class Block:
     """The keys of a block of items, sorted, with the item and the word that each begins at."""
 
     walks: Walks
+    repetitions: int
+    segments: list  # the lengths of segments that are looked up
     keys: np.ndarray
     item: np.ndarray
     offset: np.ndarray
@@ -124,56 +134,100 @@ def _symbol(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.uint16)
 
 
-def _symbols(text: str) -> tuple[np.ndarray, list[bytes]]:
+def _words(text: str) -> tuple[np.ndarray, list[bytes]]:
     raw = lowered(text)
     start, end, h = words_of(raw)
-    return _symbol(h), [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+    return h, [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
 def _offsets(n: int) -> range:
     return range(0, max(1, n - MIN_WORDS + 1), STRIDE)
 
 
-def missed(symbols: list[np.ndarray], rate: float, repetition: int, trials: int = 3) -> float:
-    """The share of items that one repetition fails to find when a part `rate` of
-    their words is replaced, dropped or followed by a new one."""
-    walks, rng = Walks.make(repetition + 1), np.random.default_rng(11)
-    fails, n = 0, 0
-    for s in symbols:
-        own = set(walks.keys(s, repetition)[list(_offsets(len(s)))].tolist())
-        for _ in range(trials):
-            edited = list(s)
-            for at in sorted(rng.choice(len(s), max(1, int(rate * len(s))), replace=False), reverse=True):
-                kind, new = rng.integers(0, 3), int(rng.integers(0, 1 << 16))
-                edited[at : at + 1] = [[new], [], [edited[at], new]][kind]
-            fails += not own & set(walks.keys(np.array(edited, np.uint16), repetition).tolist())
-            n += 1
-    return fails / max(n, 1)
-
-
-def repetitions_for(symbols: list[np.ndarray], rate: float, target: float, sample: int = 64) -> int:
-    """Repetitions that reach the target recall, with misses taken as independent;
-    measured on a sample of items of this size at most."""
-    chance = min(max(missed(symbols[:: max(1, len(symbols) // sample)][:sample], rate, 0), 0.02), 0.9)
-    return max(3, math.ceil(math.log(1 - target) / math.log(chance)))
+def edited(symbols: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The item with so many words replaced, dropped or followed by a new one,
+    between random words as in a document."""
+    out = [[s] for s in symbols.tolist()]
+    for at in rng.choice(len(out), edits, replace=False):
+        kind, new = rng.integers(0, 3), int(rng.integers(0, 1 << 16))
+        out[at] = [[new], [], [out[at][0], new]][kind]
+    around = rng.integers(0, 1 << 16, size=(2, 2 * STEPS)).tolist()
+    return np.array([*around[0], *(x for part in out for x in part), *around[1]], np.uint16)
+
+
+def repetitions_for(symbols: list[np.ndarray], rate: float, target: float, walks: Walks) -> int | None:
+    """Repetitions by which the target share of trials with items of one length is
+    found; None if the walks are too few."""
+    rng, found = np.random.default_rng(11), np.zeros(TRIALS, dtype=bool)
+    items = [symbols[t % len(symbols)] for t in range(TRIALS)]
+    texts = [edited(s, int(rate * len(s)), rng) for s in items]
+    for k in range(len(walks.places)):
+        for parts in range(0, TRIALS, 50):
+            some = range(parts, min(parts + 50, TRIALS))
+            # zeros keep the walks of one trial out of the next
+            gap = np.zeros(STEPS, np.uint16)
+            own = walks.keys(np.concatenate([x for t in some for x in (items[t], gap)]), k)
+            keys = walks.keys(np.concatenate([x for t in some for x in (texts[t], gap)]), k)
+            a = b = 0
+            for t in some:
+                n, m = len(items[t]), len(texts[t])
+                found[t] |= bool(np.isin(own[a : a + n][list(_offsets(n))], keys[b : b + m]).any())
+                a, b = a + n + STEPS, b + m + STEPS
+        if found.mean() >= target:
+            return k + 1
+    return None
+
+
+def _length_class(n: int) -> int:
+    """Items of like length share their trials: each length below 32, then steps of an eighth."""
+    return n if n < 32 else int(32 + 8 * np.log2(n / 32))
+
+
+def segments_of(n: int, edits: int) -> list[tuple[int, int]]:
+    """(first word, words) of edits + 1 segments, one of which no edits can harm."""
+    at = [i * n // (edits + 1) for i in range(edits + 2)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
+def segment_keys(h: np.ndarray, size: int) -> np.ndarray:
+    """The key of the segment of so many words that begins at each word."""
+    n = max(0, len(h) - size + 1)
+    out = np.full(n, MAX_REPETITIONS + size, dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ h[k : k + n]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def make_block(ids: list, texts: list, max_rate: float, target_recall: float) -> Block:
-    rows = [(i, *_symbols(t or "")) for i, t in zip(ids, texts)]
-    rows = [r for r in rows if len(r[1]) >= MIN_WORDS]
-    walks = Walks.make(repetitions_for([r[1] for r in rows], max_rate, target_recall))
+    rows = [(i, *_words(t or "")) for i, t in zip(ids, texts)]
+    rows = sorted((r for r in rows if len(r[1]) >= MIN_WORDS), key=lambda r: len(r[1]))
+    walks = Walks.make(MAX_REPETITIONS)
     keys, item, offset = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for n, (_, symbols, _) in enumerate(rows):
-        at = list(_offsets(len(symbols)))
-        for k in range(len(walks.places)):
-            keys.append(walks.keys(symbols, k)[at])
-            item.append(np.full(len(at), n))
-            offset.append(np.array(at))
+    segments: set[int] = set()
+    classes = [list(group) for _, group in groupby(rows, key=lambda r: _length_class(len(r[1])))]
+    enough = [repetitions_for([_symbol(r[1]) for r in c], max_rate, target_recall, walks) for c in classes]
+    repetitions = max([MIN_REPETITIONS, *filter(None, enough)]) if any(enough) else 0
+    n = -1
+    for group, walked in zip(classes, enough):
+        for _, h, _ in group:
+            n += 1
+            for k in range(repetitions if walked else 0):
+                at = list(_offsets(len(h)))
+                keys.append(walks.keys(_symbol(h), k)[at])
+                item.append(np.full(len(at), n))
+                offset.append(np.array(at))
+            for at, size in segments_of(len(h), int(max_rate * len(h))) if not walked else ():
+                segments.add(size)
+                keys.append(segment_keys(h[at : at + size], size))
+                item.append(np.array([n]))
+                offset.append(np.array([at]))
     keys, item, offset = (np.concatenate(x) for x in (keys, item, offset))
     order = np.argsort(keys, kind="stable")
     maybe = np.zeros(1 << _MAP_BITS, dtype=bool)
     maybe[keys >> np.uint64(64 - _MAP_BITS)] = True
-    return Block(walks, keys[order], item[order], offset[order], [r[0] for r in rows], [r[2] for r in rows], np.array([len(r[1]) for r in rows]), maybe)
+    lengths = np.array([len(r[1]) for r in rows])
+    return Block(walks, repetitions, sorted(segments), keys[order], item[order], offset[order], [r[0] for r in rows], [r[2] for r in rows], lengths, maybe)
 
 
 def search_group(block: Block, texts: list[str], max_rate: float) -> list[tuple[int, int, int, int, int]]:
@@ -183,8 +237,14 @@ def search_group(block: Block, texts: list[str], max_rate: float) -> list[tuple[
         return []
     symbols = _symbol(h)
     proposed = []
-    for k in range(len(block.walks.places)):
-        keys = block.walks.keys(symbols, k)
+
+    def looked_up():
+        for k in range(block.repetitions):
+            yield block.walks.keys(symbols, k)
+        for size in block.segments:
+            yield segment_keys(h, size)
+
+    for keys in looked_up():
         at = np.flatnonzero(block.maybe[keys >> np.uint64(64 - _MAP_BITS)])
         low, high = np.searchsorted(block.keys, keys[at], "left"), np.searchsorted(block.keys, keys[at], "right")
         times = high - low

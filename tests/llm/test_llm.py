@@ -248,6 +248,24 @@ def test_decontamination(spark, docs, none):
     assert find_contamination(spark, none, bench).count() == 0 and find_contamination(spark, frame, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [8, 10, 12, 15, 16, 24])
+def test_decontamination_recall_by_length(size):
+    from quillmine.llm.decontaminate import make_block, search_group
+
+    rng = random.Random(size)
+    vocabulary = ["w%d" % i for i in range(5000)]
+    items = [rng.choices(vocabulary, k=size) for _ in range(200)]
+    texts = []
+    for words in items:
+        words = [[w] for w in words]
+        for p in rng.sample(range(size), size // 5):
+            words[p] = rng.choice([["zz"], [], words[p] + ["yy"]])
+        texts.append(" ".join(rng.choices(vocabulary, k=40) + sum(words, []) + rng.choices(vocabulary, k=40)))
+    block = make_block(list(range(200)), [" ".join(x) for x in items], 0.2, 0.99)
+    found = {f[:2] for f in search_group(block, texts, 0.2)}
+    assert sum((i, i) in found for i in range(200)) >= 196
+
+
 def test_toxicity(spark, docs, none):
     from quillmine.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
