@@ -13,16 +13,17 @@ The number of repetitions follows from the target recall, for each length of
 item: items with edits at the limit are put between other words, and repetitions
 are added until the target share of them meets one of its keys; all items have
 keys in as many as the most demanding length needs. Lengths that do
-not get there within ``MAX_REPETITIONS``
-are probed exhaustively instead: cut into one segment more than edits are
+not get there within ``MAX_REPETITIONS``, and items of fewer than ``MIN_WORDS``
+words, are probed exhaustively instead: cut into one segment more than edits are
 allowed, at least one segment is unharmed, so looking all segments up misses none.
 
 Items are taken in blocks of bounded size, and only those reach the executors;
 documents are never shuffled.
 
 Cases: words are runs of letters and digits, lower-cased, so white space and
-punctuation do not count; null or empty documents and items match nothing; items
-of fewer than ``MIN_WORDS`` words are common phrases and take no part; equal
+punctuation do not count; each character of a script without spaces is a word;
+null or empty documents and items match nothing; items of few words take part
+like any other, so one of a single common word is found wherever it stands; equal
 items are reported under each of their ids; repeated documents are reported
 each; an empty benchmark gives no rows; other columns are ignored.
 """
@@ -41,7 +42,7 @@ from .common import appended, bounded_batches, lean
 from .tokens import text_groups
 from .words import lowered, words_of, words_of_texts
 
-#: Words that a walk needs; shorter items take no part.
+#: Words that a walk needs; shorter items are probed exhaustively.
 MIN_WORDS = 8
 #: Walks a document is given at least and at most, and trials a length of item.
 MIN_REPETITIONS, MAX_REPETITIONS, TRIALS = 3, 4, 400
@@ -136,7 +137,7 @@ def _symbol(h: np.ndarray) -> np.ndarray:
 
 def _words(text: str) -> tuple[np.ndarray, list[bytes]]:
     raw = lowered(text)
-    start, end, h = words_of(raw)
+    start, end, h = words_of(raw, split=True)
     return h, [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
@@ -201,12 +202,12 @@ def segment_keys(h: np.ndarray, size: int) -> np.ndarray:
 
 def make_block(ids: list, texts: list, max_rate: float, target_recall: float) -> Block:
     rows = [(i, *_words(t or "")) for i, t in zip(ids, texts)]
-    rows = sorted((r for r in rows if len(r[1]) >= MIN_WORDS), key=lambda r: len(r[1]))
+    rows = sorted((r for r in rows if len(r[1])), key=lambda r: len(r[1]))
     walks = Walks.make(MAX_REPETITIONS)
     keys, item, offset = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     segments: set[int] = set()
     classes = [list(group) for _, group in groupby(rows, key=lambda r: _length_class(len(r[1])))]
-    enough = [repetitions_for([_symbol(r[1]) for r in c], max_rate, target_recall, walks) for c in classes]
+    enough = [repetitions_for([_symbol(r[1]) for r in c], max_rate, target_recall, walks) if len(c[0][1]) >= MIN_WORDS else None for c in classes]
     repetitions = max([MIN_REPETITIONS, *filter(None, enough)]) if any(enough) else 0
     n = -1
     for group, walked in zip(classes, enough):
@@ -232,7 +233,7 @@ def make_block(ids: list, texts: list, max_rate: float, target_recall: float) ->
 
 def search_group(block: Block, texts: list[str], max_rate: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edit distance, first word, words) of the best place of each item in each text."""
-    raw, start, end, h, limits = words_of_texts(texts)
+    raw, start, end, h, limits = words_of_texts(texts, split=True)
     if not len(h):
         return []
     symbols = _symbol(h)

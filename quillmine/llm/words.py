@@ -1,7 +1,8 @@
 """Words of texts as 64-bit hashes, a whole group of texts at a time.
 
 A word is a run of letters and digits in lower case; every character outside
-ASCII counts as a letter.
+ASCII counts as a letter. Where asked for, each character of a script that is
+written without spaces is a word of its own.
 """
 
 from __future__ import annotations
@@ -25,11 +26,47 @@ def lowered(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
-def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, end and hash of each word of lower-cased UTF-8."""
+#: Code points of scripts written without spaces (Thai, Lao,
+#: Burmese, Khmer, kana, Han).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_CJK_MARKS = (0x3000, 0x303F)
+
+
+def _unspaced(code: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are of words, without marks like the ideographic full stop, and
+    the places before and after each character of a script without spaces."""
+    lead = np.flatnonzero(code >= 0xE0)
+    four = code[lead] >= 0xF0
+    size = np.where(four, 4, 3)
+    whole = lead + size <= len(code)
+    lead, four, size = lead[whole], four[whole], size[whole]
+    c = [code[lead + k].astype(np.int64) & 0x3F for k in range(3)]
+    point = np.where(four, (code[lead].astype(np.int64) & 7) << 18 | c[1] << 12 | c[2] << 6, (code[lead].astype(np.int64) & 15) << 12 | c[1] << 6 | c[2])
+    marks = lead[(point >= _CJK_MARKS[0]) & (point <= _CJK_MARKS[1])]
+    if len(marks):
+        letter = letter.copy()
+        letter[(marks[:, None] + np.arange(3)).ravel()] = False
+    own = np.zeros(len(lead), dtype=bool)
+    for low, high in UNSPACED:
+        own |= (point >= low) & (point <= high)
+    cut = np.zeros(len(code) + 1, dtype=bool)
+    cut[lead[own]] = True
+    cut[lead[own] + size[own]] = True
+    return letter, cut
+
+
+def words_of(raw: bytes, split: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and hash of each word of lower-cased UTF-8; split: characters of
+    scripts without spaces are words."""
     code = np.frombuffer(raw, np.uint8)
-    edge = np.diff(_WORD_BYTE[code].astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    letter = _WORD_BYTE[code]
+    if split and len(code) and code.max() >= 0xE0:
+        letter, cut = _unspaced(code, letter)
+        here, before = np.append(letter, False), np.insert(letter, 0, False)
+        start, end = np.flatnonzero(here & (~before | cut)), np.flatnonzero(before & (~here | cut))
+    else:
+        edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(code) + 1, dtype=np.uint64)
     np.cumsum((code.astype(np.uint64) + np.uint64(1)) * _power("up", len(code)), out=total[1:])
     h = (total[end] - total[start]) * _power("down", len(code) + 1)[start]
@@ -38,11 +75,11 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, h ^ (h >> np.uint64(29))
 
 
-def words_of_texts(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of_texts(texts: list[str | None], split: bool = False) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The joined bytes, start, end and hash of each word, and where the words of
     each text begin, and end, in those."""
     raws = [lowered(t) for t in texts]
     raw = b"\n".join(raws)
-    start, end, h = words_of(raw)
+    start, end, h = words_of(raw, split)
     limits = np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raws)]))
     return raw, start, end, h, limits

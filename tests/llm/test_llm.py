@@ -266,6 +266,17 @@ def test_decontamination_recall_by_length(size):
     assert sum((i, i) in found for i in range(200)) >= 196
 
 
+def test_decontamination_of_short_and_unspaced_items(spark):
+    from quillmine.llm.decontaminate import find_contamination, without_contaminated
+
+    items = [(1, "Forty-two!"), (2, "capital of northern france"), (3, "which river runs through vienna"), (4, "日本で一番高い山は何ですか"), (5, "---")]
+    texts = [(10, "a b forty two c"), (11, "the capital of northern France is"), (12, "which big river runs through Vienna"), (13, "問い：日本で一番高い山はどこですか。"), (14, "capital of southern france; forty; 日本の山"), (15, None)]
+    frame, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edit_distance) for r in find_contamination(spark, frame, bench, 0.2).collect()}
+    assert got == {(10, 1, 0), (11, 2, 0), (12, 3, 1), (13, 4, 2)}
+    assert sorted(r.doc_id for r in without_contaminated(spark, frame, bench).collect()) == [14, 15]
+
+
 def test_toxicity(spark, docs, none):
     from quillmine.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
