@@ -18,9 +18,6 @@ from quillmine.llm.packing import pack
 from quillmine.llm.simhash import near_duplicates
 from quillmine.llm.toxicity import fit_toxicity, with_scores
 
-#: A document that loses this share of its letters to line dedup is a copy.
-COPY_SHARE = 0.8
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects at the threshold of their language go."""
@@ -30,9 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that another document, or an earlier line, has already go; so do
-    documents of which next to nothing is left."""
-    done = dedup_lines(spark, docs.withColumn("_length", F.char_length("text")))
-    done = done.where((F.col("n_removed") == 0) | (F.char_length(F.trim("text")) > (1 - COPY_SHARE) * F.col("_length")))
+    documents that lose all their text by it. Whoever keeps a line stays: whether
+    it is a copy is for the next stage to tell."""
+    done = dedup_lines(spark, docs)
+    done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -367,6 +367,16 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[2000 + i] == 1000 for i in range(50))
 
 
+def test_line_stage_keeps_lines_of_its_own(spark):
+    import corpus_pipeline
+
+    shared = [f"passage number {i} that several documents have in common, word for word {i * i}" for i in range(12)]
+    rows = [(1, "\n".join(shared[:6])), (2, "\n".join(shared[6:])), (3, "\n".join([*shared, "a closing remark that no other document has"])), (4, "\n".join(shared[:6])), (5, None), (6, "")]
+    frame = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.drop_repeated_lines(spark, frame, SF).collect()}
+    assert set(got) == {1, 2, 3, 5, 6} and got[3].text.strip() == "a closing remark that no other document has" and got[3].n_chars == len(got[3].text)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
