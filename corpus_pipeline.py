@@ -15,7 +15,7 @@ from quillmine.llm.common import table, written
 from quillmine.llm.decontaminate import without_contaminated
 from quillmine.llm.line_dedup import dedup_lines
 from quillmine.llm.packing import pack
-from quillmine.llm.simhash import near_duplicates
+from quillmine.llm.simhash import first_of_near_copies
 from quillmine.llm.toxicity import fit_toxicity, with_scores
 
 
@@ -35,10 +35,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links, the one with the smallest id stays."""
-    linked = near_duplicates(spark, docs.select("doc_id", "text"))
-    others = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(others, docs["doc_id"].eqNullSafe(others["doc_id"]), "left_anti")
+    """Of rows that SimHash links, one stays: the one with the smallest id and, of
+    equal ids, the smallest text hash; a missing id comes last."""
+    return first_of_near_copies(spark, docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,3 +192,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, seed:
     fps = written(spark, fingerprints(docs, words, seed, id_col, text_col), "simhash-fps")
     linked = link_components(spark, fps, max_bits)
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_near_copies(spark: SparkSession, docs: DataFrame, words: int = 4, seed: int = 42, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component. A row is known by its id and the hash of
+    its text, so missing and repeated ids touch no other row; rows equal in both
+    are one."""
+    keyed = fingerprints(docs.withColumn("_tkey", F.xxhash64(text_col)), words, seed, "_tkey", text_col)
+    # equal texts have equal fingerprints
+    prints = written(spark, keyed.select(F.col("doc_id").alias("tkey"), "fp").distinct(), "simhash-texts", slim=True)
+    linked = link_components(spark, prints.select(F.col("fp").alias("doc_id"), "fp").distinct(), max_bits)
+    components = prints.join(linked.select("fp", F.col("component_id").alias("c")), "fp").select("tkey", "c")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey")).groupBy("id", "tkey").count()
+    rows = written(spark, rows.join(components, "tkey"), "simhash-rows", slim=True)
+    firsts = rows.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "tkey")).alias("first"))
+    ranked = rows.join(firsts, "c").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tkey") == F.col("first.tkey")))
+    ranked = written(spark, ranked.select("id", "tkey", "count", "stays").where("not stays or count > 1"), "simhash-ranked", slim=True)
+
+    def matched(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        same = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("o.id")) & (F.xxhash64(f"d.{text_col}") == F.col("o.tkey"))
+        return rows.alias("d").join(some.select("id", "tkey").alias("o"), same, how)
+
+    repeats = ranked.where("stays")
+    if repeats.isEmpty():
+        return matched(docs, ranked, "left_anti")
+    again = matched(docs, repeats, "left_semi").withColumns({"_id": F.col(id_col).cast("long"), "_tkey": F.xxhash64(text_col)}).dropDuplicates(["_id", "_tkey"]).drop("_id", "_tkey")
+    return matched(docs, ranked, "left_anti").unionByName(again)

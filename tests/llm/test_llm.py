@@ -377,6 +377,17 @@ def test_line_stage_keeps_lines_of_its_own(spark):
     assert set(got) == {1, 2, 3, 5, 6} and got[3].text.strip() == "a closing remark that no other document has" and got[3].n_chars == len(got[3].text)
 
 
+def test_near_copies_with_missing_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(4))
+    rows = [(1, a, 0), (None, a, 1), (None, b, 2), (7, c, 3), (7, a, 4), (8, d, 5), (8, d, 6), (9, d, 7), (None, b, 8)]
+    got = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), SF)
+    assert got.columns == ["doc_id", "text", "n_chars"]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, a), (None, b), (7, c), (8, d)]))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
