@@ -19,6 +19,7 @@ are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,28 @@ from .tokens import text_groups
 from .words import lowered, words_of, words_of_texts
 
 SHINGLE, WINDOW = 3, 2
+#: Words from which a template is aligned by long integers.
+LONG = 120
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: Notices by which works are licensed.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. {third}"
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "{what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+    "the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
+
+#: Notices by which works are licensed; license_texts has whole licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
@@ -48,30 +68,48 @@ TEMPLATES = {
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution."
+    "BSD-2-Clause": _BSD.format(third=""),
+    "BSD-3-Clause": _BSD.format(
+        third="Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. "
     ),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        'above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL '
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-header": _GNU.format(what="This program", name="General Public License", version="3"),
+    "GPL-2.0-header": _GNU.format(what="This program", name="General Public License", version="2"),
+    "LGPL-3.0-header": _GNU.format(what="This library", name="Lesser General Public License", version="3"),
+    "LGPL-2.1-header": _GNU.format(what="This library", name="Lesser General Public License", version="2.1"),
+    "AGPL-3.0-header": _GNU.format(what="This program", name="Affero General Public License", version="3"),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "all-rights-reserved": "All rights reserved.",
 }
 
 
+def default_templates() -> dict[str, str]:
+    """TEMPLATES and the whole texts, by file name, of license_texts."""
+    whole = {f.name.removesuffix(".txt") + "-text": f.read_text("utf-8") for f in (files(__package__) / "license_texts").iterdir() if f.name.endswith(".txt")}
+    return TEMPLATES | dict(sorted(whole.items()))
+
+
 @dataclass(frozen=True)
 class Index:
     names: list[str]
     words: list[list[bytes]]
+    counts: list[tuple[np.ndarray, np.ndarray]]  # hashes of a template's words, sorted, and how often it has each
     keys: np.ndarray  # sorted
     template: np.ndarray
     place: np.ndarray
@@ -87,7 +125,7 @@ def shingles(h: np.ndarray) -> np.ndarray:
 
 
 def make_index(templates: dict[str, str]) -> Index:
-    names, words, keys, owner, place = [], [], [], [], []
+    names, words, counts, keys, owner, place = [], [], [], [], [], []
     for t, (name, text) in enumerate(templates.items()):
         raw = lowered(text)
         start, end, h = words_of(raw)
@@ -96,13 +134,14 @@ def make_index(templates: dict[str, str]) -> Index:
         grams = shingles(h)
         kept = {i + int(np.argmin(grams[i : i + WINDOW])) for i in range(max(1, len(grams) - WINDOW + 1))}
         names.append(name)
+        counts.append(np.unique(h, return_counts=True))
         words.append([raw[a:b] for a, b in zip(start.tolist(), end.tolist())])
         for i in sorted(kept):
             keys.append(grams[i])
             owner.append(t)
             place.append(i)
     order = np.argsort(np.array(keys, np.uint64), kind="stable")
-    return Index(names, words, np.array(keys, np.uint64)[order], np.array(owner)[order], np.array(place)[order])
+    return Index(names, words, counts, np.array(keys, np.uint64)[order], np.array(owner)[order], np.array(place)[order])
 
 
 def banded_alignment(template: list[bytes], text: list[bytes], centre: int, band: int) -> tuple[int, int, int]:
@@ -132,6 +171,30 @@ def banded_alignment(template: list[bytes], text: list[bytes], centre: int, band
     return max(prev, key=lambda s: (s[0], s[1] - s[2]))
 
 
+def _common(template: list[bytes], text: list[bytes]) -> tuple[int, int]:
+    """Most template words matched in order with the text's, and the first place
+    in the text by which they are: a row of the table is one long integer."""
+    bits: dict[bytes, int] = {}
+    for i, word in enumerate(template):
+        bits[word] = bits.get(word, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    state, most, end = full, 0, 0
+    for j, word in enumerate(text):
+        if m := bits.get(word):
+            u = state & m
+            state = (state + u | state - u) & full
+            if (matched := len(template) - state.bit_count()) > most:
+                most, end = matched, j + 1
+    return most, end
+
+
+def whole_alignment(template: list[bytes], text: list[bytes]) -> tuple[int, int, int]:
+    """As banded_alignment, without a band, for long templates."""
+    matched, end = _common(template, text)
+    _, length = _common(template[::-1], text[:end][::-1])
+    return matched, end - length, end
+
+
 def scan_group(index: Index, texts: list[str | None], min_coverage: float) -> list[tuple[int, int, float, int, int, int, int]]:
     """(text, template, coverage, first word, words, first byte, bytes) of each match; bytes of the lower-cased UTF-8."""
     raw, start, end, h, limits = words_of_texts(texts)
@@ -142,7 +205,7 @@ def scan_group(index: Index, texts: list[str | None], min_coverage: float) -> li
         return []
     offset = np.cumsum([0, *(len(lowered(t)) + 1 for t in texts)])
     found: dict[int, list] = {}
-    done: dict[tuple[int, int], int] = {}
+    done: dict[tuple[int, int, int], int] = {}
     owner = np.searchsorted(limits, at, "right") - 1
     for p, text in zip(at.tolist(), owner.tolist()):
         k = int(low[p])
@@ -151,17 +214,25 @@ def scan_group(index: Index, texts: list[str | None], min_coverage: float) -> li
             k += 1
             words = index.words[t]
             band = max(2, len(words) // 5)
-            if diagonal < done.get((text, t), -(1 << 60)) + band:
-                continue  # an alignment from here on has seen this diagonal
-            done[text, t] = diagonal
+            near = diagonal // band
+            if any(abs(diagonal - done.get((text, t, n), 1 << 60)) < band for n in (near - 1, near, near + 1)):
+                continue  # an alignment close by has seen this diagonal
+            done[text, t, near] = diagonal
             a, b = max(int(limits[text]), diagonal - band), min(int(limits[text + 1]), diagonal + len(words) + band)
+            # words that the place has at all, in any order, are no fewer than those in order
+            known, count = index.counts[t]
+            here = np.minimum(np.searchsorted(known, h[a:b]), len(known) - 1)
+            here = np.bincount(here[known[here] == h[a:b]], minlength=len(known))
+            if np.minimum(here, count).sum() < min_coverage * len(words):
+                continue
             place = [raw[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())]
-            matched, first, last = banded_alignment(words, place, diagonal - a, band)
+            matched, first, last = banded_alignment(words, place, diagonal - a, band) if len(words) <= LONG else whole_alignment(words, place)
             if matched >= min_coverage * len(words):
                 found.setdefault(text, []).append((t, matched / len(words), a + first, a + last, matched))
     out = []
     for text, matches in sorted(found.items()):
-        matches.sort(key=lambda m: (-m[4], -m[1], m[2], m[0]))
+        # of a license and a longer one that holds most of it, the one with fewer words missing
+        matches.sort(key=lambda m: (len(index.words[m[0]]) - 2 * m[4], -m[1], m[2], m[0]))
         taken: list[tuple] = []
         for m in matches:
             if all(m[3] <= x[2] or m[2] >= x[3] for x in taken):
@@ -176,7 +247,7 @@ def scan_licenses(
 ) -> DataFrame:
     """doc_id, license, coverage, first_word, n_words, first_byte, n_bytes of each
     notice found; places are those in the lower-cased text."""
-    shared = spark.sparkContext.broadcast(make_index(templates or TEMPLATES))  # the templates' size
+    shared = spark.sparkContext.broadcast(make_index(templates or default_templates()))  # the templates' size
 
     def scan(batches):
         for batch in batches:

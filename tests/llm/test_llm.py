@@ -337,6 +337,20 @@ def test_licenses(spark, docs, none):
     assert scan_licenses(spark, none).count() == 0 and scan_licenses(spark, docs).count() >= 0
 
 
+def test_whole_licenses(spark):
+    from quillmine.llm.licenses import default_templates, scan_licenses
+
+    whole = default_templates()
+    assert {"MIT-text", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0-text", "GPL-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "LGPL-3.0-text", "MPL-2.0-text", "Unlicense-text"} <= set(whole)
+    names = sorted(n for n in whole if len(whole[n].split()) > 90)
+    rows = [(i, "some words of the software before it\n" + whole[n] + "\nand of the license after") for i, n in enumerate(names)]
+    got = scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.coverage) for r in got) == [(i, n, 1.0) for i, n in enumerate(names)]
+    assert all(r.first_word == 7 for r in got)
+    mit = next(r for r in got if r.license == "MIT-text")
+    assert rows[mit.doc_id][1][mit.first_byte : mit.first_byte + mit.n_bytes].endswith("DEALINGS IN THE SOFTWARE")
+
+
 ARTICLE = "<article><h1>T{i}</h1><p>First {i} &amp; more<br>text</p><p>Second   {i}\n line</article>"
 DIVS = (
     "<div class='top'><span>Site name</span><ul><li><a href=/a>Home</a><li><a href=/b>About</a></ul></div><div id=c{i}><div><h2>Head {i}</h2><p>Body {i} of the page with words {i}{i}</p><p>Share this page</p>"
