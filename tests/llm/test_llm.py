@@ -373,6 +373,17 @@ def test_wrapper(spark):
     assert got[305].text == "always the same" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_wrapper_slots_choose_on_small_hosts(spark):
+    from quillmine.llm.wrapper import extract_pages
+
+    body = "<div><p>Site of the town</p><p>All the news</p></div><article><p>Welcome to us</p></article><div><div><h2>Head {i}</h2><p>First text {i} of this page</p><p>Sent by our desk</p><p>Second text {i} of it</p></div></div>"
+    inner = "<article><h1>T{i}</h1><p>Body {i} of an article {i}</p><p>Read it in the app</p><p>Rest {i} of that article</p></article>"
+    rows = [(i, f"http://a.example/{i}", body.format(i=i)) for i in range(2)] + [(10 + i, f"http://b.example/{i}", inner.format(i=i)) for i in range(3)]
+    got = {r.page_id: r.text for r in extract_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Head 1\nFirst text 1 of this page\nSecond text 1 of it"
+    assert got[12] == "T2\nBody 2 of an article 2\nRest 2 of that article"
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     from quillmine.llm.common import component_labels
 
