@@ -384,6 +384,20 @@ def test_wrapper_slots_choose_on_small_hosts(spark):
     assert got[12] == "T2\nBody 2 of an article 2\nRest 2 of that article"
 
 
+def test_wrapper_with_odd_pages_and_layouts(spark):
+    from quillmine.llm.wrapper import extract_pages
+
+    page = "<article><h1>T{i}</h1><p>Body {i} of an article {i}, long enough</p><p>{note}</p><p>Rest {i} of that article</p></article>"
+    other = "<main><section><h2>S{i}</h2><div>Story {i} of another kind {i}</div><div>Our other notice for all</div></section></main>"
+    rows = [(i, f"http://a.example/{i}", page.format(i=i, note="Printed in 2023" if i == 5 else "Printed in 2024")) for i in range(30)]
+    rows += [(100 + i, f"http://a.example/x{i}", other.format(i=i)) for i in range(10)]
+    got = {r.page_id: r.text for r in extract_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == f"T{i}\nBody {i} of an article {i}, long enough\nRest {i} of that article"
+    for i in range(10):
+        assert got[100 + i] == f"S{i}\nStory {i} of another kind {i}"
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     from quillmine.llm.common import component_labels
 
