@@ -91,17 +91,21 @@ def call_graph(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     return defined.unionByName(called).dropDuplicates(["file_path", "line", "role"])
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 20) -> DataFrame:
-    """id, hops: everything the ids of start(id) reach over edges(src_id, dst_id).
-    Breadth first: only ids that are new go on, so cycles end and no path is
-    walked twice."""
+def reachable(edges: DataFrame, start: DataFrame, max_hops: int | None = None, safety: int = 10_000) -> DataFrame:
+    """id, hops: everything the ids of start(id) reach over edges(src_id, dst_id),
+    or what they reach in max_hops where the caller asks for so many. Breadth first:
+    only ids that are new go on, so cycles end and no path is walked twice. Paths
+    of over `safety` hops are an error, as the result would not be whole."""
     links = cut(edges.select("src_id", "dst_id").distinct())
     front = start.select("id").distinct().withColumn("hops", F.lit(0))
-    found = front
-    for hop in range(1, max_hops + 1):
+    found, hop = front, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = front.join(links, F.col("id") == F.col("src_id")).select(F.col("dst_id").alias("id")).distinct()
         front = cut(step.join(found.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        found = found.unionByName(front)
+        if hop > safety:
+            raise RuntimeError(f"more than {safety} hops")
+        found = cut(found.unionByName(front))
     return found

@@ -177,3 +177,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"name": "Greet"' in capsys.readouterr().out
     assert main(["--json", "User", str(tmp_path)], spark=spark) == 0
     assert '"type":"begin"' in capsys.readouterr().out
+
+
+def test_reachable_goes_to_the_end(spark):
+    from quillmine.operators.refs import reachable
+
+    ring = spark.createDataFrame([(f"f{i}", f"f{(i + 1) % 25}") for i in range(25)], "src_id string, dst_id string")
+    start = spark.createDataFrame([("f3",)], "id string")
+    assert {(r.id, r.hops) for r in reachable(ring, start).collect()} == {(f"f{(3 + i) % 25}", i) for i in range(25)}
+    assert reachable(ring, start, max_hops=6).count() == 7
+    with pytest.raises(RuntimeError):
+        reachable(ring, start, safety=10)
