@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bounded_batches, dropped, lean, written
-from .tokens import text_groups, token_ids
+from .tokens import text_groups, token_ids, with_end
 
 _PIECE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -43,19 +43,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 
     def cut(batches):
         lib = token_ids(tokenizer)
-        end = np.array([end_id], dtype=lib.dtype).tobytes()
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in text_groups(texts):
-                rows = []
-                for doc, raw in zip(ids[a:b], lib.encode(texts[a:b])):
-                    wide = np.frombuffer(raw + end, dtype=lib.dtype).astype("<u4")
-                    for k, at in enumerate(range(0, len(wide), capacity)):
-                        part = wide[at : at + capacity]
-                        rows.append((uid, doc, k, at, len(part), zlib.crc32(part.tobytes())))
-                        uid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
+                ids, limits = with_end(lib.encode(texts[a:b]), end_id, np.dtype("<u4"))
+                size = np.diff(limits)
+                pieces = -(-size // capacity)
+                doc = np.repeat(np.arange(b - a), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                at, raw = 4 * (limits[doc] + start), memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(at.tolist(), (at + 4 * length).tolist())]
+                names = batch.column(0).slice(a, b - a).take(pa.array(doc))
+                columns = [np.arange(uid, uid + len(doc)), names, piece, start, length, crc]
+                uid += len(doc)
+                yield pa.RecordBatch.from_arrays([c if f.name == "doc_id" else pa.array(c, f.type) for c, f in zip(columns, _PIECE)], schema=_PIECE)
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -67,9 +71,10 @@ def _histogram(df: DataFrame, col: str) -> dict[int, int]:
     return {r[0]: r[1] for r in df.groupBy(col).count().collect()}
 
 
-def best_fit(spark: SparkSession, pieces: DataFrame, capacity: int, salts: int = 16) -> DataFrame:
+def best_fit(spark: SparkSession, pieces: DataFrame, capacity: int, part_rows: int = 500_000) -> DataFrame:
     """pieces(uid, length) -> uid, sequence_id, round, slot: the order of a
-    sequence's pieces is that of (round, slot)."""
+    sequence's pieces is that of (round, slot). A size that has more than part_rows
+    rows is ranked in several parts."""
     whole = pieces.where(F.col("length") > capacity // 2)
     placed = [whole.select("uid", "length", F.col("uid").alias("sequence_id"), F.lit(0).alias("round"), F.lit(0).alias("slot"))]
     todo = pieces.where(F.col("length") <= capacity // 2).select("uid", "length")
@@ -109,15 +114,18 @@ def best_fit(spark: SparkSession, pieces: DataFrame, capacity: int, salts: int =
             offered[last] = offered.get(last, 0) + n
         base, level = [], 0
         for s in sorted({*offered, *left}, reverse=True):
-            base.append((s, level, level + offered.get(s, 0)))
+            base.append((s, level, level + offered.get(s, 0), 1 + offered.get(s, 0) // part_rows, 1 + left.get(s, 0) // part_rows))
             level += offered.get(s, 0) - left.get(s, 0)
-        bases = F.broadcast(spark.createDataFrame(base, "size long, low long, high long"))  # a row per size: no more than the capacity
-        events = events.withColumn("salt", F.pmod(F.xxhash64("who", "slot"), F.lit(salts)).cast("int"))
+        bases = F.broadcast(spark.createDataFrame(base, "size long, low long, high long, gap_parts long, piece_parts long"))  # a row per size: no more than the capacity
+        events = events.join(bases, "size")
+        parts = F.when(F.col("kind") == 0, F.col("gap_parts")).otherwise(F.col("piece_parts"))
+        events = events.withColumn("salt", F.pmod(F.xxhash64("who", "slot"), parts).cast("int")).drop("gap_parts", "piece_parts")
         part = events.groupBy("size", "kind", "salt").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("size", "kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         part = part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
         rank = F.row_number().over(Window.partitionBy("size", "kind", "salt").orderBy("who", "slot"))
-        events = events.withColumn("rank", rank).join(F.broadcast(part), ["size", "kind", "salt"]).join(bases, "size")  # part: 2 x salts rows for a size at most
+        # part: two rows for a size, and one for each part_rows rows
+        events = events.withColumn("rank", rank).join(F.broadcast(part), ["size", "kind", "salt"])
         at = F.when(F.col("kind") == 0, F.col("low") + F.col("before") + F.col("rank")).otherwise(F.col("high") - F.col("before") - F.col("rank") + 1)
         line = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
         seen = events.select(at.alias("level"), "size", "kind", "who", "slot", "gap").select(

@@ -5,34 +5,39 @@ becomes one shard of three files: ``.bin`` (ids, 16 bits where the vocabulary
 fits, else 32, little-endian), ``.idx`` (uint64: where each document starts in
 the shard, and the end) and ``.doc`` (int64 document ids). A shard's place in
 the whole corpus is the prefix sum of the sizes of the shards before it, kept
-in the manifest. ``read_token_files`` maps the files and cuts documents out.
+in the manifest, which is stored beside the shards as ``manifest.json``.
+``read_token_files`` maps the files and cuts documents out.
 
 A task that runs twice writes under another name, and only names in the
 manifest count, so lost executors leave stray files at worst.
 
 Cases: null text counts as empty; an empty document holds the end id alone; a
 null id sorts first and reads back as null; rows with the same id are all kept,
-in the order of their text; an empty table gives a manifest without shards;
-other columns are ignored.
+in the order of their text's hash, and may be in several shards; long texts are
+tokenised in parts and written whole; an empty table gives a manifest without
+shards; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, new_path, shuffle_partitions
+from .common import bounded_batches, lean, new_path, read_text, remove_path, shuffle_partitions, write_text
 from .sharedfs import open_array, open_output
-from .tokens import text_groups, token_ids
+from .tokens import text_groups, token_ids, with_end
 
 #: Stands for a null id in a .doc file.
 _NO_ID = -(1 << 63)
+#: Documents, and ids, that are read at once.
+READ_DOCS, READ_IDS = 4096, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -47,9 +52,22 @@ class Shard:
 @dataclass(frozen=True)
 class Manifest:
     dtype: str
+    folder: str
     shards: tuple[Shard, ...]
 
 
+def read_manifest(spark: SparkSession, folder: str) -> Manifest:
+    """That of the token files in a folder, written by whatever driver."""
+    held = json.loads(read_text(spark, f"{folder}/manifest.json"))
+    return Manifest(held["dtype"], folder, tuple(Shard(**x | {"uri": f"{folder}/{x['uri']}"}) for x in held["shards"]))
+
+
+def _store(spark: SparkSession, manifest: Manifest) -> None:
+    """Shards are named relative to the folder, so that it can be moved."""
+    shards = [asdict(x) | {"uri": x.uri.rsplit("/", 1)[1]} for x in manifest.shards]
+    write_text(spark, f"{manifest.folder}/manifest.json", json.dumps({"dtype": manifest.dtype, "shards": shards}))
+
+
 def write_token_files(
     spark: SparkSession,
     docs: DataFrame,
@@ -67,43 +85,47 @@ def write_token_files(
 
     def write(batches):
         lib = token_ids(tokenizer)
-        end = np.array([end_id], dtype=lib.dtype).tobytes()
-        uri, n_docs, at = f"{folder}/{uuid.uuid4().hex}", 0, 0
-        first = None
-        files = []
+        uri, n_docs, at, first, files = f"{folder}/{uuid.uuid4().hex}", 0, 0, None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             if not files:
                 files = [open_output(f"{uri}.{x}") for x in ("bin", "idx", "doc")]
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
+                first = batch.slice(0, 1).to_pylist()[0]
+            names = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype("<i8")
+            texts = batch.column(2).to_pylist()
             for a, b in text_groups(texts):
-                held = [x + end for x in lib.encode(texts[a:b])]
-                starts = at + np.cumsum([0, *map(len, held)], dtype=np.uint64) // lib.dtype.itemsize
-                files[0].write(b"".join(held))
-                files[1].write(starts[:-1].astype("<u8").tobytes())
-                files[2].write(np.array([_NO_ID if x is None else x for x in ids[a:b]], dtype="<i8").tobytes())
-                at = int(starts[-1])
+                ids, limits = with_end(lib.encode(texts[a:b]), end_id, lib.dtype)
+                files[0].write(ids.tobytes())
+                files[1].write((at + limits[:-1]).astype("<u8").tobytes())
+                files[2].write(names[a:b].tobytes())
+                at += len(ids)
             n_docs += batch.num_rows
-            first = ids[0] if first is None and n_docs == batch.num_rows else first
         if files:
             files[1].write(np.array([at], dtype="<u8").tobytes())
             for f in files:
                 f.close()
-            yield pa.RecordBatch.from_pydict({"uri": [uri], "first": [first], "n_docs": [n_docs], "n_tokens": [at]}, schema=_SHARD)
+            yield pa.RecordBatch.from_pydict({"uri": [uri], "first": [first["id"]], "salt": [first["salt"]], "n_docs": [n_docs], "n_tokens": [at]}, schema=_SHARD)
 
-    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
-    made = dealt.mapInArrow(lean(write), "uri string, first long, n_docs long, n_tokens long").collect()  # a row per shard
-    made.sort(key=lambda r: (r.first is not None, r.first or 0))
+    # rows without an id, or with the same one, are dealt by their text
+    rows = rows.withColumn("salt", F.xxhash64("text")).select("id", "salt", "text")
+    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), "id", "salt").sortWithinPartitions("id", "salt", "text")
+    made = dealt.mapInArrow(lean(write), "uri string, first long, salt long, n_docs long, n_tokens long").collect()  # a row per shard
+    made.sort(key=lambda r: (r.first is not None, r.first or 0, r.salt))
     out, tokens, seen = [], 0, 0
     for r in made:
         out.append(Shard(r.uri, r.n_docs, r.n_tokens, tokens, seen))
         tokens, seen = tokens + r.n_tokens, seen + r.n_docs
-    return Manifest(dtype, tuple(out))
+    manifest = Manifest(dtype, folder, tuple(out))
+    _store(spark, manifest)
+    return manifest
+
+
+def remove_token_files(spark: SparkSession, manifest: Manifest) -> None:
+    remove_path(spark, manifest.folder)
 
 
-_SHARD = pa.schema([("uri", pa.string()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+_SHARD = pa.schema([("uri", pa.string()), ("first", pa.int64()), ("salt", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def read_token_files(spark: SparkSession, manifest: Manifest, with_ids: bool = False) -> DataFrame:
@@ -119,19 +141,25 @@ def read_token_files(spark: SparkSession, manifest: Manifest, with_ids: bool = F
                 ids = open_array(f"{s.uri}.bin", dtype)
                 starts = open_array(f"{s.uri}.idx", np.dtype("<u8"))
                 names = open_array(f"{s.uri}.doc", np.dtype("<i8"))
-                for a in range(0, s.n_docs, 4096):
-                    b = min(a + 4096, s.n_docs)
-                    edge = np.asarray(starts[a : b + 1]).tolist()
-                    wide = [np.asarray(ids[x:y]).astype("<u4").tobytes() for x, y in zip(edge, edge[1:])]
+                a = 0
+                while a < s.n_docs:
+                    edge = np.asarray(starts[a : min(a + READ_DOCS, s.n_docs) + 1]).astype(np.int64)
+                    # as many of these documents as READ_IDS allows, one at least
+                    b = a + max(1, int(np.searchsorted(edge, edge[0] + READ_IDS, "right")) - 1)
+                    edge = edge[: b - a + 1]
+                    wide = np.asarray(ids[int(edge[0]) : int(edge[-1])]).astype("<u4")
+                    raw, at = memoryview(wide).cast("B"), (4 * (edge - edge[0])).tolist()
+                    doc = np.asarray(names[a:b])
                     cols = {
-                        "doc_id": pa.array([None if x == _NO_ID else x for x in np.asarray(names[a:b]).tolist()], pa.int64()),
-                        "start": pa.array([s.first_token + x for x in edge[:-1]], pa.int64()),
-                        "n_tokens": pa.array([y - x for x, y in zip(edge, edge[1:])], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x) for x in wide], pa.int64()),
+                        "doc_id": pa.array(doc, pa.int64(), mask=doc == _NO_ID),
+                        "start": pa.array(s.first_token + edge[:-1]),
+                        "n_tokens": pa.array(np.diff(edge)),
+                        "ids_crc32": pa.array([zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:])], pa.int64()),
                     }
                     if with_ids:
-                        cols["ids"] = pa.array(wide, pa.binary())
+                        cols["ids"] = pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())
                     yield pa.RecordBatch.from_pydict(cols)
+                    a = b
 
     n = max(1, len(shards))
     return spark.range(0, len(shards), 1, n).mapInArrow(read, schema)
