@@ -6,12 +6,16 @@ as long as it is still adjacent, and the pairs with the new neighbours are
 pushed. The count is the initial symbols minus the merges; no ids are made.
 
 Works for byte-level BPE vocabularies in the ``tokenizers`` format. Pre-tokens
-repeat, so each worker keeps the counts of those it has met in two bounded
-generations. Special strings inside a text count as one token, as the library's
-default has it.
-
-Cases: null text counts as empty; an empty text has no bytes and no tokens;
-repeated rows are counted each; other columns are ignored.
+are cut by the classes of their bytes, and repeat, so each worker keeps the
+counts of those it has met in a bounded memory. Texts with characters whose
+class takes more than two bytes to tell are cut by the pattern itself. Special
+strings inside a text count as one token, as the library's default has it.
+
+Cases: null text counts as empty; an empty text has no bytes and no tokens; long
+texts are counted in parts that begin at white space, over which no pre-token
+goes; of pairs with equal rank the leftmost is merged first; repeated rows are
+counted each; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,18 +23,24 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
+from .tokens import END, ODD, SPACE, classes, endings, padded, text_groups, text_parts
+from .wordtable import Words
 
 #: The byte-level splitting pattern that the vocabulary was made with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The regex library also counts the separators U+001C to U+001F as white space.
 _SPACE = r"\p{White_Space}"
+#: Bits of a symbol's number.
+_SYMBOL = 20
 
 
 def byte_symbols() -> dict[int, str]:
@@ -42,71 +52,111 @@ def byte_symbols() -> dict[int, str]:
 
 
 class MergeCounter:
-    def __init__(self, path: str, cache_entries: int = 250_000):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.rank = {pair: (i, pair[0] + pair[1]) for i, pair in enumerate(merges)}
-        self.symbols = byte_symbols()
+        # symbols by number: bytes first, then what merges make
+        number = {c: b for b, c in byte_symbols().items()}
+        self.rank: dict[int, int] = {}
+        self.joined: list[int] = []
+        for i, (x, y) in enumerate(merges):
+            a, b = (number.setdefault(z, len(number)) for z in (x, y))
+            self.rank[a << _SYMBOL | b] = i
+            self.joined.append(number.setdefault(x + y, len(number)))
         self.specials = [x["content"] for x in spec["added_tokens"] if x["special"]]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pattern = regex.compile(SPLIT.replace(r"[^\s", f"[^{_SPACE}").replace(r"(?!\S)", rf"(?![^{_SPACE}])").replace(r"\s+", f"{_SPACE}+"))
-        self.cache_entries = cache_entries
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        self.known = Words(self._learn)
+        self.merged_short = lru_cache(maxsize=100_000)(self.merged)
 
-    def merged(self, word: str) -> int:
+    def merged(self, word: bytes) -> int:
         """Tokens of one pre-token."""
-        parts = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-        n = len(parts)
+        n = count = len(word)
         if n < 2:
             return n
-        rank = self.rank
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*rank[pair], i) for i in range(n - 1) if (pair := (parts[i], parts[i + 1])) in rank]
-        heap = [(r, i, joined) for r, joined, i in heap]
+        rank, joined, push = self.rank.get, self.joined, heapq.heappush
+        # symbol -1 stands at both ends, and where a symbol was merged away: it is in no pair
+        parts = [*word, -1]
+        left, right = list(range(-1, n)), list(range(1, n + 1))
+        bits = n.bit_length()
+        pairs = map(rank, [a << _SYMBOL | b for a, b in zip(word, word[1:])])
+        heap = [r << bits | i for i, r in enumerate(pairs) if r is not None]
         heapq.heapify(heap)
-        count = n
         while heap:
-            r, i, joined = heapq.heappop(heap)
+            x = heapq.heappop(heap)
+            r, i = x >> bits, x & (1 << bits) - 1
             j = right[i]
-            if parts[i] is None or j < 0:
-                continue
-            now = rank.get((parts[i], parts[j]))
-            if now is None or now[0] != r:  # one of the two has been merged since
+            if rank(parts[i] << _SYMBOL | parts[j]) != r:  # one of the two has been merged since
                 continue
-            parts[i], parts[j] = joined, None
+            made = parts[i] = joined[r]
+            parts[j] = -1
             right[i] = k = right[j]
-            if k >= 0:
-                left[k] = i
-                if (new := rank.get((joined, parts[k]))) is not None:
-                    heapq.heappush(heap, (new[0], i, new[1]))
-            if (h := left[i]) >= 0 and (new := rank.get((parts[h], joined))) is not None:
-                heapq.heappush(heap, (new[0], h, new[1]))
+            left[k] = i
+            if (new := rank(made << _SYMBOL | parts[k])) is not None:
+                push(heap, new << bits | i)
+            h = left[i]
+            if (new := rank(parts[h] << _SYMBOL | made)) is not None:
+                push(heap, new << bits | h)
             count -= 1
         return count
 
-    def _learn(self, word: str) -> int:
-        got = self.old.get(word)
-        got = self.merged(word) if got is None else got
-        if len(self.young) > self.cache_entries:
-            self.young, self.old = {}, self.young
-        self.young[word] = got
-        return got
-
-    def _plain(self, text: str) -> int:
-        words = self.pattern.findall(text)
-        counts = [*map(self.young.get, words)]
-        if None in counts:
-            counts = [self.young.get(w) or self._learn(w) if n is None else n for w, n in zip(words, counts)]
-        return sum(counts)
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.empty(0, np.int64), np.fromiter(map(self.merged, words), dtype=np.int64, count=len(words))
+
+    def _by_pattern(self, text: str) -> int:
+        words = (w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(text))
+        return sum(self.merged_short(w) if len(w) <= 64 else self.merged(w) for w in words)
+
+    def _slow(self, text: str) -> int:
+        """Of any text."""
         if self.cut is None or not self.cut.search(text):
-            return self._plain(text)
-        return sum(self._plain(t) for t in self.cut.split(text) if t) + len(self.cut.findall(text))
+            return self._by_pattern(text)
+        return sum(self._by_pattern(t) for t in self.cut.split(text) if t) + len(self.cut.findall(text))
+
+    def _group(self, texts: list[str]) -> list[int]:
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\0".join(raws)
+        raw = padded(data)
+        limits = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        kind = classes(raw, each_digit=False)
+        inside = np.ones(len(raw), dtype=bool)
+        inside[limits[1:] - 1] = False
+        inside[len(data) :] = False
+        odd = np.flatnonzero(((kind == ODD) | (kind == END)) & inside)
+        whole = set(np.unique(np.searchsorted(limits, odd, "right") - 1).tolist())
+        for s in self.specials:
+            if s.encode() in data:
+                whole.update(i for i, t in enumerate(texts) if s in t)
+        edge = np.empty(len(raw), dtype=bool)
+        edge[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+        # white space before a word: its last character stands apart, or is the word's if it is a space
+        at = np.flatnonzero(edge)
+        before = np.flatnonzero((kind[at[:-1]] == SPACE) & (kind[at[1:]] != END))
+        after = at[before + 1]
+        edge[after - 1] = True
+        edge[after[raw[after - 1] == 0x20]] = False
+        endings(raw, kind, edge)
+        at = np.flatnonzero(edge)
+        real = kind[at[:-1]] != END
+        start, end = at[:-1][real], at[1:][real]
+        where = np.searchsorted(start, limits)
+        if whole:
+            stays = np.ones(len(start), dtype=bool)
+            for t in whole:
+                stays[where[t] : where[t + 1]] = False
+            start, end = start[stays], end[stays]
+            where = np.searchsorted(start, limits)
+        entry = self.known.lookup(data, raw, start, end)
+        total = np.concatenate([[0], np.cumsum(self.known.count[entry])])[where]
+        return [self._slow(texts[i]) if i in whole else n for i, n in enumerate(np.diff(total).tolist())]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        parts = [[t] if any(s in t for s in self.specials) else list(text_parts(t)) for t in texts]
+        flat = [p for some in parts for p in some]
+        got = iter([n for a, b in text_groups(flat) for n in self._group(flat[a:b])])
+        return [sum(next(got) for _ in some) for some in parts]
 
 
 _loaded: dict[str, MergeCounter] = {}
@@ -121,7 +171,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
         lib = _loaded[tokenizer]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [lib.count(t) for t in texts]
+            n = [x for a, b in text_groups(texts) for x in lib.counts(texts[a:b])]
             size = [len(t) if t.isascii() else len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
@@ -129,4 +179,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lean(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
