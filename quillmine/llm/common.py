@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own_folder: dict[str, str] = {}
+_app_folders: set[str] = set()
+#: Links from which a node's neighbours can be too many for one task.
+HUB_LINKS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,16 +44,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quillmine/{label}-{uuid.uuid4().hex}"
+    """A new name in the application's folder, which goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/quillmine/{spark.sparkContext.applicationId}"
+    if folder not in _app_folders:
+        at, store = _file_system(spark, folder)
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        _app_folders.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, label: str, slim: bool = False) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(spark: SparkSession, df: DataFrame, label: str, slim: bool = False, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: it is computed once, its lineage ends
     there, and a lost executor costs no more than reading it again. slim: a few
     numbers a row, so that an eighth of the usual files will do."""
     path = new_path(spark, label)
     df = df.coalesce(max(8, shuffle_partitions(spark) // 8)) if slim else df
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmine_path = path
     return out
@@ -65,16 +80,14 @@ def dropped(spark: SparkSession, *tables: DataFrame | None) -> None:
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, store = _file_system(spark, path)
+    store.delete(at, True)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, by way of Spark's file systems."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    at, store = _file_system(spark, path)
+    out = store.create(at, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
@@ -94,9 +107,19 @@ def component_labels(spark: SparkSession, edges: DataFrame, max_rounds: int = 60
     smallest id that it reaches.
 
     Alternating large-star and small-star steps: both are a min() per node and a
-    join, so a hub is pre-aggregated and no neighbour list is ever built. Links
-    stay distributed; the driver sees a count and a checksum per round.
+    join, so a hub is pre-aggregated and no neighbour list is ever built. Where
+    there are enough links for a hub to matter, the minima are a written table:
+    both sides of the join are then plain shuffles, which adaptive execution
+    splits where a hub makes one of them skewed. Links stay distributed; the
+    driver sees a count and a checksum per round.
     """
+    minima: list[DataFrame] = []
+
+    def joined(links: DataFrame, low: DataFrame, many: bool) -> DataFrame:
+        if many:
+            low = written(spark, low, "links-low", slim=True)
+            minima.append(low)
+        return links.join(low, "a")
 
     def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
         out = written(spark, df.where("a <> b").distinct(), "links", slim=True)
@@ -113,13 +136,14 @@ def component_labels(spark: SparkSession, edges: DataFrame, max_rounds: int = 60
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = joined(both, low, mark[0] > HUB_LINKS).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(low, "a")
+        near = joined(large, low, mark[0] > HUB_LINKS)
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
         new, new_mark = settle(small)
-        dropped(spark, now)
+        dropped(spark, now, *minima)
+        minima.clear()
         same, now, mark = new_mark == mark, new, new_mark
         if same:
             break
@@ -129,6 +153,17 @@ def component_labels(spark: SparkSession, edges: DataFrame, max_rounds: int = 60
     return labels.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores until no column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in batches of so many rows at most: ten thousand,
     Spark's default, can be some hundred megabytes of them at once."""
@@ -157,8 +192,9 @@ def lean(fn):
 def appended(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str, pa.DataType]], fn) -> DataFrame:
     """docs with new columns, made a batch at a time by fn(*arrays of the input
     columns), which returns an array for each of fields (name, SQL type, Arrow
-    type). The other columns pass through as they are, whatever their names;
-    nothing is shuffled."""
+    type). The other columns pass through as they are, but those with the name of
+    a new one, which takes their place; nothing is shuffled."""
+    new = {name.lower() for name, _, _ in fields}
     bounded_batches(docs.sparkSession)
     n, at = len(docs.columns), [docs.columns.index(c) for c in inputs]
     rows = docs.toDF(*(f"c{i}" for i in range(n)))
@@ -171,4 +207,6 @@ def appended(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str, pa
             made = fn(*(batch.column(i) for i in at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, kind) for x, kind in zip(made, kinds))], names=names)
 
-    return rows.mapInArrow(lean(run), schema).toDF(*docs.columns, *(name for name, _, _ in fields))
+    out = rows.mapInArrow(lean(run), schema)
+    back = [F.col(c).alias(name) for c, name in zip(rows.columns, docs.columns) if name.lower() not in new]
+    return out.select(*back, *(F.col(f"y{i}").alias(name) for i, (name, _, _) in enumerate(fields)))

@@ -1,24 +1,28 @@
 """Line deduplication with a segment-partition edit join.
 
-Lines of ``NEAR_CHARS`` or more that are ``max_edits`` or fewer edits apart are
-one line, and so are equal lines of ``EXACT_CHARS`` or more; classes are
-transitive. The first line of a class, by document id and line number, stays.
-Shorter and blank lines always stay.
+Two lines are one line if they differ by no more edits than one for every
+``chars_per_edit`` characters of the shorter, and ``max_edits`` at most; so short
+lines must be equal. Classes are transitive. The first line of a class, by
+document id and line number, stays. Blank lines are no lines and always stay.
 
-The edit join cuts a line into max_edits + 1 segments. Whoever is within
-max_edits edits has one of them unharmed, so each line is stored under its own
+The edit join cuts a line into one segment more than it may have edits. Whoever
+is within these has one of them unharmed, so each line is stored under its own
 segments, and looks up those of its substrings that could be a segment of a
-line of its own length or up to max_edits shorter; the places are those where
-both the part before and the part after can still be aligned. Keys are hashes of
-(length, segment, substring). Keys that two different lines share propose them;
-texts of these lines alone are fetched, and banded bit-parallel edit distance
-decides. Within a key, lines that are linked already are not compared again and
-links form a forest, so groups of near copies give no more links than lines;
-keys of many lines are cut into blocks that different tasks compare.
+line of its own length or up to so many characters shorter; the places are those
+where both the part before and the part after can still be aligned. Keys are
+hashes of (length, segment, substring). Keys that two different lines share
+propose them; texts of these lines alone are fetched, and banded bit-parallel
+edit distance decides. Within a key, lines that are linked already are not
+compared again and links form a forest, so groups of near copies give no more
+links than lines; keys of many lines are cut into blocks that different tasks
+compare. Keys that a sample of the lines shows to be hot are dealt to all tasks
+from the start; that changes where rows go, not which.
 
 Cases: null text counts as empty; white space around a line does not count; of
-equal ids the one with the smaller text hash comes first; rows equal in both
-keep the same lines; an empty table gives no rows; other columns are kept.
+equal ids the one with the smaller text hash comes first; of rows equal in both,
+one keeps its lines and the others lose them; lines of any length take part,
+whole; an empty table gives no rows; other columns are kept, but those named like
+the two counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, bounded_batches, component_labels, dropped, lean, written
+from .common import appended, bounded_batches, component_labels, dropped, lean, shuffle_partitions, written
 from .tokens import text_groups
 
-EXACT_CHARS, NEAR_CHARS = 20, 40
 #: Lines of a key that one task compares with each other.
 BLOCK = 1024
 #: Places of the bit map that spares fetching texts that no key proposes.
 MAP_BITS = 22
+#: One of so many lines is sampled to find hot keys, and rows of a key that a task holds.
+SAMPLE, HELD = 64, 1_000_000
 _BASE = 0xD1342543DE82EF95
 _up = np.ones(1, np.uint64)
 _down = np.ones(1, np.uint64)
@@ -70,21 +75,22 @@ def probes(max_edits: int) -> list[tuple[int, int, int, bool]]:
     return out
 
 
-def segment_keys(lines: list[str], max_edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, stored) of every substring of the lines that probes() names."""
+def segment_keys(lines: list[str], max_edits: int, chars_per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, stored) of every substring of the lines that probes() names for
+    the edits that a line of the length looked for may have."""
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     begin = np.cumsum(size) - size
     up, down = _power(len(code) + 1)
     total = np.zeros(len(code) + 1, dtype=np.uint64)
     np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)], out=total[1:])
-    which, keys, stored = [], [], []
-    for less, segment, shift, own in probes(max_edits):
+    which, keys, stored = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, bool)]
+    for edits, less, segment, shift, own in ((e, *p) for e in range(1, max_edits + 1) for p in probes(e)):
         length = size - less
-        a = length * segment // (max_edits + 1)
-        b = length * (segment + 1) // (max_edits + 1)
+        a = length * segment // (edits + 1)
+        b = length * (segment + 1) // (edits + 1)
         a, b = a + shift, b + shift
-        ok = (length > max_edits) & (a >= 0) & (b <= size)
+        ok = (length > edits) & (np.minimum(length // chars_per_edit, max_edits) == edits) & (a >= 0) & (b <= size)
         at = np.flatnonzero(ok)
         x, y = begin[at] + a[at], begin[at] + b[at]
         which.append(at)
@@ -144,7 +150,7 @@ def _letters(lines: list[str]) -> np.ndarray:
     return out
 
 
-def linked_in_key(ids: list[int], texts: list[str], sides: list[int], max_edits: int) -> list[tuple[int, int]]:
+def linked_in_key(ids: list[int], texts: list[str], sides: list[int], max_edits: int, chars_per_edit: int) -> list[tuple[int, int]]:
     """A forest of links between the lines of a key; sides as dealt by blocks."""
     n = len(ids)
     root = list(range(n))
@@ -167,7 +173,7 @@ def linked_in_key(ids: list[int], texts: list[str], sides: list[int], max_edits:
             if ids[i] == ids[j] or two and sides[i] == sides[j]:
                 continue
             x, y = find(i), find(j)
-            if x != y and within(texts[i], texts[j], max_edits):
+            if x != y and within(texts[i], texts[j], min(max_edits, min(len(texts[i]), len(texts[j])) // chars_per_edit)):
                 root[x] = y
                 out.append((ids[i], ids[j]))
     return out
@@ -179,7 +185,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _line_table(rows: DataFrame) -> DataFrame:
-    """doc_id, dkey, line_no, h1, h2 of every line of EXACT_CHARS or more."""
+    """doc_id, dkey, line_no, h1, h2 of every line that is not blank."""
 
     def cut(batches):
         from xxhash import xxh3_128_digest
@@ -191,7 +197,7 @@ def _line_table(rows: DataFrame) -> DataFrame:
                 for d, k, t in zip(docs[a:b], dkeys[a:b], texts[a:b]):
                     for n, line in enumerate(t.split("\n")):
                         line = line.strip()
-                        if len(line) >= EXACT_CHARS:
+                        if line:
                             doc.append(d)
                             dkey.append(k)
                             no.append(n)
@@ -206,8 +212,9 @@ def _line_table(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(cut), "doc_id long, dkey long, line_no long, h1 long, h2 long")
 
 
-def _fresh_lines(batches, skip_seen: int = 100_000):
-    """Groups (h1, line) of long lines, without most of those met before."""
+def _fresh_lines(batches, least: int, skip_seen: int = 100_000):
+    """Groups (h1, line) of lines of at least so many characters, without most of
+    those met before."""
     from xxhash import xxh3_128_digest
 
     seen: set[int] = set()
@@ -217,7 +224,7 @@ def _fresh_lines(batches, skip_seen: int = 100_000):
             for text in texts[a:b]:
                 for line in text.split("\n"):
                     line = line.strip()
-                    if len(line) >= NEAR_CHARS:
+                    if len(line) >= least:
                         h = int.from_bytes(xxh3_128_digest(line.encode("utf-8", "surrogatepass"))[:8], "little", signed=True)
                         if h not in seen:
                             seen.add(h)
@@ -228,17 +235,36 @@ def _fresh_lines(batches, skip_seen: int = 100_000):
             yield np.array(ids, dtype=np.int64), lines
 
 
-def _shared_keys(spark: SparkSession, rows: DataFrame, max_edits: int) -> DataFrame:
-    """key, h1 of the keys that several lines have, one of them as its own segment."""
+def _hot_keys(spark: SparkSession, rows: DataFrame, max_edits: int, chars_per_edit: int) -> list[int]:
+    """Keys that would fill much of a task, by a sample of the lines: four for each
+    task at most."""
+
+    def sampled(batches):
+        for ids, lines in _fresh_lines(batches, chars_per_edit):
+            some = np.flatnonzero(ids & (SAMPLE - 1) == 0).tolist()
+            if some:
+                _, key, _ = segment_keys([lines[i] for i in some], max_edits, chars_per_edit)
+                yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
+
+    most = 4 * shuffle_partitions(spark)
+    found = rows.select("text").mapInArrow(lean(sampled), "key long").groupBy("key").count().where(F.col("count") >= SAMPLE)
+    return [r.key for r in found.orderBy(F.col("count").desc(), "key").limit(most).collect()]
+
+
+def _shared_keys(spark: SparkSession, rows: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
+    """key, h1 of the keys that several lines have, one of them as its own segment,
+    and of a few others."""
+    hot = _hot_keys(spark, rows, max_edits, chars_per_edit)
 
     def keyed(batches):
-        for ids, lines in _fresh_lines(batches):
+        for ids, lines in _fresh_lines(batches, chars_per_edit):
             if lines:
-                which, key, stored = segment_keys(lines, max_edits)
+                which, key, stored = segment_keys(lines, max_edits, chars_per_edit)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[which]), pa.array(stored)], names=["key", "h1", "stored"])
 
     def shared(batches):
-        held: list[tuple] = []  # the last key's rows, as more may follow
+        held: list[np.ndarray] = []  # the last key's rows, as more may follow
+        known = set(hot)  # keys whose every row is passed on
         for batch in batches:
             key, h1, stored = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if held:
@@ -246,31 +272,38 @@ def _shared_keys(spark: SparkSession, rows: DataFrame, max_edits: int) -> DataFr
             if not len(key):
                 continue
             cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield _several(key[:cut], h1[:cut], stored[:cut], known)
             held = [key[cut:], h1[cut:], stored[cut:]]
-            if cut == 0 and len(key) > 1_000_000:  # one key: pass its lines on as they come
-                yield _several(key[:-1], h1[:-1], stored[:-1], True)
-                held = [key[-1:], h1[-1:], np.ones(1, bool)]
-            elif cut:
-                yield _several(key[:cut], h1[:cut], stored[:cut])
-        if held and len(held[0]):
-            yield _several(*held)
-
-    text = rows.select("text")
-    dealt = text.mapInArrow(lean(keyed), "key long, h1 long, stored boolean").repartition("key").sortWithinPartitions("key", "h1")
+            if len(held[0]) > HELD:  # passed on as they come, whatever else the key has
+                known.add(int(key[-1]))
+                yield _several(*held, known)
+                held = [x[-1:] for x in held]
+        if held:
+            yield _several(*held, known)
+
+    text = rows.select("text").mapInArrow(lean(keyed), "key long, h1 long, stored boolean")
+    to = F.when(F.col("key").isin(hot), F.xxhash64("key", "h1")).otherwise(F.col("key")) if hot else F.col("key")
+    dealt = text.repartition(to).sortWithinPartitions("key", "h1")
     return written(spark, dealt.mapInArrow(lean(shared), "key long, h1 long"), "line-keys")
 
 
-def _several(key: np.ndarray, h1: np.ndarray, stored: np.ndarray, all_of_it: bool = False) -> pa.RecordBatch:
+def _several(key: np.ndarray, h1: np.ndarray, stored: np.ndarray, known: set[int]) -> pa.RecordBatch:
+    """The rows, sorted by key and line, of keys that are known or have two lines
+    and one of them as its own; each line once a key."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     own = np.logical_or.reduceat(stored, first)
     size = np.diff(np.append(first, len(key)))
-    many = np.minimum.reduceat(h1, first) != np.maximum.reduceat(h1, first)
-    keep = np.repeat(own & many | all_of_it, size)
-    keep[1:] &= (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])  # sorted: a line once in a key
+    many = h1[first] != h1[np.append(first[1:], len(key)) - 1]
+    keep = own & many
+    if known:
+        keep |= np.isin(key[first], np.fromiter(known, np.int64, len(known)))
+    keep = np.repeat(keep, size)
+    keep[1:] &= (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])
     return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(h1[keep])], names=["key", "h1"])
 
 
-def _texts(spark: SparkSession, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(spark: SparkSession, rows: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """h1, text of the wanted lines and a few more."""
     places = 1 << MAP_BITS
     found = wanted.select(F.col("h1").bitwiseAND(F.lit(places - 1)).cast("int").alias("at")).distinct().toArrow().column(0)  # no more than the map has places
@@ -280,7 +313,7 @@ def _texts(spark: SparkSession, rows: DataFrame, wanted: DataFrame) -> DataFrame
 
     def fetch(batches):
         bits = np.unpackbits(shared.value).astype(bool)
-        for ids, lines in _fresh_lines(batches):
+        for ids, lines in _fresh_lines(batches, least):
             at = np.flatnonzero(bits[ids & (places - 1)]).tolist() if lines else []
             if at:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([lines[i] for i in at], pa.string())], names=["h1", "text"])
@@ -288,10 +321,10 @@ def _texts(spark: SparkSession, rows: DataFrame, wanted: DataFrame) -> DataFrame
     return rows.select("text").mapInArrow(lean(fetch), "h1 long, text string").groupBy("h1").agg(F.min("text").alias("text"))
 
 
-def line_links(spark: SparkSession, rows: DataFrame, max_edits: int) -> DataFrame:
+def line_links(spark: SparkSession, rows: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
     """(a, b): links between lines, by h1, that connect all that are near."""
-    shared = _shared_keys(spark, rows, max_edits)
-    texts = _texts(spark, rows, shared)
+    shared = _shared_keys(spark, rows, max_edits, chars_per_edit)
+    texts = _texts(spark, rows, shared, chars_per_edit)
     many = shared.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = shared.join(many, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("h1"), F.col("blocks").cast("long")).cast("int"))
@@ -303,7 +336,7 @@ def line_links(spark: SparkSession, rows: DataFrame, max_edits: int) -> DataFram
         at, ids, lines, sides = None, [], [], []
 
         def done():
-            links = linked_in_key(ids, lines, sides, max_edits) if len(ids) > 1 else []
+            links = linked_in_key(ids, lines, sides, max_edits, chars_per_edit) if len(ids) > 1 else []
             if links:
                 a, b = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -324,11 +357,9 @@ def line_links(spark: SparkSession, rows: DataFrame, max_edits: int) -> DataFram
     return out
 
 
-def kept_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_lines(spark: SparkSession, rows: DataFrame, max_edits: int, chars_per_edit: int) -> DataFrame:
     """doc_id, dkey, kept: the numbers of the lines that are the first of their class."""
-    bounded_batches(spark)
-    rows = _rows(docs, id_col, text_col)
-    labels = component_labels(spark, line_links(spark, rows, max_edits))
+    labels = component_labels(spark, line_links(spark, rows, max_edits, chars_per_edit))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "dkey", "line_no")).alias("first")
     lines = _line_table(rows).groupBy("h1", "h2").agg(first)
     lines = lines.join(labels.withColumnRenamed("id", "h1"), "h1", "left")
@@ -336,14 +367,43 @@ def kept_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 2, id_col:
     return lines.groupBy("first.doc_id", "first.dkey").agg(F.collect_list("first.line_no").alias("kept"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text rid of repeated lines, and n_lines, n_removed."""
-    kept = kept_lines(spark, docs, max_edits, id_col, text_col)
+def _same(a: str, b: str):
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.dkey") == F.col(f"{b}.dkey"))
+
+
+def _marked(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs(.., id, dkey) with once: whether the row is the first of those equal in both."""
+    again = rows.groupBy("doc_id", "dkey").count().where("count > 1").select("doc_id", "dkey")
+    again = written(spark, again, "line-repeats", slim=True)
+    once = docs.withColumn("once", F.lit(True))
+    if again.isEmpty():
+        return once
+    # the rows are written with a number, so that the number is one of them
+    some = written(spark, docs.alias("s").join(again.alias("r"), _same("s", "r"), "left_semi").withColumn("number", F.monotonically_increasing_id()), "line-repeated")
+    first = some.groupBy(F.col("id").alias("doc_id"), "dkey").agg(F.min("number").alias("first"))
+    some = some.alias("s").join(first.alias("f"), _same("s", "f")).select("s.*", (F.col("s.number") == F.col("f.first")).alias("once")).drop("number")
+    return once.alias("s").join(again.alias("r"), _same("s", "r"), "left_anti").unionByName(some)
+
+
+def dedup_lines(
+    spark: SparkSession,
+    docs: DataFrame,
+    max_edits: int = 2,
+    chars_per_edit: int = 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """docs with the text rid of repeated lines, and the counts of its lines and of
+    those removed."""
+    bounded_batches(spark)
+    rows = _rows(docs, id_col, text_col)
+    kept = kept_lines(spark, rows, max_edits, chars_per_edit)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    slim = docs.toDF(*names).withColumns({"_id": F.col(names[docs.columns.index(id_col)]).cast("long"), "_text": F.col(names[docs.columns.index(text_col)])})
-    slim = slim.withColumn("_dkey", F.xxhash64(F.coalesce("_text", F.lit(""))))
-    same = F.col("s._id").eqNullSafe(F.col("k.doc_id")) & (F.col("s._dkey") == F.col("k.dkey"))
-    joined = slim.alias("s").join(kept.alias("k"), same, "left").select(*(f"s.{n}" for n in names), "k.kept")
+    text = names[docs.columns.index(text_col)]
+    slim = docs.toDF(*names).withColumn("id", F.col(names[docs.columns.index(id_col)]).cast("long"))
+    slim = _marked(spark, slim.withColumn("dkey", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), rows)
+    joined = slim.alias("s").join(kept.alias("k"), _same("s", "k"), "left").select(*(f"s.{n}" for n in names), F.when(F.col("s.once"), F.col("k.kept")).alias("kept"))
 
     def rebuild(texts, kept):
         out = [(None, 0, 0)] * len(texts)
@@ -351,11 +411,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, max_edits: int = 2, id_col
             if text is not None:
                 keep = set(keep or ())
                 lines = text.split("\n")
-                left = [line for k, line in enumerate(lines) if k in keep or len(line.strip()) < EXACT_CHARS]
+                left = [line for k, line in enumerate(lines) if k in keep or not line.strip()]
                 out[i] = ("\n".join(left), len(lines), len(lines) - len(left))
         return list(zip(*out)) or [[], [], []]
 
-    fields = [("_text", "string", pa.string()), ("n_lines", "long", pa.int64()), ("n_removed", "long", pa.int64())]
-    done = appended(joined, [names[docs.columns.index(text_col)], "kept"], fields, rebuild)
-    back = [F.col("_text" if c == text_col else n).alias(c) for n, c in zip(names, docs.columns)]
-    return done.select(*back, "n_lines", "n_removed")
+    fields = [("left", "string", pa.string()), ("n0", "long", pa.int64()), ("n1", "long", pa.int64())]
+    done = appended(joined, [text, "kept"], fields, rebuild)
+    new = {c.lower() for c in counts}
+    back = [F.col("left" if c == text_col else n).alias(c) for n, c in zip(names, docs.columns) if c.lower() not in new]
+    return done.select(*back, F.col("n0").alias(counts[0]), F.col("n1").alias(counts[1]))

@@ -172,24 +172,24 @@ def test_edit_bands_and_segments():
         b = edited(rng, a, rng.randrange(0, 4))
         near = edit_distance(a, b) <= 2
         assert within(a, b, 2) == near == within(b, a, 2)
-        if near:
-            which, keys, own = segment_keys([a, b], 2)
+        if edit_distance(a, b) <= min(2, min(len(a), len(b)) // 4):
+            which, keys, own = segment_keys([a, b], 2, 4)
             sides = [(set(keys[which == i]), set(keys[(which == i) & own])) for i in (0, 1)]
             assert sides[0][0] & sides[1][1] or sides[1][0] & sides[0][1]
 
 
 def test_line_dedup_against_brute_force(spark, docs, none):
-    from quillmine.llm.line_dedup import EXACT_CHARS, NEAR_CHARS, dedup_lines
+    from quillmine.llm.line_dedup import dedup_lines
 
     rng = random.Random(8)
-    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(45, 90))) for _ in range(30)]
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(18, 90))) for _ in range(30)]
     data = []
     for d in range(25):
         own = [edited(rng, rng.choice(lines), rng.choice((0, 0, 1, 2, 5))) for _ in range(4)]
         data.append((d, "\n".join([*own, "short", "", "exactly the same line", "short"]), "t"))
     data += [(100, None, "t"), (101, "", "t"), (102, "\n\n", "t")]
     got = {r.doc_id: r for r in dedup_lines(spark, spark.createDataFrame(data, "doc_id long, text string, kept string")).collect()}
-    seen = [(d, n, x.strip()) for d, t, _ in data for n, x in enumerate((t or "").split("\n")) if len(x.strip()) >= EXACT_CHARS]
+    seen = [(d, n, x.strip()) for d, t, _ in data for n, x in enumerate((t or "").split("\n")) if x.strip()]
     root = list(range(len(seen)))
 
     def find(x):
@@ -200,7 +200,7 @@ def test_line_dedup_against_brute_force(spark, docs, none):
     for i in range(len(seen)):
         for j in range(i):
             a, b = seen[i][2], seen[j][2]
-            if a == b or min(len(a), len(b)) >= NEAR_CHARS and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+            if a == b or abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= min(2, min(len(a), len(b)) // 20):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     drop = {seen[i][:2] for i in range(len(seen)) if find(i) != i}
@@ -310,7 +310,7 @@ def test_nearest(spark):
     x[100:140] = x[7]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None]), (904, [1.0] * 5)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = nearest(spark, frame, F.col("vec_id") % 20 == 0, k=5, block_rows=200, block_queries=10).collect()
+    got = nearest(spark, frame, F.col("vec_id") % 20 == 0, k=5, shortlist=60, block_queries=10).collect()
     by, hits = {}, 0
     for r in got:
         by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
