@@ -10,13 +10,25 @@ each fingerprint is stored under its own codeword pair for each two segments,
 and looks up all pairs of codewords of its neighbours; candidates are verified
 by the count of differing bits.
 
+Keys of 21 to 24 bits are shared by chance once there are many fingerprints. From
+``LONG_KEYS_FROM`` of them on, keys take in what is known of the other segments:
+beside a whole segment one of the other two has at most two errors, and beside
+two with one error each the third has at most two. Words at most two bits apart
+have a word between them, one bit from both, so they share one of the codewords
+that their neighbours decode to. Both sets of keys find the same links.
+
 Equal fingerprints are one row from the start. Of each key's fingerprints only
-links to the smallest are made first; the components of these need no links
-inside, so the join that finds the rest makes rows only between components, and
-a dense group of near copies costs no more rows than it has members.
+links to the smallest are made first, by a minimum that is summed up before the
+shuffle; the components of these need no links inside, so the join that finds
+the rest makes rows only between components, and a dense group of near copies
+costs no more rows than it has members. Both sides of that join are plain
+shuffles, which adaptive execution splits where a key makes one of them skewed.
 
 Cases: null text counts as empty; texts without words have fingerprint zero,
-linked like any other; repeated rows keep their rows; other columns are ignored.
+linked like any other; texts of any length are hashed whole; repeated rows keep
+their rows; a null id counts as larger than any other, so it names a component
+only of rows without ids; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +37,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import bounded_batches, component_labels, dropped, lean, written
+from .common import bounded_batches, component_labels, dropped, lean, unused, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
+#: Fingerprints from which keys are long.
+LONG_KEYS_FROM = 1 << 27
 
 
 def fingerprint(text: str | None, words: int, seed: int) -> int:
@@ -124,66 +137,103 @@ def _segments(fp: np.ndarray) -> list[np.ndarray]:
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
-def stored_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): three whole segments and three codeword pairs each."""
-    seg = _segments(fp)
-    code = [codeword_index(s) for s in seg]
-    keys = [(k << 24) | s for k, s in enumerate(seg)] + [((3 + k) << 24) | code[a] << 12 | code[b] for k, (a, b) in enumerate(_PAIRS)]
-    return np.tile(np.arange(len(fp)), 6), np.concatenate(keys)
+def _near(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """near_codewords() of each segment, of which at most six differ."""
+    out = []
+    for s, (_, size) in zip(_segments(fp), SEGMENTS):
+        codes, new = near_codewords(s, size)
+        order = np.argsort(~new, axis=1, kind="stable")[:, :6]
+        out.append((np.take_along_axis(codes, order, 1), np.take_along_axis(new, order, 1)))
+    return out
 
 
-def looked_up_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) that find every stored fingerprint with four or fewer bits differing."""
+def _all_of(tag: int, *parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all ways to take one of each part's codewords."""
+    key, ok = np.full((len(parts[0][0]), 1), tag, dtype=np.int64), np.ones((len(parts[0][0]), 1), dtype=bool)
+    for codes, new in parts:
+        key = ((key[:, :, None] << 12) | codes[:, None, :]).reshape(len(key), -1)
+        ok = (ok[:, :, None] & new[:, None, :]).reshape(len(key), -1)
+    return np.nonzero(ok)[0], key[ok]
+
+
+def _whole(fp: np.ndarray, long: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) by a whole segment; long: with the near codewords of another."""
     seg = _segments(fp)
-    rows, keys = [np.tile(np.arange(len(fp)), 3)], [np.concatenate([(k << 24) | s for k, s in enumerate(seg)])]
-    near = []
-    for s, (_, size) in zip(seg, SEGMENTS):
-        codes, new = near_codewords(s, size)
-        # at most six differ: moved to the front
-        order = np.argsort(~new, axis=1, kind="stable")[:, :6]
-        near.append((np.take_along_axis(codes, order, 1), np.take_along_axis(new, order, 1)))
-    for k, (a, b) in enumerate(_PAIRS):
-        (ca, na), (cb, nb) = near[a], near[b]
-        both = na[:, :, None] & nb[:, None, :]
-        key = ((3 + k) << 24) | ca[:, :, None] << 12 | cb[:, None, :]
-        rows.append(np.nonzero(both)[0])
-        keys.append(key[both])
+    if not long:
+        return np.tile(np.arange(len(fp)), 3), np.concatenate([(k << 24) | s for k, s in enumerate(seg)])
+    near, rows, keys = _near(fp), [], []
+    for k in range(3):
+        for other in range(3):
+            if other != k:
+                row, code = _all_of(0, near[other])
+                rows.append(row)
+                keys.append((8 + 3 * k + other) << 48 | seg[k][row] << 12 | code)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _keyed(nodes: DataFrame, keys_of) -> DataFrame:
+def _own(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return codeword_index(word)[:, None], np.ones((len(word), 1), dtype=bool)
+
+
+def _by_codewords(pairs: list, near: list, long: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) by the codewords of each two segments; long: and near ones of the third."""
+    out = []
+    for k, (a, b) in enumerate(_PAIRS):
+        out.append(_all_of((24 + k) << 12, pairs[a], pairs[b], near[3 - a - b]) if long else _all_of(3 + k, pairs[a], pairs[b]))
+    return np.concatenate([r for r, _ in out]), np.concatenate([x for _, x in out])
+
+
+def stored_keys(fp: np.ndarray, long: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): three whole segments and three codeword pairs each."""
+    row, key = _whole(fp, long)
+    rows, keys = _by_codewords([_own(s) for s in _segments(fp)], _near(fp) if long else [], long)
+    return np.concatenate([row, rows]), np.concatenate([key, keys])
+
+
+def looked_up_keys(fp: np.ndarray, long: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) that find every stored fingerprint with four or fewer bits differing."""
+    row, key = _whole(fp, long)
+    near = _near(fp)
+    rows, keys = _by_codewords(near, near, long)
+    return np.concatenate([row, rows]), np.concatenate([key, keys])
+
+
+def _keyed(nodes: DataFrame, keys_of, long: bool) -> DataFrame:
     """key, fp, c for nodes(fp, c)."""
 
     def out(batches):
         for batch in batches:
             fp, c = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for a in range(0, len(fp), 2048):
-                row, key = keys_of(np.ascontiguousarray(fp[a : a + 2048]))
+                row, key = keys_of(np.ascontiguousarray(fp[a : a + 2048]), long)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[a : a + 2048][row]), pa.array(c[a : a + 2048][row])], names=["key", "fp", "c"])
 
     return nodes.select("fp", "c").mapInArrow(lean(out), "key long, fp long, c long")
 
 
-def link_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4) -> DataFrame:
+def link_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4, long_keys_from: int = LONG_KEYS_FROM) -> DataFrame:
     """fps(doc_id, fp) -> doc_id, fp, component_id, the smallest doc_id that is
     reached over fingerprints with max_bits or fewer differing bits."""
     if max_bits > 4:
         raise ValueError("three segments reach four bits")
     nodes = written(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-nodes", slim=True)
+    long = nodes.count() >= long_keys_from
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("m")))
-    stored = _keyed(nodes.withColumn("c", F.col("fp")), stored_keys)
-    star = stored.select("fp", F.min("fp").over(Window.partitionBy("key")).alias("m"))
+    stored = _keyed(nodes.withColumn("c", F.col("fp")), stored_keys, long)
+    least = stored.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("most")).where("m <> most").select("key", "m")
+    least = written(spark, least, "simhash-least", slim=True)
+    star = stored.join(least, "key")
     star = component_labels(spark, star.where((F.col("fp") != F.col("m")) & (apart <= max_bits)).select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct())
     first = nodes.join(star.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "head", F.coalesce("component", "fp").alias("c"))
     first = written(spark, first, "simhash-first", slim=True)
-    at = _keyed(first, stored_keys).select("key", F.col("fp").alias("m"), F.col("c").alias("d"))
+    at = _keyed(first, stored_keys, long).select("key", F.col("fp").alias("m"), F.col("c").alias("d"))
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.m"))) <= max_bits
-    found = _keyed(first, looked_up_keys).alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.d")) & near)
+    found = _keyed(first, looked_up_keys, long).alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.d")) & near)
     rest = component_labels(spark, found.select(F.col("x.c").alias("a"), F.col("y.d").alias("b")).distinct())
     final = first.join(rest.withColumnRenamed("id", "c"), "c", "left").select("fp", "head", F.coalesce("component", "c").alias("c"))
     heads = final.groupBy("c").agg(F.min("head").alias("component_id"))
     named = written(spark, final.join(heads, "c").select("fp", "component_id"), "simhash-final", slim=True)
-    dropped(spark, first)
+    dropped(spark, first, least, nodes)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -198,7 +248,7 @@ def first_of_near_copies(spark: SparkSession, docs: DataFrame, words: int = 4, s
     """docs with one row of each component. A row is known by its id and the hash of
     its text, so missing and repeated ids touch no other row; rows equal in both
     are one."""
-    keyed = fingerprints(docs.withColumn("_tkey", F.xxhash64(text_col)), words, seed, "_tkey", text_col)
+    keyed = fingerprints(docs.select(F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")), words, seed, "tkey", "text")
     # equal texts have equal fingerprints
     prints = written(spark, keyed.select(F.col("doc_id").alias("tkey"), "fp").distinct(), "simhash-texts", slim=True)
     linked = link_components(spark, prints.select(F.col("fp").alias("doc_id"), "fp").distinct(), max_bits)
@@ -216,5 +266,6 @@ def first_of_near_copies(spark: SparkSession, docs: DataFrame, words: int = 4, s
     repeats = ranked.where("stays")
     if repeats.isEmpty():
         return matched(docs, ranked, "left_anti")
-    again = matched(docs, repeats, "left_semi").withColumns({"_id": F.col(id_col).cast("long"), "_tkey": F.xxhash64(text_col)}).dropDuplicates(["_id", "_tkey"]).drop("_id", "_tkey")
+    one, two = unused(docs.columns, "id", "tkey")
+    again = matched(docs, repeats, "left_semi").withColumns({one: F.col(id_col).cast("long"), two: F.xxhash64(text_col)}).dropDuplicates([one, two]).select(docs.columns)
     return matched(docs, ranked, "left_anti").unionByName(again)
