@@ -8,13 +8,15 @@ gradients to words it has not found yet. A held-back fifth of the training rows
 calibrates the score to a probability, and a threshold for each language.
 
 Training takes at most ``max_rows`` labelled documents, those with the smallest
-id hash; all else covers every document. The score is a function of the text
-alone.
-
-Cases: null text counts as empty and scores as such; a document with several
-labels counts as toxic if one says so; null labels are left out; without labels
-of both kinds every score is the share of toxic labels, or 0; repeated rows are
-scored each; an empty table gives no rows; other columns are ignored.
+id hash, as long as they have ``max_words`` words in all; all else covers every
+document. The score is a function of the text alone.
+
+Cases: null text counts as empty and scores as such; texts of any length are
+scored whole; a document with several labels counts as toxic if one says so; null
+labels and ids are left out; of labelled rows equal in id, language and text one
+is learned from; without labels of both kinds every score is the share of toxic
+labels, or 0; repeated rows are scored each; a score equal to a threshold reaches
+it; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, bounded_batches, lean
+from .common import appended, bounded_batches, dropped, lean, written
 from .tokens import text_groups
 from .words import words_of_texts
 
@@ -80,11 +82,13 @@ class TextCnn:
 
     def responses(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         emb = self.tables[0][one] + self.tables[1][two]
+        padding = np.flatnonzero(one == PAD)
         out = []
         for w, f, b in zip(WIDTHS, self.filters, self.bias):
             r = emb @ f[0] + b
             for k in range(1, w):
                 r[:-k] += emb[k:] @ f[k]
+            r[padding] = b  # whatever the next text begins with
             out.append(r)
         return emb, out
 
@@ -143,7 +147,7 @@ def _step(model: TextCnn, h: np.ndarray, limits: np.ndarray, y: np.ndarray, stat
         filters = model.filters[i].copy()
         for k in range(w):
             at = np.minimum(best[i] + k, len(emb) - 1)
-            inside = (best[i] + k < len(emb))[:, :, None]
+            inside = (best[i] + k < ends[:, None])[:, :, None]
             update(f"f{i}{k}", model.filters[i][k], np.einsum("bfd,bf->df", emb[at] * inside, g))
             emb_at.append(at.ravel())
             emb_grad.append((g[:, :, None] * filters[k].T[None] * inside).reshape(-1, DIM))
@@ -219,8 +223,19 @@ def train(docs: list[np.ndarray], labels: list[int], langs: list[str | None], ep
     return model
 
 
-def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> TextCnn:
-    """A classifier from the labelled documents outside the held-out quarter."""
+def fit_toxicity(
+    spark: SparkSession,
+    docs: DataFrame,
+    labels: DataFrame,
+    max_rows: int = 16_000,
+    max_words: int = 20_000_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    label_col: str = "toxic",
+) -> TextCnn:
+    """A classifier from the labelled documents outside the held-out quarter, whole
+    ones, of max_words words in all."""
     bounded_batches(spark)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
@@ -231,12 +246,21 @@ def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_ro
     def hashed(batches):
         for batch in batches:
             ids, y, lang, texts = (c.to_pylist() for c in batch.columns)
-            *_, h, limits = words_of_texts(texts)
-            c = codes(h)
-            raw = [c[a:b].tobytes() for a, b in zip(limits, limits[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(lang, pa.string()), pa.array(raw, pa.binary())], names=["doc_id", "y", "lang", "h"])
-
-    sample = rows.mapInArrow(lean(hashed), "doc_id long, y int, lang string, h binary").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")]).slice(0, max_rows)
+            for a, b in text_groups(texts):
+                *_, h, limits = words_of_texts(texts[a:b])
+                c = codes(h)
+                raw = [c[x:y].tobytes() for x, y in zip(limits, limits[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(y[a:b], pa.int32()), pa.array(lang[a:b], pa.string()), pa.array(raw, pa.binary())], names=["doc_id", "y", "lang", "h"])
+
+    # documents that share an id may be any number: the bound holds for them too
+    worded = rows.mapInArrow(lean(hashed), "doc_id long, y int, lang string, h binary")
+    worded = written(spark, worded.withColumns({"hash": F.xxhash64("h", "lang"), "words": (F.length("h") / 4).cast("long")}), "toxicity-words")
+    drawn = worded.select("doc_id", "hash", "words").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(max_rows).collect()  # the documented bound
+    total = np.cumsum([0, *(r.words for r in drawn)])[1:]
+    drawn = [(r.doc_id, r.hash) for r, n in zip(drawn, total) if n <= max_words]
+    chosen = F.broadcast(spark.createDataFrame(drawn, "doc_id long, hash long"))
+    sample = worded.join(chosen, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "y", "lang", "h").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    dropped(spark, worded)
     return train([np.frombuffer(x, np.uint32) for x in sample.column("h").to_pylist()], [1 if v else 0 for v in sample.column("y").to_pylist()], sample.column("lang").to_pylist())
 
 
@@ -244,8 +268,9 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def with_scores(spark: SparkSession, docs: DataFrame, model: TextCnn, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with score, and threshold: that of the language."""
+def with_scores(spark: SparkSession, docs: DataFrame, model: TextCnn, text_col: str = "text", lang_col: str = "lang", names: tuple[str, str] = ("score", "threshold")) -> DataFrame:
+    """docs with score, and threshold: that of the language. Columns with these names
+    are replaced."""
     shared = spark.sparkContext.broadcast(model)  # of fixed size
 
     def scored(texts, langs):
@@ -253,7 +278,7 @@ def with_scores(spark: SparkSession, docs: DataFrame, model: TextCnn, text_col:
         score = np.concatenate([np.empty(0), *(shared.value.scores(texts[a:b]) for a, b in text_groups(texts, 500_000))])
         return score, [cuts.get(str(x), cuts.get(None, 0.5)) for x in langs.to_pylist()]
 
-    return appended(docs, [text_col, lang_col], [("score", "double", pa.float64()), ("threshold", "double", pa.float64())], scored)
+    return appended(docs, [text_col, lang_col], [(name, "double", pa.float64()) for name in names], scored)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, model: TextCnn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
