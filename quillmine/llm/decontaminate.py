@@ -17,15 +17,17 @@ not get there within ``MAX_REPETITIONS``, and items of fewer than ``MIN_WORDS``
 words, are probed exhaustively instead: cut into one segment more than edits are
 allowed, at least one segment is unharmed, so looking all segments up misses none.
 
-Items are taken in blocks of bounded size, and only those reach the executors;
-documents are never shuffled.
+Items are taken in blocks of bounded number and length, and only those reach the
+executors; documents are never shuffled.
 
 Cases: words are runs of letters and digits, lower-cased, so white space and
 punctuation do not count; each character of a script without spaces is a word;
 null or empty documents and items match nothing; items of few words take part
 like any other, so one of a single common word is found wherever it stands; equal
 items are reported under each of their ids; repeated documents are reported
-each; an empty benchmark gives no rows; other columns are ignored.
+each; of places in a document that fit an item equally well the first counts;
+documents of any length are searched whole; an empty benchmark or table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, bounded_batches, lean
+from .common import appended, bounded_batches, lean, unused
 from .tokens import text_groups
 from .words import lowered, words_of, words_of_texts
 
@@ -48,6 +50,8 @@ MIN_WORDS = 8
 MIN_REPETITIONS, MAX_REPETITIONS, TRIALS = 3, 4, 400
 #: Steps of a walk, sampled places of it, words between an item's windows.
 STEPS, SAMPLED, STRIDE = 14, 6, 1
+#: Characters of the items of a block.
+BLOCK_CHARS = 20_000_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -323,12 +327,15 @@ def find_contamination(
 
 
 def _blocks(benchmark: DataFrame, max_rate: float, target_recall: float, block_items: int, item_col: str, item_text_col: str):
-    held = []
+    """Blocks of at most block_items items and BLOCK_CHARS characters, or one longer item."""
+    held, chars = [], 0
     for row in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)).toLocalIterator():
-        held.append(row)
-        if len(held) == block_items:
+        size = len(row[1] or "")
+        if held and (len(held) == block_items or chars + size > BLOCK_CHARS):
             yield make_block([r[0] for r in held], [r[1] for r in held], max_rate, target_recall)
-            held = []
+            held, chars = [], 0
+        held.append(row)
+        chars += size
     yield make_block([r[0] for r in held], [r[1] for r in held], max_rate, target_recall)
 
 
@@ -355,7 +362,8 @@ def without_contaminated(
                 out[[a + f[0] for f in search_group(shared.value, texts[a:b], max_rate)]] = True
             return [out]
 
-        return appended(docs, [text_col], [("_leaks", "boolean", pa.bool_())], hit).where("not _leaks").drop("_leaks")
+        (leaks,) = unused(docs.columns, "leaks")
+        return appended(docs, [text_col], [(leaks, "boolean", pa.bool_())], hit).where(~F.col(leaks)).drop(leaks)
 
     for block in _blocks(benchmark, max_rate, target_recall, block_items, item_col, item_text_col):
         docs = clean(docs, block)

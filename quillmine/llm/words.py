@@ -12,6 +12,8 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+#: Bytes that are worked on at once.
+PART = 8_000_000
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -57,7 +59,21 @@ def _unspaced(code: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def words_of(raw: bytes, split: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """start, end and hash of each word of lower-cased UTF-8; split: characters of
-    scripts without spaces are words."""
+    scripts without spaces are words. Long texts are worked on in parts that end at
+    a space or the end of a line, where every word ends."""
+    parts, at = [], 0
+    while at < len(raw) or not parts:
+        end = len(raw)
+        if end - at > PART:
+            cuts = [x for x in (raw.find(b" ", at + PART), raw.find(b"\n", at + PART)) if x >= 0]
+            end = min(cuts, default=end)
+        start, stop, h = _words_of_part(raw[at:end], split)
+        parts.append((start + at, stop + at, h))
+        at = end
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _words_of_part(raw: bytes, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.frombuffer(raw, np.uint8)
     letter = _WORD_BYTE[code]
     if split and len(code) and code.max() >= 0xE0:
