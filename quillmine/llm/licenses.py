@@ -12,12 +12,15 @@ reported, the better of two that overlap.
 Cases: words are runs of letters and digits in lower case, so line breaks and
 punctuation do not count; null or empty texts match nothing; several notices in
 a document are reported each; repeated rows are reported each; templates of
-fewer than three words are refused; an empty table gives no rows; other columns
-are ignored.
+fewer than three words are refused; of templates that match a place equally well
+the first by name order of the table counts; texts of any length are scanned
+whole; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from dataclasses import dataclass
 from importlib.resources import files
 
@@ -233,11 +236,12 @@ def scan_group(index: Index, texts: list[str | None], min_coverage: float) -> li
     for text, matches in sorted(found.items()):
         # of a license and a longer one that holds most of it, the one with fewer words missing
         matches.sort(key=lambda m: (len(index.words[m[0]]) - 2 * m[4], -m[1], m[2], m[0]))
-        taken: list[tuple] = []
+        taken: list[tuple] = []  # by place; none overlap
         for m in matches:
-            if all(m[3] <= x[2] or m[2] >= x[3] for x in taken):
-                taken.append(m)
-        for t, coverage, a, b, _ in sorted(taken, key=lambda m: m[2]):
+            k = bisect(taken, m[2], key=lambda x: x[2])
+            if (not k or taken[k - 1][3] <= m[2]) and (k == len(taken) or m[3] <= taken[k][2]):
+                taken.insert(k, m)
+        for t, coverage, a, b, _ in taken:
             out.append((text, t, coverage, a - int(limits[text]), b - a, int(start[a] - offset[text]), int(end[b - 1] - start[a])))
     return out
 
