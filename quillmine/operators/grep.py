@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import java_pattern, may_match_empty, required_literal
 from .filters import path_filters
-from .lines import before_after, explode_lines, first_per_file, first_span, spans, with_line_offset
+from .lines import explode_lines, first_per_file, first_span, line_spans, lines_of, spans
 
 
 @dataclass(frozen=True)
@@ -69,40 +67,8 @@ def line_matches(line: Column, o: GrepOptions) -> Column:
     return found if o.ignore_case or not literal else F.contains(line, F.lit(literal)) & found
 
 
-def _python_spans(o: GrepOptions):
-    """For patterns that can match nothing, where split() loses places."""
-    flags = (re.I if o.ignore_case else 0) | (re.M if o.multiline or o.across_lines else 0) | (re.S if o.dot_all else 0)
-    body = re.escape(o.pattern) if o.literal else re.sub(r"\\z", r"\\Z", o.pattern)
-    if not (o.multiline or o.across_lines) and not o.literal:
-        body = re.sub(r"(?<!\\)\$(?![^\[]*\])", r"\\Z", body)
-    if o.word:
-        body = rf"\b(?:{body})\b"
-    if o.whole_line:
-        body = rf"^(?:{body})\Z"
-    text = f"(?a){body}" if not o.ignore_case else body
-
-    @F.pandas_udf("array<struct<match:string,start:int,end:int>>")
-    def find(lines: pd.Series) -> pd.Series:
-        compiled = re.compile(text, flags)
-
-        def one(line):
-            if line is None:
-                return None
-            out = []
-            for m in compiled.finditer(line):
-                start = len(line[: m.start()].encode())
-                out.append({"match": m[0], "start": start, "end": start + len(m[0].encode())})
-            return out
-
-        return lines.map(one)
-
-    return find
-
-
 def match_spans(text: Column, o: GrepOptions) -> Column:
-    if may_match_empty(o.pattern, o.literal):
-        return _python_spans(o)(text)
-    return spans(text, o.java())
+    return spans(text, o.java(), may_match_empty(o.pattern, o.literal))
 
 
 def select_files(files: DataFrame, o: GrepOptions) -> DataFrame:
@@ -125,20 +91,19 @@ def grep(files: DataFrame, o: GrepOptions) -> DataFrame:
     files = select_files(files.select("path", "content"), o)
     if o.across_lines:
         return _grep_files(files, o)
-    lines = explode_lines(files, drop_last_empty=o.drop_last_empty)
     before, after = o.around()
-    if o.absolute_offset:
-        lines = with_line_offset(lines)
-    if before or after:
-        lines = before_after(lines, before, after)
+
+    def wanted(line: Column) -> Column:
+        return ~line_matches(line, o) if o.invert else line_matches(line, o)
+
+    if before or after or o.absolute_offset:
+        rows = lines_of(files, wanted, before, after, o.absolute_offset, o.drop_last_empty)
     else:
         empty = F.array().cast("array<string>")
-        lines = lines.withColumns({"before": empty, "after": empty})
-    hit = line_matches(F.col("line"), o)
+        rows = explode_lines(files, drop_last_empty=o.drop_last_empty).where(wanted(F.col("line"))).withColumns({"before": empty, "after": empty})
     if o.invert:
-        rows = lines.where(~hit).withColumns({"col_start": F.lit(1), "col_end": F.octet_length("line") + 1, "match": F.col("line")})
+        rows = rows.withColumns({"col_start": F.lit(1), "col_end": F.octet_length("line") + 1, "match": F.col("line")})
     else:
-        rows = lines.where(hit)
         if not o.one_per_line:
             rows = rows.withColumn("m", F.explode(match_spans(F.col("line"), o)))
         elif may_match_empty(o.pattern, o.literal):
@@ -162,26 +127,23 @@ def _grep_files(files: DataFrame, o: GrepOptions) -> DataFrame:
     if o.invert:
         return files.where(~F.col("content").rlike(o.java())).select("path")
     before, after = o.around()
-    rows = files.where(F.col("content").rlike(o.java())).withColumn("m", F.explode(match_spans(F.col("content"), o)))
-    # a prefix of so many bytes, as text
-    head = F.decode(F.substring(F.encode("content", "UTF-8"), F.lit(1), F.col("m.start")), "UTF-8")
-    last = F.regexp_replace(F.col("m.match"), r"\n\z", "")
-    breaks = F.size(F.split(head, "\n", -1))
-    end_line = breaks + F.size(F.split(F.col("m.match"), "\n", -1)) - 1
-    tail = F.substring_index(F.col("m.match"), "\n", -1)
-    col_start = F.octet_length(F.substring_index(head, "\n", -1)) + 1
-    rows = rows.withColumns({"line_no": breaks, "end_line": end_line, "col_start": col_start})
-    rows = rows.withColumn("col_end", F.when(F.col("line_no") == F.col("end_line"), F.col("col_start")).otherwise(F.lit(1)) + F.octet_length(tail))
-    lines = F.split("content", "\n", -1)
-    low = F.greatest(F.col("line_no") - before, F.lit(1))
-    rows = rows.withColumns(
-        {
-            "line": F.array_join(F.slice(lines, F.col("line_no"), F.col("end_line") - F.col("line_no") + 1), "\n"),
-            "before": F.slice(lines, low, F.col("line_no") - low),
-            "after": F.slice(lines, F.col("end_line") + 1, F.lit(after)) if after else F.array().cast("array<string>"),
-            "match": F.col("m.match") if o.replacement is None else F.regexp_replace(last, o.java(), o.replacement),
-        }
-    )
+    held = files.where(F.col("content").rlike(o.java())).select("path", "content", F.split("content", "\n", -1).alias("ls"))
+    ls = F.col("ls")
+
+    def row(m: Column) -> Column:
+        """All of a match, so that neither the content nor its lines leave the file's row."""
+        low = F.greatest(m["line_no"] - before, F.lit(1))
+        last = F.regexp_replace(m["match"], r"\n\z", "")
+        return F.struct(
+            m["line_no"].alias("line_no"), m["end_line"].alias("end_line"), m["col_start"].alias("col_start"), m["col_end"].alias("col_end"),
+            (m["match"] if o.replacement is None else F.regexp_replace(last, o.java(), o.replacement)).alias("match"),
+            F.array_join(F.slice(ls, m["line_no"], m["end_line"] - m["line_no"] + 1), "\n").alias("line"),
+            F.slice(ls, low, m["line_no"] - low).alias("before"),
+            (F.slice(ls, m["end_line"] + 1, F.lit(after)) if after else F.array().cast("array<string>")).alias("after"),
+        )
+
+    found = line_spans(F.col("content"), o.java(), may_match_empty(o.pattern, o.literal))
+    rows = held.select("path", F.transform(found, row).alias("rows")).select("path", F.explode("rows").alias("r")).select("path", "r.*")
     if o.max_count is not None:
         rows = first_per_file(rows, o.max_count, order=("line_no", "col_start"))
     return rows.select("path", "line_no", "end_line", "col_start", "col_end", "match", "line", "before", "after")
@@ -197,7 +159,11 @@ def count_matches(files: DataFrame, o: GrepOptions, zero: bool = True) -> DataFr
         found = line_matches(line, o)
         return ~found if o.invert else found
 
-    occurrences = F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + F.size(F.regexp_extract_all(line, F.lit(o.java()), F.lit(0))))
+    def times(line: Column) -> Column:
+        # of empty matches not every one that the engine finds counts
+        return F.size(match_spans(line, o) if may_match_empty(o.pattern, o.literal) else F.regexp_extract_all(line, F.lit(o.java()), F.lit(0)))
+
+    occurrences = F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + times(line))
     out = files.select("path", F.size(F.filter(lines, hits)).cast("long").alias("lines"), (F.lit(0).cast("long") if o.invert else occurrences).alias("occurrences"))
     return out if zero else out.where("lines > 0")
 
@@ -214,7 +180,7 @@ def search_stats(matches: DataFrame, files: DataFrame) -> DataFrame:
     scanned = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"))
     found = matches.groupBy("path", "line_no").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("n"))
     found = found.agg(F.count(F.lit(1)).alias("files_matched"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines_matched"), F.coalesce(F.sum("n"), F.lit(0)).alias("matches"))
-    return scanned.join(found)
+    return scanned.crossJoin(found)  # a row and a row
 
 
 def with_options(o: GrepOptions, **changes) -> GrepOptions:

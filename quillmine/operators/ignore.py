@@ -144,7 +144,7 @@ def rule_stats(rules: DataFrame) -> DataFrame:
     )
 
 
-def is_ignored(path: Column, is_dir: Column, rules: list[Rule]) -> Column:
+def is_ignored(path: Column, is_dir: Column, rules: list) -> Column:
     """The verdict of the last rule that hits; rules are few, so they become one
     expression that Catalyst evaluates inside the scan, without a join."""
     whole = F.when(is_dir, F.concat(path, F.lit("/"))).otherwise(path)
@@ -154,17 +154,26 @@ def is_ignored(path: Column, is_dir: Column, rules: list[Rule]) -> Column:
     return out
 
 
+#: Rules up to which they are one expression.
+FEW_RULES = 256
+
+
 def mark_ignored(paths: DataFrame, rules: DataFrame, path: str = "path", is_dir: str | None = None, max_rules: int = 100_000) -> DataFrame:
-    """The same with the rules as data: each path meets the broadcast rules, and
-    max_by(verdict, order) decides. For rule sets that are made by queries."""
-    n = rules.limit(max_rules + 1).count()
-    if n > max_rules:
+    """paths with ignored, rules as data: for rule sets that are made by queries. Few
+    of them become the expression of is_ignored(); more are broadcast, and meet each
+    path once, however often it is there."""
+    held = rules.select("ord", "regex", "negate").orderBy("ord").limit(max_rules + 1).collect()  # max_rules bounds them
+    if len(held) > max_rules:
         raise ValueError(f"over {max_rules} rules are not for a broadcast")
     flag = F.col(is_dir) if is_dir else F.lit(False)
-    left = paths.withColumn("_whole", F.when(flag, F.concat(path, F.lit("/"))).otherwise(F.col(path)))
-    hit = left.join(F.broadcast(rules.select("ord", "regex", "negate")), F.expr("_whole rlike regex"), "left").drop("_whole")
-    verdict = F.coalesce(F.max_by(~F.col("negate"), "ord"), F.lit(False))
-    return hit.groupBy(*paths.columns).agg(verdict.alias("ignored"))
+    if len(held) <= FEW_RULES:
+        return paths.withColumn("ignored", is_ignored(F.col(path), flag, held))
+    whole = F.when(flag, F.concat(F.col(path), F.lit("/"))).otherwise(F.col(path))
+    known = rules.sparkSession.createDataFrame(held, "ord int, regex string, negate boolean")
+    hit = paths.select(whole.alias("whole")).distinct().join(F.broadcast(known), F.expr("whole rlike regex"))
+    verdict = hit.groupBy("whole").agg(F.max_by(~F.col("negate"), "ord").alias("verdict"))
+    found = paths.alias("p").join(verdict.alias("v"), whole == F.col("v.whole"), "left")
+    return found.select("p.*", F.coalesce("v.verdict", F.lit(False)).alias("ignored"))
 
 
 def matches_rule(rule: Rule, path: str, is_dir: bool) -> bool:

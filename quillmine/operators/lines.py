@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,28 +26,91 @@ def explode_lines(files: DataFrame, content: str = "content", drop_last_empty: b
     return at.withColumn("line_no", (F.col("pos") + 1).cast("int")).drop("pos")
 
 
-def with_line_offset(lines: DataFrame, key: str = "path") -> DataFrame:
-    """line_offset: the bytes of the file before the line."""
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("line_offset", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)).cast("long"))
+#: Items of an array that are walked over before the output is joined.
+BLOCK = 256
+
+
+def walked(items: Column, state: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """The array of what step(state, item) puts out beside the next state. Blocks of
+    items are walked over on their own, so that a long output is not copied at each
+    item; kind: the SQL type of what is put out."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(done: Column, item: Column) -> Column:
+        after, out = step(done, item)
+        return F.struct(*(c.alias(n) for n, c in after.items()), F.concat(done["out"], F.array(out)).alias("out"))
+
+    def block(done: Column, some: Column) -> Column:
+        held = F.struct(*(done[n].alias(n) for n in state), none.alias("out"))
+        # an array of one, so that the walk is made once and looked at several times
+        walk = F.array(F.aggregate(some, held, one))
+        return F.element_at(F.transform(walk, lambda w: F.struct(*(w[n].alias(n) for n in state), F.concat(done["out"], F.array(w["out"])).alias("out"))), 1)
+
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+    start = F.struct(*(c.alias(n) for n, c in state.items()), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, block, lambda done: done["out"]))
+
+
+#: Marks that are put around matches: characters that no text is to have, several
+#: of them, and others for texts that do have them.
+_MARKS = (("\ufdd0\ufdd2\ufdd0", "\ufdd0\ufdd3\ufdd0"), ("\ufdd1\ufdd4\ufdd1", "\ufdd1\ufdd5\ufdd1"))
+
+
+def match_pairs(text: Column, pattern: str, may_be_empty: bool = False) -> Column:
+    """array<struct<match, before>>: all matches, each with the text between it and
+    the one before, without a UDF. split() leaves the texts between, but loses places
+    where nothing is matched: there the matches are marked in the text instead."""
+    if not may_be_empty:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, b: F.struct(m.alias("match"), b.alias("before")))
+
+    # no match begins between the two halves of a character outside the first plane
+    whole = rf"(?![\x{{DC00}}-\x{{DFFF}}])(?:{pattern})"
 
+    def marked(a: str, b: str) -> Column:
+        pieces = F.split(F.regexp_replace(text, whole, f"{a}$0{b}"), a, -1)
+        return F.zip_with(
+            F.slice(pieces, 2, F.size(pieces)), F.slice(pieces, 1, F.size(pieces) - 1),
+            lambda m, before: F.struct(F.substring_index(m, b, 1).alias("match"), F.substring_index(before, b, -1).alias("before")),
+        )
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<match, start, end>> of all matches in bytes from 0, without a
-    UDF: the texts between matches are what split() leaves. The pattern must not
-    match the empty text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<match:string,start:int,end:int>>")
+    (a, b), others = _MARKS
+    return F.when(~F.contains(text, F.lit(a)) & ~F.contains(text, F.lit(b)), marked(a, b)).otherwise(marked(*others))
 
-    def step(done: Column, pair: Column) -> Column:
+
+def spans(text: Column, pattern: str, may_be_empty: bool = False) -> Column:
+    """array<struct<match, start, end>> of all matches in bytes from 0. An empty match
+    at the end of the one before does not count."""
+
+    def step(done: Column, pair: Column) -> tuple[dict[str, Column], Column]:
         start = done["at"] + F.octet_length(pair["before"])
         end = start + F.octet_length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(pair["match"].alias("match"), start.alias("start"), end.alias("end")))).alias("out"))
+        return {"at": end, "last": end}, F.struct(pair["match"].alias("match"), start.alias("start"), end.alias("end"), ((start == end) & (start == done["last"])).alias("abuts"))
+
+    out = walked(match_pairs(text, pattern, may_be_empty), {"at": F.lit(0), "last": F.lit(-1)}, "struct<match:string,start:int,end:int,abuts:boolean>", step)
+    out = F.filter(out, lambda m: ~m["abuts"]) if may_be_empty else out
+    return F.transform(out, lambda m: F.struct(m["match"].alias("match"), m["start"].alias("start"), m["end"].alias("end")))
+
+
+def line_spans(text: Column, pattern: str, may_be_empty: bool = False) -> Column:
+    """array<struct<match, line_no, end_line, col_start, col_end>> of all matches in a
+    text of several lines: lines and byte columns from 1, the end exclusive."""
 
-    # the pairs are made once, and then walked over
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("match"), b.alias("before")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda done: done["out"])
+    def moved(line: Column, col: Column, over: Column) -> tuple[Column, Column]:
+        breaks = F.size(F.split(over, "\n", -1)) - 1
+        return line + breaks, F.when(breaks > 0, F.octet_length(F.substring_index(over, "\n", -1))).otherwise(col + F.octet_length(over))
+
+    def step(done: Column, pair: Column) -> tuple[dict[str, Column], Column]:
+        line, col = moved(done["line"], done["col"], pair["before"])
+        end_line, end_col = moved(line, col, pair["match"])
+        abuts = (pair["match"] == "") & (pair["before"] == "") & done["any"]
+        out = F.struct(pair["match"].alias("match"), line.alias("line_no"), end_line.alias("end_line"), (col + 1).alias("col_start"), (end_col + 1).alias("col_end"), abuts.alias("abuts"))
+        return {"line": end_line, "col": end_col, "any": F.lit(True)}, out
+
+    kind = "struct<match:string,line_no:int,end_line:int,col_start:int,col_end:int,abuts:boolean>"
+    out = walked(match_pairs(text, pattern, may_be_empty), {"line": F.lit(1), "col": F.lit(0), "any": F.lit(False)}, kind, step)
+    return F.filter(out, lambda m: ~m["abuts"]) if may_be_empty else out
 
 
 def first_span(text: Column, pattern: str) -> Column:
@@ -55,14 +120,34 @@ def first_span(text: Column, pattern: str) -> Column:
     return F.struct(match.alias("match"), start.alias("start"), (start + F.octet_length(match)).alias("end"))
 
 
-def before_after(lines: DataFrame, before: int, after: int, key: str = "path") -> DataFrame:
-    """The lines around each line, as arrays before and after, in file order."""
-    by_file = Window.partitionBy(key).orderBy("line_no")
-
-    def around(a: int, b: int, wanted: bool) -> Column:
-        return F.collect_list("line").over(by_file.rowsBetween(a, b)) if wanted else F.array().cast("array<string>")
-
-    return lines.withColumns({"before": around(-before, -1, before > 0), "after": around(1, after, after > 0)})
+def lines_of(files: DataFrame, wanted: Callable[[Column], Column], before: int = 0, after: int = 0, offset: bool = False, drop_last_empty: bool = False) -> DataFrame:
+    """path, line_no, line, before, after (and line_offset, the bytes of the file
+    before it) of the wanted lines of files(path, content). Neighbours are cut out of
+    the file's own array, so no other line leaves its row and nothing is shuffled."""
+    if drop_last_empty:
+        files = files.where(F.length("content") > 0)
+    held = files.select("path", split_lines(F.col("content"), drop_last_empty).alias("ls"))
+    if offset:
+
+        def step(done: Column, line: Column) -> tuple[dict[str, Column], Column]:
+            return {"at": done["at"] + F.octet_length(line) + 1}, done["at"]
+
+        held = held.withColumn("starts", walked(F.col("ls"), {"at": F.lit(0).cast("long")}, "bigint", step))
+    ls = F.col("ls")
+
+    def row(i: Column) -> Column:
+        low = F.greatest(i - before, F.lit(1))
+        none = F.array().cast("array<string>")
+        return F.struct(
+            i.alias("line_no"), F.element_at(ls, i).alias("line"),
+            (F.slice(ls, low, i - low) if before else none).alias("before"),
+            (F.slice(ls, i + 1, F.lit(after)) if after else none).alias("after"),
+            (F.element_at("starts", i) if offset else F.lit(None).cast("long")).alias("line_offset"),
+        )
+
+    hits = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: wanted(F.element_at(ls, i)))
+    rows = held.select("path", F.transform(hits, row).alias("rows")).select("path", F.explode("rows").alias("r")).select("path", "r.*")
+    return rows if offset else rows.drop("line_offset")
 
 
 def first_per_file(matches: DataFrame, n: int, key: str = "path", order: tuple[str, ...] = ("line_no",)) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .lines import explode_lines, spans
+from .lines import explode_lines, walked
 
 TOKEN = r"[A-Za-z0-9_$]+"
 #: Words before a name that declare it, so that no call is meant.
@@ -16,30 +16,45 @@ NOT_CALLED = ("if", "for", "while", "switch", "return", "catch", "func", "functi
 
 
 def token_occurrences(files: DataFrame) -> DataFrame:
-    """path, line, col, token of every identifier-like token; a boundary-checked
-    occurrence of a name is exactly such a token."""
+    """path, line, col, token, call of every identifier-like token; a boundary-checked
+    occurrence of a name is exactly such a token. call: a parenthesis comes next."""
     lines = explode_lines(files.select("path", "content"))
-    at = lines.withColumn("m", F.explode(spans(F.col("line"), TOKEN)))
-    return at.select("path", F.col("line_no").alias("line"), (F.col("m.start") + 1).alias("col"), F.col("m.match").alias("token"), F.col("line").alias("context"))
+    found, between = F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)), F.split("line", TOKEN, -1)
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("token"), b.alias("before")))
+    pairs = F.zip_with(pairs, F.slice(between, 2, F.size(found)), lambda p, after: F.struct(p["token"].alias("token"), p["before"].alias("before"), after.rlike(r"^\s*\(").alias("call")))
 
+    def step(done: Column, pair: Column) -> tuple[dict[str, Column], Column]:
+        start = done["at"] + F.octet_length(pair["before"])
+        return {"at": start + F.octet_length(pair["token"])}, F.struct((start + 1).alias("col"), pair["token"].alias("token"), pair["call"].alias("call"))
 
-def references(symbols: DataFrame, files: DataFrame, same_file_only: bool = False) -> DataFrame:
-    """refs: an equi-join of tokens and symbol names. A definition's own name is a
-    definition; a name before a parenthesis is a call; all else is a reference.
-    Hot tokens are left to the adaptive skew join."""
-    tokens = token_occurrences(files).alias("t")
-    names = symbols.select("id", "name", "file_path", "start_line", "kind").alias("s")
+    at = walked(pairs, {"at": F.lit(0)}, "struct<col:int,token:string,call:boolean>", step)
+    return lines.select("path", "line_no", F.explode(at).alias("t")).select("path", F.col("line_no").alias("line"), "t.col", "t.token", "t.call")
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """file_path, line, context: the lines that hold a token, without the space around."""
+    lines = explode_lines(files.select("path", "content")).where(F.col("line").rlike(TOKEN))
+    return lines.select(F.col("path").alias("file_path"), F.col("line_no").alias("line"), F.trim("line").alias("context"))
+
+
+def resolved(symbols: DataFrame, tokens: DataFrame, same_file_only: bool = False) -> DataFrame:
+    """symbol_id, name, file_path, line, col, kind: an equi-join of tokens and symbol
+    names, by slim rows. A definition's own name is a definition; a name before a
+    parenthesis is a call; all else is a reference. Hot tokens are left to the
+    adaptive skew join."""
+    t, s = tokens.alias("t"), symbols.select("id", "name", "file_path", "start_line").alias("s")
     same = F.col("t.token") == F.col("s.name")
     if same_file_only:
         same &= F.col("t.path") == F.col("s.file_path")
-    found = tokens.join(names, same)
-    rest = F.substr(F.col("t.context"), F.lit(1) + F.length(F.decode(F.substring(F.encode("t.context", "UTF-8"), F.lit(1), F.col("t.col") - 1 + F.octet_length("t.token")), "UTF-8")))
-    kind = (
-        F.when((F.col("t.path") == F.col("s.file_path")) & (F.col("t.line") == F.col("s.start_line")), "definition")
-        .when(rest.rlike(r"^\s*\("), "call")
-        .otherwise("reference")
-    )
-    return found.select(F.col("s.id").alias("symbol_id"), F.col("s.name").alias("name"), F.col("t.path").alias("file_path"), F.col("t.line").alias("line"), F.col("t.col").alias("col"), kind.alias("kind"), F.trim("t.context").alias("context"))
+    own = (F.col("t.path") == F.col("s.file_path")) & (F.col("t.line") == F.col("s.start_line"))
+    kind = F.when(own, "definition").when(F.col("t.call"), "call").otherwise("reference")
+    return t.join(s, same).select(F.col("s.id").alias("symbol_id"), F.col("s.name").alias("name"), F.col("t.path").alias("file_path"), F.col("t.line").alias("line"), F.col("t.col").alias("col"), kind.alias("kind"))
+
+
+def references(symbols: DataFrame, files: DataFrame, same_file_only: bool = False) -> DataFrame:
+    """refs: the places where symbols are named, with their lines. A line meets its
+    references last, so it is not carried along with each token."""
+    return resolved(symbols, token_occurrences(files), same_file_only).join(code_lines(files), ["file_path", "line"]).select("symbol_id", "name", "file_path", "line", "col", "kind", "context")
 
 
 def one_per_line(refs: DataFrame) -> DataFrame:
@@ -49,7 +64,11 @@ def one_per_line(refs: DataFrame) -> DataFrame:
 
 
 def distinct_places(refs: DataFrame) -> DataFrame:
-    return refs.dropDuplicates(["file_path", "line", "col"])
+    """One reference a place; of several symbols there the one with the smallest id."""
+    place = ["file_path", "line", "col"]
+    rest = [c for c in refs.columns if c not in place]
+    one = refs.groupBy(*place).agg(F.min_by(F.struct(*rest), "symbol_id").alias("one"))
+    return one.select(*place, "one.*").select(refs.columns)
 
 
 def valid_references(refs: DataFrame, default_path: str | None = None) -> DataFrame:
