@@ -63,6 +63,38 @@ _RULES = {
         ("function", r"^(?!(?:return|else|if|while|for|switch|typedef)\b)[\w*][\w \t*]*[ \t*](?P<name>\w+)[ \t]*\([^;{}]*\)\s*\{", True),
     ],
 }
+#: More kinds, on request: (kind, pattern, whether a body follows, the kind of the
+#: innermost symbol around it, "" for none, None for any).
+DETAILS = {
+    "go": [
+        ("import", r'^import[ \t]+(?:[\w.]+[ \t]+)?"(?P<name>[^"\n]+)"', False, ""),
+        ("field", r"^[ \t]+(?P<name>[A-Za-z_]\w*)[ \t]+[\w\[\]*.]+", False, "struct"),
+    ],
+    "javascript": [
+        ("method", rf"^[ \t]*(?:(?:static|async|get|set)[ \t]+)*\*?[ \t]*(?P<name>#?{_ID})[ \t]*\([^)]*\)[^;{{}}\n]*\{{", True, "class"),
+        ("field", rf"^[ \t]*(?:static[ \t]+)?(?P<name>#?{_ID})[ \t]*(?::[^=;\n]+)?[=;]", False, "class"),
+        ("import", r"""^import\b[^'"\n]*['"](?P<name>[^'"\n]+)['"]""", False, ""),
+        ("function", rf"^(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<name>{_ID})[^=\n]*=[ \t]*(?:async[ \t]+)?(?:function\b|\([^)\n]*\)[^=\n]*=>|{_ID}[ \t]*=>)", False, ""),
+        ("constant", rf"^(?:export[ \t]+)?const[ \t]+(?P<name>{_ID})", False, ""),
+        ("variable", rf"^(?:export[ \t]+)?(?:let|var)[ \t]+(?P<name>{_ID})", False, ""),
+    ],
+    "rust": [
+        ("impl", r"^[ \t]*impl\b(?:[ \t]*<[^>\n]*>)?[ \t]+(?:[\w:<>]+[ \t]+for[ \t]+)?(?P<name>\w+)", True, None),
+        ("module", r"^[ \t]*(?:pub[ \t]+)?mod[ \t]+(?P<name>\w+)", True, None),
+        ("constant", r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:const|static)[ \t]+(?:mut[ \t]+)?(?P<name>\w+)[ \t]*:", False, None),
+        ("type", r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?type[ \t]+(?P<name>\w+)", False, None),
+        ("import", r"^[ \t]*(?:pub[ \t]+)?use[ \t]+(?P<name>[^;\n]+)", False, ""),
+    ],
+}
+DETAILS["typescript"] = [
+    ("method", rf"^[ \t]*(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)[ \t]+)*(?P<name>#?{_ID})[ \t]*(?:<[^>\n]*>)?\([^)]*\)[^;{{}}\n]*\{{", True, "class"),
+    ("field", rf"^[ \t]*(?:(?:public|private|protected|static|readonly|declare)[ \t]+)*(?P<name>#?{_ID})[?!]?[ \t]*(?::[^=;\n]+)?[=;]", False, "class"),
+    ("module", rf"^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?namespace[ \t]+(?P<name>{_ID})", True, None),
+    *DETAILS["javascript"][2:],
+]
+#: Words that stand before a parenthesis in a class body's methods.
+_NO_METHOD = frozenset("if for while switch catch function return with".split())
+_OPENS = frozenset("function method class struct interface enum trait impl module namespace package".split())
 _RULES["cpp"] = [*_RULES["c"], ("class", r"\bclass[ \t]+(?P<name>\w+)[^;{]*\{", True)]
 _BLOCK = re.compile(r"^(var|const|type)[ \t]*\(", re.M)
 
@@ -154,7 +186,37 @@ def _braced(source: str, language: str) -> Iterator[Found]:
                     yield (s["name"], kind, *at(place), *at(place + len(s["name"])), s[0].strip(), None, None)
 
 
-def _python(source: str) -> Iterator[Found]:
+def _around(found: list[Found], line: int, col: int) -> Found | None:
+    """The innermost of the symbols that open a scope around a place."""
+    inside = [f for f in found if f[1] in _OPENS and (f[2], f[3]) <= (line, col) < (f[4], f[5])]
+    return max(inside, key=lambda f: (f[2], f[3]), default=None)
+
+
+def _details(source: str, language: str, plain: list[Found]) -> Iterator[Found]:
+    # imports are named by strings, which are blanks in the code
+    code, at = blanked(source, language), _positions(source)
+    seen, found = {(f[2], f[0]) for f in plain}, list(plain)
+    if language == "go":  # a struct's own span is its name
+        for m in re.finditer(r"\b(\w+)(?:\[[^\]\n]*\])?[ \t]+struct[ \t]*\{", code):
+            found.append((m[1], "struct", *at(m.end()), *at(_end_of_body(code, m.end() - 1)), "", None, None))
+    for kind, pattern, body, parent in DETAILS.get(language, ()):
+        for m in re.finditer(pattern, source if kind == "import" else code, re.M):
+            whole = m.start() + len(m[0]) - len(m[0].lstrip())
+            line, col = at(whole)
+            name = m["name"].strip()
+            if code[whole] == " " or (line, name) in seen or kind == "method" and name in _NO_METHOD:
+                continue
+            outer = _around(found, line, col)
+            if parent is not None and (outer[1] if outer else "") != parent:
+                continue
+            end = _end_of_body(code, m.end() - 1 if m[0].endswith("{") else m.end("name")) if body else code.find("\n", m.end()) % (len(code) + 1)
+            seen.add((line, name))
+            out = (name, kind, line, col, *at(end), source[whole : code.find("\n", whole) % (len(code) + 1)].rstrip(" {"), None, None)
+            found.append(out)
+            yield out
+
+
+def _python(source: str, details: bool) -> Iterator[Found]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
@@ -170,15 +232,52 @@ def _python(source: str) -> Iterator[Found]:
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
             head = lines[node.lineno - 1].strip().rstrip(":")
             yield (node.name, kind, node.lineno, node.col_offset + 1, node.end_lineno, node.end_col_offset + 1, head, ast.get_docstring(node), None)
+    for node in tree.body if details else ():
+        place = (node.lineno, node.col_offset + 1, node.end_lineno, node.end_col_offset + 1, lines[node.lineno - 1].strip(), None, None)
+        if isinstance(node, ast.Import | ast.ImportFrom):
+            base = "." * node.level + (node.module or "") if isinstance(node, ast.ImportFrom) else ""
+            for alias in node.names:
+                yield (f"{base}.{alias.name}".lstrip(".") if base else alias.name, "import", *place)
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+        for t in targets:
+            if isinstance(t, ast.Name):
+                yield (t.id, "constant" if t.id.isupper() else "variable", *place)
 
 
-def declarations(source: str | None, language: str | None) -> list[Found]:
+def declarations(source: str | None, language: str | None, details: bool = False) -> list[Found]:
     if not source or language is None:
         return []
-    found = _python(source) if language == "python" else _braced(source, language) if language in _RULES else ()
+    if language == "python":
+        found = list(_python(source, details))
+    else:
+        found = list(_braced(source, language)) if language in _RULES else []
+        if details and language in _TOKENS:
+            found += _details(source, language, found)
     return sorted(found, key=lambda f: (f[2], f[3], f[0]))
 
 
+def described(source: str | None, language: str | None, details: bool = False) -> list[tuple]:
+    """(name, kind, type, start_line, start_col, end_line, end_col, signature, doc,
+    scope, properties): declarations with the name of the innermost symbol around
+    them and what their heads say."""
+    found = declarations(source, language, details)
+    out, opened = [], []
+    for f in found:  # by place: whoever is open and has not ended is around
+        name, kind, line, col, end_line, end_col, head, doc, typed = f
+        while opened and (opened[-1][4], opened[-1][5]) <= (line, col):
+            opened.pop()
+        around = opened[-1][0] if opened else None
+        properties = [("async", "true")] if re.match(r"(?:export\s+)?(?:default\s+)?(?:static\s+)?(?:pub\s+)?async\b", head) else []
+        if language == "go" and kind == "method" and (m := re.match(r"func\s*\(\s*\w*\s*\*?\s*(\w+)", head)):
+            properties.append(("receiver", m[1]))
+        if kind in ("method", "field") and re.match(r"(?:\w+\s+)*?static\b", head):
+            properties.append(("static", "true"))
+        out.append((name, kind, typed, line, col, end_line, end_col, head, doc, around, properties))
+        if kind in _OPENS and (end_line, end_col) > (line, col):
+            opened.append(f)
+    return out
+
+
 def syntax_errors(source: str | None, language: str | None) -> list[tuple[int, int, str]]:
     """(line, column, message) of what does not parse: Python's own verdict, and
     brackets that do not match elsewhere."""

@@ -170,3 +170,14 @@ def symbol_filter(field: str, op: str, value: str) -> Column:
 def name_matches(name: Column, pattern: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
     a, b = (name, pattern) if case_sensitive else (F.lower(name), pattern.lower())
     return a == b if whole_word else F.contains(a, F.lit(b))
+
+
+def walk_stats(files: DataFrame, kept: Column) -> DataFrame:
+    """One row for files(path, size, error) as a walk found them: files found, those
+    that a filter left out, directories, errors, and the bytes of what is kept."""
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    taken = F.coalesce(kept, F.lit(False)) & F.col("error").isNull()
+    return files.agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(taken).alias("kept"), F.count_if(~taken & F.col("error").isNull()).alias("filtered"), F.count("error").alias("errors"),
+        F.count_distinct(parent).alias("directories"), F.coalesce(F.sum(F.when(taken, F.col("size"))), F.lit(0)).cast("long").alias("bytes"),
+    )

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.scalars import symbol_id
+from ..functions.scalars import clean_doc, symbol_id
 from .lines import explode_lines
 
 #: Kinds of symbols that open a scope, and the scope's kind.
@@ -67,27 +73,32 @@ def line_symbols(files: DataFrame) -> DataFrame:
     return found.select("path", "language", "d.kind", "d.name", F.col("line_no").alias("line"), (F.octet_length(before) + 1).alias("col"))
 
 
-_SYMBOL = "name string, kind string, start_line int, start_col int, end_line int, end_col int, signature string, doc_string string, type string"
-
-
-@F.udtf(returnType=_SYMBOL)
-class ExtractSymbols:
-    """Table function: the declarations of one file."""
+_SYMBOL = "path string, language string, name string, kind string, type string, start_line int, start_col int, end_line int, end_col int, signature string, doc_string string, scope string, properties map<string,string>"
+_ERROR = "path string, line int, col int, message string"
+#: Rows that are handed on at once, and times that a file is tried.
+ROWS, ATTEMPTS = 10_000, 3
 
-    def eval(self, content: str, language: str):
-        from ..functions.scanners import declarations
 
-        yield from declarations(content, language)
+def _patiently(work: Callable[[], list], pause: float = 0.1) -> list | None:
+    """What work() returns, tried up to ATTEMPTS times; None if it fails each time."""
+    for attempt in range(ATTEMPTS):
+        try:
+            return work()
+        except (MemoryError, OSError, RecursionError, ValueError):
+            time.sleep(pause * (attempt + 1 < ATTEMPTS))
+    return None
 
 
-@F.udtf(returnType="line int, col int, message string")
-class SyntaxErrors:
-    """Table function: what does not parse in one file."""
+def _arrow_rows(rows: Iterator[tuple], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    arrow = pa.schema([(f.name, pa.map_(pa.string(), pa.string()) if f.name == "properties" else pa.int32() if f.dataType == T.IntegerType() else pa.string()) for f in schema.fields])
+    while some := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), arrow)], schema=arrow)
 
-    def eval(self, content: str, language: str):
-        from ..functions.scanners import syntax_errors
 
-        yield from syntax_errors(content, language)
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
 
 
 def modifiers(language: Column, name: Column) -> Column:
@@ -106,24 +117,48 @@ def modifiers(language: Column, name: Column) -> Column:
     return F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """files(path, language, content) -> the symbols table, by one table function
-    call per file, after the partition the file is in."""
-    files = files.select("path", "content", "language")
-    found = files.lateralJoin(ExtractSymbols(F.col("content").outer(), F.col("language").outer()))
-    path, tags = F.col("path"), F.when(F.array_contains(modifiers(F.col("language"), F.col("name")), "public"), F.array(F.lit("exported"))).otherwise(F.array().cast("array<string>"))
+def extract_symbols(files: DataFrame, details: bool = False) -> DataFrame:
+    """files(path, language, content) -> the symbols table, a file at a time in Arrow
+    batches, without a shuffle. details: methods, fields, imports, variables and
+    constants too, where the plain declarations leave them out. A file that fails
+    has no symbols."""
+    schema = T._parse_datatype_string(_SYMBOL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.scanners import described
+
+        def rows() -> Iterator[tuple]:
+            for path, language, content in _files(batches):
+                for found in _patiently(lambda: described(content, language, details)) or ():
+                    yield (path, language, *found)
+
+        yield from _arrow_rows(rows(), schema)
+
+    found = files.select("path", "language", "content").mapInArrow(run, schema)
+    visible = modifiers(F.col("language"), F.col("name"))
+    tags = F.when(F.array_contains(visible, "public"), F.array(F.lit("exported"))).otherwise(F.array().cast("array<string>"))
     return found.select(
-        symbol_id(path, F.col("start_line"), F.col("start_col"), F.col("kind"), F.col("name")).alias("id"),
-        "name", "kind", "type", "language", path.alias("file_path"), "start_line", "end_line", "start_col", "end_col", "signature", "doc_string",
-        F.lit(None).cast("string").alias("scope"), modifiers(F.col("language"), F.col("name")).alias("modifiers"), tags.alias("tags"),
-        F.create_map().cast("map<string,string>").alias("properties"), F.current_timestamp().alias("last_updated"),
+        symbol_id(F.col("path"), F.col("start_line"), F.col("start_col"), F.col("kind"), F.col("name")).alias("id"),
+        "name", "kind", "type", "language", F.col("path").alias("file_path"), "start_line", "end_line", "start_col", "end_col", "signature", clean_doc(F.col("doc_string")).alias("doc_string"),
+        "scope", visible.alias("modifiers"), tags.alias("tags"), "properties", F.current_timestamp().alias("last_updated"),
     )
 
 
 def syntax_errors(files: DataFrame) -> DataFrame:
-    files = files.select("path", "content", "language")
-    found = files.lateralJoin(SyntaxErrors(F.col("content").outer(), F.col("language").outer()))
-    return found.select("path", "line", "col", "message")
+    """path, line, col, message of what does not parse."""
+    schema = T._parse_datatype_string(_ERROR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.scanners import syntax_errors as errors
+
+        def rows() -> Iterator[tuple]:
+            for path, language, content in _files(batches):
+                for found in _patiently(lambda: errors(content, language)) or ():
+                    yield (path, *found)
+
+        yield from _arrow_rows(rows(), schema)
+
+    return files.select("path", "language", "content").mapInArrow(run, schema)
 
 
 def comment_above(lines: DataFrame, key: str = "path") -> DataFrame:
@@ -165,9 +200,10 @@ def kind_alias(name: str) -> str:
 def language_features(spark: SparkSession) -> DataFrame:
     """language, kind, by_line, by_span: what each language's symbols can be, by
     line rules and by the table function."""
+    from ..functions.scanners import DETAILS
     from ..functions.scanners import _RULES as spans
 
-    by_span = {lang: {k for k, *_ in rules} for lang, rules in spans.items()} | {"python": {"function", "class"}}
+    by_span = {lang: {k for k, *_ in (*rules, *DETAILS.get(lang, ()))} for lang, rules in spans.items()} | {"python": {"function", "class", "import", "variable"}}
     rows = []
     for lang in sorted({*_RULES, *by_span}):
         line = {k for k, _ in _RULES.get(lang, ())}

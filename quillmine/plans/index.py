@@ -1,31 +1,45 @@
 """The index: symbols, references and file metadata in versioned Parquet tables.
 
-Each write makes a new version beside the old one and then moves one pointer
-file, so readers see a whole version or none, and a failed write leaves the old
-one in place. Inverted name, type and tag indexes are not stored: columnar
-filters on the symbols table do their work; ``postings`` derives them.
+Each write makes new tables beside the old ones and then one pointer file, so
+readers see a whole version or none, and a failed write leaves the old one in
+place. Of two writers one gets the pointer, and the other an error. Inverted name,
+type and tag indexes are not stored: columnar filters on the symbols table do
+their work; ``posting_rows`` derives them.
+
+References are symbols times tokens. Tokens are stored, so after a change the
+tokens of changed files meet all symbols, those of other files the new symbols
+alone, and an incremental build gives what a rebuild gives.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import human_bytes, sha256_hex
 from ..operators.filters import index_file_filter
 from ..operators.languages import index_language, parser_language
-from ..operators.refs import references
+from ..operators.refs import code_lines, resolved, token_occurrences
 from ..operators.symbols import extract_symbols
+from .errors import abort_if_failing
 
 #: Files that are indexed unless asked otherwise, and size limit.
 INCLUDE = ("*.go", "*.py", "*.pyi", "*.js", "*.jsx", "*.mjs", "*.ts", "*.tsx", "*.rs", "*.java", "*.cpp", "*.c", "*.h")
 EXCLUDE = ("vendor/*", "node_modules/*", ".git/*", "*.test.go")
 MAX_FILE_BYTES = 10 << 20
-TABLES = ("symbols", "refs", "file_meta")
+TABLES = ("symbols", "refs", "file_meta", "tokens", "lines")
+#: Bytes of a file that compact() writes.
+FILE_BYTES = 256 << 20
+
+
+class WriteConflict(RuntimeError):
+    """Another writer made the version that this one was to make."""
 
 
 def file_metadata(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -53,24 +67,31 @@ def changes(files: DataFrame, meta: DataFrame, by: str = "mtime_or_hash") -> Dat
     return both.select("path", status.alias("status"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of old whose key new does not have, and all of new."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str | tuple[str, ...]) -> DataFrame:
+    """Rows of old whose key, of one column or several, new does not have, and all of new."""
+    on = [key] if isinstance(key, str) else list(key)
+    return old.join(new.select(*on).distinct(), on, "left_anti").select(old.columns).unionByName(new)
 
 
-def postings(symbols: DataFrame) -> DataFrame:
-    """kind_of_key, key, ids: names, types and tags in lower case with the ids that have them."""
+def posting_rows(symbols: DataFrame) -> DataFrame:
+    """field, key, id: names, types and tags in lower case with the ids that have
+    them, a row for each, as a tag can have nearly all ids."""
     names = symbols.select(F.lit("name").alias("field"), F.lower("name").alias("key"), "id")
     types = symbols.where(F.coalesce("type", F.lit("")) != "").select(F.lit("type").alias("field"), F.lower("type").alias("key"), "id")
     tags = symbols.select(F.lit("tag").alias("field"), F.explode(F.transform("tags", F.lower)).alias("key"), "id")
-    return names.unionByName(types).unionByName(tags).groupBy("field", "key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return names.unionByName(types).unionByName(tags).distinct()
+
+
+def postings(symbols: DataFrame) -> DataFrame:
+    """field, key, ids: posting_rows() as a list for each key, for those who ask for few keys."""
+    return posting_rows(symbols).groupBy("field", "key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
 def language_histogram(meta: DataFrame) -> DataFrame:
     """language, files, share in percent."""
     by = meta.groupBy("language").agg(F.count(F.lit(1)).alias("files"))
     total = meta.agg(F.count(F.lit(1)).alias("total"))
-    return by.crossJoin(total).select("language", "files", F.round(F.col("files") * 100.0 / F.col("total"), 1).alias("share"))
+    return by.crossJoin(F.broadcast(total)).select("language", "files", F.round(F.col("files") * 100.0 / F.col("total"), 1).alias("share"))
 
 
 def status(meta: DataFrame, latest: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -107,8 +128,8 @@ class IndexStore:
         finally:
             stream.close()
 
-    def _write_text(self, at: str, text: str) -> None:
-        stream = self.fs.create(self._path(at), True)
+    def _write_text(self, at: str, text: str, overwrite: bool = True) -> None:
+        stream = self.fs.create(self._path(at), overwrite)
         try:
             stream.write(bytearray(text.encode()))
         finally:
@@ -126,23 +147,43 @@ class IndexStore:
         places = json.loads(self._read_text(f"{self.folder}/current-{v}"))
         if name not in places:
             return None
-        schema = T.StructType.fromJson(places[name]["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{places[name]['path']}").select(schema.names)
+        return self._stored(places[name])
+
+    def _stage(self, places: dict, version: str, name: str, df: DataFrame) -> DataFrame:
+        """df as a new table that no version has yet; the table, to be read on."""
+        at = f"{version}/{name}"
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        if name == "symbols":
+            writer = writer.partitionBy("language")
+        writer.parquet(f"{self.folder}/{at}")
+        places[name] = {"path": at, "schema": json.loads(df.schema.json())}
+        return self._stored(places[name])
+
+    def _stored(self, place: dict) -> DataFrame:
+        schema = T.StructType.fromJson(place["schema"])
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{place['path']}").select(schema.names)
+
+    def _begin(self) -> tuple[int, str, dict]:
+        """The version to be made, a folder for its tables, and the places of the present ones."""
+        old = self.version()
+        places = json.loads(self._read_text(f"{self.folder}/current-{old}")) if old else {}
+        return old + 1, f"v{old + 1}-{uuid.uuid4().hex[:8]}", places
+
+    def _publish(self, new: int, folder: str, places: dict) -> int:
+        """The pointer is made, not replaced: whoever comes second fails."""
+        try:
+            self._write_text(f"{self.folder}/current-{new}", json.dumps(places), overwrite=False)
+        except Py4JJavaError as e:
+            self.fs.delete(self._path(f"{self.folder}/{folder}"), True)
+            raise WriteConflict(f"version {new} is there already") from e
+        return new
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """Write new tables, carry the others over, and make that the version."""
-        old = self.version()
-        new = old + 1
-        places = json.loads(self._read_text(f"{self.folder}/current-{old}")) if old else {}
+        new, folder, places = self._begin()
         for name, df in tables.items():
-            at = f"v{new}/{name}"
-            places[name] = {"path": at, "schema": json.loads(df.schema.json())}
-            writer = df.write.mode("overwrite").option("compression", "zstd")
-            if name == "symbols":
-                writer = writer.partitionBy("language")
-            writer.parquet(f"{self.folder}/{at}")
-        self._write_text(f"{self.folder}/current-{new}", json.dumps(places))
-        return new
+            self._stage(places, folder, name, df)
+        return self._publish(new, folder, places)
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete versions but the last few; tables that these still use stay."""
@@ -175,66 +216,143 @@ class IndexStore:
                 tables[name] = self.spark.read.parquet(f"{source.rstrip('/')}/{name}")
         return self.commit(tables)
 
-    def compact(self, files: int = 1) -> int:
-        """Few large files in place of many small ones."""
-        return self.commit({name: t.coalesce(files) for name in TABLES if (t := self.table(name)) is not None})
+    def compact(self, file_bytes: int = FILE_BYTES) -> int:
+        """Files of about file_bytes in place of many small ones."""
+        places = json.loads(self._read_text(f"{self.folder}/current-{self.version()}"))
+        tables = {}
+        for name in places:
+            size = self.fs.getContentSummary(self._path(f"{self.folder}/{places[name]['path']}")).getLength()
+            tables[name] = self.table(name).repartition(max(1, -(-size // file_bytes)))
+        return self.commit(tables)
 
     def size(self) -> int:
         return self.fs.getContentSummary(self._path(self.folder)).getLength() if self.version() else 0
 
+    def stats(self) -> dict:
+        """Rows, bytes and files of each table, and the store's versions and bytes."""
+        version, tables = self.version(), {}
+        places = json.loads(self._read_text(f"{self.folder}/current-{version}")) if version else {}
+        for name, place in places.items():
+            held = self.fs.getContentSummary(self._path(f"{self.folder}/{place['path']}"))
+            tables[name] = {"rows": self.table(name).count(), "bytes": held.getLength(), "files": held.getFileCount()}
+        return {"version": version, "bytes": self.size(), "tables": tables}
+
+    # -- point reads
+
+    def get(self, name: str, **keys) -> DataFrame:
+        """Rows of a table with these values."""
+        out = self.table(name)
+        for col, value in keys.items():
+            out = out.where(F.col(col).eqNullSafe(F.lit(value)))
+        return out
+
+    def has(self, name: str, **keys) -> bool:
+        return not self.get(name, **keys).isEmpty()
+
+    def symbols_in_file(self, path: str) -> DataFrame:
+        return self.get("symbols", file_path=path).orderBy("start_line", "start_col")
+
+    def references_in_file(self, path: str) -> DataFrame:
+        return self.get("refs", file_path=path).orderBy("line", "col")
+
     # -- building
 
     def build(self, files: DataFrame, incremental: bool = False, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, max_bytes: int = MAX_FILE_BYTES) -> dict:
-        """Index files(path, content, mtime); the counters of the run."""
-        began = time.time()
-        files = files.where(index_file_filter(F.col("path"), include, exclude) & (F.octet_length("content") <= max_bytes))
-        files = files.withColumn("content", F.col("content").cast("string"))
-        found = files.count()
-        old = {n: self.table(n) for n in TABLES} if incremental else {}
-        removed = None
-        if incremental and old["file_meta"] is not None:
-            diff = changes(files, old["file_meta"]).persist()
-            files = files.join(diff.where("status in ('new', 'changed')"), "path", "left_semi")
-            removed = diff.where("status in ('changed', 'removed')").select("path")
-        seen = Observation()
-        parsed = files.select("path", "content", "mtime", parser_language(F.col("path")).alias("language")).observe(seen, F.count(F.lit(1)).alias("processed"), F.sum(F.octet_length("content")).alias("bytes"))
-        symbols = extract_symbols(parsed)
-        meta = file_metadata(files, extract_symbols(files.withColumn("language", parser_language(F.col("path")))))
-        if removed is not None:
-            gone = removed.withColumnRenamed("path", "file_path")
-            symbols = old["symbols"].join(gone, "file_path", "left_anti").unionByName(symbols, allowMissingColumns=True)
-            meta = old["file_meta"].join(removed, "path", "left_anti").unionByName(meta)
-        version = self.commit({"symbols": symbols, "file_meta": meta})
-        stored = self.table("symbols")
-        refs = references(stored, files)
-        if removed is not None and old["refs"] is not None:
-            kept = old["refs"].join(removed.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
-            refs = kept.join(stored.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").unionByName(refs).distinct()
-        version = self.commit({"refs": refs})
-        counts = seen.get
-        return {"version": version, "found": found, "processed": counts["processed"] or 0, "skipped": found - (counts["processed"] or 0), "bytes": counts["bytes"] or 0,
-                "symbols": stored.count(), "references": self.table("refs").count(), "seconds": time.time() - began}
+        """Index files(path, content, mtime); the counters of the run. Files with an
+        error are left out, and too many of them end the build."""
+        began, errors = time.time(), 0
+        _, folder, _ = self._begin()
+        try:
+            # the source is read once
+            fits = index_file_filter(F.col("path"), include, exclude) & (F.coalesce(F.octet_length("content"), F.lit(0)) <= max_bytes)
+            held = files.where(fits).withColumn("content", F.col("content").cast("string"))
+            held = self._stage({}, folder, "found", held.select("path", "content", "mtime", *(c for c in ("error",) if c in files.columns)))
+            if "error" in held.columns:
+                abort_if_failing(held)
+                errors = held.where("error is not null").count()
+                held = held.where("error is null").drop("error")
+            meta = self.table("file_meta") if incremental else None
+            if meta is None:
+                self._update(held, None)
+                found = processed = self.table("file_meta").count()
+            else:
+                diff = self._stage({}, folder, "changes", changes(held, meta))
+                by = {r.status: r.n for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+                processed = by.get("new", 0) + by.get("changed", 0)
+                found = processed + by.get("same", 0)
+                wanted = diff.where("status in ('new', 'changed')").select("path")
+                wanted = self._stage({}, folder, "wanted", held.join(wanted, "path", "left_semi"))
+                self._update(wanted, diff.where("status in ('changed', 'removed')").select("path"))
+        finally:
+            self.fs.delete(self._path(f"{self.folder}/{folder}"), True)
+        counted = self.table("file_meta").agg(F.sum("size").alias("bytes"), F.sum("symbol_count").alias("symbols")).first()
+        seconds = time.time() - began
+        return {"version": self.version(), "found": found, "processed": processed, "skipped": found - processed, "errors": errors, "bytes": counted.bytes or 0, "symbols": counted.symbols or 0,
+                "references": self.table("refs").count(), "seconds": seconds, "files_per_second": processed / seconds}
+
+    def _update(self, files: DataFrame, gone: DataFrame | None) -> int:
+        """One new version: rows of the paths in gone(path) leave, those of files(path,
+        content, mtime) come; without gone the tables begin anew."""
+        new, folder, places = self._begin()
+        old = {} if gone is None else {n: self.table(n) for n in TABLES}
+
+        def kept(name: str, col: str = "path") -> DataFrame:
+            return old[name].join(gone.select(F.col("path").alias(col)), col, "left_anti").select(old[name].columns)
+
+        def stage(name: str, made: DataFrame, col: str = "path") -> DataFrame:
+            return self._stage(places, folder, name, made if gone is None else kept(name, col).unionByName(made))
+
+        parsed = files.select("path", "content", parser_language(F.col("path")).alias("language"))
+        fresh = extract_symbols(parsed)
+        if gone is not None:
+            gone = self._stage({}, folder, "gone", gone.distinct())
+            fresh = self._stage({}, folder, "fresh", fresh)
+        symbols = stage("symbols", fresh, "file_path")
+        fresh = symbols if gone is None else fresh
+        meta = stage("file_meta", file_metadata(files, fresh.select("file_path")))
+        tokens = stage("tokens", token_occurrences(parsed))
+        lines = stage("lines", code_lines(parsed), "file_path")
+        if gone is None:
+            made = resolved(symbols, tokens)
+        else:
+            written = files.select("path")
+            made = resolved(symbols, tokens.join(written, "path", "left_semi")).unionByName(resolved(fresh, tokens.join(written, "path", "left_anti")))
+        refs = made.join(lines, ["file_path", "line"]).select(*made.columns, "context")
+        if gone is not None:
+            lost = old["symbols"].join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("id").alias("symbol_id"))
+            refs = kept("refs", "file_path").join(lost, "symbol_id", "left_anti").select(refs.columns).unionByName(refs)
+        self._stage(places, folder, "refs", refs)
+        done = self._publish(new, folder, places)
+        for name in ("gone", "fresh") if gone is not None else ():
+            self.fs.delete(self._path(f"{self.folder}/{folder}/{name}"), True)
+        return done
+
+    def update(self, files: DataFrame, gone: DataFrame) -> int:
+        """Paths in gone(path) leave the index, files(path, content, mtime) join it, all
+        in one version."""
+        _, folder, _ = self._begin()
+        try:
+            held = files.select("path", F.col("content").cast("string").alias("content"), "mtime")
+            return self._update(self._stage({}, folder, "found", held), gone)
+        finally:
+            self.fs.delete(self._path(f"{self.folder}/{folder}"), True)
 
     def rebuild(self, files: DataFrame, **options) -> dict:
         return self.build(files, incremental=False, **options)
 
+    def delete_files(self, paths: DataFrame) -> int:
+        """The files' metadata, symbols, tokens and lines, and all references in them or
+        to their symbols."""
+        return self.update(self.spark.createDataFrame([], "path string, content string, mtime timestamp"), paths.select("path"))
+
     def delete_file(self, path: str) -> int:
-        """The file's metadata, its symbols, and all references in it or to these."""
-        symbols, refs, meta = (self.table(n) for n in TABLES)
-        gone = symbols.where(F.col("file_path") == path).select(F.col("id").alias("symbol_id"))
-        return self.commit(
-            {
-                "symbols": symbols.where(F.col("file_path") != path),
-                "refs": refs.where(F.col("file_path") != path).join(gone, "symbol_id", "left_anti"),
-                "file_meta": meta.where(F.col("path") != path),
-            }
-        )
+        return self.delete_files(self.spark.createDataFrame([(path,)], "path string"))
 
     def delete_symbol(self, symbol_id: str) -> int:
-        symbols, refs, _ = (self.table(n) for n in TABLES)
+        symbols, refs = self.table("symbols"), self.table("refs")
         return self.commit({"symbols": symbols.where(F.col("id") != symbol_id), "refs": refs.where(F.col("symbol_id") != symbol_id)})
 
-    def put(self, name: str, rows: DataFrame, key: str) -> int:
+    def put(self, name: str, rows: DataFrame, key: str | tuple[str, ...]) -> int:
         """Insert or replace rows by key; all rows of one call are one version."""
         old = self.table(name)
         return self.commit({name: rows if old is None else upsert(old, rows, key)})

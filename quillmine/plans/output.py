@@ -91,9 +91,20 @@ def _text(col: Column) -> Column:
     return F.struct(col.alias("text"))
 
 
-def json_messages(matches: DataFrame, elapsed: float = 0.0, searched: int | None = None, bytes_searched: int = 0) -> DataFrame:
-    """begin, match and end messages of each file and a summary, in order, as the
-    common line-oriented search format has them."""
+def _context_messages(matches: DataFrame) -> DataFrame:
+    """context messages of the lines around matches that hold none themselves."""
+    around = matches.select("path", "line_no", "before", "after").dropDuplicates(["path", "line_no"])
+    before = around.select("path", F.col("line_no").alias("at"), F.posexplode("before").alias("k", "text"), F.size("before").alias("n"))
+    after = around.select("path", F.col("line_no").alias("at"), F.posexplode("after").alias("k", "text"))
+    rows = before.select("path", (F.col("at") - F.col("n") + F.col("k")).alias("line_no"), "text").unionByName(after.select("path", (F.col("at") + F.col("k") + 1).alias("line_no"), "text"))
+    rows = rows.groupBy("path", "line_no").agg(F.min("text").alias("text")).join(around.select("path", "line_no"), ["path", "line_no"], "left_anti")
+    data = F.struct(_text(F.col("path")).alias("path"), _text(F.concat("text", F.lit("\n"))).alias("lines"), F.col("line_no").alias("line_number"), F.array().cast("array<string>").alias("submatches"))
+    return rows.select("path", F.lit(1).alias("step"), "line_no", F.to_json(F.struct(F.lit("context").alias("type"), data.alias("data"))).alias("value"))
+
+
+def json_messages(matches: DataFrame, elapsed: float = 0.0, searched: int | None = None, bytes_searched: int = 0, context: bool = True) -> DataFrame:
+    """begin, match, context and end messages of each file and a summary, in order, as
+    the common line-oriented search format has them."""
     lines = per_line(matches)
     subs = F.transform("submatches", lambda s: F.struct(_text(s["text"]).alias("match"), s["start"].alias("start"), s["end"].alias("end")))
     data = F.struct(_text(F.col("path")).alias("path"), _text(F.concat(F.col("line"), F.lit("\n"))).alias("lines"), F.col("line_no").alias("line_number"), "absolute_offset", subs.alias("submatches"))
@@ -113,6 +124,8 @@ def json_messages(matches: DataFrame, elapsed: float = 0.0, searched: int | None
         F.lit("\U0010ffff").alias("path"), F.lit(3).alias("step"), F.lit(0).alias("line_no"),
         F.to_json(F.struct(F.lit("summary").alias("type"), F.struct(took.alias("elapsed_total"), all_stats.alias("stats")).alias("data"))).alias("value"),
     )
+    if context and {"before", "after"} <= set(matches.columns):
+        match = match.unionByName(_context_messages(matches))
     return begin.unionByName(match).unionByName(end).unionByName(summary).orderBy("path", "step", "line_no")
 
 
@@ -166,7 +179,47 @@ def invalid_messages(values: DataFrame) -> DataFrame:
     return values.where(~F.coalesce(fine, F.lit(False)))
 
 
-WRITERS = {"text": text_output, "json": json_messages, "jsonl": json_lines, "count": count_output, "files": files_output, "json-count": json_counts, "json-files": json_files}
+def library_text(results: DataFrame, line_numbers: bool = True, heading: bool = True) -> DataFrame:
+    """A line per result as the library prints it: place, text or match and, where a
+    symbol is known from metadata or from its own columns, its kind and name."""
+
+    def known(field: str) -> Column:
+        own = [F.col(field)] if field in results.columns else []
+        return F.coalesce(*own, *([F.element_at("metadata", field)] if "metadata" in results.columns else []), F.lit(None).cast("string"))
+
+    text = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("line", "match") if c in results.columns), F.lit(""))
+    number = F.concat(F.col("line_no").cast("string"), F.lit(":")) if line_numbers else F.lit("")
+    col = F.when(F.col("col_start") > 0, F.concat(F.col("col_start").cast("string"), F.lit(":"))).otherwise("")
+    path = F.lit("") if heading else F.concat("path", F.lit(":"))
+    symbol = F.when(known("name").isNotNull(), F.concat(F.lit(" ["), F.coalesce(known("kind"), F.lit("")), F.lit(": "), known("name"), F.lit("]"))).otherwise("")
+    out = results.select("path", "line_no", "col_start", F.lit(1).alias("step"), F.concat(path, number, col, text, symbol).alias("value"))
+    if heading:
+        heads = results.select("path").distinct().select("path", F.lit(0).alias("line_no"), F.lit(0).alias("col_start"), F.lit(0).alias("step"), F.concat(F.lit("\n"), "path").alias("value"))
+        out = out.unionByName(heads)
+    return out.orderBy("path", "step", "line_no", "col_start")
+
+
+def library_json(results: DataFrame) -> DataFrame:
+    """A match message per result, with what is known of its symbol."""
+    extra = [c for c in ("name", "kind", "type", "scope", "metadata") if c in results.columns]
+    sub = F.struct(_text(F.col("match")).alias("match"), (F.col("col_start") - 1).alias("start"), (F.col("col_start") - 1 + F.octet_length("match")).alias("end"))
+    line = F.col("line") if "line" in results.columns else F.col("match")
+    data = F.struct(_text(F.col("path")).alias("path"), _text(line).alias("lines"), F.col("line_no").alias("line_number"), F.array(sub).alias("submatches"), *extra)
+    return results.select("path", "line_no", "col_start", F.to_json(F.struct(F.lit("match").alias("type"), data.alias("data"))).alias("value")).orderBy("path", "line_no", "col_start")
+
+
+def stats_text(stats: DataFrame) -> DataFrame:
+    """The one row of search statistics as lines of text."""
+    names = [c for c in stats.columns]
+    lines = F.array(F.lit("Search statistics:"), *(F.concat(F.lit(f"  {n.replace('_', ' ')}: "), F.col(n).cast("string")) for n in names))
+    return stats.select(F.posexplode(lines).alias("k", "value")).orderBy("k").select("value")
+
+
+def stats_json(stats: DataFrame) -> DataFrame:
+    return stats.select(F.to_json(F.struct(F.lit("stats").alias("type"), F.struct(*stats.columns).alias("data"))).alias("value"))
+
+
+WRITERS = {"library": library_text, "library-json": library_json, "text": text_output, "json": json_messages, "jsonl": json_lines, "count": count_output, "files": files_output, "json-count": json_counts, "json-files": json_files}
 
 
 def render(matches: DataFrame, form: str = "text", **options) -> DataFrame:

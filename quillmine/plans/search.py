@@ -113,6 +113,31 @@ def hybrid(matches: DataFrame, symbols: DataFrame) -> DataFrame:
     return both.withColumn("_n", first).where("_n = 1").drop("_n", "rank")
 
 
+def hybrid_stats(parts: DataFrame) -> DataFrame:
+    """One row for several searches, parts(files, bytes, matches, seconds): the files
+    and bytes of the largest, as both saw the same, and the sum of the matches and
+    of the time."""
+    return parts.agg(F.max("files").alias("files"), F.max("bytes").alias("bytes"), F.sum("matches").alias("matches"), F.sum("seconds").alias("seconds"))
+
+
+@dataclass
+class Latencies:
+    """How often operations ran and how long they took."""
+
+    held: dict[str, list[float]] = field(default_factory=dict)
+
+    def timed(self, name: str, work):
+        began = time.perf_counter()
+        try:
+            return work()
+        finally:
+            self.held.setdefault(name, []).append(time.perf_counter() - began)
+
+    def averages(self) -> dict[str, tuple[int, float]]:
+        """Calls and mean seconds by operation."""
+        return {name: (len(took), sum(took) / len(took)) for name, took in self.held.items()}
+
+
 @dataclass
 class QueryCache:
     """Results that were persisted, by query and index version, for a while."""
@@ -142,8 +167,12 @@ class Engine:
 
     def __init__(self, spark: SparkSession, files: DataFrame, store=None, cache: QueryCache | None = None):
         self.spark, self.files, self.store, self.cache = spark, files, store, cache or QueryCache()
+        self.latencies = Latencies()
 
     def search(self, mode: str, pattern: str, **options) -> DataFrame:
+        return self.latencies.timed(f"plan {mode}", lambda: self._search(mode, pattern, **options))
+
+    def _search(self, mode: str, pattern: str, **options) -> DataFrame:
         if mode == "regex":
             return grep(self.files, GrepOptions(pattern, **options))
         symbols = self.store.table("symbols")
@@ -167,7 +196,7 @@ class Engine:
         timer = threading.Timer(timeout, stop)
         timer.start()
         try:
-            return df.collect()
+            return self.latencies.timed("collect", df.collect)
         except Exception as e:
             if late.is_set():
                 raise SearchTimeout(f"no result within {timeout:g} s") from e

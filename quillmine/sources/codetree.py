@@ -11,6 +11,7 @@ readers into the same columns.
 from __future__ import annotations
 
 import fnmatch
+import heapq
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -90,7 +91,8 @@ class CodeTreeReader(DataSourceReader):
         if os.path.isfile(root):
             yield from entry(root, os.path.basename(root))
             return
-        for folder, dirs, names in os.walk(root, followlinks=follow, onerror=None):
+        unread: list[OSError] = []
+        for folder, dirs, names in os.walk(root, followlinks=follow, onerror=unread.append):
             rel = os.path.relpath(folder, root).replace(os.sep, "/")
             rel = "" if rel == "." else rel + "/"
             level = rel.count("/")
@@ -98,6 +100,9 @@ class CodeTreeReader(DataSourceReader):
             for name in sorted(names):
                 if (hidden or not name.startswith(".")) and not ignored(rel + name, False):
                     yield from entry(os.path.join(folder, name), rel + name)
+        for e in unread:  # a directory that cannot be listed is a row with its error
+            rel = os.path.relpath(e.filename, root).replace(os.sep, "/")
+            yield (e.filename, rel, os.path.basename(e.filename), "", 0, 0.0, False, rel.count("/"), str(e))
 
     def partitions(self) -> list[FileBatch]:
         roots = [r for r in self.options["path"].split(",") if r]
@@ -105,11 +110,11 @@ class CodeTreeReader(DataSourceReader):
         n = int(self.options.get("numpartitions", 8))
         # largest first onto the lightest partition
         batches = [FileBatch([]) for _ in range(max(1, min(n, len(files))))]
-        weight = [0] * len(batches)
+        lightest = [(0, k) for k in range(len(batches))]
         for f in sorted(files, key=lambda f: (-f[4], f[0])):
-            k = weight.index(min(weight))
+            weight, k = lightest[0]
             batches[k].files.append(f)
-            weight[k] += f[4] + 4096
+            heapq.heapreplace(lightest, (weight + f[4] + 4096, k))
         return batches
 
     def read(self, partition: FileBatch) -> Iterator[tuple]:

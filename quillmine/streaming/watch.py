@@ -84,29 +84,18 @@ def last_operations(events: DataFrame, keys: tuple[str, ...] = ("path",)) -> Dat
 
 
 def apply_batch(store, files_of: Callable[[list[str]], DataFrame], batch: DataFrame) -> None:
-    """Bring the index up to date with one batch of events."""
-    ops = last_operations(batch).collect()  # a batch is as large as its trigger lets it be
-    for path in sorted(r.path for r in ops if r.action == "remove"):
-        if store.version():
-            store.delete_file(path)
+    """Bring the index up to date with one batch of events, in one version however
+    many paths it names."""
+    ops = last_operations(batch).select("path", "action").collect()  # a batch is as large as its trigger lets it be
     written = sorted(r.path for r in ops if r.action == "write")
-    if written:
-        new = files_of(written)
-        if store.version():
-            for path in written:
-                store.delete_file(path)
-            symbols, refs, meta = (store.table(n) for n in ("symbols", "refs", "file_meta"))
-            from ..operators.languages import parser_language
-            from ..operators.refs import references
-            from ..operators.symbols import extract_symbols
-            from ..plans.index import file_metadata
-
-            parsed = new.withColumn("content", F.col("content").cast("string")).withColumn("language", parser_language(F.col("path")))
-            found = extract_symbols(parsed)
-            store.commit({"symbols": symbols.unionByName(found), "file_meta": meta.unionByName(file_metadata(new, found))})
-            store.commit({"refs": refs.unionByName(references(store.table("symbols"), parsed)).distinct()})
-        else:
-            store.build(new)
+    if not store.version():
+        if written:
+            store.build(files_of(written))
+        return
+    if ops:
+        gone = store.spark.createDataFrame([(r.path,) for r in ops], "path string")
+        none = store.spark.createDataFrame([], "path string, content string, mtime timestamp")
+        store.update(files_of(written) if written else none, gone)
 
 
 def watch(events: DataFrame, store, files_of: Callable[[list[str]], DataFrame], checkpoint: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), on_batch: Callable | None = None, once: bool = False) -> StreamingQuery:
