@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="quillmine-package-")
+    folder = tempfile.mkdtemp(prefix="quillmine-package-")  # the driver sends it from there
+    atexit.register(shutil.rmtree, folder, True)
     target = os.path.join(folder, "quillmine.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(package.rglob("*.py")):

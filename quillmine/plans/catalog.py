@@ -1,8 +1,8 @@
 """Every operator as a query over the driver's tables, with the SQL for it.
 
 Documents, conversations and pages serve as files; code comes from a projection
-of nation, supplier and part into small Go, Python and JavaScript sources that
-Spark and the checking engine build from the same SQL text.
+of nation, supplier, part and region into small Go, Python, JavaScript, Rust and
+TypeScript sources that Spark and the checking engine build from the same SQL text.
 """
 
 from __future__ import annotations
@@ -10,19 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_folder
 from ..functions.scalars import human_bytes, sha256_hex, store_key, symbol_id
 from ..operators import filters as fl
 from ..operators.grep import GrepOptions, count_matches, files_with_matches, grep, search_stats
 from ..operators.ignore import mark_ignored, parse_rules, rules_frame
 from ..operators.languages import INDEX_NAMES, LANGUAGES, FileTypes, index_language
 from ..operators.lines import explode_lines
-from ..operators.refs import call_edges, calls, distinct_places, one_per_line, reachable, references
+from ..operators.refs import call_edges, calls, distinct_places, one_per_line, reachable, references, token_occurrences
 from ..operators.symbols import _RULES, comment_above, comment_block_above, extract_symbols, line_symbols, modifiers, scopes
 from ..streaming.watch import last_operations
 from . import index as ix
 from . import output as out
 from .errors import error_kind, error_summary, recovery
-from .search import SearchQuery, hybrid, search_symbols
+from .search import SearchQuery, find_definitions, find_references, find_types, hybrid, search_symbols
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,24 +78,37 @@ SELECT 'js/p' || p_partkey || '.js', 'javascript',
   || '  return inner' || p_partkey || '(q) * ' || p_size || ';' || chr(10) || ']]' || chr(10) || chr(10) || 'class Part' || p_partkey || ' [[' || chr(10) || ']]' || chr(10) || chr(10)
   || 'function base' || p_partkey || '(q) [[' || chr(10) || '  return q;' || chr(10) || ']]' || chr(10)
 FROM {part}
+UNION ALL
+SELECT 'rs/r' || r_regionkey || '.rs', 'rust',
+  'struct Reg' || r_regionkey || ' [[' || chr(10) || '    id: u8,' || chr(10) || ']]' || chr(10) || chr(10)
+  || 'fn area' || r_regionkey || '(r: &Reg' || r_regionkey || ') -> u8 [[' || chr(10) || '    weigh' || r_regionkey || '(r.id)' || chr(10) || ']]' || chr(10) || chr(10)
+  || 'fn weigh' || r_regionkey || '(x: u8) -> u8 [[' || chr(10) || '    x' || chr(10) || ']]' || chr(10)
+FROM {region}
+UNION ALL
+SELECT 'ts/r' || r_regionkey || '.ts', 'typescript',
+  'interface Shape' || r_regionkey || ' [[' || chr(10) || '  size: number;' || chr(10) || ']]' || chr(10) || chr(10) || 'type Id' || r_regionkey || ' = number;' || chr(10) || chr(10)
+  || 'class Circle' || r_regionkey || ' [[' || chr(10) || ']]' || chr(10) || chr(10)
+  || 'function cover' || r_regionkey || '(s: Shape' || r_regionkey || '): number [[' || chr(10) || '  return scale' || r_regionkey || '(s.size);' || chr(10) || ']]' || chr(10) || chr(10)
+  || 'function scale' || r_regionkey || '(x: number): number [[' || chr(10) || '  return x;' || chr(10) || ']]' || chr(10)
+FROM {region}
 """.replace("[[", "' || chr(123) || '").replace("]]", "' || chr(125) || '")  # braces name tables here
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_CODE, **{t: _table(spark, sf_dir, t) for t in ("nation", "supplier", "part")})
+    return spark.sql(_CODE, **{t: _table(spark, sf_dir, t) for t in ("nation", "supplier", "part", "region")})
 
 
 def _case(language_col: str, line: str, what: str) -> str:
     """The line rules as SQL: the first rule of the language that matches."""
     whens = []
-    for lang in ("go", "python", "javascript"):
+    for lang in ("go", "python", "javascript", "rust", "typescript"):
         for kind, pattern in _RULES[lang]:
             value = f"'{kind}'" if what == "kind" else f"regexp_extract({line}, '{pattern}', 1)"
             whens.append(f"WHEN {language_col} = '{lang}' AND regexp_matches({line}, '{pattern}') THEN {value}")
     return f"CASE {' '.join(whens)} END"
 
 
-_CODE_SQL = _CODE.format(nation="nation", supplier="supplier", part="part")
+_CODE_SQL = _CODE.format(nation="nation", supplier="supplier", part="part", region="region")
 _SYMBOLS = (
     f"WITH code AS ({_CODE_SQL}), cl AS (SELECT path, language, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS line, unnest(ls) AS text FROM (SELECT path, language, string_split(content, chr(10)) AS ls FROM code)), "
     f"defs AS (SELECT path, language, {_case('language', 'text', 'kind')} AS kind, {_case('language', 'text', 'name')} AS name, line, CAST(strlen(regexp_extract(text, '^(\\s*)', 1)) + 1 AS INTEGER) AS col, text FROM cl "
@@ -105,7 +119,7 @@ _SYMBOLS = (
 _MODIFIER = (
     "CASE WHEN language = 'go' THEN CASE WHEN upper(substr(name, 1, 1)) = substr(name, 1, 1) THEN 'public' ELSE 'private' END "
     "WHEN language = 'python' THEN CASE WHEN name LIKE '\\_\\_%\\_\\_' ESCAPE '\\' THEN 'magic' WHEN name LIKE '\\_\\_%' ESCAPE '\\' THEN 'private' WHEN name LIKE '\\_%' ESCAPE '\\' THEN 'protected' ELSE 'public' END "
-    "ELSE CASE WHEN name LIKE '\\_%' ESCAPE '\\' THEN 'private' ELSE 'public' END END"
+    "WHEN language = 'rust' THEN 'private' ELSE CASE WHEN name LIKE '\\_%' ESCAPE '\\' THEN 'private' ELSE 'public' END END"
 )
 
 
@@ -300,7 +314,7 @@ def _detect_sql() -> str:
     run = " ".join(f"WHEN '{s}' THEN '{x.name}'" for x in LANGUAGES for s in x.shebangs)
     values = ", ".join(f"('{a}', '{b}')" for a, b in _NAMES)
     return (
-        f"WITH v(path, head) AS (VALUES {values}), n AS (SELECT path, head, regexp_extract(path, '[^/]*$') AS name FROM v) "
+        f"WITH code AS ({_CODE_SQL}), v(path, head) AS (VALUES {values} UNION ALL SELECT path, '' FROM code), n AS (SELECT path, head, regexp_extract(path, '[^/]*$') AS name FROM v) "
         f"SELECT path, coalesce(CASE lower(regexp_extract(name, '\\.[^.]*$')) {by_ext} END, CASE name {exact} END, "
         f"CASE regexp_extract(head, '^#!.*?([^/ ]+)$', 1) {run} END, '') AS language FROM n"
     )
@@ -308,7 +322,7 @@ def _detect_sql() -> str:
 
 @query(_detect_sql())
 def language_detect(spark, sf_dir):
-    files = spark.createDataFrame(_NAMES, "path string, head string")
+    files = spark.createDataFrame(_NAMES, "path string, head string").unionByName(code_files(spark, sf_dir).select("path", F.lit("").alias("head")))
     return files.select("path", F.coalesce(FileTypes().detect(F.col("path"), F.col("head"))["language"], F.lit("")).alias("language"))
 
 
@@ -362,20 +376,41 @@ def symbol_defs(spark, sf_dir):
 
 _SPANS = (
     "closed AS (SELECT s.id, min(c.line) AS last FROM sym s JOIN cl c ON c.path = s.path AND c.line > s.line AND c.text = repeat(' ', s.col - 1) || '}' GROUP BY s.id), "
-    "spans AS (SELECT s.*, CAST(CASE WHEN s.language = 'go' AND s.kind NOT IN ('function', 'method') THEN s.line ELSE closed.last END AS INTEGER) AS end_line FROM sym s "
-    "LEFT JOIN closed USING (id) WHERE s.language IN ('go', 'javascript')) "
+    # a Python block goes on to the last line before the next one that is indented no further
+    "nxt AS (SELECT s.id, min(c.line) AS line FROM sym s JOIN cl c ON c.path = s.path AND c.line > s.line AND trim(c.text) <> '' AND strlen(regexp_extract(c.text, '^(\\s*)', 1)) < s.col WHERE s.language = 'python' GROUP BY s.id), "
+    "pyend AS (SELECT s.id, max(c.line) AS last FROM sym s LEFT JOIN nxt ON nxt.id = s.id JOIN cl c ON c.path = s.path AND c.line >= s.line AND trim(c.text) <> '' AND c.line < coalesce(nxt.line, 1000000000) WHERE s.language = 'python' GROUP BY s.id), "
+    # a Go type, variable or constant is its name
+    "named AS (SELECT *, language = 'go' AND kind NOT IN ('function', 'method') AS bare FROM sym), "
+    "spans AS (SELECT s.* REPLACE (s.path || ':' || s.line || ':' || CASE WHEN bare THEN strpos(s.text, s.name) ELSE s.col END || ':' || s.kind || ':' || s.name AS id), "
+    "CAST(CASE WHEN bare THEN strpos(s.text, s.name) ELSE s.col END AS INTEGER) AS start_col, "
+    "CAST(CASE WHEN s.language = 'python' THEN pyend.last WHEN bare OR s.kind = 'type' THEN s.line ELSE closed.last END AS INTEGER) AS end_line FROM named s LEFT JOIN closed ON closed.id = s.id LEFT JOIN pyend ON pyend.id = s.id) "
+)
+_PARENTS = (
+    "parents AS (SELECT i.id, first(o.id ORDER BY o.end_line - o.line, o.id) AS parent_id, first(o.name ORDER BY o.end_line - o.line, o.id) AS scope FROM spans i LEFT JOIN spans o ON o.path = i.path "
+    "AND o.kind IN ('function', 'method', 'class', 'struct', 'interface') AND o.line <= i.line AND o.end_line >= i.end_line AND o.id <> i.id AND NOT (o.line = i.line AND o.end_line = i.end_line) GROUP BY i.id) "
+)
+_DOCS = (
+    "t AS (SELECT path, line, text, starts_with(trim(text), '//') AS com, NOT starts_with(trim(text), '//') AND trim(text) <> '' AS code FROM cl), "
+    "i AS (SELECT *, coalesce(sum(CAST(code AS INTEGER)) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM t), "
+    "d AS (SELECT *, string_agg(CASE WHEN com THEN trim(regexp_replace(trim(text), '^//', '')) END, ' ') OVER (PARTITION BY path, island ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS doc FROM i) "
 )
 
 
 @query(_SYMBOLS + ", " + _SPANS + "SELECT path, kind, name, line AS start_line, end_line FROM spans")
 def symbol_spans(spark, sf_dir):
-    code = code_files(spark, sf_dir).where("language in ('go', 'javascript')")
-    return extract_symbols(code).select(F.col("file_path").alias("path"), "kind", "name", "start_line", "end_line")
+    return extract_symbols(code_files(spark, sf_dir)).select(F.col("file_path").alias("path"), "kind", "name", "start_line", "end_line")
 
 
-@query()
+@query(
+    _SYMBOLS + ", " + _SPANS + ", " + _PARENTS + ", " + _DOCS
+    + "SELECT s.id, s.name, s.kind, s.language, s.path AS file_path, s.line AS start_line, s.start_col, s.end_line, "
+    "CASE WHEN s.language = 'python' THEN rtrim(trim(s.text), ':') ELSE rtrim(trim(s.text), ' ' || chr(123)) END AS signature, d.doc AS doc_string, p.scope, "
+    + f"{_MODIFIER.replace('language', 's.language').replace('(name', '(s.name').replace('name LIKE', 's.name LIKE')} AS modifier "
+    "FROM spans s JOIN parents p ON p.id = s.id LEFT JOIN d ON s.language = 'go' AND d.path = s.path AND d.line = s.line"
+)
 def symbol_table(spark, sf_dir):
-    return extract_symbols(code_files(spark, sf_dir)).drop("last_updated")
+    s = extract_symbols(code_files(spark, sf_dir))
+    return s.select("id", "name", "kind", "language", "file_path", "start_line", "start_col", "end_line", "signature", "doc_string", "scope", F.element_at("modifiers", 1).alias("modifier"))
 
 
 def _by(by: str, text: str, filters: tuple = ()):
@@ -407,28 +442,15 @@ def doc_comment(spark, sf_dir):
     return comment_above(lines).where("comment is not null and startswith(line, 'func ')").select("path", F.col("line_no").alias("line"), "comment")
 
 
-@query(
-    _SYMBOLS + ", t AS (SELECT path, line, text, starts_with(trim(text), '//') AS com, NOT starts_with(trim(text), '//') AND trim(text) <> '' AS code FROM cl), "
-    "i AS (SELECT *, coalesce(sum(CAST(code AS INTEGER)) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM t), "
-    "d AS (SELECT *, string_agg(CASE WHEN com THEN trim(regexp_replace(trim(text), '^//', '')) END, ' ') OVER (PARTITION BY path, island ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS doc FROM i) "
-    "SELECT path, line, doc FROM d WHERE starts_with(text, 'func ') AND doc IS NOT NULL"
-)
+@query(_SYMBOLS + ", " + _DOCS + "SELECT path, line, doc FROM d WHERE starts_with(text, 'func ') AND doc IS NOT NULL")
 def doc_block(spark, sf_dir):
     lines = explode_lines(code_files(spark, sf_dir).select("path", "content"))
     return comment_block_above(lines).where("doc is not null and startswith(line, 'func ')").select("path", F.col("line_no").alias("line"), "doc")
 
 
-@query(
-    _SYMBOLS + ", " + _SPANS + "SELECT i.id, min_by(o.id, [CAST(o.end_line - o.line AS VARCHAR), o.id]) AS parent_id FROM spans i LEFT JOIN spans o ON o.path = i.path AND o.kind IN ('function', 'method', 'class', 'struct', 'interface') "
-    "AND o.line <= i.line AND o.end_line >= i.end_line AND o.id <> i.id AND NOT (o.line = i.line AND o.end_line = i.end_line) GROUP BY i.id"
-)
+@query(_SYMBOLS + ", " + _SPANS + ", " + _PARENTS + "SELECT id, parent_id FROM parents")
 def scope_parent(spark, sf_dir):
-    code = code_files(spark, sf_dir).where("language in ('go', 'javascript')")
-    plain = extract_symbols(code).withColumn("id", F.col("id"))
-    shown = plain.select("id", "file_path", "start_line", "end_line", "kind", "name", "start_col", "language")
-    # go's types stand at their name; ids of line rules have the line's first column
-    by_line = symbol_id(F.col("file_path"), F.col("start_line"), F.when(F.col("language") == "go", F.lit(1)).otherwise(F.col("start_col")), F.col("kind"), F.col("name"))
-    return scopes(shown.withColumn("id", by_line)).select("id", "parent_id")
+    return scopes(extract_symbols(code_files(spark, sf_dir))).select("id", "parent_id")
 
 
 # -- references and calls
@@ -459,15 +481,28 @@ def refs_dedup(spark, sf_dir):
     return r.groupBy("file_path", "line").agg(F.count(F.lit(1)).alias("places"))
 
 
-@query(
-    "WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_$]+')) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE token IN ('licensed', 'the', 'idiot', 'version', 'elle', 'und') GROUP BY token"
-)
+@query(_LINES + ", t AS (SELECT path, unnest(regexp_extract_all(line, '[A-Za-z0-9_$]+')) AS token FROM lines) SELECT token, count(*) AS n, count(DISTINCT path) AS files FROM t GROUP BY token")
 def token_refs(spark, sf_dir):
-    from ..operators.refs import TOKEN
+    t = token_occurrences(doc_files(spark, sf_dir))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("files"))
+
+
+@query(_SYMBOLS + "SELECT t.token AS name, t.path AS file_path, t.line, count(*) AS n FROM tok t WHERE regexp_matches(lower(t.token), '^(handle|inner)1.*$') AND t.token IN (SELECT name FROM sym) GROUP BY ALL")
+def find_references_query(spark, sf_dir):
+    code = code_files(spark, sf_dir)
+    symbols = extract_symbols(code)
+    found = find_references(symbols, references(symbols, code), "(handle|inner)1.*")
+    return found.groupBy("name", "file_path", "line").agg(F.count(F.lit(1)).alias("n"))
 
-    d = _table(spark, sf_dir, "documents")
-    t = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("token"))
-    return t.where(F.col("token").isin("licensed", "the", "idiot", "version", "elle", "und")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+@query(_SYMBOLS + ", " + _SPANS + "SELECT id, name, kind FROM spans WHERE regexp_matches(lower(name), '^(box|part|shape|reg|id)1.*$') AND kind IN ('type', 'struct', 'interface', 'enum', 'class')")
+def find_types_query(spark, sf_dir):
+    return find_types(extract_symbols(code_files(spark, sf_dir)), "(box|part|shape|reg|id)1.*").select("id", "name", "kind")
+
+
+@query(_SYMBOLS + ", " + _SPANS + "SELECT id, name, kind FROM spans WHERE contains(lower(name), 'handle1') OR lower(name) = 'handle1'")
+def find_definitions_query(spark, sf_dir):
+    return find_definitions(extract_symbols(code_files(spark, sf_dir)), "handle1").select("id", "name", "kind")
 
 
 _CALLS = (
@@ -490,7 +525,7 @@ _EDGES = (
 
 
 def _named_edges(spark, sf_dir) -> DataFrame:
-    code = code_files(spark, sf_dir).where("language in ('go', 'javascript')")
+    code = code_files(spark, sf_dir)
     symbols = extract_symbols(code)
     edges = call_edges(symbols, code)
     names = symbols.select("id", "name")
@@ -514,18 +549,18 @@ def callers_of(spark, sf_dir):
 def call_graph_one_hop(spark, sf_dir):
     from ..operators.refs import call_graph
 
-    code = code_files(spark, sf_dir).where("language in ('go', 'javascript')")
+    code = code_files(spark, sf_dir)
     symbols = extract_symbols(code)
     return call_graph(symbols, references(symbols, code), "handle3").select("role", F.col("file_path").alias("path"), "line").distinct()
 
 
 @query(
     (_SYMBOLS + ", " + _SPANS + ", " + _CALLS + ", " + _EDGES).replace("WITH code", "WITH RECURSIVE code", 1)
-    + ", e AS MATERIALIZED (SELECT DISTINCT caller, callee FROM edges), r AS (SELECT 'Handle3' AS id, 0 AS hops UNION SELECT e.callee, r.hops + 1 FROM r JOIN e ON e.caller = r.id WHERE r.hops < 6) SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY id"
+    + ", e AS MATERIALIZED (SELECT DISTINCT caller, callee FROM edges), r AS (SELECT 'Handle3' AS id, 0 AS hops UNION SELECT e.callee, r.hops + 1 FROM r JOIN e ON e.caller = r.id WHERE r.hops < 60) SELECT id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY id"
 )
 def call_graph_transitive(spark, sf_dir):
     e = _named_edges(spark, sf_dir).select(F.col("caller").alias("src_id"), F.col("callee").alias("dst_id"))
-    return reachable(e, spark.createDataFrame([("Handle3",)], "id string"), max_hops=6)
+    return reachable(e, spark.createDataFrame([("Handle3",)], "id string"))
 
 
 # -- combined searches and the index
@@ -554,8 +589,8 @@ def filter_sort_page(spark, sf_dir):
     "SELECT field, key, count(DISTINCT id) AS ids, min(id) AS first_id, max(id) AS last_id FROM p GROUP BY field, key"
 )
 def postings(spark, sf_dir):
-    p = ix.postings(code_symbols(spark, sf_dir))
-    return p.select("field", "key", F.size("ids").cast("long").alias("ids"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    p = ix.posting_rows(code_symbols(spark, sf_dir))
+    return p.groupBy("field", "key").agg(F.count(F.lit(1)).alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query(_SYMBOLS + "SELECT count(*) AS symbols, count(DISTINCT name) AS names, count(DISTINCT kind) AS kinds, count(DISTINCT path) AS files FROM sym")
@@ -574,10 +609,33 @@ def _index_names_sql() -> str:
     return f"CASE regexp_extract(path, '\\.[^./]*$') {whens} ELSE 'Unknown' END"
 
 
-@query(f"WITH code AS ({_CODE_SQL}) SELECT {_index_names_sql()} AS language, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM code GROUP BY 1")
+@query(
+    _SYMBOLS + f", m AS (SELECT {_index_names_sql()} AS language, count(*) AS files, sum(strlen(content)) AS bytes FROM code GROUP BY 1) "
+    "SELECT language, files, CAST(round(files * 100.0::DOUBLE / (SELECT count(*) FROM code), 1) AS DOUBLE) AS share, (SELECT count(*) FROM code) AS all_files, (SELECT count(*) FROM sym) AS all_symbols, CAST((SELECT sum(bytes) FROM m) AS BIGINT) AS all_bytes FROM m"
+)
 def index_status(spark, sf_dir):
-    code = code_files(spark, sf_dir)
-    return code.groupBy(index_language(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+    code = code_files(spark, sf_dir).withColumn("mtime", F.lit(None).cast("timestamp"))
+    totals, languages, _ = ix.status(ix.file_metadata(code, extract_symbols(code)))
+    totals = totals.select(F.col("files").alias("all_files"), F.col("symbols").alias("all_symbols"), F.col("bytes").alias("all_bytes"))
+    return languages.withColumn("share", F.col("share").cast("double")).crossJoin(F.broadcast(totals))  # one row
+
+
+@query(
+    _SYMBOLS + ", gone AS (SELECT 'py/s' || s_suppkey || '.py' AS path FROM supplier WHERE s_suppkey % 3 = 0) "
+    "SELECT t.path AS file_path, s.kind AS symbol_kind, count(*) AS refs FROM tok t JOIN sym s ON t.token = s.name WHERE t.path NOT IN (SELECT path FROM gone) AND s.path NOT IN (SELECT path FROM gone) GROUP BY ALL"
+)
+def index_incremental(spark, sf_dir):
+    """References after a build, and an incremental one: lines are moved in some files, others are gone."""
+    code = code_files(spark, sf_dir).select("path", "content")
+    old = code.withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))
+    moved = F.col("path").rlike(r"^(go/n|rs/r|ts/r).*[05]\.")
+    new = old.where(~(F.col("path").startswith("py/") & (F.regexp_extract("path", r"(\d+)", 1).cast("long") % 3 == 0)))
+    new = new.withColumn("content", F.when(moved, F.concat(F.lit("// moved\n"), F.col("content"))).otherwise(F.col("content")))
+    store = ix.IndexStore(spark, scratch_folder(spark, "index"))
+    store.build(old)
+    store.build(new, incremental=True)
+    refs, kinds = store.table("refs"), store.table("symbols").select(F.col("id").alias("symbol_id"), F.col("kind").alias("symbol_kind"))
+    return refs.join(kinds, "symbol_id").groupBy("file_path", "symbol_kind").agg(F.count(F.lit(1)).alias("refs"))
 
 
 _V2 = "SELECT doc_id, source, CASE WHEN doc_id % 5 = 1 THEN text || '!' ELSE text END AS text FROM {t} WHERE doc_id % 17 <> 3 UNION ALL SELECT doc_id + 1000000, source, text FROM {t} WHERE doc_id % 23 = 4"
@@ -681,12 +739,32 @@ def json_count_messages(spark, sf_dir):
     return out.json_counts(grep(doc_files(spark, sf_dir), GrepOptions("License", literal=True))).select("value")
 
 
-@query()
+_HITS = (
+    "o AS (SELECT path, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off, "
+    "lag(line) OVER (PARTITION BY path ORDER BY line_no) AS above, lead(line) OVER (PARTITION BY path ORDER BY line_no) AS below FROM lines), "
+    "h AS (SELECT *, string_split(line, 'License') AS ps FROM o WHERE contains(line, 'License')), "
+    "k AS (SELECT *, unnest(range(1, len(ps))) AS k FROM h), s AS (SELECT *, CAST(list_sum(list_transform(ps[1:k], lambda x: strlen(x))) + 7 * (k - 1) AS BIGINT) AS start FROM k) "
+)
+
+
+@query(
+    _LINES + ", " + _HITS + ", l AS (SELECT path, line_no, any_value(line) AS line, any_value(off) AS off, count(*) AS n, "
+    """string_agg('{"match":{"text":"License"},"start":' || start || ',"end":' || (start + 7) || '}', ',' ORDER BY start) AS subs FROM s GROUP BY path, line_no), """
+    "f AS (SELECT path, count(*) AS lines, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY path) "
+    """SELECT '{"type":"begin","data":{"path":{"text":' || to_json(path) || '}}}' AS value FROM f UNION ALL """
+    """SELECT '{"type":"match","data":{"path":{"text":' || to_json(path) || '},"lines":{"text":' || to_json(line || chr(10)) || '},"line_number":' || line_no || ',"absolute_offset":' || off || ',"submatches":[' || subs || ']}}' FROM l UNION ALL """
+    """SELECT '{"type":"end","data":{"path":{"text":' || to_json(path) || '},"binary_offset":null,"stats":{"searches":1,"searches_with_match":1,"matched_lines":' || lines || ',"matches":' || n || '}}}' FROM f UNION ALL """
+    """SELECT '{"type":"summary","data":{"elapsed_total":{"secs":0,"nanos":0,"human":"0.000000s"},"stats":{"searches":' || count(*) || ',"searches_with_match":' || count(*) || ',"bytes_searched":0,"matched_lines":' || coalesce(sum(lines), 0) || ',"matches":' || coalesce(sum(n), 0) || '}}}' FROM f"""
+)
 def json_match_messages(spark, sf_dir):
     return out.json_messages(grep(doc_files(spark, sf_dir), GrepOptions("License", literal=True, absolute_offset=True))).select("value")
 
 
-@query()
+@query(
+    _LINES + ", " + _HITS
+    + """SELECT '{"path":' || to_json(path) || ',"line_no":' || line_no || ',"col_start":' || (start + 1) || ',"col_end":' || (start + 8) || ',"match":"License","line":' || to_json(line) """
+    """|| ',"before":' || CASE WHEN above IS NULL THEN '[]' ELSE '[' || to_json(above) || ']' END || ',"after":' || CASE WHEN below IS NULL THEN '[]' ELSE '[' || to_json(below) || ']' END || '}' AS value FROM s"""
+)
 def jsonl_export(spark, sf_dir):
     return out.json_lines(grep(doc_files(spark, sf_dir), GrepOptions("License", literal=True, context=1))).select("value")
 
