@@ -22,19 +22,29 @@ from ..functions.dialect import quote
 RULE_FILES = (".gitignore", ".ignore", ".rgignore")
 #: Rules commonly wanted for a kind of project.
 PRESETS = {
-    "go": "*.exe *.exe~ *.dll *.so *.dylib *.test *.out coverage.* *.coverprofile profile.cov vendor/ go.work go.work.sum",
-    "node": "node_modules/ npm-debug.log* yarn-debug.log* yarn-error.log* .npm .eslintcache .nyc_output coverage/ .coverage *.tgz *.tar.gz .cache/",
+    "go": (
+        "*.exe", "*.exe~", "*.dll", "*.so", "*.dylib", "*.test", "*.out", "coverage.*", "*.coverprofile", "profile.cov", "vendor/", "go.work", "go.work.sum",
+    ),
+    "node": (
+        "node_modules/", "npm-debug.log*", "yarn-debug.log*", "yarn-error.log*", ".npm", ".eslintcache", ".nyc_output", "coverage/", ".coverage", "*.tgz", "*.tar.gz",
+        ".cache/",
+    ),
     "python": (
-        "__pycache__/ *.py[cod] *$py.class *.so .Python build/ develop-eggs/ dist/ downloads/ eggs/ .eggs/ lib/ lib64/ parts/ sdist/ var/ wheels/ "
-        "pip-wheel-metadata/ share/python-wheels/ *.egg-info/ .installed.cfg *.egg MANIFEST .env .venv env/ venv/ ENV/ env.bak/ venv.bak/"
+        "__pycache__/", "*.py[cod]", "*$py.class", "*.so", ".Python", "build/", "develop-eggs/", "dist/", "downloads/", "eggs/", ".eggs/", "lib/", "lib64/", "parts/",
+        "sdist/", "var/", "wheels/", "pip-wheel-metadata/", "share/python-wheels/", "*.egg-info/", ".installed.cfg", "*.egg", "MANIFEST", ".env", ".venv", "env/",
+        "venv/", "ENV/", "env.bak/", "venv.bak/",
     ),
     "java": (
-        "*.class *.log *.ctxt .mtj.tmp/ *.jar *.war *.nar *.ear *.zip *.tar.gz *.rar hs_err_pid* target/ .mvn/ mvnw mvnw.cmd .gradle/ build/ "
-        "gradle-app.setting !gradle-wrapper.jar .gradletasknamecache"
+        "*.class", "*.log", "*.ctxt", ".mtj.tmp/", "*.jar", "*.war", "*.nar", "*.ear", "*.zip", "*.tar.gz", "*.rar", "hs_err_pid*", "target/", ".mvn/", "mvnw",
+        "mvnw.cmd", ".gradle/", "build/", "gradle-app.setting", "!gradle-wrapper.jar", ".gradletasknamecache",
+    ),
+    "rust": (
+        "target/", "**/*.rs.bk", "*.pdb", "Cargo.lock",
+    ),
+    "common": (
+        ".DS_Store", "Thumbs.db", "*.tmp", "*.temp", "*.log", ".idea/", ".vscode/", "*.swp", "*.swo", "*~", ".env", ".env.local", ".env.*.local",
     ),
-    "rust": "target/ **/*.rs.bk *.pdb Cargo.lock",
-    "common": ".DS_Store Thumbs.db *.tmp *.temp *.log .idea/ .vscode/ *.swp *.swo *~ .env .env.local .env.*.local",
-}
+}
 
 
 class RuleError(ValueError):
@@ -109,7 +119,7 @@ def parse_rules(text: str, source: str = "", base_dir: str = "") -> list[Rule]:
 def preset(name: str) -> list[Rule]:
     if name not in PRESETS:
         raise KeyError(f"unknown preset {name!r}")
-    return [parse_rule(p, f"preset:{name}") for p in PRESETS[name].split()]
+    return [parse_rule(p, f"preset:{name}") for p in PRESETS[name]]
 
 
 def load_rules(root: str, global_file: str | None = None, parents: bool = True, nested: bool = True, names: tuple[str, ...] = RULE_FILES) -> list[Rule]:

@@ -22,34 +22,30 @@ class Language:
     shebangs: tuple[str, ...] = ()
 
 
-def _language(name: str, extensions: str, patterns: str = "", mime_types: str = "", shebangs: str = "") -> Language:
-    return Language(name, *(tuple(x.split(";")) if x else () for x in (extensions, patterns, mime_types, shebangs)))
-
-
 #: Extensions; file names; MIME types; interpreters of each language.
 LANGUAGES = (
-    _language("Go", ".go;.mod;.sum", "go.mod;go.sum;go.work;go.work.sum", "text/x-go", "go run"),
-    _language("JavaScript", ".js;.mjs;.jsx;.es6;.es", ".eslintrc.js;.babelrc.js", "application/javascript;text/javascript", "node;nodejs"),
-    _language("TypeScript", ".ts;.tsx;.d.ts", "tsconfig.json;.tslintrc", "application/typescript"),
-    _language("Python", ".py;.pyw;.pyi;.pyx;.pyd", "Pipfile;pyproject.toml;setup.py;requirements.txt", "text/x-python;application/x-python", "python;python2;python3"),
-    _language("Java", ".java;.class;.jar;.gradle", "build.gradle;pom.xml;gradle.properties", "text/x-java-source"),
-    _language("C", ".c;.h", "", "text/x-c;text/x-csrc"),
-    _language("C++", ".cpp;.cxx;.cc;.c++;.hpp;.hxx;.hh;.h++", "", "text/x-c++;text/x-c++src"),
-    _language("Rust", ".rs;.rlib", "Cargo.toml;Cargo.lock", "text/rust"),
-    _language("C#", ".cs;.csx;.csproj;.sln", "", "text/x-csharp"),
-    _language("Ruby", ".rb;.rbw;.rake;.gemspec", "Rakefile;Gemfile;Gemfile.lock", "text/x-ruby", "ruby"),
-    _language("PHP", ".php;.php3;.php4;.php5;.phtml", "", "text/x-php;application/x-php", "php"),
-    _language("Shell", ".sh;.bash;.zsh;.fish;.csh;.tcsh;.ksh", "", "text/x-shellscript;application/x-sh", "sh;bash;zsh;fish;csh;tcsh;ksh"),
-    _language("HTML", ".html;.htm;.xhtml", "", "text/html;application/xhtml+xml"),
-    _language("CSS", ".css;.scss;.sass;.less", "", "text/css"),
-    _language("JSON", ".json;.jsonc;.json5", ".eslintrc;.babelrc;tsconfig.json;package.json", "application/json;text/json"),
-    _language("YAML", ".yaml;.yml", ".github/workflows/*.yml;.github/workflows/*.yaml", "text/yaml;application/x-yaml"),
-    _language("XML", ".xml;.xsl;.xslt;.xsd", "pom.xml;web.xml", "text/xml;application/xml"),
-    _language("Markdown", ".md;.markdown;.mdown;.mkd", "README.md;CHANGELOG.md", "text/markdown;text/x-markdown"),
-    _language("SQL", ".sql", "", "text/x-sql"),
-    _language("Docker", ".dockerfile", "Dockerfile;Dockerfile.*;.dockerignore", "text/x-dockerfile"),
-    _language("Makefile", ".mk;.mak", "Makefile;makefile;GNUmakefile;*.mk", "text/x-makefile"),
-)
+    Language("Go", (".go", ".mod", ".sum"), ("go.mod", "go.sum", "go.work", "go.work.sum"), ("text/x-go",), ("go run",)),
+    Language("JavaScript", (".js", ".mjs", ".jsx", ".es6", ".es"), (".eslintrc.js", ".babelrc.js"), ("application/javascript", "text/javascript"), ("node", "nodejs")),
+    Language("TypeScript", (".ts", ".tsx", ".d.ts"), ("tsconfig.json", ".tslintrc"), ("application/typescript",)),
+    Language("Python", (".py", ".pyw", ".pyi", ".pyx", ".pyd"), ("Pipfile", "pyproject.toml", "setup.py", "requirements.txt"), ("text/x-python", "application/x-python"), ("python", "python2", "python3")),
+    Language("Java", (".java", ".class", ".jar", ".gradle"), ("build.gradle", "pom.xml", "gradle.properties"), ("text/x-java-source",)),
+    Language("C", (".c", ".h"), (), ("text/x-c", "text/x-csrc")),
+    Language("C++", (".cpp", ".cxx", ".cc", ".c++", ".hpp", ".hxx", ".hh", ".h++"), (), ("text/x-c++", "text/x-c++src")),
+    Language("Rust", (".rs", ".rlib"), ("Cargo.toml", "Cargo.lock"), ("text/rust",)),
+    Language("C#", (".cs", ".csx", ".csproj", ".sln"), (), ("text/x-csharp",)),
+    Language("Ruby", (".rb", ".rbw", ".rake", ".gemspec"), ("Rakefile", "Gemfile", "Gemfile.lock"), ("text/x-ruby",), ("ruby",)),
+    Language("PHP", (".php", ".php3", ".php4", ".php5", ".phtml"), (), ("text/x-php", "application/x-php"), ("php",)),
+    Language("Shell", (".sh", ".bash", ".zsh", ".fish", ".csh", ".tcsh", ".ksh"), (), ("text/x-shellscript", "application/x-sh"), ("sh", "bash", "zsh", "fish", "csh", "tcsh", "ksh")),
+    Language("HTML", (".html", ".htm", ".xhtml"), (), ("text/html", "application/xhtml+xml")),
+    Language("CSS", (".css", ".scss", ".sass", ".less"), (), ("text/css",)),
+    Language("JSON", (".json", ".jsonc", ".json5"), (".eslintrc", ".babelrc", "tsconfig.json", "package.json"), ("application/json", "text/json")),
+    Language("YAML", (".yaml", ".yml"), (".github/workflows/*.yml", ".github/workflows/*.yaml"), ("text/yaml", "application/x-yaml")),
+    Language("XML", (".xml", ".xsl", ".xslt", ".xsd"), ("pom.xml", "web.xml"), ("text/xml", "application/xml")),
+    Language("Markdown", (".md", ".markdown", ".mdown", ".mkd"), ("README.md", "CHANGELOG.md"), ("text/markdown", "text/x-markdown")),
+    Language("SQL", (".sql",), (), ("text/x-sql",)),
+    Language("Docker", (".dockerfile",), ("Dockerfile", "Dockerfile.*", ".dockerignore"), ("text/x-dockerfile",)),
+    Language("Makefile", (".mk", ".mak"), ("Makefile", "makefile", "GNUmakefile", "*.mk"), ("text/x-makefile",)),
+)
 #: How sure each way of detection is.
 CONFIDENCE = {"extension": 0.8, "pattern": 0.7, "mime": 0.6, "shebang": 0.9}
 #: Names that an index gives files by extension.

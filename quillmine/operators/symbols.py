@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.scalars import clean_doc, symbol_id
-from .lines import explode_lines
+from .lines import explode_lines, split_lines, walked
 
 #: Kinds of symbols that open a scope, and the scope's kind.
 SCOPE_KINDS = {
@@ -161,23 +160,24 @@ def syntax_errors(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "content").mapInArrow(run, schema)
 
 
-def comment_above(lines: DataFrame, key: str = "path") -> DataFrame:
-    """comment: the // comment on the line directly above."""
-    above = F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))
-    return lines.withColumn("comment", F.when(F.ltrim(above).startswith("//"), F.trim(F.regexp_replace(F.trim(above), r"^//", ""))))
-
-
-def comment_block_above(lines: DataFrame, key: str = "path") -> DataFrame:
-    """doc: all // comments above, over blank lines, up to the first code line,
-    joined by spaces: the lines since the last code line are one island."""
-    by_file = Window.partitionBy(key).orderBy("line_no")
-    text = F.trim("line")
-    comment = F.startswith(text, F.lit("//"))
-    code = ~comment & (text != "")
-    island = F.coalesce(F.sum(code.cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = lines.withColumn("_island", island).withColumn("_comment", F.when(comment, F.trim(F.regexp_replace(text, r"^//", ""))))
-    block = F.collect_list("_comment").over(Window.partitionBy(key, "_island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return at.withColumn("doc", F.nullif(F.array_join(block, " "), F.lit(""))).drop("_island", "_comment")
+def documented_lines(files: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
+    """path, line_no, line, comment, doc of the wanted lines of code of files(path,
+    content). comment: the // comment on the line directly above; doc: all // comments
+    above, over blank lines, up to the line of code before, joined by spaces. The
+    lines are walked over inside the file's row: nothing is sorted or shuffled."""
+
+    def step(done: Column, line: Column) -> tuple[dict[str, Column], Column]:
+        text = F.trim(line)
+        comment = F.when(F.startswith(text, F.lit("//")), F.trim(F.regexp_replace(text, r"^//", "")))
+        none = F.array().cast("array<string>")
+        held = F.when(comment.isNotNull(), F.concat(done["held"], F.array(comment))).when(text == "", done["held"]).otherwise(none)
+        after = {"n": done["n"] + 1, "held": held, "above": comment}
+        return after, F.struct(done["n"].alias("line_no"), line.alias("line"), done["above"].alias("comment"), F.nullif(F.array_join(done["held"], " "), F.lit("")).alias("doc"))
+
+    state = {"n": F.lit(1), "held": F.array().cast("array<string>"), "above": F.lit(None).cast("string")}
+    rows = walked(split_lines(F.col("content")), state, "struct<line_no:int,line:string,comment:string,doc:string>", step)
+    rows = F.filter(rows, lambda r: wanted(r["line"]))
+    return files.select("path", rows.alias("rows")).select("path", F.explode("rows").alias("r")).select("path", "r.*")
 
 
 def scopes(symbols: DataFrame) -> DataFrame:

@@ -16,9 +16,8 @@ from ..operators import filters as fl
 from ..operators.grep import GrepOptions, count_matches, files_with_matches, grep, search_stats
 from ..operators.ignore import mark_ignored, parse_rules, rules_frame
 from ..operators.languages import INDEX_NAMES, LANGUAGES, FileTypes, index_language
-from ..operators.lines import explode_lines
 from ..operators.refs import call_edges, calls, distinct_places, one_per_line, reachable, references, token_occurrences
-from ..operators.symbols import _RULES, comment_above, comment_block_above, extract_symbols, line_symbols, modifiers, scopes
+from ..operators.symbols import _RULES, documented_lines, extract_symbols, line_symbols, modifiers, scopes
 from ..streaming.watch import last_operations
 from . import index as ix
 from . import output as out
@@ -438,14 +437,14 @@ def symbol_modifiers(spark, sf_dir):
     "SELECT path, line, trim(regexp_replace(trim(above), '^//', '')) AS comment FROM c WHERE starts_with(ltrim(above), '//') AND starts_with(text, 'func ')"
 )
 def doc_comment(spark, sf_dir):
-    lines = explode_lines(code_files(spark, sf_dir).select("path", "content"))
-    return comment_above(lines).where("comment is not null and startswith(line, 'func ')").select("path", F.col("line_no").alias("line"), "comment")
+    lines = documented_lines(code_files(spark, sf_dir), lambda line: F.startswith(line, F.lit("func ")))
+    return lines.where("comment is not null").select("path", F.col("line_no").alias("line"), "comment")
 
 
 @query(_SYMBOLS + ", " + _DOCS + "SELECT path, line, doc FROM d WHERE starts_with(text, 'func ') AND doc IS NOT NULL")
 def doc_block(spark, sf_dir):
-    lines = explode_lines(code_files(spark, sf_dir).select("path", "content"))
-    return comment_block_above(lines).where("doc is not null and startswith(line, 'func ')").select("path", F.col("line_no").alias("line"), "doc")
+    lines = documented_lines(code_files(spark, sf_dir), lambda line: F.startswith(line, F.lit("func ")))
+    return lines.where("doc is not null").select("path", F.col("line_no").alias("line"), "doc")
 
 
 @query(_SYMBOLS + ", " + _SPANS + ", " + _PARENTS + "SELECT id, parent_id FROM parents")
