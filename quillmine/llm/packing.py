@@ -16,8 +16,10 @@ of them fit together. The others are placed in bulk-synchronous rounds:
   sequences, and the next round begins. A gap that could take several of the
   largest pieces counts as several.
 
-Cases: null or empty text is one token, the end id; documents with the same id
-are packed each; an empty table gives no rows; other columns are ignored.
+Cases: null or empty text is one token, the end id; long texts are tokenised in
+parts and cut into pieces whole; documents with the same id are packed each; among
+pieces, and gaps, of one size any order is a best fit; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,8 +75,12 @@ def _histogram(df: DataFrame, col: str) -> dict[int, int]:
 
 def best_fit(spark: SparkSession, pieces: DataFrame, capacity: int, part_rows: int = 500_000) -> DataFrame:
     """pieces(uid, length) -> uid, sequence_id, round, slot: the order of a
-    sequence's pieces is that of (round, slot). A size that has more than part_rows
-    rows is ranked in several parts."""
+    sequence's pieces is that of (round, slot). The rows of a size are ranked in up to
+    16 parts, and in more where these would have over part_rows rows."""
+
+    def parts(rows: int) -> int:
+        return 1 + max(min(rows // 500, 15), rows // part_rows)
+
     whole = pieces.where(F.col("length") > capacity // 2)
     placed = [whole.select("uid", "length", F.col("uid").alias("sequence_id"), F.lit(0).alias("round"), F.lit(0).alias("slot"))]
     todo = pieces.where(F.col("length") <= capacity // 2).select("uid", "length")
@@ -114,17 +120,17 @@ def best_fit(spark: SparkSession, pieces: DataFrame, capacity: int, part_rows: i
             offered[last] = offered.get(last, 0) + n
         base, level = [], 0
         for s in sorted({*offered, *left}, reverse=True):
-            base.append((s, level, level + offered.get(s, 0), 1 + offered.get(s, 0) // part_rows, 1 + left.get(s, 0) // part_rows))
+            base.append((s, level, level + offered.get(s, 0), parts(offered.get(s, 0)), parts(left.get(s, 0))))
             level += offered.get(s, 0) - left.get(s, 0)
         bases = F.broadcast(spark.createDataFrame(base, "size long, low long, high long, gap_parts long, piece_parts long"))  # a row per size: no more than the capacity
         events = events.join(bases, "size")
-        parts = F.when(F.col("kind") == 0, F.col("gap_parts")).otherwise(F.col("piece_parts"))
-        events = events.withColumn("salt", F.pmod(F.xxhash64("who", "slot"), parts).cast("int")).drop("gap_parts", "piece_parts")
+        salts = F.when(F.col("kind") == 0, F.col("gap_parts")).otherwise(F.col("piece_parts"))
+        events = events.withColumn("salt", F.pmod(F.xxhash64("who", "slot"), salts).cast("int")).drop("gap_parts", "piece_parts")
         part = events.groupBy("size", "kind", "salt").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("size", "kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         part = part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
         rank = F.row_number().over(Window.partitionBy("size", "kind", "salt").orderBy("who", "slot"))
-        # part: two rows for a size, and one for each part_rows rows
+        # part: 32 rows for a size at most, and one for each part_rows rows
         events = events.withColumn("rank", rank).join(F.broadcast(part), ["size", "kind", "salt"])
         at = F.when(F.col("kind") == 0, F.col("low") + F.col("before") + F.col("rank")).otherwise(F.col("high") - F.col("before") - F.col("rank") + 1)
         line = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
