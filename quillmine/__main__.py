@@ -46,6 +46,13 @@ def check(o: dict) -> None:
         raise ValueError("only one of --symbols, --refs, --types and --call-graph")
     if modes and (o.get("literal") or o.get("replacement") is not None):
         raise ValueError("-F and -r are for text searches")
+    for name in ("before", "after", "context", "max_count", "max_depth", "max_filesize", "threads"):
+        if (o.get(name) or 0) < 0:
+            raise ValueError(f"--{name.replace('_', '-')} must not be negative")
+    if len(forms := [f for f in ("count", "files", "files_without", "json", "jsonl") if o.get(f)]) > 1:
+        raise ValueError("only one form of output, not " + " and ".join(forms))
+    if modes and (o.get("invert") or o.get("across_lines")):
+        raise ValueError("-v and -U are for text searches")
     if not o.get("pattern") and not (o.get("index_status") or o.get("index_clear") or o.get("rebuild_index")):
         raise ValueError("a pattern is needed")
 
@@ -119,6 +126,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             n += 1
             if not o.get("quiet"):
                 print(row.value)
+        if not n and not any(o.get(f) for f in ("quiet", "count", "files", "files_without", "json", "jsonl")):
+            print("No matches found", file=sys.stderr)
         return 0 if n else 1
     finally:
         if own:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import Executor, Future
 
 #: name, kind, start_line, start_col, end_line, end_col, signature, doc, type
 Found = tuple
@@ -256,11 +257,14 @@ def declarations(source: str | None, language: str | None, details: bool = False
     return sorted(found, key=lambda f: (f[2], f[3], f[0]))
 
 
-def described(source: str | None, language: str | None, details: bool = False) -> list[tuple]:
+def described(source: str | None, language: str | None, details: bool = False, parser: Callable[[str], list[Found]] | None = None) -> list[tuple]:
     """(name, kind, type, start_line, start_col, end_line, end_col, signature, doc,
     scope, properties): declarations with the name of the innermost symbol around
     them and what their heads say."""
-    found = declarations(source, language, details)
+    if parser is not None:
+        found = sorted(parser(source), key=lambda f: (f[2], f[3], f[0])) if source else []
+    else:
+        found = declarations(source, language, details)
     out, opened = [], []
     for f in found:  # by place: whoever is open and has not ended is around
         name, kind, line, col, end_line, end_col, head, doc, typed = f
@@ -278,6 +282,11 @@ def described(source: str | None, language: str | None, details: bool = False) -
     return out
 
 
+def described_later(pool: Executor, source: str, language: str) -> Future:
+    """described(), by a pool's thread or process."""
+    return pool.submit(described, source, language)
+
+
 def syntax_errors(source: str | None, language: str | None) -> list[tuple[int, int, str]]:
     """(line, column, message) of what does not parse: Python's own verdict, and
     brackets that do not match elsewhere."""

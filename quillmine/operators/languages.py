@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import glob_pattern
-from .filters import basename, extension
+from .filters import basename, extension, is_binary, is_hidden
 
 
 @dataclass(frozen=True)
@@ -118,3 +118,43 @@ def include_files(files: DataFrame, types: FileTypes, include: tuple[str, ...] =
     if exclude:
         keep &= ~F.coalesce(found.isin(*exclude), F.lit(False))
     return files.where(keep)
+
+
+@dataclass(frozen=True)
+class FileFilter:
+    """What a walk takes: languages, extensions, sizes, hidden and binary files."""
+
+    languages: tuple[str, ...] = ()
+    not_languages: tuple[str, ...] = ()
+    extensions: tuple[str, ...] = ()
+    not_extensions: tuple[str, ...] = ()
+    min_bytes: int = 0
+    max_bytes: int | None = None
+    hidden: bool = False
+    binary: bool = False
+    types: FileTypes = field(default_factory=FileTypes)
+
+    def apply(self, files: DataFrame) -> DataFrame:
+        """Of files(path, content) those that fit in all respects."""
+        size, ext = F.octet_length("content"), F.lower(extension(F.col("path")))
+        keep = size >= self.min_bytes
+        if self.max_bytes is not None:
+            keep &= size <= self.max_bytes
+        if self.extensions:
+            keep &= ext.isin(*self.extensions)
+        if self.not_extensions:
+            keep &= ~ext.isin(*self.not_extensions)
+        if not self.hidden:
+            keep &= ~is_hidden(F.col("path"))
+        if not self.binary:
+            keep &= ~is_binary(F.col("content"), "nul")
+        return include_files(files.where(keep), self.types, self.languages, self.not_languages)
+
+
+#: Filters by name.
+FILTERS = {
+    "all": FileFilter(hidden=True, binary=True),
+    "code": FileFilter(languages=("Go", "JavaScript", "TypeScript", "Python", "Java", "C", "C++", "Rust", "C#", "Ruby", "PHP", "Shell"), max_bytes=10 << 20),
+    "web": FileFilter(languages=("HTML", "CSS", "JavaScript", "TypeScript")),
+    "text": FileFilter(languages=("Markdown", "JSON", "YAML", "XML")),
+}

@@ -116,11 +116,13 @@ def modifiers(language: Column, name: Column) -> Column:
     return F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
 
 
-def extract_symbols(files: DataFrame, details: bool = False) -> DataFrame:
+def extract_symbols(files: DataFrame, details: bool = False, parsers: dict[str, Callable[[str], list[tuple]]] | None = None) -> DataFrame:
     """files(path, language, content) -> the symbols table, a file at a time in Arrow
     batches, without a shuffle. details: methods, fields, imports, variables and
-    constants too, where the plain declarations leave them out. A file that fails
-    has no symbols."""
+    constants too, where the plain declarations leave them out. parsers: functions
+    for further languages, or in place of the own ones, from a source to (name, kind,
+    start_line, start_col, end_line, end_col, signature, doc, type). A file that
+    fails has no symbols."""
     schema = T._parse_datatype_string(_SYMBOL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def extract_symbols(files: DataFrame, details: bool = False) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             for path, language, content in _files(batches):
-                for found in _patiently(lambda: described(content, language, details)) or ():
+                for found in _patiently(lambda: described(content, language, details, (parsers or {}).get(language))) or ():
                     yield (path, language, *found)
 
         yield from _arrow_rows(rows(), schema)

@@ -685,10 +685,10 @@ def fs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SESSIONS + "SELECT event_type AS root, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 60000000 AS end_us, count(*) AS n FROM s GROUP BY event_type, sid")
 def debounce_sessions(spark, sf_dir):
-    from ..streaming.watch import debounced
+    from ..streaming.watch import session_counts
 
-    s = debounced(fs_events(spark, sf_dir), "60 seconds")
-    return s.select("root", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), F.size("events").cast("long").alias("n"))
+    s = session_counts(fs_events(spark, sf_dir), "60 seconds")
+    return s.select("root", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query(

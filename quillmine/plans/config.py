@@ -22,13 +22,28 @@ def _value(text: str):
 
 
 def read_config(path: str | Path) -> dict:
-    """Flat ``key: value`` lines; # begins a comment."""
-    out = {}
+    """``key: value`` lines; # begins a comment. Keys below a key without a value are
+    indented and join it by an underscore; lines that begin with a dash are its list."""
+    out: dict = {}
+    above: list[tuple[int, str]] = []
     for line in Path(path).read_text().splitlines():
-        line = line.split("#", 1)[0]
-        if ":" in line and line.strip():
-            key, value = line.split(":", 1)
-            out[key.strip().replace("-", "_")] = _value(value)
+        line = line.split("#", 1)[0].rstrip()
+        text = line.lstrip()
+        if not text:
+            continue
+        depth = len(line) - len(text)
+        while above and above[-1][0] >= depth + text.startswith("- "):
+            above.pop()
+        base = "_".join(k for _, k in above)
+        if text.startswith("- ") and base:
+            held = out.get(base)
+            out[base] = [*(held if isinstance(held, list) else []), _value(text[2:])]
+        elif ":" in text:
+            key, value = (x.strip() for x in text.split(":", 1))
+            key = key.replace("-", "_")
+            above.append((depth, key))
+            if value:
+                out[f"{base}_{key}" if base else key] = _value(value)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,41 @@ def error_details(errors: DataFrame, limit: int = 10) -> DataFrame:
     return errors.orderBy("type", "file_path", "line").limit(limit)
 
 
+@dataclass(frozen=True)
+class ErrorPolicy:
+    """Which files a search passes over, and how many errors it shows."""
+
+    skip_binary: bool = True
+    max_bytes: int | None = None
+    most: int = 1000
+
+    def apply(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The files(path, content, error) to be searched, and the errors of the rest:
+        type, message, file_path, what to do."""
+        from ..operators.filters import is_binary
+
+        reason = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+        if self.max_bytes is not None:
+            reason = F.coalesce(reason, F.when(F.octet_length("content") > self.max_bytes, F.concat(F.lit("file too large: "), F.octet_length("content").cast("string"))))
+        if self.skip_binary:
+            reason = F.coalesce(reason, F.when(is_binary(F.col("content"), "nul"), "binary file"))
+        marked = files.withColumn("reason", reason)
+        bad = marked.where("reason is not null").select(error_kind(F.col("reason")).alias("type"), F.col("reason").alias("message"), F.col("path").alias("file_path"))
+        return marked.where("reason is null").drop("reason"), bad.withColumn("action", recovery(F.col("type"))).orderBy("file_path").limit(self.most)
+
+
+def wrapped(error: Exception, path: str | None = None, operation: str | None = None) -> SearchError:
+    """An error as one of the search's own, by the signs in its message."""
+    if isinstance(error, SearchError):
+        return error
+    low = str(error).lower()
+    kind = next((k for sign, k in _SIGNS if sign in low), "unknown")
+    own = {c.kind: c for c in SearchError.__subclasses__()}
+    made = own.get({"permission_denied": "file_access", "file_not_found": "file_access"}.get(kind, kind), SearchError)(str(error), path, operation=operation)
+    made.kind = kind
+    return made
+
+
 def abort_if_failing(files: DataFrame, share: float = 0.5) -> None:
     """Raise if more than this share of files(error) failed."""
     row = files.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).first()

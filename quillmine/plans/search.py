@@ -92,6 +92,11 @@ def find_calls(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     return call_graph(symbols, refs, name)
 
 
+def by_place(symbols: DataFrame) -> DataFrame:
+    """Symbols as they stand in their files."""
+    return symbols.orderBy("file_path", "start_line", "start_col", "name")
+
+
 def symbol_results(symbols: DataFrame) -> DataFrame:
     """Symbols in the form of matches, with what is known of them as a map."""
     info = F.map_filter(
@@ -205,6 +210,12 @@ class Engine:
             timer.cancel()
             self.spark.removeTag(tag)
 
+    def progress(self) -> list[dict]:
+        """Stages that run now, with their tasks."""
+        tracker = self.spark.sparkContext.statusTracker()
+        held = [tracker.getStageInfo(s) for s in tracker.getActiveStageIds()]
+        return [{"stage": s.stageId, "name": s.name, "tasks": s.numTasks, "done": s.numCompletedTasks, "failed": s.numFailedTasks} for s in held if s]
+
     def stream(self, df: DataFrame):
         """Rows as partitions end, a partition at a time on the driver."""
         return df.toLocalIterator(prefetchPartitions=True)

@@ -126,13 +126,15 @@ class CodeTreeReader(DataSourceReader):
                         content = f.read()
                 except OSError as e:
                     error = str(e)
+            if error is not None and _flag(self.options, "failfast", False):
+                raise OSError(f"{path}: {error}")
             yield (path, rel, name, ext, size, datetime.fromtimestamp(mtime, tz=timezone.utc), link, depth, content, error)
 
 
 class CodeTree(DataSource):
     """Options: path (comma-separated roots), hidden, followSymlinks, maxDepth,
     maxFileSize, glob (comma-separated), respectIgnore, globalIgnore, prune,
-    numPartitions."""
+    numPartitions, failFast (the first error ends the read)."""
 
     @classmethod
     def name(cls) -> str:

@@ -49,6 +49,12 @@ def debounced(events: DataFrame, quiet: str = "500 milliseconds", late: str = "2
     return by.select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+def session_counts(events: DataFrame, quiet: str = "500 milliseconds") -> DataFrame:
+    """root, start, end, n: debounced(), without its events in one row."""
+    by = events.groupBy("root", F.session_window("time", quiet).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return by.select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def capped_batches(events: DataFrame, size: int = 50, quiet_ms: int = 500) -> DataFrame:
     """root, n, events: flushed when `size` events are held or nothing came for
     the quiet time, whichever is first. Held events are state."""
@@ -116,6 +122,55 @@ def watch(events: DataFrame, store, files_of: Callable[[list[str]], DataFrame],
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()
 
 
+class TreeWatcher:
+    """Keeps an index up to date with directory trees. Roots may come and go: the
+    stream is then begun anew, and takes up what it had not applied."""
+
+    def __init__(self, spark: SparkSession, store, files_of: Callable[[list[str]], DataFrame], folder: str, roots: tuple[str, ...] = (), **options):
+        self.spark, self.store, self.files_of, self.folder, self.roots, self.options = spark, store, files_of, folder.rstrip("/"), list(roots), options
+        self.query: StreamingQuery | None = None
+        self.runs = 0
+
+    def start(self) -> None:
+        if self.query is None and self.roots:
+            from ..sources.treeevents import tree_events
+
+            self.runs += 1
+            # roots are part of what an offset means: other roots begin with a listing of their own
+            place = f"{self.folder}/run-{self.runs}"
+            events = tree_events(self.spark, *self.roots, journal=f"{place}/journal")
+            self.query = watch(events, self.store, self.files_of, f"{place}/checkpoint", **self.options)
+
+    def flush(self) -> None:
+        """Wait until all that happened is applied."""
+        if self.query is not None:
+            self.query.processAllAvailable()
+
+    def stop(self, flush: bool = True) -> None:
+        if self.query is not None:
+            if flush:
+                self.flush()
+            self.query.stop()
+            self.query = None
+
+    def add(self, root: str) -> None:
+        self._changed([*self.roots, *([] if root in self.roots else [root])])
+
+    def remove(self, root: str) -> None:
+        self._changed([r for r in self.roots if r != root])
+
+    def _changed(self, roots: list[str]) -> None:
+        running = self.query is not None
+        self.stop()
+        self.roots = roots
+        if running:
+            self.start()
+
+    def stats(self) -> dict:
+        held = watch_stats(self.query) if self.query is not None else {"batches": 0, "rows": 0, "active": False}
+        return held | {"roots": len(self.roots), "runs": self.runs}
+
+
 def watch_stats(query: StreamingQuery) -> dict:
     p = query.lastProgress
     return {"batches": p["batchId"] + 1 if p else 0, "rows": p["numInputRows"] if p else 0, "active": query.isActive}
