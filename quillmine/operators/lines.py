@@ -27,7 +27,15 @@ def explode_lines(files: DataFrame, content: str = "content", drop_last_empty: b
 
 
 #: Items of an array that are walked over before the output is joined.
-BLOCK = 256
+BLOCK = 64
+#: Numbers that are summed up before their text joins the others'.
+SUMS = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used: expressions
+    inside of lambdas are not shared otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def walked(items: Column, state: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
@@ -42,14 +50,16 @@ def walked(items: Column, state: dict[str, Column], kind: str, step: Callable[[C
 
     def block(done: Column, some: Column) -> Column:
         held = F.struct(*(done[n].alias(n) for n in state), none.alias("out"))
-        # an array of one, so that the walk is made once and looked at several times
-        walk = F.array(F.aggregate(some, held, one))
-        return F.element_at(F.transform(walk, lambda w: F.struct(*(w[n].alias(n) for n in state), F.concat(done["out"], F.array(w["out"])).alias("out"))), 1)
+        return bound(F.aggregate(some, held, one), lambda w: F.struct(*(w[n].alias(n) for n in state), F.concat(done["out"], F.array(w["out"])).alias("out")))
+
+    def walk(items: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+        start = F.struct(*(c.alias(n) for n, c in state.items()), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        short = F.aggregate(items, F.struct(*(c.alias(n) for n, c in state.items()), none.alias("out")), one, lambda done: done["out"])
+        return F.when(F.size(items) <= BLOCK, short).otherwise(F.flatten(F.aggregate(blocks, start, block, lambda done: done["out"])))
 
-    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
-    start = F.struct(*(c.alias(n) for n, c in state.items()), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.flatten(F.aggregate(blocks, start, block, lambda done: done["out"]))
+    return bound(items, walk)
 
 
 #: Marks that are put around matches: characters that no text is to have, several
@@ -63,32 +73,66 @@ def match_pairs(text: Column, pattern: str, may_be_empty: bool = False) -> Colum
     where nothing is matched: there the matches are marked in the text instead."""
     if not may_be_empty:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        return F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, b: F.struct(m.alias("match"), b.alias("before")))
+        between = F.split(text, pattern, -1)
+        return bound(found, lambda found: F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("match"), b.alias("before"))))
 
     # no match begins between the two halves of a character outside the first plane
     whole = rf"(?![\x{{DC00}}-\x{{DFFF}}])(?:{pattern})"
 
     def marked(a: str, b: str) -> Column:
-        pieces = F.split(F.regexp_replace(text, whole, f"{a}$0{b}"), a, -1)
-        return F.zip_with(
-            F.slice(pieces, 2, F.size(pieces)), F.slice(pieces, 1, F.size(pieces) - 1),
-            lambda m, before: F.struct(F.substring_index(m, b, 1).alias("match"), F.substring_index(before, b, -1).alias("before")),
-        )
+        def pairs(pieces: Column) -> Column:
+            return F.zip_with(
+                F.slice(pieces, 2, F.size(pieces)), F.slice(pieces, 1, F.size(pieces) - 1),
+                lambda m, before: F.struct(F.substring_index(m, b, 1).alias("match"), F.substring_index(before, b, -1).alias("before")),
+            )
+
+        return bound(F.split(F.regexp_replace(text, whole, f"{a}$0{b}"), a, -1), pairs)
 
     (a, b), others = _MARKS
     return F.when(~F.contains(text, F.lit(a)) & ~F.contains(text, F.lit(b)), marked(a, b)).otherwise(marked(*others))
 
 
+def prefix_sums(sizes: Column) -> Column:
+    """array<bigint>: the sum of the items before each. The sums are put together as a
+    text, which grows at little cost, and in blocks, so that long arrays do too."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def one(done: Column, size: Column) -> Column:
+        return F.struct((done["at"] + size).alias("at"), F.concat(done["out"], done["at"].cast("string"), F.lit(" ")).alias("out"))
+
+    def block(done: Column, some: Column) -> Column:
+        walk = F.aggregate(some, F.struct(done["at"].alias("at"), F.lit("").alias("out")), one)
+        return bound(walk, lambda w: F.struct(w["at"].alias("at"), F.concat(done["out"], w["out"]).alias("out")))
+
+    def walk(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SUMS).cast("int")), lambda k: F.slice(items, k * SUMS + 1, SUMS))
+        text = F.when(F.size(items) <= SUMS, F.aggregate(items, zero, one, lambda done: done["out"])).otherwise(F.aggregate(blocks, zero, block, lambda done: done["out"]))
+        return F.slice(F.split(text, " "), 1, F.size(items)).cast("array<bigint>")
+
+    return bound(sizes, walk)
+
+
+def _placed(pairs: Column) -> Column:
+    """array<struct<match, start, end, abuts>> of pairs with the text before each; abuts:
+    an empty match at the end of the one before."""
+
+    def place(pairs: Column) -> Column:
+        before = prefix_sums(F.transform(pairs, lambda p: (F.octet_length(p["before"]) + F.octet_length(p["match"])).cast("long")))
+
+        def one(p: Column, at: Column) -> Column:
+            start = (at + F.octet_length(p["before"])).cast("int")
+            abuts = (p["match"] == "") & (p["before"] == "") & (at > 0)
+            return F.struct(p["match"].alias("match"), start.alias("start"), (start + F.octet_length(p["match"])).alias("end"), abuts.alias("abuts"))
+
+        return F.zip_with(pairs, before, one)
+
+    return bound(pairs, place)
+
+
 def spans(text: Column, pattern: str, may_be_empty: bool = False) -> Column:
     """array<struct<match, start, end>> of all matches in bytes from 0. An empty match
     at the end of the one before does not count."""
-
-    def step(done: Column, pair: Column) -> tuple[dict[str, Column], Column]:
-        start = done["at"] + F.octet_length(pair["before"])
-        end = start + F.octet_length(pair["match"])
-        return {"at": end, "last": end}, F.struct(pair["match"].alias("match"), start.alias("start"), end.alias("end"), ((start == end) & (start == done["last"])).alias("abuts"))
-
-    out = walked(match_pairs(text, pattern, may_be_empty), {"at": F.lit(0), "last": F.lit(-1)}, "struct<match:string,start:int,end:int,abuts:boolean>", step)
+    out = _placed(match_pairs(text, pattern, may_be_empty))
     out = F.filter(out, lambda m: ~m["abuts"]) if may_be_empty else out
     return F.transform(out, lambda m: F.struct(m["match"].alias("match"), m["start"].alias("start"), m["end"].alias("end")))
 
@@ -97,19 +141,24 @@ def line_spans(text: Column, pattern: str, may_be_empty: bool = False) -> Column
     """array<struct<match, line_no, end_line, col_start, col_end>> of all matches in a
     text of several lines: lines and byte columns from 1, the end exclusive."""
 
-    def moved(line: Column, col: Column, over: Column) -> tuple[Column, Column]:
-        breaks = F.size(F.split(over, "\n", -1)) - 1
-        return line + breaks, F.when(breaks > 0, F.octet_length(F.substring_index(over, "\n", -1))).otherwise(col + F.octet_length(over))
+    def breaks(part: Column) -> Column:
+        return F.size(F.split(part, "\n", -1)) - 1
+
+    def located(held: Column) -> Column:
+        def one(m: Column, line: Column) -> Column:
+            end_line = line + breaks(m["match"])
+            return F.struct(
+                m["match"].alias("match"), line.alias("line_no"), end_line.alias("end_line"), (m["start"] - F.element_at(held["starts"], line) + 1).cast("int").alias("col_start"),
+                (m["end"] - F.element_at(held["starts"], end_line) + 1).cast("int").alias("col_end"), m["abuts"].alias("abuts"),
+            )
 
-    def step(done: Column, pair: Column) -> tuple[dict[str, Column], Column]:
-        line, col = moved(done["line"], done["col"], pair["before"])
-        end_line, end_col = moved(line, col, pair["match"])
-        abuts = (pair["match"] == "") & (pair["before"] == "") & done["any"]
-        out = F.struct(pair["match"].alias("match"), line.alias("line_no"), end_line.alias("end_line"), (col + 1).alias("col_start"), (end_col + 1).alias("col_end"), abuts.alias("abuts"))
-        return {"line": end_line, "col": end_col, "any": F.lit(True)}, out
+        # the line of a match: line breaks before it, and in the text between it and the one before
+        before = prefix_sums(F.transform(held["pairs"], lambda p: (breaks(p["before"]) + breaks(p["match"])).cast("long")))
+        lines = F.zip_with(held["pairs"], before, lambda p, n: (n + breaks(p["before"]) + 1).cast("int"))
+        return F.zip_with(_placed(held["pairs"]), lines, one)
 
-    kind = "struct<match:string,line_no:int,end_line:int,col_start:int,col_end:int,abuts:boolean>"
-    out = walked(match_pairs(text, pattern, may_be_empty), {"line": F.lit(1), "col": F.lit(0), "any": F.lit(False)}, kind, step)
+    starts = prefix_sums(F.transform(F.split(text, "\n", -1), lambda line: (F.octet_length(line) + 1).cast("long")))
+    out = bound(F.struct(match_pairs(text, pattern, may_be_empty).alias("pairs"), starts.alias("starts")), located)
     return F.filter(out, lambda m: ~m["abuts"]) if may_be_empty else out
 
 
@@ -128,11 +177,7 @@ def lines_of(files: DataFrame, wanted: Callable[[Column], Column], before: int =
         files = files.where(F.length("content") > 0)
     held = files.select("path", split_lines(F.col("content"), drop_last_empty).alias("ls"))
     if offset:
-
-        def step(done: Column, line: Column) -> tuple[dict[str, Column], Column]:
-            return {"at": done["at"] + F.octet_length(line) + 1}, done["at"]
-
-        held = held.withColumn("starts", walked(F.col("ls"), {"at": F.lit(0).cast("long")}, "bigint", step))
+        held = held.withColumn("starts", prefix_sums(F.transform("ls", lambda line: (F.octet_length(line) + 1).cast("long"))))
     ls = F.col("ls")
 
     def row(i: Column) -> Column:

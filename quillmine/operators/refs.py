@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .lines import explode_lines, walked
+from .lines import bound, explode_lines, prefix_sums
 
 TOKEN = r"[A-Za-z0-9_$]+"
 #: Words before a name that declare it, so that no call is meant.
@@ -20,14 +20,16 @@ def token_occurrences(files: DataFrame) -> DataFrame:
     occurrence of a name is exactly such a token. call: a parenthesis comes next."""
     lines = explode_lines(files.select("path", "content"))
     found, between = F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)), F.split("line", TOKEN, -1)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("token"), b.alias("before")))
-    pairs = F.zip_with(pairs, F.slice(between, 2, F.size(found)), lambda p, after: F.struct(p["token"].alias("token"), p["before"].alias("before"), after.rlike(r"^\s*\(").alias("call")))
 
-    def step(done: Column, pair: Column) -> tuple[dict[str, Column], Column]:
-        start = done["at"] + F.octet_length(pair["before"])
-        return {"at": start + F.octet_length(pair["token"])}, F.struct((start + 1).alias("col"), pair["token"].alias("token"), pair["call"].alias("call"))
+    def placed(held: Column) -> Column:
+        """Each token between what stands before it and what after."""
+        t, b = held["found"], held["between"]
+        before, after = F.slice(b, 1, F.size(t)), F.slice(b, 2, F.size(t))
+        at = prefix_sums(F.zip_with(t, before, lambda x, y: (F.octet_length(x) + F.octet_length(y)).cast("long")))
+        col = F.zip_with(at, before, lambda n, y: (n + F.octet_length(y) + 1).cast("int"))
+        return F.arrays_zip(col.alias("col"), t.alias("token"), F.transform(after, lambda x: x.rlike(r"^\s*\(")).alias("call"))
 
-    at = walked(pairs, {"at": F.lit(0)}, "struct<col:int,token:string,call:boolean>", step)
+    at = bound(F.struct(found.alias("found"), between.alias("between")), placed)
     return lines.select("path", "line_no", F.explode(at).alias("t")).select("path", F.col("line_no").alias("line"), "t.col", "t.token", "t.call")
 
 

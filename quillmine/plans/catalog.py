@@ -480,10 +480,9 @@ def refs_dedup(spark, sf_dir):
     return r.groupBy("file_path", "line").agg(F.count(F.lit(1)).alias("places"))
 
 
-@query(_LINES + ", t AS (SELECT path, unnest(regexp_extract_all(line, '[A-Za-z0-9_$]+')) AS token FROM lines) SELECT token, count(*) AS n, count(DISTINCT path) AS files FROM t GROUP BY token")
+@query(_LINES + ", t AS (SELECT path, unnest(regexp_extract_all(line, '[A-Za-z0-9_$]+')) AS token FROM lines) SELECT token, count(*) AS n FROM t GROUP BY token")
 def token_refs(spark, sf_dir):
-    t = token_occurrences(doc_files(spark, sf_dir))
-    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("files"))
+    return token_occurrences(doc_files(spark, sf_dir)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_SYMBOLS + "SELECT t.token AS name, t.path AS file_path, t.line, count(*) AS n FROM tok t WHERE regexp_matches(lower(t.token), '^(handle|inner)1.*$') AND t.token IN (SELECT name FROM sym) GROUP BY ALL")
