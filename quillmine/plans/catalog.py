@@ -403,13 +403,17 @@ def symbol_spans(spark, sf_dir):
 @query(
     _SYMBOLS + ", " + _SPANS + ", " + _PARENTS + ", " + _DOCS
     + "SELECT s.id, s.name, s.kind, s.language, s.path AS file_path, s.line AS start_line, s.start_col, s.end_line, "
+    "CAST(CASE WHEN s.bare THEN s.start_col + strlen(s.name) WHEN s.kind = 'type' OR s.language = 'python' THEN strlen(rtrim(e.text)) + 1 ELSE s.col + 1 END AS INTEGER) AS end_col, "
     "CASE WHEN s.language = 'python' THEN rtrim(trim(s.text), ':') ELSE rtrim(trim(s.text), ' ' || chr(123)) END AS signature, d.doc AS doc_string, p.scope, "
-    + f"{_MODIFIER.replace('language', 's.language').replace('(name', '(s.name').replace('name LIKE', 's.name LIKE')} AS modifier "
-    "FROM spans s JOIN parents p ON p.id = s.id LEFT JOIN d ON s.language = 'go' AND d.path = s.path AND d.line = s.line"
+    + f"{_MODIFIER.replace('language', 's.language').replace('(name', '(s.name').replace('name LIKE', 's.name LIKE')} AS modifiers, "
+    "CASE WHEN s.language = 'go' AND s.kind = 'method' THEN 'receiver=' || regexp_extract(s.text, '^func \\(\\w+ \\*?(\\w+)\\)', 1) ELSE '' END AS properties "
+    "FROM spans s JOIN parents p ON p.id = s.id JOIN cl e ON e.path = s.path AND e.line = s.end_line LEFT JOIN d ON s.language = 'go' AND d.path = s.path AND d.line = s.line"
 )
 def symbol_table(spark, sf_dir):
     s = extract_symbols(code_files(spark, sf_dir))
-    return s.select("id", "name", "kind", "language", "file_path", "start_line", "start_col", "end_line", "signature", "doc_string", "scope", F.element_at("modifiers", 1).alias("modifier"))
+    pairs = F.array_sort(F.transform(F.map_entries("properties"), lambda p: F.concat(p["key"], F.lit("="), p["value"])))
+    texts = (F.array_join("modifiers", ",").alias("modifiers"), F.array_join(pairs, ",").alias("properties"))
+    return s.select("id", "name", "kind", "language", "file_path", "start_line", "start_col", "end_line", "end_col", "signature", "doc_string", "scope", *texts)
 
 
 def _by(by: str, text: str, filters: tuple = ()):
