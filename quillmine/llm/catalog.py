@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .ballmeans import ball_kmeans
+from .blockmax import ranked_search
 from .common import table
 from .decontaminate import find_contamination
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
-from .oracles import ball_kmeans_sql
+from .oracles import ball_kmeans_sql, ranked_search_sql
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -73,12 +74,16 @@ def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans(spark, table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed="3")
 
 
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_additive_quantisation, op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op7_wrapper_induction, op8_license_scan, op9_benchmark_cgk,
-        op10_best_fit_packing, op11_ball_kmeans,
+        op10_best_fit_packing, op11_ball_kmeans, op12_block_max_wand,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_ball_kmeans": ball_kmeans_sql()}
+ORACLE_SQL: dict[str, str] = {"op11_ball_kmeans": ball_kmeans_sql(), "op12_block_max_wand": ranked_search_sql()}
