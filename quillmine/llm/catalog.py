@@ -14,6 +14,7 @@ from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .oracles import ball_kmeans_sql, ranked_search_sql
 from .packing import pack
+from .pii import personal_data_digest
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -78,11 +79,15 @@ def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_additive_quantisation, op2_line_dedup, op3_token_files, op4_toxicity_cnn, op5_token_counts, op6_simhash_golay, op7_wrapper_induction, op8_license_scan, op9_benchmark_cgk,
-        op10_best_fit_packing, op11_ball_kmeans, op12_block_max_wand,
+        op10_best_fit_packing, op11_ball_kmeans, op12_block_max_wand, op13_pii_crf,
     )
 }
 
