@@ -12,11 +12,15 @@ import html
 import marshal
 import re
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""", re.I)
+#: Where something other than text begins; a tag's end is looked for by _tag_end.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _APART = re.compile(r"[^a-z0-9]+")
 
+_NAMES = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden"))
+
 #: Marks of a block: none, one that may also be a name for a part of the article,
 #: one that is not of the article.
 PLAIN, DOUBTFUL, ASIDE = range(3)
@@ -40,15 +44,17 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 #: Elements that hold other parts of a page than its article.
 ASIDE_TAGS = frozenset("nav footer aside form dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Words of class names and ids that name nothing of an article.
+#: Words of class names and ids for what varies by page as an article does, so that
+#: alignment cannot tell it from one: adverts and readers' comments.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer footnav gdpr "
-    "lightbox login masthead menu menus modal nav navbar navigation newsletter pager pagination paywall popup promo promoted respond share sharing sidebar sidebars signup skip sponsor sponsored "
-    "subscribe subscription toolbar topbar".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense comment comments commentlist disqus promo promoted sponsor sponsored".split()
 )
-#: Words that also name parts of articles.
+#: Words for other parts of pages, which can also name parts of articles: outside of the
+#: article they count, in it alignment decides.
 DOUBTFUL_WORDS = frozenset(
-    "alert aside discussion disclaimer notice notices notification overlay promotion rail recommendations recommended related replies reply search social tags widget widgets".split()
+    "alert aside banner banners breadcrumb breadcrumbs consent cookie cookies discussion disclaimer footer footnav gdpr lightbox login masthead menu menus modal nav navbar navigation newsletter notice "
+    "notices notification overlay pager pagination paywall popup promotion rail recommendations recommended related replies reply respond search share sharing sidebar sidebars signup skip social "
+    "subscribe subscription tags toolbar topbar widget widgets".split()
 )
 #: Words beside them that say where a part of a page is, or what it looks like.
 LAYOUT_WORDS = frozenset(
@@ -62,10 +68,9 @@ def marks_of(attrs: str) -> tuple[str, int]:
     words: list[str] = []
     mark = PLAIN
     for m in _ATTR.finditer(attrs):
-        if m[3]:
-            mark = ASIDE
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name not in _NAMES:
             continue
-        name, value = m[1].lower(), m[2].strip("\"'")
         if name in ("class", "id"):
             for token in value.split():
                 parts = _APART.split(_CAMEL.sub("-", token).lower())
@@ -82,8 +87,8 @@ def marks_of(attrs: str) -> tuple[str, int]:
             mark = ASIDE if value.lower() in ASIDE_ROLES else mark
         elif name == "style":
             mark = ASIDE if "display:none" in value.lower().replace(" ", "") else mark
-        else:
-            mark = ASIDE if value.lower() != "false" else mark
+        elif name == "hidden" or value.lower() not in ("", "false"):
+            mark = ASIDE
     return " ".join(words), mark
 
 
@@ -170,18 +175,55 @@ class _Parser:
             self.inside.append((len(self.open) - 1, [0]))
 
 
+class _Tags:
+    """The ends of a page's tags, found in time that grows with the page: what a
+    search has shown not to be there is not searched for again."""
+
+    def __init__(self, text: str):
+        self.text, self.last, self.loose = text, text.rfind(">"), -1
+        self.open_raw: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at `at`, -1 if none
+        does. A > in quotes ends no tag, but where a quote has no partner quotes count
+        for nothing up to it."""
+        if at > self.last:
+            return -1
+        if at > self.loose:
+            stop = _QUOTED.match(self.text, at).end()
+            if stop < len(self.text) and self.text[stop] == ">":
+                return stop
+            self.loose = stop
+        return self.text.find(">", at)
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no text, -1 if it has none."""
+        if tag in self.open_raw:
+            return -1
+        found = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(self.text, at)
+        if not found:
+            self.open_raw.add(tag)
+            return -1
+        return self.text.find(">", found.start()) + 1 or len(self.text)
+
+
 def parse(page: str | None) -> tuple:
-    """The root block."""
+    """The root block. A < that no > follows is text, as is one that no name follows."""
     text = page or ""
-    state, at = _Parser(), 0
-    while m := _TOKEN.search(text, at):
-        state.put(text[at : m.start()])
+    state, at, tags = _Parser(), 0, _Tags(text)
+    done = 0
+    while m := _MARKUP.search(text, at):
         at = m.end()
-        name = m[3] or m[6]
-        if name is None:
+        if m[3] is None:
+            state.put(text[done : m.start()])
+            done = at
+            continue
+        tag, end = m[3].lower(), tags.end(at)
+        if end < 0:
             continue
-        tag, closing, attrs = name.lower(), m[2] or m[5], m[4] or m[7] or ""
-        if closing:
+        state.put(text[done : m.start()])
+        attrs, at = text[at:end], end + 1
+        if m[2]:
             state.end(tag)
         elif tag == "br":
             state.put(" ")
@@ -190,14 +232,15 @@ def parse(page: str | None) -> tuple:
                 state.open[-1][3].append(("hr", "", PLAIN, [], [0]))
         elif tag in RAW:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(text, at)
-                if end:
-                    at = text.find(">", end.start()) + 1 or len(text)
+                end = tags.after_raw(tag, at)
+                if end >= 0:
+                    at = end
                 elif tag in ("script", "style", "textarea", "title", "template", "iframe", "noscript"):
                     at = len(text)
         else:
             state.begin(tag, attrs)
-    state.put(text[at:])
+        done = at
+    state.put(text[done:])
     return state.root
 
 

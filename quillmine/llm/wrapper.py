@@ -16,16 +16,16 @@ choice and give its borders; if they do not, they are passed over. Only where
 nothing varies, or a host has one page, do the marks alone, or else the mass of
 text, choose. Inside the content all text is taken but template and parts that are
 not of the article: by their element or role, or by a class or id that names
-nothing of an article and has no other word in it (``comments``, ``ad-slot``), as
-the text of adverts and comments varies like the article's own. Names that may
-be those of an article's parts (``discussion``, ``related work``) count only where
-the alignment finds the block on most pages of the host, and in article or main
-elements only if it is mostly links besides. Content that is mostly "template" is
+adverts or readers' comments and has no other word in it (``comments``,
+``ad-slot``), as the text of these varies like the article's own. Other names,
+which may be those of an article's parts (``menu``, ``banner``, ``discussion``),
+count only where the alignment finds the block on most pages of the host, and in
+article or main elements only if it is mostly links besides. A marked part of a
+line leaves it without breaking it. Content that is mostly "template" is
 that of copies, and stays.
 
-Two lists of children are matched exactly where their product is at most CELLS;
-equal subtrees at their ends are matched beforehand, which loses nothing, and of
-longer rests those near the diagonal are compared.
+Two lists of children are matched exactly, however long; equal subtrees at their
+ends are matched beforehand, which loses nothing.
 
 Pages are parsed once; counts are summed by (host, block, text) before anything
 is gathered by host, and a host's rule is as large as its template, so a host may
@@ -34,7 +34,8 @@ hold any share of the pages.
 Cases: null or empty html gives an empty text; pages without a host are one
 host; equal pages of a host count as one; equal page ids are extracted each; of
 pages with equal hashes the one with the smallest id is the pattern; pages of any
-length and depth are parsed whole; an empty table gives no rows; other columns are
+length and depth are parsed whole, in time that grows with their length, whatever
+tags, quotes and comments stay open; an empty table gives no rows; other columns are
 ignored, whatever their names.
 """
 
@@ -50,18 +51,19 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .common import bounded_batches, lean, written
-from .html_dom import ASIDE, DOUBTFUL, packed, parse, squeezed, unpacked
+from .html_dom import ASIDE, DOUBTFUL, INLINE, packed, parse, squeezed, unpacked
 
 #: Pages of a host, and with a text at a block, from which there is a template.
 MIN_PAGES = 2
-#: The share of a block's pages that template has: from MANY pages on, for fewer,
-#: and for texts besides the commonest to be template too.
-SHARE, SHARE_OF_FEW, SHARE_OF_ALL, MANY = 0.5, 0.8, 0.8, 8
+#: Template is a text that so many of a block's pages have, one page not counted: of
+#: two pages both, of four three, of many half. Texts that more than SHARE_OF_ALL have
+#: make others at their place template too.
+SHARE, SHARE_OF_ALL = 0.5, 0.8
 #: Share of the varying text that the content block holds.
 CONTENT_SHARE = 0.6
 #: A table up to this size is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
-#: Pairs of children that are compared for two blocks, and for how few it is done one by one.
+#: Pairs of children whose table is kept at once, and for how few it is made one by one.
 CELLS, FEW_CELLS = 1 << 18, 400
 #: Shapes and pairs of them that are remembered for a pattern.
 KNOWN = 50_000
@@ -159,35 +161,57 @@ class Matching:
         return out[::-1]
 
     def _many(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int, int]]:
-        """As _few, a row of the table at a time and within a band around the diagonal."""
-        n, m = len(x), len(y)
-        half = m if n * m <= CELLS else max(32, m // n + 1, CELLS // (2 * n))
-        low, best, owns = [0], [np.zeros(m + 1, dtype=np.int64)], [np.empty(0, np.int64)]
-        for i, p in enumerate(x):
-            centre = (2 * i + 1) * m // (2 * n)
-            a, b = max(0, centre - half), min(m, centre + half + 1)
-            scores = {q: self.score(p, q) for q in set(y[a:b])}
-            own = np.fromiter((scores[q] for q in y[a:b]), np.int64, b - a)
-            up = best[-1][np.minimum(np.arange(a, b + 1) - low[-1], len(best[-1]) - 1)]
+        """As _few, a row of the table at a time. Larger tables are not kept: a row from
+        above and one from below give the place where the best way passes the middle, and
+        each half is a table of its own, so memory grows with the lists and not with
+        their product."""
+        kinds, kind = np.unique(np.array(y), return_inverse=True)
+        shapes = kinds.tolist()
+        held: dict[int, np.ndarray] = {}
+
+        def own(p: int) -> np.ndarray:
+            if p not in held:
+                if len(held) >= 64:
+                    held.clear()
+                held[p] = np.array([self.score(p, q) for q in shapes], dtype=np.int64)
+            return held[p][kind]
+
+        def after(up: np.ndarray, scores: np.ndarray) -> np.ndarray:
             row = up.copy()
-            np.maximum(row[1:], up[:-1] + own, out=row[1:])
-            low.append(a)
-            best.append(np.maximum.accumulate(row))
-            owns.append(own)
-        i, j, out = n, low[n] + len(best[n]) - 1, []
-        while i:
-            a, up, b = low[i], best[i - 1], low[i - 1]
-            j = min(j, a + len(best[i]) - 1)
-            here, above = best[i][j - a], up[min(j - b, len(up) - 1)]
-            s = owns[i][j - a - 1] if j > a else 0
-            if s and here == up[min(j - 1 - b, len(up) - 1)] + s:
-                out.append((i - 1, j - 1, int(s)))
-                i, j = i - 1, j - 1
-            elif here == above or j == a:
-                i -= 1
-            else:
-                j -= 1
-        return out[::-1]
+            np.maximum(row[1:], up[:-1] + scores, out=row[1:])
+            return np.maximum.accumulate(row)
+
+        out, todo = [], [(0, len(x), 0, len(y))]
+        while todo:
+            a, b, c, d = todo.pop()
+            if a == b or c == d:
+                continue
+            if (b - a) * (d - c) > CELLS and b - a > 1:
+                middle = (a + b) // 2
+                above, below = np.zeros(d - c + 1, dtype=np.int64), np.zeros(d - c + 1, dtype=np.int64)
+                for p in x[a:middle]:
+                    above = after(above, own(p)[c:d])
+                for p in reversed(x[middle:b]):
+                    below = after(below, own(p)[c:d][::-1])
+                cut = c + int((above + below[::-1]).argmax())
+                todo += [(middle, b, cut, d), (a, middle, c, cut)]
+                continue
+            scores = [own(p)[c:d] for p in x[a:b]]
+            best = [np.zeros(d - c + 1, dtype=np.int64)]
+            for row in scores:
+                best.append(after(best[-1], row))
+            i, j, way = b - a, d - c, []
+            while i and j:
+                s = scores[i - 1][j - 1]
+                if s and best[i][j] == best[i - 1][j - 1] + s:
+                    way.append((a + i - 1, c + j - 1, int(s)))
+                    i, j = i - 1, j - 1
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+            out += way[::-1]
+        return out
 
     def aligned(self, a: tuple, b: tuple, shapes: dict[int, int] | None = None) -> list[tuple[tuple, tuple]]:
         """All matched pairs of blocks of the two trees; shapes: those of the first, if
@@ -303,6 +327,8 @@ def page_text(roots: list[tuple], template: set[int], away: set[int]) -> str:
         if isinstance(x, str):
             run.append(x)
             continue
+        if x is not None and x[0] in INLINE:  # a marked part of a line: the line goes on behind it
+            continue
         flush()
         if x is not None and x[2] != ASIDE and id(x) not in away:
             todo.append(None)
@@ -512,7 +538,7 @@ def extract_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id"
     texts = counts.where("chars > 0").groupBy("host", "node", "h", "chars").agg(F.sum("n").alias("n")).where(F.col("n") > MIN_PAGES - 0.001)
     shared = texts.join(places, ["host", "node"])
     share = (F.col("n") + 0.001) / F.col("pages")
-    shared = shared.where(share >= F.when(F.col("pages") > MANY - 0.001, SHARE).otherwise(SHARE_OF_FEW))
+    shared = shared.where(F.col("n") - 1 >= SHARE * F.col("pages") - 0.001)
     shared = shared.withColumn("all", ((F.col("node") >= 0) | (F.col("node") < NTH)) & (share >= SHARE_OF_ALL))
     # pages that are all alike tell nothing about a template
     varied = places.where("varies").select("host").distinct()
@@ -520,8 +546,7 @@ def extract_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id"
     # blocks with a doubtful mark, on most pages of the host: all pages have the root
     hosts = places.where("node = 0").select("host", F.col("pages").alias("of"))
     doubtful = counts.where("chars < 0").groupBy("host", "node", "h", "chars").agg(F.sum("n").alias("n")).join(hosts, "host")
-    share = (F.col("n") + 0.001) / F.col("of")
-    doubtful = doubtful.where(share >= F.when(F.col("of") > MANY - 0.001, SHARE).otherwise(SHARE_OF_FEW)).select("host", "node", "h", "chars", F.lit(False).alias("all"))
+    doubtful = doubtful.where(F.col("n") - 1 >= SHARE * F.col("of") - 0.001).select("host", "node", "h", "chars", F.lit(False).alias("all"))
     rule = shared.unionByName(doubtful).groupBy("host").agg(F.collect_list(F.struct("node", "h", "chars", "all")).alias("rule"))
     rule = written(spark, seeds.join(rule, "host", "left").select("host", "pattern", "rule"), "page-wrappers")
 

@@ -30,11 +30,12 @@ def brute(a, b):
     return 1 + m[-1][-1]
 
 
-@pytest.mark.parametrize("few", [0, 400])
-def test_tree_matching_against_brute_force(monkeypatch, few):
+@pytest.mark.parametrize("few, cells", [(0, 1 << 18), (400, 1 << 18), (0, 4)])
+def test_tree_matching_against_brute_force(monkeypatch, few, cells):
     from quillmine.llm import wrapper
 
     monkeypatch.setattr(wrapper, "FEW_CELLS", few)
+    monkeypatch.setattr(wrapper, "CELLS", cells)
     rng = random.Random(5)
     for _ in range(400):
         a, b = (("r", "", 0, random_tree(rng, 3)[3] + random_tree(rng, 3)[3], [0]) for _ in range(2))
@@ -99,3 +100,47 @@ def test_equal_ids_and_awkward_pages(spark):
     got = extract_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 3, 3, 999_999] and all(r.n_chars == len(r.text) for r in got)
     assert extract_pages(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+INSIDE = (
+    '<p title="hidden gems">First {i} paragraph</p><p>In <a title="the hidden valley">valley</a> {i}</p><p data-id="menu">Data {i}</p><p data-hidden="0" data-role="search">Zero {i}</p>'
+    '<p aria-label="hidden">Label {i}</p><p>See <a class="ad">x</a> here {i}</p><p>x <span hidden>tip</span> y{i}</p><div class="menu">Soup {i}</div><section id="login">Log {i}</section>'
+    '<p class="banner">Red {i}</p><p class="skip">Rope {i}</p><h2 class="share-post-title">Sharing {i}</h2><p hidden>gone {i}</p><p aria-hidden="true">gone {i}</p><p aria-hidden="false">Kept {i}</p>'
+)
+INSIDE_TEXT = "First {i} paragraph\nIn valley {i}\nData {i}\nZero {i}\nLabel {i}\nSee here {i}\nx y{i}\nSoup {i}\nLog {i}\nRed {i}\nRope {i}\nSharing {i}\nKept {i}"
+
+
+@pytest.mark.parametrize("pages", [1, 3, 12])
+def test_attributes_and_names_inside_an_article(spark, pages):
+    page = "<div class=menu><a href=/>Home</a></div><article><h1>T{i}</h1>" + INSIDE + "</article><div class=footer>foot</div>"
+    got = extracted(spark, [(f"http://a.example/{i}", page.format(i=i)) for i in range(pages)])
+    assert got == [f"T{i}\n" + INSIDE_TEXT.format(i=i) for i in range(pages)]
+
+
+@pytest.mark.parametrize(
+    "piece, n, after",
+    [("<a ", 1_700_000, ""), ("if a <b then ", 400_000, ""), ("<a href='x ", 450_000, ""), ("<select>", 400_000, ""), ("<a '>' \"", 300_000, ""), ("<a b='>' ", 300_000, '"'), ("<!-- x ", 500_000, ""), ("<p ", 900_000, ">"),
+     ("<a title=\"x>", 300_000, ""), ("<button>x", 300_000, "")],
+)
+def test_what_stays_open_takes_linear_time(piece, n, after):
+    from quillmine.llm.html_dom import parse
+
+    began = time.monotonic()
+    parse(piece * n + after)
+    assert time.monotonic() - began < 30
+
+
+def test_open_marks_are_text():
+    from quillmine.llm.html_dom import parse
+
+    assert parse("if a <b then c")[3] == ["if a <b then c"] and parse("1 < 2 <p>x</p> <i")[3] == ["1 < 2 ", ("p", "", 0, ["x"], [0]), " <i"]
+    assert parse("<p title='a>b'>x</p>")[3] == [("p", "", 0, ["x"], [0])] and parse("<p title='a>b</p><i>c</i>")[3] == [("p", "", 0, ["b"], [0]), "c"]
+
+
+def test_long_lists_are_matched_whole():
+    from quillmine.llm.html_dom import parse
+    from quillmine.llm.wrapper import Matching
+
+    common = "".join(f"<p class='c{chr(97 + i % 26)} {chr(97 + i // 26)}x'>{i}</p>" for i in range(700))
+    pairs = Matching().aligned(parse(f"<div>{common}</div>"), parse("<div>" + "<h2>n</h2>" * 500 + common + "</div>"))
+    assert len(pairs) == 702
