@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
         ("-w --word-regexp", "word"), ("-x --line-regexp", "whole_line"), ("-F --fixed-strings", "literal"), ("-U --multiline", "across_lines"), ("--multiline-dotall", "dot_all"),
         ("-v --invert-match", "invert"), ("--hidden", "hidden"), ("-q --quiet", "quiet"), ("-a --text", "binary_as_text"), ("--json", "json"), ("--jsonl", "jsonl"), ("--no-heading", "no_heading"),
         ("-0 --null", "null"), ("--no-ignore", "no_ignore"), ("--symbols", "symbols"), ("--refs", "refs"), ("--types", "types_mode"), ("--call-graph", "call_graph"), ("--no-index", "no_index"),
-        ("--rebuild-index", "rebuild_index"), ("--index-status", "index_status"), ("--index-clear", "index_clear"), ("-n --line-number", "line_number"), ("-H --with-filename", "with_filename"),
+        ("--rebuild-index", "rebuild_index"), ("--details", "details"), ("--index-status", "index_status"), ("--index-clear", "index_clear"), ("-n --line-number", "line_number"), ("-H --with-filename", "with_filename"),
     ):
         p.add_argument(*flags.split(), dest=name, action="store_true", default=None)
     for flags, name, kind in (
@@ -90,7 +90,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 store.clear()
                 return 0
             if o.get("rebuild_index") or not store.version():
-                done = store.rebuild(tree)
+                done = store.rebuild(tree, details=bool(o.get("details")), workers=o.get("threads") or None)
                 if not o.get("pattern"):
                     print(json.dumps(done))
                     return 0

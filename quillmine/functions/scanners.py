@@ -9,10 +9,13 @@ the symbol table function.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import Executor, Future
 
+import numpy as np
+
 #: name, kind, start_line, start_col, end_line, end_col, signature, doc, type
 Found = tuple
 
@@ -105,48 +108,63 @@ def blanked(source: str, language: str) -> str:
     return re.sub(_TOKENS[language], lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
 
 
-def _end_of_body(code: str, at: int) -> int:
-    """The place after the declaration: its closing brace, or the line's end."""
-    depth, i = 0, at
-    while i < len(code):
-        c = code[i]
-        if c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == ";" and depth == 0:
-            return i + 1
-        elif c == "{":
-            if depth <= 0:
-                break
-            depth += 1
-        elif c == "}":
-            if depth <= 0:
+_BRACKET = re.compile(r"[()\[\]{}]")
+_HEAD_ENDS = re.compile(r"[(\[{};\n]")
+#: What may begin a line that goes on with a declaration's head.
+_GOES_ON = re.compile(r"\s*(\{|->|where\b|:|extends\b|implements\b|throws\b)")
+
+
+class Bodies:
+    """Where the brackets of a source close, found in one pass with a stack."""
+
+    def __init__(self, code: str):
+        self.code = code
+        #: the partner of each bracket, whatever its form, and of each brace among braces
+        self.partner: dict[int, int] = {}
+        self.brace: dict[int, int] = {}
+        every, braces = [], []
+        for m in _BRACKET.finditer(code):
+            c, i = m[0], m.start()
+            if c in "([{":
+                every.append(i)
+                if c == "{":
+                    braces.append(i)
+                continue
+            if every:
+                self.partner[every.pop()] = i
+            if c == "}" and braces:
+                self.brace[braces.pop()] = i
+
+    def end(self, at: int) -> int:
+        """The place after the declaration that begins before `at`: its closing brace, or
+        the line's end."""
+        code, i = self.code, at
+        while m := _HEAD_ENDS.search(code, i):
+            c, i = m[0], m.start()
+            if c in "([":
+                i = self.partner.get(i, len(code))
+            elif c == ";":
+                return i + 1
+            elif c == "{":
+                return self.brace.get(i, len(code) - 1) + 1
+            elif c == "}" or not _GOES_ON.match(code, i + 1):
                 return i
-            depth -= 1
-        elif c == "\n" and depth <= 0 and not re.match(r"\s*(\{|->|where\b|:|extends\b|implements\b|throws\b)", code[i + 1 :]):
-            return i
-        i += 1
-    level = 0
-    for j in range(i, len(code)):
-        if code[j] == "{":
-            level += 1
-        elif code[j] == "}":
-            level -= 1
-            if level == 0:
-                return j + 1
-    return len(code)
-
-
-def _positions(source: str):
-    starts = [0]
-    for m in re.finditer("\n", source):
-        starts.append(m.end())
-    import bisect
+            i += 1
+        return len(code)
+
+
+def _positions(source: str) -> Callable[[int], tuple[int, int]]:
+    """From a place in the source to its line and column in bytes."""
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    plain = source.isascii()
+    if not plain:
+        code = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), "<u4")
+        size = 1 + (code >= 0x80).astype(np.int32) + (code >= 0x800) + (code >= 0x10000)
+        bytes_to = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
 
     def at(offset: int) -> tuple[int, int]:
         line = bisect.bisect_right(starts, offset) - 1
-        return line + 1, len(source[starts[line] : offset].encode("utf-8", "surrogatepass")) + 1
+        return line + 1, (offset - starts[line] if plain else int(bytes_to[offset] - bytes_to[starts[line]])) + 1
 
     return at
 
@@ -163,6 +181,7 @@ def _comment_above(lines: list[str], line: int) -> str | None:
 
 def _braced(source: str, language: str) -> Iterator[Found]:
     code, at, lines = blanked(source, language), _positions(source), source.split("\n")
+    bodies = Bodies(code)
     seen: set[tuple[int, str]] = set()
     for kind, pattern, body in _RULES[language]:
         for m in re.finditer(pattern, code, re.M):
@@ -172,7 +191,7 @@ def _braced(source: str, language: str) -> Iterator[Found]:
             seen.add((name_at, m["name"]))
             whole = m.start() + len(m[0]) - len(m[0].lstrip())
             only_name = language == "go" and kind not in ("function", "method")
-            end = m.end("name") if only_name else _end_of_body(code, m.end("name")) if body else code.find("\n", m.end()) % (len(code) + 1)
+            end = m.end("name") if only_name else bodies.end(m.end("name")) if body else code.find("\n", m.end()) % (len(code) + 1)
             start = name_at if only_name else whole
             head = source[whole : code.find("\n", whole) % (len(code) + 1)].rstrip(" {")
             yield (m["name"], kind, *at(start), *at(end), head.strip(), _comment_above(lines, at(start)[0]) if language == "go" else None, None)
@@ -187,33 +206,51 @@ def _braced(source: str, language: str) -> Iterator[Found]:
                     yield (s["name"], kind, *at(place), *at(place + len(s["name"])), s[0].strip(), None, None)
 
 
-def _around(found: list[Found], line: int, col: int) -> Found | None:
-    """The innermost of the symbols that open a scope around a place."""
-    inside = [f for f in found if f[1] in _OPENS and (f[2], f[3]) <= (line, col) < (f[4], f[5])]
-    return max(inside, key=lambda f: (f[2], f[3]), default=None)
+class Around:
+    """The innermost symbol that opens a scope around places, which are asked for in
+    rising order."""
+
+    def __init__(self, found: list[Found]):
+        self.waiting = sorted((f for f in found if f[1] in _OPENS), key=lambda f: (f[2], f[3]), reverse=True)
+        self.open: list[Found] = []
+
+    def at(self, place: tuple[int, int]) -> Found | None:
+        while self.waiting and (self.waiting[-1][2], self.waiting[-1][3]) <= place:
+            self.open.append(self.waiting.pop())
+        while self.open and (self.open[-1][4], self.open[-1][5]) <= place:
+            self.open.pop()
+        return self.open[-1] if self.open else None
+
+    def add(self, f: Found) -> None:
+        """A symbol at the place asked for last."""
+        if f[1] in _OPENS:
+            self.open.append(f)
 
 
 def _details(source: str, language: str, plain: list[Found]) -> Iterator[Found]:
     # imports are named by strings, which are blanks in the code
     code, at = blanked(source, language), _positions(source)
+    bodies = Bodies(code)
     seen, found = {(f[2], f[0]) for f in plain}, list(plain)
     if language == "go":  # a struct's own span is its name
         for m in re.finditer(r"\b(\w+)(?:\[[^\]\n]*\])?[ \t]+struct[ \t]*\{", code):
-            found.append((m[1], "struct", *at(m.end()), *at(_end_of_body(code, m.end() - 1)), "", None, None))
+            found.append((m[1], "struct", *at(m.end()), *at(bodies.end(m.end() - 1)), "", None, None))
     for kind, pattern, body, parent in DETAILS.get(language, ()):
+        around = Around(found)
         for m in re.finditer(pattern, source if kind == "import" else code, re.M):
             whole = m.start() + len(m[0]) - len(m[0].lstrip())
             line, col = at(whole)
             name = m["name"].strip()
             if code[whole] == " " or (line, name) in seen or kind == "method" and name in _NO_METHOD:
                 continue
-            outer = _around(found, line, col)
+            outer = around.at((line, col))
             if parent is not None and (outer[1] if outer else "") != parent:
                 continue
-            end = _end_of_body(code, m.end() - 1 if m[0].endswith("{") else m.end("name")) if body else code.find("\n", m.end()) % (len(code) + 1)
+            end = bodies.end(m.end() - 1 if m[0].endswith("{") else m.end("name")) if body else code.find("\n", m.end()) % (len(code) + 1)
             seen.add((line, name))
             out = (name, kind, line, col, *at(end), source[whole : code.find("\n", whole) % (len(code) + 1)].rstrip(" {"), None, None)
             found.append(out)
+            around.add(out)
             yield out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from .lines import bound, explode_lines, prefix_sums
+from .sweep import enclosing
 
 TOKEN = r"[A-Za-z0-9_$]+"
 #: Words before a name that declare it, so that no call is meant.
@@ -94,11 +95,10 @@ def call_edges(symbols: DataFrame, files: DataFrame, kinds: tuple[str, ...] = ("
     """edges(src_id, dst_id, relation, file_path, line): caller and callee of each
     call; the caller is the innermost function around the line."""
     callables = symbols.where(F.col("kind").isin(*kinds))
-    found = calls(files)
-    around = callables.select(F.col("id").alias("src_id"), F.col("file_path").alias("p"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    inside = found.join(around, (F.col("path") == F.col("p")) & F.col("line").between(F.col("s"), F.col("e")))
-    innermost = F.min_by("src_id", F.struct(F.col("e") - F.col("s"), F.col("src_id"))).alias("src_id")
-    inside = inside.groupBy("path", "line", "callee").agg(innermost)
+    spans = callables.select(F.col("file_path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"), "id")
+    found = calls(files).distinct().select(F.col("path").alias("file"), F.col("line").alias("start"), F.col("line").alias("end"), F.struct("line", "callee").alias("key"))
+    inside = enclosing(spans, found, same=True).where("around is not null")
+    inside = inside.select(F.col("file").alias("path"), "key.line", "key.callee", F.col("around").alias("src_id"))
     targets = callables.select(F.col("id").alias("dst_id"), F.col("name").alias("callee"))
     edges = inside.join(targets, "callee")
     return edges.select("src_id", "dst_id", F.lit("calls").alias("relation"), F.col("path").alias("file_path"), "line")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import clean_doc, symbol_id
 from .lines import explode_lines, split_lines, walked
+from .sweep import enclosing
 
 #: Kinds of symbols that open a scope, and the scope's kind.
 SCOPE_KINDS = {
@@ -73,19 +74,23 @@ def line_symbols(files: DataFrame) -> DataFrame:
 
 
 _SYMBOL = "path string, language string, name string, kind string, type string, start_line int, start_col int, end_line int, end_col int, signature string, doc_string string, scope string, properties map<string,string>"
-_ERROR = "path string, line int, col int, message string"
 #: Rows that are handed on at once, and times that a file is tried.
 ROWS, ATTEMPTS = 10_000, 3
 
 
-def _patiently(work: Callable[[], list], pause: float = 0.1) -> list | None:
-    """What work() returns, tried up to ATTEMPTS times; None if it fails each time."""
-    for attempt in range(ATTEMPTS):
+def _patiently(work: Callable[[], list], pause: float = 0.1) -> tuple[list, str | None]:
+    """What work() returns, and why it failed. What may pass, a lack of memory or a
+    failing disk, is tried up to ATTEMPTS times."""
+    for attempt in range(1, ATTEMPTS + 1):
         try:
-            return work()
-        except (MemoryError, OSError, RecursionError, ValueError):
-            time.sleep(pause * (attempt + 1 < ATTEMPTS))
-    return None
+            return work(), None
+        except (MemoryError, OSError) as e:
+            error = f"{type(e).__name__}: {e}"
+            if attempt < ATTEMPTS:
+                time.sleep(pause * attempt)
+        except Exception as e:  # a parser may be anyone's
+            return [], f"{type(e).__name__}: {e}"
+    return [], error
 
 
 def _arrow_rows(rows: Iterator[tuple], schema: T.StructType) -> Iterator[pa.RecordBatch]:
@@ -116,22 +121,25 @@ def modifiers(language: Column, name: Column) -> Column:
     return F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
 
 
-def extract_symbols(files: DataFrame, details: bool = False, parsers: dict[str, Callable[[str], list[tuple]]] | None = None) -> DataFrame:
-    """files(path, language, content) -> the symbols table, a file at a time in Arrow
-    batches, without a shuffle. details: methods, fields, imports, variables and
-    constants too, where the plain declarations leave them out. parsers: functions
-    for further languages, or in place of the own ones, from a source to (name, kind,
-    start_line, start_col, end_line, end_col, signature, doc, type). A file that
-    fails has no symbols."""
-    schema = T._parse_datatype_string(_SYMBOL)
+def parsed_symbols(files: DataFrame, details: bool = False, parsers: dict[str, Callable[[str], list[tuple]]] | None = None, errors: bool = True) -> DataFrame:
+    """The symbols table, and in a column `error`, in rows of their own with a place,
+    which files failed and, with errors, what does not parse; a file at a time in Arrow
+    batches, without a shuffle."""
+    schema = T._parse_datatype_string(f"{_SYMBOL}, error string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..functions.scanners import described
+        from ..functions.scanners import syntax_errors as found_errors
 
         def rows() -> Iterator[tuple]:
             for path, language, content in _files(batches):
-                for found in _patiently(lambda: described(content, language, details, (parsers or {}).get(language))) or ():
-                    yield (path, language, *found)
+                own = (parsers or {}).get(language)
+                found, failed = _patiently(lambda: described(content, language, details, own))
+                for row in found:
+                    yield (path, language, *row, None)
+                wrong = [(1, 1, failed)] if failed else _patiently(lambda: found_errors(content, language))[0] if errors and not own else []
+                for line, col, message in wrong:
+                    yield (path, language, None, None, None, line, col, None, None, None, None, None, None, message)
 
         yield from _arrow_rows(rows(), schema)
 
@@ -141,25 +149,27 @@ def extract_symbols(files: DataFrame, details: bool = False, parsers: dict[str,
     return found.select(
         symbol_id(F.col("path"), F.col("start_line"), F.col("start_col"), F.col("kind"), F.col("name")).alias("id"),
         "name", "kind", "type", "language", F.col("path").alias("file_path"), "start_line", "end_line", "start_col", "end_col", "signature", clean_doc(F.col("doc_string")).alias("doc_string"),
-        "scope", visible.alias("modifiers"), tags.alias("tags"), "properties", F.current_timestamp().alias("last_updated"),
+        "scope", visible.alias("modifiers"), tags.alias("tags"), "properties", F.current_timestamp().alias("last_updated"), "error",
     )
 
 
-def syntax_errors(files: DataFrame) -> DataFrame:
-    """path, line, col, message of what does not parse."""
-    schema = T._parse_datatype_string(_ERROR)
+def symbols_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("error is null").drop("error")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..functions.scanners import syntax_errors as errors
 
-        def rows() -> Iterator[tuple]:
-            for path, language, content in _files(batches):
-                for found in _patiently(lambda: errors(content, language)) or ():
-                    yield (path, *found)
+def extract_symbols(files: DataFrame, details: bool = False, parsers: dict[str, Callable[[str], list[tuple]]] | None = None) -> DataFrame:
+    """files(path, language, content) -> the symbols table. details: methods, fields,
+    imports, variables and constants too, where the plain declarations leave them out.
+    parsers: functions for further languages, or in place of the own ones, from a source
+    to (name, kind, start_line, start_col, end_line, end_col, signature, doc, type). A
+    file that fails has no symbols; parsed_symbols() has a row that says why."""
+    return symbols_of(parsed_symbols(files, details, parsers, errors=False))
 
-        yield from _arrow_rows(rows(), schema)
 
-    return files.select("path", "language", "content").mapInArrow(run, schema)
+def syntax_errors(files: DataFrame, parsers: dict[str, Callable[[str], list[tuple]]] | None = None) -> DataFrame:
+    """path, line, col, message of what does not parse."""
+    wrong = parsed_symbols(files, parsers=parsers).where("error is not null")
+    return wrong.select(F.col("file_path").alias("path"), F.col("start_line").alias("line"), F.col("start_col").alias("col"), F.col("error").alias("message"))
 
 
 def documented_lines(files: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
@@ -184,15 +194,13 @@ def documented_lines(files: DataFrame, wanted: Callable[[Column], Column]) -> Da
 
 def scopes(symbols: DataFrame) -> DataFrame:
     """id, parent_id (null at the top), scope_kind: the innermost symbol of the
-    same file that opens a scope around it."""
+    same file that opens a scope around it; of equally long ones the smallest id. One
+    walk over each file's symbols in order."""
     kinds = F.element_at(F.create_map(*(F.lit(x) for kv in SCOPE_KINDS.items() for x in kv)), F.col("kind"))
-    inner = symbols.select("id", "file_path", "start_line", "end_line", kinds.alias("scope_kind"))
-    outer = symbols.where(F.col("kind").isin(*SCOPE_KINDS)).select(F.col("id").alias("parent_id"), F.col("file_path").alias("p"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    around = (F.col("file_path") == F.col("p")) & (F.col("s") <= F.col("start_line")) & (F.col("e") >= F.col("end_line")) & (F.col("id") != F.col("parent_id"))
-    around &= ~((F.col("s") == F.col("start_line")) & (F.col("e") == F.col("end_line")))
-    pairs = inner.join(outer, around, "left")
-    nearest = F.min_by("parent_id", F.struct(F.col("e") - F.col("s"), F.col("parent_id")))
-    return pairs.groupBy("id", "scope_kind").agg(nearest.alias("parent_id"))
+    place = (F.col("file_path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    outer = symbols.where(F.col("kind").isin(*SCOPE_KINDS)).select(*place, "id")
+    found = enclosing(outer, symbols.select(*place, F.struct("id", kinds.alias("scope_kind")).alias("key")))
+    return found.select("key.id", "key.scope_kind", F.col("around").alias("parent_id"))
 
 
 def kind_alias(name: str) -> str:

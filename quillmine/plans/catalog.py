@@ -18,10 +18,11 @@ from ..operators.ignore import mark_ignored, parse_rules, rules_frame
 from ..operators.languages import INDEX_NAMES, LANGUAGES, FileTypes, index_language
 from ..operators.refs import call_edges, calls, distinct_places, one_per_line, reachable, references, token_occurrences
 from ..operators.symbols import _RULES, documented_lines, extract_symbols, line_symbols, modifiers, scopes
+from ..operators.trigrams import gram_rows, indexed_grep, indexed_names
 from ..streaming.watch import last_operations
 from . import index as ix
 from . import output as out
-from .errors import error_kind, error_summary, recovery
+from .errors import ErrorPolicy, error_summary, recovery
 from .search import SearchQuery, find_definitions, find_references, find_types, hybrid, search_symbols
 
 QUERIES: dict = {}
@@ -325,19 +326,26 @@ def language_detect(spark, sf_dir):
     return files.select("path", F.coalesce(FileTypes().detect(F.col("path"), F.col("head"))["language"], F.lit("")).alias("language"))
 
 
-_BLOBS = [("text", b"Hello, world!"), ("zero", b"Hello\x00"), ("tabs", b"Hello\nWorld\t!"), ("controls", b"\x01\x02\x03\x04\x05"), ("empty", b""), ("mixed", b"Text\x01\x02\x03more text"), ("some", b"ab\x01cd\x02efg")]
+#: Bytes set before a document's text, by doc_id % 5, for files that are binary in several ways.
+_BEFORE = (b"", b"\x00", b"\x01\x02\x03", b"a\x01b\x02", b"\x01x" * 200)
+_BYTES = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{x.hex()}'" for k, x in enumerate(_BEFORE)) + " END || lower(hex(encode(text)))"
+_HAS_ZERO = "regexp_matches(substr({x}, 1, {n}), '^(?:..)*00')"
+
+
+def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as bytes, of which four in five have something before them."""
+    before = F.element_at(F.array(*(F.lit(x) for x in _BEFORE)), (F.col("doc_id") % 5 + 1).cast("int"))
+    d = _table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.concat(before, F.col("text").cast("binary")).alias("content"))
 
 
 @query(
-    "WITH v(name, b) AS (VALUES "
-    + ", ".join(f"('{n}', from_hex('{b.hex()}'))" for n, b in _BLOBS)
-    + r"), h AS (SELECT name, lower(hex(b)) AS x FROM v), s AS (SELECT name, x, regexp_matches(x, '^(?:..)*00') AS zero, "
-    r"len(list_filter(range(0, len(x) // 2), lambda i: regexp_matches(substr(x, CAST(2 * i + 1 AS BIGINT), 2), '^(?:0[0-8bcef]|1.)$'))) AS n, regexp_matches(x, '^(?:..)*(?:(?:0[0-8bcef]|1.)){3}') AS run FROM h) "
-    "SELECT name, zero AS nul, coalesce(zero OR run OR n > 0.3 * (len(x) / 2), false) AS ratio FROM s"
+    f"WITH h AS (SELECT doc_id, {_BYTES} AS x FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, x, substr(x, 1, 1024) AS head, "
+    "len(list_filter(range(0, len(substr(x, 1, 1024)) // 2), lambda i: regexp_matches(substr(x, CAST(2 * i + 1 AS BIGINT), 2), '^(?:0[0-8bcef]|1.)$'))) AS n FROM h) "
+    f"SELECT doc_id, {_HAS_ZERO.format(x='x', n=16384)} AS nul, {_HAS_ZERO.format(x='head', n=1024)} OR regexp_matches(head, '^(?:..)*(?:(?:0[0-8bcef]|1.)){{3}}') OR n > 0.3 * (len(head) / 2) AS ratio FROM s"
 )
 def binary_detect(spark, sf_dir):
-    files = spark.createDataFrame([(n, bytearray(b)) for n, b in _BLOBS], "name string, b binary")
-    return files.select("name", fl.is_binary(F.col("b"), "nul").alias("nul"), fl.is_binary(F.col("b"), "ratio").alias("ratio"))
+    return byte_files(spark, sf_dir).select("doc_id", fl.is_binary(F.col("content"), "nul").alias("nul"), fl.is_binary(F.col("content"), "ratio").alias("ratio"))
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
@@ -456,6 +464,72 @@ def scope_parent(spark, sf_dir):
     return scopes(extract_symbols(code_files(spark, sf_dir))).select("id", "parent_id")
 
 
+_APP = """
+SELECT 'app/c' || c_custkey || '.ts' AS path, 'import x from ' || chr(39) || './lib' || c_custkey || chr(39) || ';' || chr(10) || 'class Cust' || c_custkey || ' [[' || chr(10)
+  || '  private name' || c_custkey || ': string = 1;' || chr(10) || '  greet' || c_custkey || '(by: number): void [[' || chr(10) || '    this.seen(by);' || chr(10) || '  ]]' || chr(10) || ']]' || chr(10) AS content
+FROM {customer}
+UNION ALL
+SELECT 'app/s' || s_suppkey || '.js', 'import x from ' || chr(39) || './s' || s_suppkey || chr(39) || ';' || chr(10) || 'const MAX' || s_suppkey || ' = 3;' || chr(10) || 'class Store' || s_suppkey || ' [[' || chr(10)
+  || '  size' || s_suppkey || ' = 1;' || chr(10) || '  static make' || s_suppkey || '(n) [[' || chr(10) || '    return n;' || chr(10) || '  ]]' || chr(10) || ']]' || chr(10)
+FROM {supplier}
+UNION ALL
+SELECT 'app/p' || p_partkey || '.py', 'import os' || p_partkey || chr(10) || 'from a.b import c' || p_partkey || chr(10) || 'LIMIT' || p_partkey || ' = 1' || chr(10) || 'low' || p_partkey || ' = 2' || chr(10)
+  || 'class Item' || p_partkey || ':' || chr(10) || '    def run' || p_partkey || '(self):' || chr(10) || '        return 1' || chr(10)
+FROM {part}
+UNION ALL
+SELECT 'app/n' || n_nationkey || '.go', 'package a' || chr(10) || chr(10) || 'import "lib' || n_nationkey || '"' || chr(10) || chr(10) || 'type Land' || n_nationkey || ' struct [[' || chr(10) || chr(9) || 'area' || n_nationkey || ' int' || chr(10) || ']]' || chr(10)
+FROM {nation}
+UNION ALL
+SELECT 'app/r' || r_regionkey || '.rs', 'use std::r' || r_regionkey || ';' || chr(10) || 'const TOP' || r_regionkey || ': u8 = 3;' || chr(10) || 'struct Zone' || r_regionkey || ' [[' || chr(10) || ']]' || chr(10) || 'impl Zone' || r_regionkey || ' [[' || chr(10)
+  || '  fn cross' || r_regionkey || '() [[ ]]' || chr(10) || ']]' || chr(10) || 'mod deep' || r_regionkey || ' [[' || chr(10) || ']]' || chr(10)
+FROM {region}
+""".replace("[[", "' || chr(123) || '").replace("]]", "' || chr(125) || '")
+
+
+def app_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with imports, fields, methods and constants, in five languages."""
+    return spark.sql(_APP, **{t: _table(spark, sf_dir, t) for t in ("customer", "supplier", "part", "nation", "region")}).withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))
+
+
+#: Of each table: its key, the file, and what the file declares: name, kind, line, the symbol around it.
+_DECLARED = (
+    ("customer", "c_custkey", "c", "ts", (("./lib", "import", 1, ""), ("Cust", "class", 2, ""), ("name", "field", 3, "Cust"), ("greet", "method", 4, "Cust"))),
+    ("supplier", "s_suppkey", "s", "js", (("./s", "import", 1, ""), ("MAX", "constant", 2, ""), ("Store", "class", 3, ""), ("size", "field", 4, "Store"), ("make", "method", 5, "Store"))),
+    ("part", "p_partkey", "p", "py", (("os", "import", 1, ""), ("a.b.c", "import", 2, ""), ("LIMIT", "constant", 3, ""), ("low", "variable", 4, ""), ("Item", "class", 5, ""), ("run", "function", 6, "Item"))),
+    ("nation", "n_nationkey", "n", "go", (("lib", "import", 3, ""), ("Land", "struct", 5, ""), ("area", "field", 6, ""))),
+    ("region", "r_regionkey", "r", "rs", (("std::r", "import", 1, ""), ("TOP", "constant", 2, ""), ("Zone", "struct", 3, ""), ("Zone", "impl", 5, ""), ("cross", "function", 6, "Zone"), ("deep", "module", 8, ""))),
+)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT 'app/{f}' || {key} || '.{ext}' AS path, '{name}' || {key} AS name, '{kind}' AS kind, {line} AS line, " + (f"'{outer}' || {key}" if outer else "''") + f" AS scope FROM {table}"
+        for table, key, f, ext, found in _DECLARED
+        for name, kind, line, outer in found
+    )
+)
+def symbol_details(spark, sf_dir):
+    """Methods, fields, imports, constants and variables beside the plain declarations, out of a built index."""
+    store = ix.IndexStore(spark, scratch_folder(spark, "index"))
+    store.build(app_files(spark, sf_dir), details=True)
+    return store.table("symbols").select(F.col("file_path").alias("path"), "name", "kind", F.col("start_line").alias("line"), F.coalesce("scope", F.lit("")).alias("scope"))
+
+
+@query(_SYMBOLS + "SELECT id, name, kind FROM sym WHERE contains(lower(name), 'handle1') OR contains(lower(name), 'supplier2')")
+def names_by_trigrams(spark, sf_dir):
+    """Symbols whose names hold a text, from lists of the names' trigrams."""
+    symbols = code_symbols(spark, sf_dir)
+    rows = gram_rows(symbols.select("name").distinct(), "name", "name")
+    return indexed_names(symbols, rows, "handle1").unionByName(indexed_names(symbols, rows, "SUPPLIER2")).select("id", "name", "kind")
+
+
+@query(_LINES + "SELECT path, line_no, line FROM lines WHERE regexp_matches(line, 'Lice.se, Version')")
+def grep_by_trigrams(spark, sf_dir):
+    """Lines that match, in the files that have the trigrams of a pattern."""
+    files = doc_files(spark, sf_dir)
+    return indexed_grep(files, gram_rows(files), GrepOptions("Lice.se, Version", one_per_line=True)).select("path", "line_no", "line")
+
+
 # -- references and calls
 
 
@@ -467,6 +541,17 @@ def refs_cross_file(spark, sf_dir):
     return r.groupBy("symbol_id", "file_path", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    _SYMBOLS + ", pieces AS (SELECT path, line, text, regexp_extract_all(text, '[A-Za-z0-9_$]+') AS ts, regexp_split_to_array(text, '[A-Za-z0-9_$]+') AS bs FROM cl), "
+    "places AS (SELECT path, line, text, ts, bs, unnest(range(1, len(ts) + 1)) AS k FROM pieces), "
+    "found AS (SELECT path, line, text, ts[k] AS token, CAST(1 + list_sum([strlen(x) FOR x IN bs[1:k]]) + coalesce(list_sum([strlen(x) FOR x IN ts[1:k - 1]]), 0) AS INTEGER) AS col, regexp_matches(bs[k + 1], '^\\s*\\(') AS call FROM places) "
+    "SELECT s.id AS symbol_id, f.path AS file_path, f.line, f.col, CASE WHEN f.path = s.path AND f.line = s.line THEN 'definition' WHEN f.call THEN 'call' ELSE 'reference' END AS kind, trim(f.text, ' ') AS context FROM found f JOIN sym s ON f.token = s.name"
+)
+def refs_places(spark, sf_dir):
+    """References with their columns, kinds and lines."""
+    return references(code_symbols(spark, sf_dir), code_files(spark, sf_dir)).select("symbol_id", "file_path", "line", "col", "kind", "context")
+
+
 @query(_SYMBOLS + "SELECT s.id AS symbol_id, t.line, count(*) AS n FROM tok t JOIN sym s ON t.token = s.name AND t.path = s.path GROUP BY ALL")
 def refs_in_file(spark, sf_dir):
     r = references(code_symbols(spark, sf_dir), code_files(spark, sf_dir), same_file_only=True)
@@ -772,14 +857,20 @@ def jsonl_export(spark, sf_dir):
     return out.json_lines(grep(doc_files(spark, sf_dir), GrepOptions("License", literal=True, context=1))).select("value")
 
 
-_MESSAGES = ["open a: permission denied", "stat b: no such file or directory", "file too large: 12", "context deadline exceeded", "invalid regexp: missing )", "syntax error near x", "odd", "permission denied"]
+#: What went wrong with a file, by doc_id % 11, and the kind of error that is.
+_FAILED = {
+    3: ("open it: permission denied", "permission_denied"), 4: ("stat: no such file or directory", "file_not_found"), 5: ("context deadline exceeded", "timeout"), 6: ("odd", "unknown"),
+    7: ("syntax error near x", "parse"), 8: ("invalid regexp: missing )", "invalid_pattern"),
+}
 
 
 @query(
-    "WITH m(t) AS (VALUES " + ", ".join(f"('{x}')" for x in _MESSAGES) + "), k AS (SELECT CASE WHEN t LIKE '%permission denied%' THEN 'permission_denied' WHEN t LIKE '%no such file%' THEN 'file_not_found' WHEN t LIKE '%too large%' THEN 'file_too_large' "
-    "WHEN t LIKE '%deadline%' THEN 'timeout' WHEN t LIKE '%syntax%' THEN 'parse' WHEN t LIKE '%regexp%' THEN 'invalid_pattern' ELSE 'unknown' END AS type FROM m) "
-    "SELECT type, CASE type WHEN 'timeout' THEN 'retry' WHEN 'invalid_pattern' THEN 'abort' ELSE 'skip_file' END AS action, count(*) AS n FROM k GROUP BY type"
+    f"WITH f AS (SELECT {_BYTES} AS x, CASE doc_id % 11 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, (_, kind) in _FAILED.items()) + " END AS failed FROM documents WHERE text IS NOT NULL), "
+    f"k AS (SELECT coalesce(failed, CASE WHEN len(x) / 2 > 2000 THEN 'file_too_large' WHEN {_HAS_ZERO.format(x='x', n=16384)} THEN 'binary_file' END) AS type FROM f) "
+    "SELECT type, CASE type WHEN 'timeout' THEN 'retry' WHEN 'invalid_pattern' THEN 'abort' ELSE 'skip_file' END AS action, count(*) AS n FROM k WHERE type IS NOT NULL GROUP BY type"
 )
 def error_summary_query(spark, sf_dir):
-    e = spark.createDataFrame([(m,) for m in _MESSAGES], "message string").withColumn("type", error_kind(F.col("message")))
-    return error_summary(e).select("type", recovery(F.col("type")).alias("action"), "n")
+    """Errors by kind, with what to do, of files that could not be read, are too large or binary."""
+    failed = F.try_element_at(F.create_map(*(F.lit(x) for k, (message, _) in _FAILED.items() for x in (k, message))), (F.col("doc_id") % 11).cast("int"))
+    _, bad = ErrorPolicy(max_bytes=2000, most=(1 << 31) - 1).apply(byte_files(spark, sf_dir).withColumn("error", failed))
+    return error_summary(bad).select("type", recovery(F.col("type")).alias("action"), "n")

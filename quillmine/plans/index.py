@@ -1,8 +1,11 @@
 """The index: symbols, references and file metadata in versioned Parquet tables.
 
-Each write makes new tables beside the old ones and then one pointer file, so
-readers see a whole version or none, and a failed write leaves the old one in
-place. Of two writers one gets the pointer, and the other an error. Inverted name,
+Every table is cut into buckets by a hash of the file's path. A write makes new
+folders for the buckets it touches, and then one pointer file that names the folder
+of each bucket, so one changed file costs its bucket and not the index, readers see a
+whole version or none, and a failed write leaves the old one in place. Of two writers
+one gets the pointer, and the other an error. A look-up by path reads one bucket, in
+which rows are sorted by path; look-ups by id and name have bloom filters. Inverted name,
 type and tag indexes are not stored: columnar filters on the symbols table do
 their work; ``posting_rows`` derives them.
 
@@ -16,26 +19,36 @@ from __future__ import annotations
 import json
 import time
 import uuid
+import zlib
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import human_bytes, sha256_hex
 from ..operators.filters import index_file_filter
+from ..operators.grep import GrepOptions, grep
 from ..operators.languages import index_language, parser_language
 from ..operators.refs import code_lines, resolved, token_occurrences
-from ..operators.symbols import extract_symbols
+from ..operators.symbols import parsed_symbols, symbols_of
+from ..operators.trigrams import gram_rows, indexed_grep, indexed_names
 from .errors import abort_if_failing
 
 #: Files that are indexed unless asked otherwise, and size limit.
 INCLUDE = ("*.go", "*.py", "*.pyi", "*.js", "*.jsx", "*.mjs", "*.ts", "*.tsx", "*.rs", "*.java", "*.cpp", "*.c", "*.h")
 EXCLUDE = ("vendor/*", "node_modules/*", ".git/*", "*.test.go")
 MAX_FILE_BYTES = 10 << 20
-TABLES = ("symbols", "refs", "file_meta", "tokens", "lines")
-#: Bytes of a file that compact() writes.
-FILE_BYTES = 256 << 20
+#: The tables, and the column of each that holds the file's path.
+TABLES = {"symbols": "file_path", "refs": "file_path", "file_meta": "path", "tokens": "path", "lines": "file_path", "errors": "file_path", "grams": "path", "name_grams": "path"}
+#: Tables that are sorted by something else than the path within a bucket, so that a look-up
+#: reads few row groups and pages of it; and columns that rows are looked up by besides.
+_SORTED = {"grams": "gram", "name_grams": "gram"}
+_BLOOM = {"symbols": ("id", "name"), "refs": ("symbol_id", "name"), "tokens": ("token",)}
+#: Buckets of an index of many files, how many files of a small one share a bucket, and
+#: bytes of source (as stored) of a bucket from which there are more.
+BUCKETS, BUCKET_FILES, BUCKET_BYTES = 32, 16, 64 << 20
 
 
 class WriteConflict(RuntimeError):
@@ -109,8 +122,8 @@ def index_stats(symbols: DataFrame) -> DataFrame:
 class IndexStore:
     """A folder of versions; every Hadoop file system will do."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -149,19 +162,45 @@ class IndexStore:
             return None
         return self._stored(places[name])
 
-    def _stage(self, places: dict, version: str, name: str, df: DataFrame) -> DataFrame:
-        """df as a new table that no version has yet; the table, to be read on."""
-        at = f"{version}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if name == "symbols":
-            writer = writer.partitionBy("language")
-        writer.parquet(f"{self.folder}/{at}")
-        places[name] = {"path": at, "schema": json.loads(df.schema.json())}
-        return self._stored(places[name])
+    def _stage(self, folder: str, name: str, df: DataFrame) -> DataFrame:
+        """df as a table of no version, to be read on."""
+        at = f"{self.folder}/{folder}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
 
-    def _stored(self, place: dict) -> DataFrame:
+    def _stored(self, place: dict, only: list[int] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(place["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{place['path']}").select(schema.names)
+        paths = [f"{self.folder}/{at}" for k, at in sorted(place["buckets"].items()) if only is None or int(k) in only]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths).select(schema.names)
+
+    @staticmethod
+    def _bucket(path: Column, n: int) -> Column:
+        return F.coalesce(F.crc32(path.cast("string")) % n, F.lit(0)).cast("int")
+
+    def _touched(self, n: int, *paths: DataFrame) -> list[int]:
+        """The buckets of one-column frames of paths: as many numbers as there are buckets at most."""
+        every = [p.select(self._bucket(F.col(p.columns[0]), n).alias("b")) for p in paths]
+        both = every[0]
+        for more in every[1:]:
+            both = both.unionByName(more)
+        return sorted(r.b for r in both.distinct().collect())
+
+    def _write(self, places: dict, folder: str, name: str, df: DataFrame, touched: list[int] | None = None, n: int | None = None) -> None:
+        """df as the rows of the touched buckets, or of all: the places then name it."""
+        old = places.get(name) if touched is not None else None
+        by = TABLES.get(name, df.columns[0])
+        n = old["n"] if old else n or places.get("file_meta", places.get(name, {})).get("n", self.buckets)
+        at = f"{folder}/{name}"
+        rows = df.withColumn("_bucket", self._bucket(F.col(by), n)).hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", _SORTED.get(name, by))
+        writer = rows.write.mode("overwrite").option("compression", "zstd").option("parquet.bloom.filter.adaptive.enabled", "true")
+        for column in _BLOOM.get(name, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.partitionBy("_bucket").parquet(f"{self.folder}/{at}")
+        made = [p.getPath().getName() for p in self.fs.globStatus(self._path(f"{self.folder}/{at}/_bucket=*")) or []]
+        kept = {k: x for k, x in old["buckets"].items() if int(k) not in touched} if old else {}
+        places[name] = {"schema": json.loads(df.schema.json()), "n": n, "buckets": kept | {x.removeprefix("_bucket="): f"{at}/{x}" for x in made}}
 
     def _begin(self) -> tuple[int, str, dict]:
         """The version to be made, a folder for its tables, and the places of the present ones."""
@@ -182,23 +221,35 @@ class IndexStore:
         """Write new tables, carry the others over, and make that the version."""
         new, folder, places = self._begin()
         for name, df in tables.items():
-            self._stage(places, folder, name, df)
+            self._write(places, folder, name, df)
+        return self._publish(new, folder, places)
+
+    def _amend(self, changed: dict[str, tuple[Callable[[DataFrame], DataFrame], list[int]]]) -> int:
+        """One new version in which the touched buckets of tables are what a function
+        makes of their rows."""
+        new, folder, places = self._begin()
+        for name, (made, touched) in changed.items():
+            if touched:
+                self._write(places, folder, name, made(self._stored(places[name], touched)), touched)
         return self._publish(new, folder, places)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete versions but the last few; tables that these still use stay."""
+        """Delete versions but the last few; buckets that these still use stay. The
+        number of folders deleted."""
         last = self.version()
         used, n = set(), 0
         for v in range(max(1, last - keep + 1), last + 1):
             if text := self._read_text(f"{self.folder}/current-{v}"):
-                used |= {x["path"] for x in json.loads(text).values()}
+                used |= {at for x in json.loads(text).values() for at in x["buckets"].values()}
         for v in range(1, last - keep + 1):
             self.fs.delete(self._path(f"{self.folder}/current-{v}"), False)
-        for at in self.fs.globStatus(self._path(f"{self.folder}/v*/*")) or []:
-            name = f"{at.getPath().getParent().getName()}/{at.getPath().getName()}"
-            if name not in used:
-                self.fs.delete(at.getPath(), True)
-                n += 1
+        tables = {at.rpartition("/")[0] for at in used}
+        for pattern, held in (("v*/*", tables), ("v*/*/_bucket=*", used)):
+            for at in self.fs.globStatus(self._path(f"{self.folder}/{pattern}")) or []:
+                path = at.getPath().toString()
+                if "/".join(path.split("/")[-pattern.count("/") - 1 :]) not in held:
+                    self.fs.delete(at.getPath(), True)
+                    n += 1
         return n
 
     def clear(self) -> None:
@@ -216,14 +267,9 @@ class IndexStore:
                 tables[name] = self.spark.read.parquet(f"{source.rstrip('/')}/{name}")
         return self.commit(tables)
 
-    def compact(self, file_bytes: int = FILE_BYTES) -> int:
-        """Files of about file_bytes in place of many small ones."""
-        places = json.loads(self._read_text(f"{self.folder}/current-{self.version()}"))
-        tables = {}
-        for name in places:
-            size = self.fs.getContentSummary(self._path(f"{self.folder}/{places[name]['path']}")).getLength()
-            tables[name] = self.table(name).repartition(max(1, -(-size // file_bytes)))
-        return self.commit(tables)
+    def compact(self) -> int:
+        """Each bucket in as few files as its size allows, all in one folder."""
+        return self.commit({name: self.table(name) for name in json.loads(self._read_text(f"{self.folder}/current-{self.version()}"))})
 
     def size(self) -> int:
         return self.fs.getContentSummary(self._path(self.folder)).getLength() if self.version() else 0
@@ -233,15 +279,17 @@ class IndexStore:
         version, tables = self.version(), {}
         places = json.loads(self._read_text(f"{self.folder}/current-{version}")) if version else {}
         for name, place in places.items():
-            held = self.fs.getContentSummary(self._path(f"{self.folder}/{place['path']}"))
-            tables[name] = {"rows": self.table(name).count(), "bytes": held.getLength(), "files": held.getFileCount()}
+            held = [self.fs.getContentSummary(self._path(f"{self.folder}/{at}")) for at in place["buckets"].values()]
+            tables[name] = {"rows": self._stored(place).count(), "bytes": sum(h.getLength() for h in held), "files": sum(h.getFileCount() for h in held), "buckets": place["n"]}
         return {"version": version, "bytes": self.size(), "tables": tables}
 
     # -- point reads
 
     def get(self, name: str, **keys) -> DataFrame:
-        """Rows of a table with these values."""
-        out = self.table(name)
+        """Rows of a table with these values; with the file's path one bucket is read."""
+        place = json.loads(self._read_text(f"{self.folder}/current-{self.version()}"))[name]
+        path = keys.get(TABLES.get(name, ""))
+        out = self._stored(place, [zlib.crc32(path.encode()) % place["n"]] if isinstance(path, str) else None)
         for col, value in keys.items():
             out = out.where(F.col(col).eqNullSafe(F.lit(value)))
         return out
@@ -255,85 +303,130 @@ class IndexStore:
     def references_in_file(self, path: str) -> DataFrame:
         return self.get("refs", file_path=path).orderBy("line", "col")
 
+    def grep(self, files: DataFrame, options: GrepOptions) -> DataFrame:
+        """Matches in the files(path, content) of the index, of which only those with the
+        pattern's trigrams are searched."""
+        rows = self.table("grams")
+        return indexed_grep(files, rows, options) if rows is not None else grep(files, options)
+
+    def names(self, text: str) -> DataFrame:
+        """Symbols whose name holds a text, in any case, by the trigrams of names: of the
+        symbols only the buckets and rows with such names are read."""
+        symbols, rows = self.table("symbols"), self.table("name_grams")
+        if rows is None:
+            return symbols.where(F.contains(F.lower("name"), F.lit(text.lower())))
+        return indexed_names(symbols, rows.select("gram", "name"), text)
+
     # -- building
 
-    def build(self, files: DataFrame, incremental: bool = False, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, max_bytes: int = MAX_FILE_BYTES) -> dict:
+    def build(
+        self, files: DataFrame, incremental: bool = False, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, max_bytes: int = MAX_FILE_BYTES, details: bool = False,
+        parsers: dict[str, Callable[[str], list[tuple]]] | None = None, workers: int | None = None, trigrams: bool = False,
+    ) -> dict:
         """Index files(path, content, mtime); the counters of the run. Files with an
-        error are left out, and too many of them end the build."""
+        error are left out, and too many of them end the build; files that do not parse
+        are rows of the table of errors. details: methods, fields, imports, variables and
+        constants too; parsers: by language, in place of the own ones; workers: tasks
+        that parse at once, where Spark is not to choose; trigrams: keep lists of them for
+        grep() and names(), which later writes then keep up to date."""
         began, errors = time.time(), 0
         _, folder, _ = self._begin()
+        made = {"details": details, "parsers": parsers, "workers": workers, "trigrams": trigrams}
         try:
             # the source is read once
             fits = index_file_filter(F.col("path"), include, exclude) & (F.coalesce(F.octet_length("content"), F.lit(0)) <= max_bytes)
             held = files.where(fits).withColumn("content", F.col("content").cast("string"))
-            held = self._stage({}, folder, "found", held.select("path", "content", "mtime", *(c for c in ("error",) if c in files.columns)))
+            held = self._stage(folder, "found", held.select("path", "content", "mtime", *(c for c in ("error",) if c in files.columns)))
             if "error" in held.columns:
                 abort_if_failing(held)
                 errors = held.where("error is not null").count()
                 held = held.where("error is null").drop("error")
             meta = self.table("file_meta") if incremental else None
             if meta is None:
-                self._update(held, None)
+                size = self.fs.getContentSummary(self._path(f"{self.folder}/{folder}/found")).getLength()
+                buckets = max(min(self.buckets, -(-held.count() // BUCKET_FILES)), -(-size // BUCKET_BYTES), 1)
+                self._update(held, None, buckets=buckets, **made)
                 found = processed = self.table("file_meta").count()
             else:
-                diff = self._stage({}, folder, "changes", changes(held, meta))
+                diff = self._stage(folder, "changes", changes(held, meta))
                 by = {r.status: r.n for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
                 processed = by.get("new", 0) + by.get("changed", 0)
                 found = processed + by.get("same", 0)
                 wanted = diff.where("status in ('new', 'changed')").select("path")
-                wanted = self._stage({}, folder, "wanted", held.join(wanted, "path", "left_semi"))
-                self._update(wanted, diff.where("status in ('changed', 'removed')").select("path"))
+                wanted = self._stage(folder, "wanted", held.join(wanted, "path", "left_semi"))
+                self._update(wanted, diff.where("status in ('changed', 'removed')").select("path"), **made)
         finally:
             self.fs.delete(self._path(f"{self.folder}/{folder}"), True)
         counted = self.table("file_meta").agg(F.sum("size").alias("bytes"), F.sum("symbol_count").alias("symbols")).first()
         seconds = time.time() - began
-        return {"version": self.version(), "found": found, "processed": processed, "skipped": found - processed, "errors": errors, "bytes": counted.bytes or 0, "symbols": counted.symbols or 0,
-                "references": self.table("refs").count(), "seconds": seconds, "files_per_second": processed / seconds}
+        return {"version": self.version(), "found": found, "processed": processed, "skipped": found - processed, "errors": errors, "parse_errors": self.table("errors").count(), "bytes": counted.bytes or 0,
+                "symbols": counted.symbols or 0, "references": self.table("refs").count(), "seconds": seconds, "files_per_second": processed / seconds}
 
-    def _update(self, files: DataFrame, gone: DataFrame | None) -> int:
+    def _update(self, files: DataFrame, gone: DataFrame | None, buckets: int | None = None, details: bool = False, parsers: dict | None = None, workers: int | None = None, trigrams: bool = False) -> int:
         """One new version: rows of the paths in gone(path) leave, those of files(path,
-        content, mtime) come; without gone the tables begin anew."""
+        content, mtime) come; without gone the tables begin anew. Only the buckets of
+        these paths are written, and of the references those of the files that name
+        symbols of theirs."""
         new, folder, places = self._begin()
-        old = {} if gone is None else {n: self.table(n) for n in TABLES}
-
-        def kept(name: str, col: str = "path") -> DataFrame:
-            return old[name].join(gone.select(F.col("path").alias(col)), col, "left_anti").select(old[name].columns)
-
-        def stage(name: str, made: DataFrame, col: str = "path") -> DataFrame:
-            return self._stage(places, folder, name, made if gone is None else kept(name, col).unionByName(made))
+        fresh_start = gone is None
+        n = (buckets or self.buckets) if fresh_start else places["file_meta"]["n"]
+        paths = files.select("path")
+        if not fresh_start:
+            gone = self._stage(f"{folder}/work", "gone", gone.distinct())
+        touched = None if fresh_start else self._touched(n, paths, gone)
+        # what is left of the touched buckets is read from the old version's places
+        before = dict(places)
+
+        def kept(name: str, only: list[int]) -> DataFrame:
+            rows = self._stored(before[name], only)
+            return rows.join(gone.select(F.col("path").alias(TABLES[name])), TABLES[name], "left_anti").select(rows.columns)
+
+        def write(name: str, made: DataFrame) -> None:
+            rows = made if fresh_start or name not in before else kept(name, touched).unionByName(made)
+            self._write(places, folder, name, rows, touched if name in before and not fresh_start else None, n)
 
         parsed = files.select("path", "content", parser_language(F.col("path")).alias("language"))
-        fresh = extract_symbols(parsed)
-        if gone is not None:
-            gone = self._stage({}, folder, "gone", gone.distinct())
-            fresh = self._stage({}, folder, "fresh", fresh)
-        symbols = stage("symbols", fresh, "file_path")
-        fresh = symbols if gone is None else fresh
-        meta = stage("file_meta", file_metadata(files, fresh.select("file_path")))
-        tokens = stage("tokens", token_occurrences(parsed))
-        lines = stage("lines", code_lines(parsed), "file_path")
-        if gone is None:
-            made = resolved(symbols, tokens)
-        else:
-            written = files.select("path")
-            made = resolved(symbols, tokens.join(written, "path", "left_semi")).unionByName(resolved(fresh, tokens.join(written, "path", "left_anti")))
-        refs = made.join(lines, ["file_path", "line"]).select(*made.columns, "context")
-        if gone is not None:
-            lost = old["symbols"].join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("id").alias("symbol_id"))
-            refs = kept("refs", "file_path").join(lost, "symbol_id", "left_anti").select(refs.columns).unionByName(refs)
-        self._stage(places, folder, "refs", refs)
-        done = self._publish(new, folder, places)
-        for name in ("gone", "fresh") if gone is not None else ():
-            self.fs.delete(self._path(f"{self.folder}/{folder}/{name}"), True)
-        return done
-
-    def update(self, files: DataFrame, gone: DataFrame) -> int:
+        try:
+            read = parsed if workers is None else parsed.repartition(workers)
+            both = self._stage(f"{folder}/work", "parsed", parsed_symbols(read, details, parsers))
+            fresh = symbols_of(both)
+            write("symbols", fresh)
+            write("errors", both.where("error is not null").select("file_path", F.col("start_line").alias("line"), F.col("start_col").alias("col"), F.col("error").alias("message")))
+            write("file_meta", file_metadata(files, fresh.select("file_path")))
+            write("tokens", token_occurrences(parsed))
+            write("lines", code_lines(parsed))
+            if trigrams or not fresh_start and "grams" in before:
+                write("grams", gram_rows(files))
+                write("name_grams", gram_rows(fresh.select(F.col("file_path").alias("path"), "name").distinct(), "name", "name", "path"))
+            elif fresh_start:
+                places.pop("grams", None), places.pop("name_grams", None)
+            symbols, tokens, lines = (self._stored(places[x]) for x in ("symbols", "tokens", "lines"))
+            if fresh_start:
+                made = resolved(symbols, tokens)
+            else:
+                new_tokens = self._stored(places["tokens"], touched).join(paths, "path", "left_semi")
+                made = resolved(symbols, new_tokens).unionByName(resolved(fresh, tokens.join(paths, "path", "left_anti")))
+            made = made.join(lines, ["file_path", "line"]).select(*made.columns, "context")
+            if fresh_start:
+                write("refs", made)
+            else:
+                made = self._stage(f"{folder}/work", "refs", made)
+                lost = self._stored(before["symbols"], touched).join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("id").alias("symbol_id"))
+                stale = self._stored(before["refs"]).join(lost, "symbol_id", "left_semi").select("file_path")
+                wide = self._touched(n, paths, gone, made.select("file_path"), stale)
+                rest = kept("refs", wide).join(lost, "symbol_id", "left_anti").select(made.columns)
+                self._write(places, folder, "refs", rest.unionByName(made), wide)
+            return self._publish(new, folder, places)
+        finally:
+            self.fs.delete(self._path(f"{self.folder}/{folder}/work"), True)
+
+    def update(self, files: DataFrame, gone: DataFrame, details: bool = False, parsers: dict[str, Callable[[str], list[tuple]]] | None = None) -> int:
         """Paths in gone(path) leave the index, files(path, content, mtime) join it, all
         in one version."""
         _, folder, _ = self._begin()
         try:
             held = files.select("path", F.col("content").cast("string").alias("content"), "mtime")
-            return self._update(self._stage({}, folder, "found", held), gone)
+            return self._update(self._stage(folder, "found", held), gone, details=details, parsers=parsers)
         finally:
             self.fs.delete(self._path(f"{self.folder}/{folder}"), True)
 
@@ -349,13 +442,24 @@ class IndexStore:
         return self.delete_files(self.spark.createDataFrame([(path,)], "path string"))
 
     def delete_symbol(self, symbol_id: str) -> int:
-        symbols, refs = self.table("symbols"), self.table("refs")
-        return self.commit({"symbols": symbols.where(F.col("id") != symbol_id), "refs": refs.where(F.col("symbol_id") != symbol_id)})
+        """The symbol and its references, from the buckets that have them."""
+        changed = {}
+        for name, column in (("symbols", "id"), ("refs", "symbol_id")):
+            held = self.get(name, **{column: symbol_id}).select(TABLES[name])
+            places = json.loads(self._read_text(f"{self.folder}/current-{self.version()}"))
+            changed[name] = (lambda rows, c=column: rows.where(F.col(c) != symbol_id)), self._touched(places[name]["n"], held)
+        return self._amend(changed)
 
     def put(self, name: str, rows: DataFrame, key: str | tuple[str, ...]) -> int:
-        """Insert or replace rows by key; all rows of one call are one version."""
+        """Insert or replace rows by key, in the buckets where they are or come to be; all
+        rows of one call are one version."""
         old = self.table(name)
-        return self.commit({name: rows if old is None else upsert(old, rows, key)})
+        if old is None:
+            return self.commit({name: rows})
+        by, on = TABLES.get(name, old.columns[0]), [key] if isinstance(key, str) else list(key)
+        n = json.loads(self._read_text(f"{self.folder}/current-{self.version()}"))[name]["n"]
+        touched = self._touched(n, rows.select(by), old.join(rows.select(*on).distinct(), on, "left_semi").select(by))
+        return self._amend({name: (lambda held: upsert(held, rows, key), touched)})
 
 
 def scan(table: DataFrame, key: str, prefix: str = "", start_after: str | None = None, reverse: bool = False, keys_only: bool = False, limit: int | None = None) -> DataFrame:

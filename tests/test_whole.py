@@ -89,6 +89,53 @@ def test_writers_and_point_reads(spark, tmp_path):
     assert (done["errors"], done["processed"]) == (1, 2)
 
 
+def go_source(i):
+    return f'package p{i}\n\nimport "fmt"\n\nfunc Handle{i}(x int) int {{\n\treturn Helper{i}(x) + Handle{(i + 1) % 600}(x)\n}}\n\nfunc Helper{i}(x int) int {{\n\treturn x\n}}\n'
+
+
+def test_one_changed_file_costs_its_buckets(spark, tmp_path):
+    from quillmine.plans.index import IndexStore
+
+    now = {f"d{i % 7}/f{i}.go": go_source(i) for i in range(600)}
+    store = IndexStore(spark, f"file://{tmp_path}/part")
+    store.build(frame(spark, now))
+    before = store.size()
+    now["d3/f3.go"] = "// moved\n" + now["d3/f3.go"]
+    store.build(frame(spark, now), incremental=True)
+    assert store.size() - before < 0.05 * before
+    places = json.loads(store._read_text(f"{store.folder}/current-2"))
+    assert sum(at.startswith("v2-") for at in places["symbols"]["buckets"].values()) == 1 and sum(at.startswith("v2-") for at in places["refs"]["buckets"].values()) <= 2
+    fresh = IndexStore(spark, f"file://{tmp_path}/whole")
+    fresh.build(frame(spark, now))
+    assert held(store) == held(fresh)
+    got = store.get("symbols", file_path="d3/f3.go")
+    assert got.count() == 2 and len(got.inputFiles()) == 1  # a bucket, however many there are
+    symbol = store.get("symbols", name="Helper9").first().id
+    store.delete_symbol(symbol)
+    assert not store.has("symbols", id=symbol) and not store.has("refs", symbol_id=symbol) and store.table("symbols").count() == 1199
+    n = store.table("symbols").count()
+    assert store.vacuum() > 0 and store.table("symbols").count() == n and store.table("refs").count() > 0
+
+
+def test_details_parsers_and_errors_in_a_build(spark, tmp_path):
+    from quillmine.plans.index import IndexStore
+
+    files = {"a.go": 'package a\n\nimport "fmt"\n\ntype Box struct {\n\tsize int\n}\n', "b.py": "def f(:\n", "c.rs": "fn open() {\n", "d.java": "class D {}", "e.js": "class A {\n  run(x) { return x; }\n}\n"}
+
+    def parse(source):
+        if "D" in source:
+            raise KeyError("no grammar")
+        return []
+
+    store = IndexStore(spark, f"file://{tmp_path}/d")
+    done = store.build(frame(spark, files), details=True, parsers={"java": parse}, workers=2)
+    assert {(r.name, r.kind) for r in store.table("symbols").collect()} >= {("fmt", "import"), ("size", "field"), ("run", "method"), ("A", "class")}
+    wrong = {r.file_path: (r.line, r.message) for r in store.table("errors").collect()}
+    assert set(wrong) == {"b.py", "c.rs", "d.java"} and wrong["d.java"][1].startswith("KeyError") and wrong["c.rs"] == (1, "unclosed {") and done["parse_errors"] == 3
+    store.update(frame(spark, {"b.py": "def f(): pass\n"}), spark.createDataFrame([("b.py",), ("c.rs",)], "path string"), details=True)
+    assert {r.file_path for r in store.table("errors").collect()} == {"d.java"}
+
+
 def go_matches(pattern, text):
     """Matches as the reference engine counts them: an empty one at the end of another does not."""
     out, last = [], -1
