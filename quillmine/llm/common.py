@@ -172,19 +172,25 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Memory that this process no longer uses returns to the system; the collector
+    and Arrow would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def lean(fn):
-    """fn for mapInArrow, after which a worker gives memory back that it no longer
-    uses: workers live on, and what one stage held would add up with the next."""
+    """fn for mapInArrow, after which a worker gives memory back: workers live on, and
+    what one stage held would add up with the next."""
 
     def run(batches):
         try:
             yield from fn(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not this C library
-                pass
+            give_back()
 
     return run
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended
+from .common import appended, give_back
 from .crf import LABELS, REACH, Crf, fit, tokens_of
 
 KINDS = LABELS[1:]
@@ -208,7 +208,10 @@ def labelled_table(n: int = 2000, seed: int = 13) -> list[tuple[bytes, list[tupl
 def fit_personal_data(examples: list[tuple[bytes, list[tuple[str, int, int]]]] | None = None) -> Crf:
     """The field, trained on the labelled table, or on others' examples (text and spans
     in bytes), of which the first MAX_EXAMPLES count."""
-    return fit((examples or labelled_table())[:MAX_EXAMPLES])
+    try:
+        return fit((examples or labelled_table())[:MAX_EXAMPLES])
+    finally:
+        give_back()
 
 
 def find_personal_data(spark: SparkSession, docs: DataFrame, model: Crf | None, text: str = "text", column: str = "spans") -> DataFrame:

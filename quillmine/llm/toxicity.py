@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, bounded_batches, dropped, lean, written
+from .common import appended, bounded_batches, dropped, give_back, lean, written
 from .tokens import text_groups
 from .words import words_of_texts
 
@@ -261,7 +261,10 @@ def fit_toxicity(
     chosen = F.broadcast(spark.createDataFrame(drawn, "doc_id long, hash long"))
     sample = worded.join(chosen, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "y", "lang", "h").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     dropped(spark, worded)
-    return train([np.frombuffer(x, np.uint32) for x in sample.column("h").to_pylist()], [1 if v else 0 for v in sample.column("y").to_pylist()], sample.column("lang").to_pylist())
+    model = train([np.frombuffer(x, np.uint32) for x in sample.column("h").to_pylist()], [1 if v else 0 for v in sample.column("y").to_pylist()], sample.column("lang").to_pylist())
+    del sample
+    give_back()  # a driver lives longer than its training
+    return model
 
 
 def held_out(id_col: str = "doc_id"):
