@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,12 @@ def line_matches(line: Column, o: GrepOptions) -> Column:
     return found if o.ignore_case or not literal else F.contains(line, F.lit(literal)) & found
 
 
+def held_by_files(o: GrepOptions) -> str | None:
+    """A text that a file with a match has, so that others need not be cut into lines."""
+    literal = None if o.invert or o.ignore_case else o.pattern if o.literal else required_literal(o.pattern)
+    return literal if literal and not re.search(r"[\r\n]", literal) else None
+
+
 def match_spans(text: Column, o: GrepOptions) -> Column:
     return spans(text, o.java(), may_match_empty(o.pattern, o.literal))
 
@@ -91,6 +98,8 @@ def grep(files: DataFrame, o: GrepOptions) -> DataFrame:
     files = select_files(files.select("path", "content"), o)
     if o.across_lines:
         return _grep_files(files, o)
+    if literal := held_by_files(o):
+        files = files.where(F.contains("content", F.lit(literal)))
     before, after = o.around()
 
     def wanted(line: Column) -> Column:
@@ -153,18 +162,22 @@ def count_matches(files: DataFrame, o: GrepOptions, zero: bool = True) -> DataFr
     """path, lines that match, occurrences; one pass without shuffling lines: the
     counts are made inside the file's row."""
     files = select_files(files.select("path", "content"), o)
-    lines = F.split("content", "\n", -1)
-
-    def hits(line: Column) -> Column:
-        found = line_matches(line, o)
-        return ~found if o.invert else found
+    lines, empty = F.split("content", "\n", -1), may_match_empty(o.pattern, o.literal)
 
     def times(line: Column) -> Column:
         # of empty matches not every one that the engine finds counts
-        return F.size(match_spans(line, o) if may_match_empty(o.pattern, o.literal) else F.regexp_extract_all(line, F.lit(o.java()), F.lit(0)))
+        return F.size(match_spans(line, o) if empty else F.regexp_extract_all(line, F.lit(o.java()), F.lit(0)))
 
-    occurrences = F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + times(line))
-    out = files.select("path", F.size(F.filter(lines, hits)).cast("long").alias("lines"), (F.lit(0).cast("long") if o.invert else occurrences).alias("occurrences"))
+    none = F.lit(0).cast("long")
+    if o.invert:
+        counts = F.size(F.filter(lines, lambda line: ~line_matches(line, o))).cast("long"), none
+        out = files.select("path", counts[0].alias("lines"), counts[1].alias("occurrences"))
+    else:
+        # a line meets the pattern once; what has no match but an empty one is a line that matches too
+        each = files.select("path", F.transform(lines, lambda line: F.struct(times(line).alias("n"), line_matches(line, o).alias("hit")) if empty else times(line)).alias("each"))
+        hit = F.size(F.filter("each", lambda x: x["hit"] if empty else x > 0)).cast("long")
+        total = F.aggregate("each", none, lambda n, x: n + (x["n"] if empty else x))
+        out = each.select("path", hit.alias("lines"), total.alias("occurrences"))
     return out if zero else out.where("lines > 0")
 
 

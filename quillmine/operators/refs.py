@@ -34,6 +34,15 @@ def token_occurrences(files: DataFrame) -> DataFrame:
     return lines.select("path", "line_no", F.explode(at).alias("t")).select("path", F.col("line_no").alias("line"), "t.col", "t.token", "t.call")
 
 
+def token_counts(files: DataFrame) -> DataFrame:
+    """token, n, files: how often each token stands in files(path, content), and in how
+    many of them. Places are not asked for, so lines are not either; the occurrences in
+    a file are summed up before anything is shuffled."""
+    bare = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("token"))
+    by_file = bare.groupBy("token", "path").agg(F.count(F.lit(1)).alias("n"))
+    return by_file.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))
+
+
 def code_lines(files: DataFrame) -> DataFrame:
     """file_path, line, context: the lines that hold a token, without the space around."""
     lines = explode_lines(files.select("path", "content")).where(F.col("line").rlike(TOKEN))

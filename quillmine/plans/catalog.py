@@ -16,7 +16,7 @@ from ..operators import filters as fl
 from ..operators.grep import GrepOptions, count_matches, files_with_matches, grep, search_stats
 from ..operators.ignore import mark_ignored, parse_rules, rules_frame
 from ..operators.languages import INDEX_NAMES, LANGUAGES, FileTypes, index_language
-from ..operators.refs import call_edges, calls, distinct_places, one_per_line, reachable, references, token_occurrences
+from ..operators.refs import call_edges, calls, distinct_places, one_per_line, reachable, references, token_counts
 from ..operators.symbols import _RULES, documented_lines, extract_symbols, line_symbols, modifiers, scopes
 from ..operators.trigrams import gram_rows, indexed_grep, indexed_names
 from ..streaming.watch import last_operations
@@ -571,8 +571,7 @@ def refs_dedup(spark, sf_dir):
 
 @query(_LINES + ", t AS (SELECT path, unnest(regexp_extract_all(line, '[A-Za-z0-9_$]+')) AS token FROM lines) SELECT token, count(*) AS n, count(DISTINCT path) AS files FROM t GROUP BY token")
 def token_refs(spark, sf_dir):
-    t = token_occurrences(doc_files(spark, sf_dir))
-    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("files"))
+    return token_counts(doc_files(spark, sf_dir))
 
 
 @query(_SYMBOLS + "SELECT t.token AS name, t.path AS file_path, t.line, count(*) AS n FROM tok t WHERE regexp_matches(lower(t.token), '^(handle|inner)1.*$') AND t.token IN (SELECT name FROM sym) GROUP BY ALL")
