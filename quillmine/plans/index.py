@@ -285,17 +285,17 @@ class IndexStore:
 
     # -- point reads
 
-    def get(self, name: str, **keys) -> DataFrame:
+    def get(self, table: str, /, **keys) -> DataFrame:
         """Rows of a table with these values; with the file's path one bucket is read."""
-        place = json.loads(self._read_text(f"{self.folder}/current-{self.version()}"))[name]
-        path = keys.get(TABLES.get(name, ""))
+        place = json.loads(self._read_text(f"{self.folder}/current-{self.version()}"))[table]
+        path = keys.get(TABLES.get(table, ""))
         out = self._stored(place, [zlib.crc32(path.encode()) % place["n"]] if isinstance(path, str) else None)
         for col, value in keys.items():
             out = out.where(F.col(col).eqNullSafe(F.lit(value)))
         return out
 
-    def has(self, name: str, **keys) -> bool:
-        return not self.get(name, **keys).isEmpty()
+    def has(self, table: str, /, **keys) -> bool:
+        return not self.get(table, **keys).isEmpty()
 
     def symbols_in_file(self, path: str) -> DataFrame:
         return self.get("symbols", file_path=path).orderBy("start_line", "start_col")
@@ -326,7 +326,7 @@ class IndexStore:
         """Index files(path, content, mtime); the counters of the run. Files with an
         error are left out, and too many of them end the build; files that do not parse
         are rows of the table of errors. details: methods, fields, imports, variables and
-        constants too; parsers: by language, in place of the own ones; workers: tasks
+        constants too; parsers: by language in small letters, in place of the own ones; workers: tasks
         that parse at once, where Spark is not to choose; trigrams: keep lists of them for
         grep() and names(), which later writes then keep up to date."""
         began, errors = time.time(), 0
@@ -385,7 +385,10 @@ class IndexStore:
             rows = made if fresh_start or name not in before else kept(name, touched).unionByName(made)
             self._write(places, folder, name, rows, touched if name in before and not fresh_start else None, n)
 
-        parsed = files.select("path", "content", parser_language(F.col("path")).alias("language"))
+        language, other = parser_language(F.col("path")), F.lower(index_language(F.col("path")))
+        if parsers:  # also for languages that have no parser here
+            language = F.coalesce(language, F.when(other.isin(*parsers), other))
+        parsed = files.select("path", "content", language.alias("language"))
         try:
             read = parsed if workers is None else parsed.repartition(workers)
             both = self._stage(f"{folder}/work", "parsed", parsed_symbols(read, details, parsers))
