@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -149,6 +150,7 @@ def component_labels(spark: SparkSession, edges: DataFrame, max_rounds: int = 60
             break
     else:
         raise RuntimeError("components did not settle")
+    give_back(spark)
     labels = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
@@ -172,9 +174,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def give_back() -> None:
+def give_back(spark: SparkSession | None = None) -> None:
     """Memory that this process no longer uses returns to the system; the collector
-    and Arrow would keep it."""
+    and Arrow would keep it. spark: the driver's JVM collects too, and with what is
+    gone there Spark drops broadcasts and shuffles that nothing refers to."""
+    if spark is not None:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

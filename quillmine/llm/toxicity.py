@@ -263,7 +263,7 @@ def fit_toxicity(
     dropped(spark, worded)
     model = train([np.frombuffer(x, np.uint32) for x in sample.column("h").to_pylist()], [1 if v else 0 for v in sample.column("y").to_pylist()], sample.column("lang").to_pylist())
     del sample
-    give_back()  # a driver lives longer than its training
+    give_back(spark)  # a driver lives longer than its training
     return model
 
 
