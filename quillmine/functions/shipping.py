@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
     target = os.path.join(folder, "quillmine.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for file in sorted(package.rglob("*.py")):
+        for file in sorted(f for f in package.rglob("*") if f.suffix in (".py", ".txt")):
             z.write(file, file.relative_to(package.parent).as_posix())
     context.addPyFile(target)
     _sent.add(context.applicationId)

@@ -20,6 +20,7 @@ def test_comments_are_no_rules():
         parse_rule("#comment")
 
 
+#: Patterns and paths of ignore rules with their verdicts.
 MATCHES = [
     ("*.txt", "file.txt", 0, 1), ("*.txt", "file.go", 0, 0), ("temp", "temp", 0, 1), ("temp", "temp", 1, 1), ("temp", "temp/file.txt", 0, 1), ("temp/", "temp", 1, 1), ("temp/", "temp", 0, 0),
     ("/root", "root", 0, 1), ("/root", "subdir/root", 0, 0), ("dir/file", "dir/file", 0, 1), ("dir/file", "other/dir/file", 0, 0), ("**/*.go", "main.go", 0, 1), ("**/*.go", "deep/nested/src/main.go", 0, 1),
@@ -32,6 +33,7 @@ def test_matches(rule, path, is_dir, want):
     assert matches_rule(parse_rule(rule), path, bool(is_dir)) == bool(want)
 
 
+#: An ignore file, and the verdicts on paths.
 FILE = "# Test\n*.tmp\nbuild/\n!important.tmp\nsrc/**/*.test\n!build/keep/\n!build/keep/**\n"
 VERDICTS = [
     ("file.tmp", False, True), ("important.tmp", False, False), ("build", True, True), ("build/output", False, True), ("src", True, False), ("src/file.go", False, False),
