@@ -13,11 +13,13 @@ def sha256_hex(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
 
-def human_bytes(size: Column) -> Column:
-    """512 B, 1.5 KB, ..."""
+def human_bytes(size: Column, units: tuple[str, ...] = _UNITS) -> Column:
+    """512 B, 1.5 KB, ...; the last of the units takes all larger sizes. What lies in the
+    middle goes to the even digit, as printf has it: 1.25 KB are 1.2 KB, where Java's
+    format would make them 1.3."""
     out = F.format_string("%d B", size.cast("long"))
-    for n, unit in enumerate(_UNITS, 1):
-        out = F.when(size >= 1024**n, F.format_string(f"%.1f {unit}", size.cast("double") / 1024**n)).otherwise(out)
+    for n, unit in enumerate(units, 1):
+        out = F.when(size >= 1024**n, F.format_string(f"%.1f {unit}", F.bround(size.cast("double") / 1024**n, 1))).otherwise(out)
     return out
 
 
