@@ -37,6 +37,13 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{path}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a scratch folder and read from there, so that what it costs is paid once."""
+    at = scratch_folder(df.sparkSession, label)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed to the shared folder."""
     context = df.sparkSession.sparkContext

@@ -49,24 +49,77 @@ def code_lines(files: DataFrame) -> DataFrame:
     return lines.select(F.col("path").alias("file_path"), F.col("line_no").alias("line"), F.trim("line").alias("context"))
 
 
-def resolved(symbols: DataFrame, tokens: DataFrame, same_file_only: bool = False) -> DataFrame:
-    """symbol_id, name, file_path, line, col, kind: an equi-join of tokens and symbol
-    names, by slim rows. A definition's own name is a definition; a name before a
-    parenthesis is a call; all else is a reference. Hot tokens are left to the
-    adaptive skew join."""
-    t, s = tokens.alias("t"), symbols.select("id", "name", "file_path", "start_line").alias("s")
-    same = F.col("t.token") == F.col("s.name")
-    if same_file_only:
-        same &= F.col("t.path") == F.col("s.file_path")
-    own = (F.col("t.path") == F.col("s.file_path")) & (F.col("t.line") == F.col("s.start_line"))
-    kind = F.when(own, "definition").when(F.col("t.call"), "call").otherwise("reference")
-    return t.join(s, same).select(F.col("s.id").alias("symbol_id"), F.col("s.name").alias("name"), F.col("t.path").alias("file_path"), F.col("t.line").alias("line"), F.col("t.col").alias("col"), kind.alias("kind"))
+#: Symbols of one name that meet its places in one task.
+BLOCK = 1000
+
+
+def by_name(places: DataFrame, named: DataFrame, key: str, block: int | None = BLOCK) -> DataFrame:
+    """The inner join of places and named on a name. Spark takes frames that are made of
+    small tables for small, so the join is never a broadcast. A name with more rows of
+    named than a block is dealt out: each of its blocks meets all its places in a task of
+    its own. The names that are broadcast for that are less than rows by block. None:
+    no name has several rows."""
+    if block is None:
+        return places.join(named.hint("merge"), key)
+    many = named.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    left = places.join(F.broadcast(many), key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    right = named.join(F.broadcast(many), key, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(*named.columns), F.col("blocks")).cast("int"), F.lit(0))).drop("blocks")
+    return left.join(right.hint("merge"), [key, "block"]).drop("block")
+
+
+def resolved(symbols: DataFrame, tokens: DataFrame, same_file_only: bool = False, block: int | None = BLOCK) -> DataFrame:
+    """symbol_id, name, file_path, line, col, kind, and the context if the tokens have one:
+    an equi-join of tokens and symbol names. A definition's own name is a definition; a
+    name before a parenthesis is a call; all else is a reference."""
+    s = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("token"), F.col("file_path").alias("own_path"), F.col("start_line").alias("own_line"))
+    met = tokens.join(s.withColumn("path", F.col("own_path")).hint("merge"), ["token", "path"]) if same_file_only else by_name(tokens, s, "token", block)
+    own = (F.col("path") == F.col("own_path")) & (F.col("line") == F.col("own_line"))
+    kind = F.when(own, "definition").when(F.col("call"), "call").otherwise("reference")
+    return met.select("symbol_id", F.col("token").alias("name"), F.col("path").alias("file_path"), "line", "col", kind.alias("kind"), *(c for c in ("context",) if c in tokens.columns))
+
+
+def placed(symbols: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
+    """The tokens that name a symbol, with their lines: each place once, however many
+    symbols have the name. A line meets its places last of all tokens."""
+    names = symbols.select(F.col("name").alias("token")).distinct()
+    at = lines.select(F.col("file_path").alias("path"), "line", "context")
+    return tokens.join(names.hint("merge"), "token", "left_semi").join(at.hint("merge"), ["path", "line"])
 
 
 def references(symbols: DataFrame, files: DataFrame, same_file_only: bool = False) -> DataFrame:
-    """refs: the places where symbols are named, with their lines. A line meets its
-    references last, so it is not carried along with each token."""
-    return resolved(symbols, token_occurrences(files), same_file_only).join(code_lines(files), ["file_path", "line"]).select("symbol_id", "name", "file_path", "line", "col", "kind", "context")
+    """refs: the places where symbols are named, with their lines."""
+    tokens = token_occurrences(files)
+    if same_file_only:  # lines come last: a name of one file has few symbols there
+        lines = code_lines(files).hint("merge")
+        refs = resolved(symbols, tokens, True).join(lines, ["file_path", "line"])
+    else:
+        refs = resolved(symbols, placed(symbols, tokens, code_lines(files)))
+    return refs.select("symbol_id", "name", "file_path", "line", "col", "kind", "context")
+
+
+def reference_counts(symbols: DataFrame, files: DataFrame, same_file_only: bool = False) -> DataFrame:
+    """symbol_id, file_path, line, n: how often a line names a symbol. Tokens are counted
+    before they meet the symbols, so the references are not shuffled."""
+    lines = explode_lines(files.select("path", "content"))
+    tokens = lines.select("path", F.col("line_no").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token"))
+    counted = tokens.groupBy("token", "path", "line").agg(F.count(F.lit(1)).alias("times"))
+    s = symbols.groupBy(F.col("id").alias("symbol_id"), F.col("name").alias("token"), F.col("file_path").alias("own_path")).agg(F.count(F.lit(1)).alias("same"))
+    if same_file_only:
+        met = counted.join(s.withColumnRenamed("own_path", "path").hint("merge"), ["token", "path"])
+    else:
+        met = by_name(counted, s.drop("own_path"), "token")
+    return met.select("symbol_id", F.col("path").alias("file_path"), "line", (F.col("times") * F.col("same")).alias("n"))
+
+
+def last_on_line(tokens: DataFrame) -> DataFrame:
+    """Of several tokens of a name on a line the last: one_per_line() before any symbol is met."""
+    return tokens.groupBy("token", "path", "line").agg(F.max_by(F.struct("col", "call"), "col").alias("last")).select("token", "path", "line", "last.col", "last.call")
+
+
+def first_named(symbols: DataFrame) -> DataFrame:
+    """Of the symbols of a name the one with the smallest id: distinct_places() before any place is met."""
+    rest = ("id", "file_path", "start_line")
+    return symbols.groupBy("name").agg(F.min_by(F.struct(*rest), "id").alias("one")).select("name", "one.*")
 
 
 def one_per_line(refs: DataFrame) -> DataFrame:
@@ -109,7 +162,7 @@ def call_edges(symbols: DataFrame, files: DataFrame, kinds: tuple[str, ...] = ("
     inside = enclosing(spans, found, same=True).where("around is not null")
     inside = inside.select(F.col("file").alias("path"), "key.line", "key.callee", F.col("around").alias("src_id"))
     targets = callables.select(F.col("id").alias("dst_id"), F.col("name").alias("callee"))
-    edges = inside.join(targets, "callee")
+    edges = by_name(inside, targets, "callee")
     return edges.select("src_id", "dst_id", F.lit("calls").alias("relation"), F.col("path").alias("file_path"), "line")
 
 
@@ -117,7 +170,8 @@ def call_graph(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     """The definitions of a function and the places that call it: one hop."""
     wanted = symbols.where((F.lower("name") == name.lower()) & F.col("kind").isin("function", "method"))
     defined = wanted.select(F.col("id").alias("symbol_id"), "file_path", F.col("start_line").alias("line"), F.lit("definition").alias("role"))
-    called = refs.where("kind = 'call'").join(wanted.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select("symbol_id", "file_path", "line", F.lit("call").alias("role"))
+    refs = refs.where((F.lower("name") == name.lower()) & (F.col("kind") == "call"))
+    called = refs.join(wanted.select(F.col("id").alias("symbol_id")).hint("merge"), "symbol_id", "left_semi").select("symbol_id", "file_path", "line", F.lit("call").alias("role"))
     return defined.unionByName(called).dropDuplicates(["file_path", "line", "role"])
 
 

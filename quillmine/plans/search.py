@@ -8,7 +8,7 @@ import time
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,15 +57,19 @@ def search_symbols(symbols: DataFrame, q: SearchQuery) -> DataFrame:
     return out if q.limit is None else out.limit(q.limit)
 
 
-def find_symbols(symbols: DataFrame, pattern: str, match: str = "auto", case_sensitive: bool = False, kinds: tuple[str, ...] = (), **paths) -> DataFrame:
-    """Symbols by name. match: exact, contains, regex; auto takes regex if the
-    pattern has signs of one, else exact."""
+def named(pattern: str, match: str = "auto", case_sensitive: bool = False) -> Column:
+    """Whether a column `name` is what is looked for. match: exact, contains, regex; auto
+    takes regex if the pattern has signs of one, else exact."""
     if match == "auto":
         match = "regex" if any(c in pattern for c in "*.+?[](){}|^$\\") else "exact"
     if match == "regex":
-        hit = F.col("name").rlike(java_pattern(f"^(?:{pattern})$", ignore_case=not case_sensitive))
-    else:
-        hit = name_matches(F.col("name"), pattern, case_sensitive, whole_word=match == "exact")
+        return F.col("name").rlike(java_pattern(f"^(?:{pattern})$", ignore_case=not case_sensitive))
+    return name_matches(F.col("name"), pattern, case_sensitive, whole_word=match == "exact")
+
+
+def find_symbols(symbols: DataFrame, pattern: str, match: str = "auto", case_sensitive: bool = False, kinds: tuple[str, ...] = (), **paths) -> DataFrame:
+    """Symbols by name, as named() takes it."""
+    hit = named(pattern, match, case_sensitive)
     if kinds:
         hit &= F.col("kind").isin(*map(kind_alias, kinds))
     out = symbols.where(hit)
@@ -77,8 +81,11 @@ def find_types(symbols: DataFrame, pattern: str, **options) -> DataFrame:
 
 
 def find_references(symbols: DataFrame, refs: DataFrame, pattern: str, limit: int | None = None, **options) -> DataFrame:
+    """The places of the symbols that are looked for. References to other names are left
+    out by name first, where tokens and symbols are read."""
     wanted = find_symbols(symbols, pattern, **options).select(F.col("id").alias("symbol_id"))
-    out = distinct_places(refs.join(wanted, "symbol_id", "left_semi"))
+    refs = refs.where(named(pattern, **{k: v for k, v in options.items() if k in ("match", "case_sensitive")}))
+    out = distinct_places(refs.join(wanted.hint("merge"), "symbol_id", "left_semi"))
     return out if limit is None else out.orderBy("file_path", "line", "col").limit(limit)
 
 

@@ -11,3 +11,31 @@ def test_sizes_round_to_even_and_the_last_unit_takes_the_rest(spark):
     got = [tuple(r) for r in df.select(human_bytes(F.col("n")), human_bytes(F.col("n"), ("KB", "MB"))).collect()]
     small = ["0 B", "1023 B", "1.2 KB", "1.8 KB", "1.3 KB", "1024.0 KB"]
     assert got == [*zip(small, small), ("2.5 GB", "2560.0 MB"), ("2.5 GB", "2560.2 MB")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_symbols_of_a_name_are_dealt_out_and_none_are_lost(spark):
+    from quillmine.operators.refs import by_name, references, resolved, token_occurrences
+    from quillmine.operators.symbols import extract_symbols
+
+    code = spark.createDataFrame([(f"d/f{i}.py", "python", f"class C{i}:\n    def run(self):\n        return run(C{(i + 1) % 40})\n") for i in range(40)], "path string, language string, content string")
+    symbols = extract_symbols(code).persist()
+    whole = sorted(map(tuple, resolved(symbols, token_occurrences(code), block=None).collect()))
+    assert len(whole) == 40 * 80 + 40 * 2
+    assert sorted(map(tuple, resolved(symbols, token_occurrences(code), block=7).collect())) == whole
+    held = by_name(token_occurrences(code), symbols.select(F.col("name").alias("token"), "id"), "token", 7)
+    assert held.groupBy("token", "path", "line", "col", "id").count().where("count > 1").isEmpty() and held.count() == len(whole)
+    assert sorted(map(tuple, references(symbols, code).drop("context").collect())) == whole
+
+
+def test_references_and_edges_broadcast_no_symbols(spark):
+    from quillmine.plans import catalog
+
+    for name in ("refs_cross_file", "refs_places", "refs_in_file", "refs_one_per_line", "refs_dedup", "find_references_query", "call_edges_query", "call_graph_one_hop"):
+        text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        # only the few names with blocks of symbols are broadcast, and no build is for nothing else
+        assert text.count("SortMergeJoin") >= 1, name
+        assert all("blocks" in line or "LeftOuter" in line for line in text.splitlines() if "BroadcastHashJoin" in line), name
