@@ -90,9 +90,9 @@ def find_references(symbols: DataFrame, refs: DataFrame, pattern: str, limit: in
 
 
 def find_definitions(symbols: DataFrame, pattern: str, **options) -> DataFrame:
-    """Exact names and those that hold the pattern, each once."""
-    exact = find_symbols(symbols, pattern, match="exact", **options)
-    return exact.unionByName(find_symbols(symbols, pattern, match="contains", **options)).dropDuplicates(["id"])
+    """Exact names and those that hold the pattern, each once. Who has the exact name holds
+    it too, so the symbols are made and read once."""
+    return find_symbols(symbols, pattern, match="contains", **options).dropDuplicates(["id"])
 
 
 def find_calls(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:

@@ -60,3 +60,20 @@ def test_an_index_stores_no_product_of_names(spark, tmp_path):
     assert store.reference_counts().agg(F.sum("refs")).first()[0] == 1640
     store.delete_file("d/f3.py")
     assert store.table("refs").count() == 39 * 39 + 39 and not store.has("refs", kind="odd")
+
+
+def test_code_of_many_keys_is_many_tasks_and_extracted_once(spark, tmp_path):
+    from pathlib import Path
+
+    from quillmine.plans import catalog
+
+    for name in ("nation", "region", "part", "supplier"):
+        (tmp_path / f"{name}.parquet").symlink_to(Path("/root/testdata/sf0.001") / f"{name}.parquet")
+    n = spark.read.parquet(f"{tmp_path}/part.parquet").count()
+    files, catalog.FILES = catalog.FILES, -(-n // 7)
+    try:
+        assert catalog.code_files(spark, str(tmp_path)).where("path like 'js/%'").groupBy(F.spark_partition_id()).count().count() > 1
+        text = plan(catalog.find_definitions_query(spark, str(tmp_path)))
+    finally:
+        catalog.FILES = files
+    assert text.count("MapInArrow") == 1
