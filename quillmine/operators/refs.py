@@ -86,9 +86,12 @@ def placed(symbols: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame
     return tokens.join(names.hint("merge"), "token", "left_semi").join(at.hint("merge"), ["path", "line"])
 
 
-def references(symbols: DataFrame, files: DataFrame, same_file_only: bool = False) -> DataFrame:
-    """refs: the places where symbols are named, with their lines."""
+def references(symbols: DataFrame, files: DataFrame, same_file_only: bool = False, context: bool = True) -> DataFrame:
+    """refs: the places where symbols are named, with their lines; without context the
+    lines are not read a second time."""
     tokens = token_occurrences(files)
+    if not context:
+        return resolved(symbols, tokens, same_file_only)
     if same_file_only:  # lines come last: a name of one file has few symbols there
         lines = code_lines(files).hint("merge")
         refs = resolved(symbols, tokens, True).join(lines, ["file_path", "line"])

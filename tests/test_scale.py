@@ -77,3 +77,16 @@ def test_code_of_many_keys_is_many_tasks_and_extracted_once(spark, tmp_path):
     finally:
         catalog.FILES = files
     assert text.count("MapInArrow") == 1
+
+
+def test_places_without_context_read_no_lines_again(spark):
+    from quillmine.operators.refs import references
+    from quillmine.operators.symbols import extract_symbols
+    from quillmine.plans import catalog
+
+    for name in ("call_graph_one_hop", "find_references_query"):
+        assert plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")).count("posexplode(split(content") == 1, name
+    code = catalog.code_files(spark, "/root/testdata/sf0.001")
+    symbols = extract_symbols(code).persist()
+    for same in (False, True):
+        assert sorted(map(tuple, references(symbols, code, same, context=False).collect())) == sorted(map(tuple, references(symbols, code, same).drop("context").collect()))
