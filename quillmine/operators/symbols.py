@@ -68,7 +68,8 @@ def line_symbols(files: DataFrame) -> DataFrame:
     """files(path, language, content) -> path, language, kind, name, line, col:
     without Python and without a shuffle."""
     lines = explode_lines(files.select("path", "language", "content"))
-    found = lines.withColumn("d", line_rule(F.col("language"), F.col("line"))).where("d is not null")
+    # a generator's output is not put in place of its name, so the rules meet a line once
+    found = lines.withColumn("d", F.explode(F.array(line_rule(F.col("language"), F.col("line"))))).where("d is not null")
     before = F.regexp_extract(F.col("line"), r"^(\s*)", 1)
     return found.select("path", "language", "d.kind", "d.name", F.col("line_no").alias("line"), (F.octet_length(before) + 1).alias("col"))
 
@@ -101,8 +102,7 @@ def _arrow_rows(rows: Iterator[tuple], schema: T.StructType) -> Iterator[pa.Reco
 
 def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield tuple(c[i].as_py() for c in batch.columns)
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
 def modifiers(language: Column, name: Column) -> Column:

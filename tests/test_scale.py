@@ -90,3 +90,17 @@ def test_places_without_context_read_no_lines_again(spark):
     symbols = extract_symbols(code).persist()
     for same in (False, True):
         assert sorted(map(tuple, references(symbols, code, same, context=False).collect())) == sorted(map(tuple, references(symbols, code, same).drop("context").collect()))
+
+
+def test_line_rules_meet_a_line_once(spark):
+    from quillmine.operators.symbols import _RULES
+    from quillmine.plans import catalog
+
+    text = plan(catalog.symbol_defs(spark, "/root/testdata/sf0.001"))
+    assert text.count("RLIKE(line") == sum(map(len, _RULES.values()))
+
+
+def test_names_are_looked_up_in_symbols_that_were_made_once(spark):
+    from quillmine.plans import catalog
+
+    assert "RLIKE" not in plan(catalog.names_by_trigrams(spark, "/root/testdata/sf0.001"))
