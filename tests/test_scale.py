@@ -104,3 +104,18 @@ def test_names_are_looked_up_in_symbols_that_were_made_once(spark):
     from quillmine.plans import catalog
 
     assert "RLIKE" not in plan(catalog.names_by_trigrams(spark, "/root/testdata/sf0.001"))
+
+
+def test_files_are_parsed_once_for_symbols_and_errors(monkeypatch):
+    import ast
+
+    from quillmine.functions import scanners
+
+    asked = []
+    parse = ast.parse
+    monkeypatch.setattr(ast, "parse", lambda s: asked.append(s) or parse(s))
+    for source, errors in (("def once_a(x):\n    return x\n", []), ("def once_b(:\n", [(1, 12, "invalid syntax")])):
+        assert [f[0] for f in scanners.described(source, "python", True)] == [source[4:10]]
+        assert scanners.syntax_errors(source, "python") == errors
+    assert len(asked) == 2
+    assert scanners.syntax_errors("function once_c() {\n", "javascript") == [(1, 19, "unclosed {")]
