@@ -36,10 +36,14 @@ def token_occurrences(files: DataFrame) -> DataFrame:
 
 def token_counts(files: DataFrame) -> DataFrame:
     """token, n, files: how often each token stands in files(path, content), and in how
-    many of them. Places are not asked for, so lines are not either; the occurrences in
-    a file are summed up before anything is shuffled."""
-    bare = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("token"))
-    by_file = bare.groupBy("token", "path").agg(F.count(F.lit(1)).alias("n"))
+    many of them. Places are not asked for, so lines are not either. Where each path is
+    one row, all is summed up by token before anything is shuffled: a row puts out its
+    tokens and, behind them, each of them once. Else a file's rows meet first."""
+    found = F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))
+    if files.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        held = files.select(found.alias("ts")).select(F.size("ts").alias("size"), F.posexplode(F.concat("ts", F.array_distinct("ts"))).alias("pos", "token"))
+        return held.groupBy("token").agg(F.count_if(F.col("pos") < F.col("size")).alias("n"), F.count_if(F.col("pos") >= F.col("size")).alias("files"))
+    by_file = files.select("path", F.explode(found).alias("token")).groupBy("token", "path").agg(F.count(F.lit(1)).alias("n"))
     return by_file.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))
 
 

@@ -139,3 +139,15 @@ def test_the_total_of_references_is_the_sum_of_their_counts(spark, tmp_path):
     store = IndexStore(spark, f"file://{tmp_path}/x")
     done = store.build(catalog.code_files(spark, "/root/testdata/sf0.001").withColumn("mtime", F.lit("2024-01-01").cast("timestamp")))
     assert done["references"] == store.reference_total() == store.reference_counts().agg(F.sum("refs")).first()[0] > 0
+
+
+def test_tokens_are_counted_without_a_shuffle_of_files(spark):
+    from quillmine.operators.refs import token_counts
+
+    files = spark.createDataFrame([("a", "x y x\n$z x"), ("b", "y"), ("c", ""), ("d", "--")], "path string, content string")
+    counts = token_counts(files)
+    assert sorted(map(tuple, counts.collect())) == [("$z", 1, 1), ("x", 3, 1), ("y", 2, 2)]
+    dealt = [line for line in plan(counts).splitlines() if "Exchange" in line]
+    assert dealt and all("hashpartitioning(token" in line and "path" not in line for line in dealt)
+    again = token_counts(files.union(files.where("path = 'a'")))  # a path of two rows is still one file
+    assert sorted(map(tuple, again.collect())) == [("$z", 2, 1), ("x", 6, 1), ("y", 3, 2)]
