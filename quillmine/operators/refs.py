@@ -160,19 +160,32 @@ def calls(files: DataFrame) -> DataFrame:
     return at.where((F.col("c.word") == "") & ~F.col("c.callee").isin(*NOT_CALLED)).select("path", "line", F.col("c.callee").alias("callee"))
 
 
+def calls_within(callables: DataFrame, files: DataFrame) -> DataFrame:
+    """path, line, callee, src_id: each call and the innermost of the callables around it."""
+    spans = callables.select(F.col("file_path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"), "id")
+    found = calls(files).distinct().select(F.col("path").alias("file"), F.col("line").alias("start"), F.col("line").alias("end"), F.struct("line", "callee").alias("key"))
+    inside = enclosing(spans, found, same=True).where("around is not null")
+    return inside.select(F.col("file").alias("path"), "key.line", "key.callee", F.col("around").alias("src_id"))
+
+
 def call_edges(symbols: DataFrame, files: DataFrame, kinds: tuple[str, ...] = ("function", "method")) -> DataFrame:
     """edges(src_id, dst_id, relation, file_path, line): caller and callee of each
     call; the caller is the innermost function around the line."""
     callables = symbols.where(F.col("kind").isin(*kinds))
-    spans = callables.select(F.col("file_path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"), "id")
-    found = calls(files).distinct().select(F.col("path").alias("file"), F.col("line").alias("start"), F.col("line").alias("end"), F.struct("line", "callee").alias("key"))
-    inside = enclosing(spans, found, same=True).where("around is not null")
-    inside = inside.select(F.col("file").alias("path"), "key.line", "key.callee", F.col("around").alias("src_id"))
     targets = callables.select(F.col("id").alias("dst_id"), F.col("name").alias("callee"))
-    edges = by_name(inside, targets, "callee")
+    edges = by_name(calls_within(callables, files), targets, "callee")
     return edges.select("src_id", "dst_id", F.lit("calls").alias("relation"), F.col("path").alias("file_path"), "line")
 
 
+def call_pairs(symbols: DataFrame, files: DataFrame, kinds: tuple[str, ...] = ("function", "method")) -> DataFrame:
+    """caller, callee: the names of call_edges(), each pair once. A callee's name is looked
+    up, so its definitions are not multiplied by its calls."""
+    callables = symbols.where(F.col("kind").isin(*kinds))
+    inside = calls_within(callables, files).select("src_id", "callee").distinct()
+    known = inside.join(callables.select(F.col("name").alias("callee")).distinct().hint("merge"), "callee", "left_semi")
+    return known.join(callables.select(F.col("id").alias("src_id"), F.col("name").alias("caller")).hint("merge"), "src_id").select("caller", "callee").distinct()
+
+
 def call_graph(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     """The definitions of a function and the places that call it: one hop."""
     wanted = symbols.where((F.lower("name") == name.lower()) & F.col("kind").isin("function", "method"))
@@ -182,21 +195,32 @@ def call_graph(symbols: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     return defined.unionByName(called).dropDuplicates(["file_path", "line", "role"])
 
 
+#: Edges that a task holds, and hops after which what was found is cut off from how it was found.
+EDGES, HOPS = 200_000, 16
+
+
 def reachable(edges: DataFrame, start: DataFrame, max_hops: int | None = None, safety: int = 10_000) -> DataFrame:
     """id, hops: everything the ids of start(id) reach over edges(src_id, dst_id),
     or what they reach in max_hops where the caller asks for so many. Breadth first:
     only ids that are new go on, so cycles end and no path is walked twice. Paths
-    of over `safety` hops are an error, as the result would not be whole."""
+    of over `safety` hops are an error, as the result would not be whole. The edges are
+    dealt out by src_id and sorted once: a hop that finds little shuffles that, not the edges."""
     links = cut(edges.select("src_id", "dst_id").distinct())
+    tasks = max(2, -(-links.count() // EDGES))  # Spark would deal out a single part anew at each hop
+    links = links.repartition(tasks, "src_id").sortWithinPartitions("src_id").persist()
     front = start.select("id").distinct().withColumn("hops", F.lit(0))
     found, hop = front, 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        step = front.join(links, F.col("id") == F.col("src_id")).select(F.col("dst_id").alias("id")).distinct()
-        front = cut(step.join(found.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
-        if front.isEmpty():
-            break
-        if hop > safety:
-            raise RuntimeError(f"more than {safety} hops")
-        found = cut(found.unionByName(front))
-    return found
+    try:
+        while max_hops is None or hop < max_hops:
+            hop += 1
+            step = front.join(links.hint("merge"), F.col("id") == F.col("src_id")).select(F.col("dst_id").alias("id")).distinct()
+            front = cut(step.join(found.select("id").hint("merge"), "id", "left_anti").withColumn("hops", F.lit(hop)))
+            if front.isEmpty():
+                break
+            if hop > safety:
+                raise RuntimeError(f"more than {safety} hops")
+            found = found.unionByName(front)
+            found = found if hop % HOPS else cut(found)
+        return cut(found)
+    finally:
+        links.unpersist()

@@ -1,5 +1,7 @@
 """What showed only on larger tables: units of sizes, names with many definitions, plans without broadcasts."""
 
+import re
+
 from pyspark.sql import functions as F
 
 
@@ -151,3 +153,27 @@ def test_tokens_are_counted_without_a_shuffle_of_files(spark):
     assert dealt and all("hashpartitioning(token" in line and "path" not in line for line in dealt)
     again = token_counts(files.union(files.where("path = 'a'")))  # a path of two rows is still one file
     assert sorted(map(tuple, again.collect())) == [("$z", 2, 1), ("x", 6, 1), ("y", 3, 2)]
+
+
+def test_callers_by_name_are_no_product_of_calls_and_definitions(spark, monkeypatch):
+    from quillmine.operators import refs
+    from quillmine.plans import catalog
+
+    def product(*_):
+        raise AssertionError("calls meet all definitions of their names")
+
+    monkeypatch.setattr(refs, "by_name", product)
+    got = {tuple(r) for r in catalog.callers_of(spark, "/root/testdata/sf0.001").where("callee in ('Handle3', 'helper3')").collect()}
+    assert got == {("Handle3", 2), ("helper3", 1)}
+
+
+def test_a_hop_shuffles_what_is_new_and_not_the_edges(spark, monkeypatch):
+    from quillmine.operators import refs
+
+    plans, cut = [], refs.cut
+    monkeypatch.setattr(refs, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    edges = spark.createDataFrame([(f"f{i}", f"f{(i + 1) % 20}") for i in range(20)], "src_id string, dst_id string")
+    found = refs.reachable(edges, spark.createDataFrame([("f3",)], "id string"))
+    assert {tuple(r) for r in found.collect()} == {(f"f{(3 + i) % 20}", i) for i in range(20)}
+    # the first hop may deal them out as start's ids are
+    assert len(plans) > 20 and sum(bool(re.search(r"hashpartitioning\(src_id#\d+, \d+\), ENSURE_REQUIREMENTS", p)) for p in plans) <= 1
