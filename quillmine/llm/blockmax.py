@@ -270,12 +270,12 @@ def build_index(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text:
     bounded_batches(spark)
     at = [docs.columns.index(id), docs.columns.index(text)]
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(F.col(f"c{at[0]}").cast("long"), F.col(f"c{at[1]}").cast("binary"))
-    return written(spark, plain.mapInArrow(lean(segments), SCHEMA), "blockmax")
+    return written(spark, plain.mapInArrow(lean(segments), SCHEMA), "blockmax", large_rows=True)
 
 
 @contextmanager
-def few_rows(spark: SparkSession, rows: int = 4) -> Iterator[None]:
-    """Segments, of some megabytes each, go to Python a few at a time."""
+def few_rows(spark: SparkSession, rows: int = 1) -> Iterator[None]:
+    """Segments, of some megabytes each, go to Python one at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))

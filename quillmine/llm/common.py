@@ -60,13 +60,19 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(spark: SparkSession, df: DataFrame, label: str, slim: bool = False, compression: str = "snappy") -> DataFrame:
+#: For rows of some megabytes each: a reader holds a row group whole, and Parquet would else
+#: look at the size of one after 100 rows only.
+LARGE_ROWS = {"parquet.block.row.count.limit": "1"}
+
+
+def written(spark: SparkSession, df: DataFrame, label: str, slim: bool = False, compression: str = "snappy", large_rows: bool = False) -> DataFrame:
     """df as a table in the shared folder: it is computed once, its lineage ends
     there, and a lost executor costs no more than reading it again. slim: a few
-    numbers a row, so that an eighth of the usual files will do."""
+    numbers a row, so that an eighth of the usual files will do. large_rows: some
+    megabytes a row, so that each is a row group."""
     path = new_path(spark, label)
     df = df.coalesce(max(8, shuffle_partitions(spark) // 8)) if slim else df
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**LARGE_ROWS if large_rows else {}).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmine_path = path
     return out

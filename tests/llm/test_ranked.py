@@ -130,3 +130,17 @@ def test_over_tables(spark):
     two = search(spark, index, asks.where("item_id = 2"), k=3).collect()
     assert sorted((r["rank"], r.doc_id) for r in two) == sorted((r, i) for (j, r), i in by_item.items() if j == 2 and r <= 3)
     assert ranked_search(spark, frame.limit(0), asks).count() == ranked_search(spark, frame.where("doc_id = 2000"), asks).count() == ranked_search(spark, frame, asks.limit(0)).count() == 0
+
+
+def test_a_row_group_of_the_index_is_one_segment(spark):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from quillmine.llm import blockmax
+
+    docs = spark.range(5, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 450_000).alias("text"))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blockmax.build_index(spark, docs).inputFiles()]
+    # a reader holds a row group whole, and all segments of a task were one
+    assert [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)] == [1] * 5
+    asks = spark.createDataFrame([(1, "words")], "item_id long, text string")
+    assert [(r["rank"], r.doc_id) for r in blockmax.ranked_search(spark, docs, asks).orderBy("rank").collect()] == [(i + 1, i) for i in range(5)]
