@@ -53,22 +53,36 @@ def code_lines(files: DataFrame) -> DataFrame:
     return lines.select(F.col("path").alias("file_path"), F.col("line_no").alias("line"), F.trim("line").alias("context"))
 
 
-#: Symbols of one name that meet its places in one task.
-BLOCK = 1000
+#: Symbols of one name that meet some of its places at once, such blocks for each part of the places, and tasks at most.
+BLOCK, PART, TASKS = 1000, 8, 4000
 
 
 def by_name(places: DataFrame, named: DataFrame, key: str, block: int | None = BLOCK) -> DataFrame:
     """The inner join of places and named on a name. Spark takes frames that are made of
     small tables for small, so the join is never a broadcast. A name with more rows of
-    named than a block is dealt out: each of its blocks meets all its places in a task of
-    its own. The names that are broadcast for that are less than rows by block. None:
-    no name has several rows."""
+    named than a block is dealt out: each of its blocks meets each part of its places
+    apart from the others, in so many tasks as the rows that come out ask for, where Spark
+    would go by the bytes that come in. As each symbol is a place too, its places are taken
+    to be as many at least. The names that are broadcast for that are less than rows by
+    block. named is read twice. None: no name has several rows."""
     if block is None:
         return places.join(named.hint("merge"), key)
-    many = named.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
-    left = places.join(F.broadcast(many), key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
-    right = named.join(F.broadcast(many), key, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(*named.columns), F.col("blocks")).cast("int"), F.lit(0))).drop("blocks")
-    return left.join(right.hint("merge"), [key, "block"]).drop("block")
+    counts = named.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block)
+    many = [(r[key], -(-r["rows"] // block), -(-r["rows"] // (PART * block))) for r in counts.collect()]
+    if not many:
+        return places.join(named.hint("merge"), key)
+    spark = places.sparkSession
+    dealt = F.broadcast(spark.createDataFrame(many, f"{key} string, blocks int, parts int"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, sum(blocks * parts for _, blocks, parts in many) // 2))
+
+    def numbered(rows: DataFrame, own: str, name: str, other: str, each: str) -> DataFrame:
+        """rows with the number of their own block or part, once for each number of the others."""
+        at = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col(own)).cast("int"), F.lit(0)).alias(name)
+        all_of = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(each)
+        return rows.join(dealt, key, "left").select(*rows.columns, at, all_of).repartition(tasks, key, "block", "part")
+
+    left, right = numbered(places, "parts", "part", "blocks", "block"), numbered(named, "blocks", "block", "parts", "part")
+    return left.join(right.hint("merge"), [key, "block", "part"]).drop("block", "part")
 
 
 def resolved(symbols: DataFrame, tokens: DataFrame, same_file_only: bool = False, block: int | None = BLOCK) -> DataFrame:

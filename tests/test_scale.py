@@ -177,3 +177,16 @@ def test_a_hop_shuffles_what_is_new_and_not_the_edges(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == {(f"f{(3 + i) % 20}", i) for i in range(20)}
     # the first hop may deal them out as start's ids are
     assert len(plans) > 20 and sum(bool(re.search(r"hashpartitioning\(src_id#\d+, \d+\), ENSURE_REQUIREMENTS", p)) for p in plans) <= 1
+
+
+def test_a_product_of_places_and_symbols_is_many_tasks(spark):
+    from quillmine.operators.refs import by_name
+
+    places = spark.createDataFrame([("run" if i % 5 else f"f{i}", f"d/f{i % 70}.py", i) for i in range(350)], "token string, path string, line int")
+    named = spark.createDataFrame([("run" if i % 9 else f"f{i}", f"id{i}") for i in range(90)], "token string, id string").persist()
+    met = by_name(places, named, "token", 2)
+    want = sorted(map(tuple, by_name(places, named, "token", None).collect()))
+    assert len(want) >= 280 * 80 and sorted(map(tuple, met.collect())) == want
+    tasks = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    # the bytes that come in are few, so Spark alone would make it one task
+    assert len(tasks) >= 40 and max(tasks) < 0.1 * len(want)
