@@ -132,11 +132,6 @@ def reference_counts(symbols: DataFrame, files: DataFrame, same_file_only: bool
     return met.select("symbol_id", F.col("path").alias("file_path"), "line", (F.col("times") * F.col("same")).alias("n"))
 
 
-def last_on_line(tokens: DataFrame) -> DataFrame:
-    """Of several tokens of a name on a line the last: one_per_line() before any symbol is met."""
-    return tokens.groupBy("token", "path", "line").agg(F.max_by(F.struct("col", "call"), "col").alias("last")).select("token", "path", "line", "last.col", "last.call")
-
-
 def first_named(symbols: DataFrame) -> DataFrame:
     """Of the symbols of a name the one with the smallest id: distinct_places() before any place is met."""
     rest = ("id", "file_path", "start_line")

@@ -190,3 +190,11 @@ def test_a_product_of_places_and_symbols_is_many_tasks(spark):
     tasks = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
     # the bytes that come in are few, so Spark alone would make it one task
     assert len(tasks) >= 40 and max(tasks) < 0.1 * len(want)
+
+
+def test_lines_with_a_symbol_need_no_columns_and_symbols_are_made_once(spark):
+    from quillmine.operators.symbols import _RULES
+    from quillmine.plans import catalog
+
+    text = plan(catalog.refs_one_per_line(spark, "/root/testdata/sf0.001"))
+    assert "octet_length" not in text and text.count("RLIKE") < sum(map(len, _RULES.values()))
